@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_tiles
+from . import bpe, simhash_tiles
 from .common import read
 
 
+def word_bpe_path() -> str:
+    """Where the public word-level vocabulary lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), word_bpe_path())
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
