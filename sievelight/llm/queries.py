@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash_tiles
+from . import bpe, quality_cnn, simhash_tiles, toxicity_subword
 from .common import read
 
 
@@ -15,6 +15,14 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_toxicity_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_subword.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -24,6 +32,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality_cnn": op5_quality_cnn,
+    "op6_toxicity_subword": op6_toxicity_subword,
     "op7_bpe": op7_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
