@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_cnn, simhash_tiles, toxicity_subword
+from . import bpe, decontaminate, quality_cnn, simhash_tiles, toxicity_subword
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op5_quality_cnn": op5_quality_cnn,
     "op6_toxicity_subword": op6_toxicity_subword,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
