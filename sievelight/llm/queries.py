@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, quality_cnn, secret_ledger, simhash_tiles, toxicity_subword, url_rules
+from . import ann_forest, bpe, chat_format, decontaminate, katz_lm, quality_cnn, secret_ledger, simhash_tiles, toxicity_subword, url_rules
 from .common import read
 
 
@@ -15,6 +15,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(read(spark, sf_dir, "documents"))
 
@@ -49,11 +53,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_ann_forest": op1_ann_forest,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_url_rules": op3_url_rules,
     "op4_chat_format": op4_chat_format,
@@ -61,6 +70,7 @@ QUERIES = {
     "op6_toxicity_subword": op6_toxicity_subword,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_katz_lm": op9_katz_lm,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
