@@ -11,7 +11,7 @@ alternating star contraction over stored edge tables.
 Defined cases: null text counts as empty; text without words has fingerprint
 zero, linked like any other; rows with equal doc_id are all returned; a null
 doc_id is returned and never names a component unless all members are null
-(then null); extra columns are ignored; an empty table gives an empty result.
+(then null); of rows with equal id and text one can represent a component; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,16 +56,21 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle, seed) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def linked(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -172,20 +177,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def classed(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, tile: int = TILE) -> DataFrame:
+    """doc_id, text_hash, fp of every document, with ``first``: the least (id is null, id, text_hash) of its component."""
     prints = stored(fingerprints(docs, shingle, seed), "simhash")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    nodes = stored(prints.groupBy("fp").agg(least.alias("own")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius, tile))
-    joined = nodes.join(roots, nodes.fp == roots.node).select("fp", "first_id", "root")
-    named = joined.join(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = nodes.join(roots, nodes.fp == roots.node).select("fp", "own", "root")
+    named = joined.join(joined.groupBy("root").agg(F.min("own").alias("of_all")), "root").select("fp", "of_all")
+    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("of_all", "own").alias("first"))
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    found = classed(docs, **options)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id names their component: one row of each group, all columns."""
-    found = near_duplicates(docs, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component, all columns: the least id, then the least text
+    hash (documents without id come last)."""
+    kept = classed(docs, **options).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
+    rows = docs.withColumn("kept_mark", text_hash(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["kept_mark"] == kept["kept_hash"])
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "kept_mark"]).select(*docs.columns)
