@@ -1,5 +1,9 @@
 """Registered queries of the evaluation engine and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "flagship"
+from __future__ import annotations
+
+from . import detection, tables
+
+FLAGSHIP = "flagship_validation_threshold_test_metrics"
+QUERIES: dict = tables.QUERIES | detection.QUERIES
+ORACLE_SQL: dict = tables.ORACLE_SQL | detection.ORACLE_SQL
