@@ -67,16 +67,18 @@ class Logistic:
 
 
 def fit_many(
-    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 30, tol: float = 1e-8
+    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 30, tol: float = 1e-8, vector: str | None = None
 ) -> dict[str, Logistic]:
     """Fit models {name: (C, fold left out or None, group kept or None)}: penalty
     |w|^2 / (2C) beside the summed loss, intercept free. Each partition adds up its
-    own gradients and Hessians in numpy; the sums are added per model and place."""
+    own gradients and Hessians in numpy; the sums are added per model and place.
+    With ``vector``, an array column holds the features in their order."""
     spark, p = df.sparkSession, len(features) + 1
     weights = {n: np.zeros(p) for n in models}
     live = set(models)
+    x = F.col(vector).cast("array<double>") if vector else F.array(*[F.col(c).cast("double") for c in features])
     key = lambda c: F.col(c).cast("int") if c else F.lit(-1)
-    rows = df.select(F.col(label).cast("double").alias("y"), key(fold).alias("fold"), key(group).alias("grp"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")).persist()
+    rows = df.select(F.col(label).cast("double").alias("y"), key(fold).alias("fold"), key(group).alias("grp"), x.alias("x")).persist()
     for _ in range(steps):
         if not live:
             break
@@ -140,8 +142,16 @@ def fit_fusion(validation: DataFrame, features: list[str], group: str = "pair_id
     scale = standardisation(validation, features)
     rows = grouped_folds(standardised(validation, scale), group, folds, seed).cache()
     models = fit_many(rows, features, {f"{c}|{k}": (c, k, None) for c in C_GRID for k in range(folds)}, fold="fold")
-    pick = lambda c: F.coalesce(*[F.when(F.col("fold") == k, models[f"{c}|{k}"].decision()) for k in range(folds)])
-    scored = rows.withColumns({f"oof_{i}": pick(c) for i, c in enumerate(C_GRID)})
+    by_fold = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("fold"))
+
+    def pick(c):
+        own = [models[f"{c}|{k}"] for k in range(folds)]
+        out = by_fold([m.intercept for m in own])
+        for i, f in enumerate(features):
+            out = out + by_fold([m.coef[i] for m in own]) * F.col(f)
+        return out
+
+    scored = rows.withColumns({f"oof_{i}": pick(c) for i, c in enumerate(C_GRID)}).cache()
     p = lambda i: F.greatest(F.least(1 / (1 + F.exp(-F.col(f"oof_{i}"))), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = scored.agg(*[(-F.avg(F.when(F.col("label") == 1, F.ln(p(i))).otherwise(F.ln(1 - p(i))))).alias(f"l{i}") for i in range(len(C_GRID))]).first()
     losses = {c: loss[f"l{i}"] for i, c in enumerate(C_GRID)}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import bootstrap, fusion, metrics
+from ..operators import bootstrap, fusion, metrics, probe
 from . import views
 from .registry import Registry, rounded
 
@@ -308,17 +308,9 @@ def _(spark, d):
 @q("l9_f11_layer_probe")
 def _(spark, d):
     """AUROC of a logistic probe on each layer (trained on four fifths), best layer first on ties."""
-    names = [f"f{i}" for i in range(16)]
     rows = views.features(spark, d)
-    rows = rows.select("sample_id", "label", "layer", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    held = F.pmod(F.xxhash64("sample_id"), F.lit(5)) == 0
-    scale = rows.filter(~held).groupBy("layer").agg(*[f(n).alias(f"{n}_{k}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    wide = rows.join(F.broadcast(scale), "layer").select("sample_id", "label", "layer", *[((F.col(n) - F.col(f"{n}_m")) / F.col(f"{n}_s")).alias(n) for n in names])
-    models = fusion.fit_many(wide.filter(~held), names, {str(k): (1.0, None, k) for k in range(4)}, group="layer")
-    score = F.coalesce(*[F.when(F.col("layer") == k, models[str(k)].decision()) for k in range(4)])
-    table = metrics.auroc(wide.filter(held).withColumn("score", score), ["layer"])
-    best = metrics.best_by(table, "auroc", "layer").select(F.col("layer").alias("best"))
-    return table.join(F.broadcast(best)).select("layer", "auroc", (F.col("layer") == F.col("best")).alias("is_best"))
+    _, scored = probe.layer_probes(rows, F.pmod(F.xxhash64("sample_id"), F.lit(5)) != 0)
+    return probe.layer_table(scored)
 
 
 @q("l13_g3_formatting_features_auroc")
