@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's ``str.isspace`` has it, as a Java character class.
 WS = r"(?U)[\s\x1c-\x1f]"
@@ -25,13 +26,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS + "+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no builtin."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     """NFKC and full case folding; Spark's ``lower`` isn't folding."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())

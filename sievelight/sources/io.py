@@ -10,14 +10,22 @@ from pyspark.sql import types as T
 
 from ..operators.validate import DataIntegrityError, record_violations, repeated, require_none, run_violations
 
-RAW_PAIR = T.StructType.fromDDL("knowledge string, question string, right_answer string, hallucinated_answer string")
-SAMPLE = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+
+
+def schema_of(text: str) -> T.StructType:
+    """Schema from 'name type, ...'; unlike a DDL parse it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (part.split() for part in text.split(","))])
+
+
+RAW_PAIR = schema_of("knowledge string, question string, right_answer string, hallucinated_answer string")
+SAMPLE = schema_of(
     "sample_id string, pair_id string, split string, language string, question string, knowledge string, answer string, label int, answer_length_chars int, answer_length_tokens int, match_id string"
 )
-RECORD = T.StructType.fromDDL(
+RECORD = schema_of(
     "sample_id string, split string, detector string, variant string, score double, config_hash string, prompt_version string, pred_label int, latency_s double, n_generations long, n_generated_tokens long, peak_gpu_mem_mb double, extra string"
 )
-META = T.StructType.fromDDL(
+META = schema_of(
     "detector string, variant string, split string, config_hash string, prompt_version string, n_records long, threshold double, threshold_source string, description string, created_utc string, schema_version string, extra string"
 )
 SCHEMA_VERSION = "1"
@@ -125,7 +133,7 @@ def append_features(rows: DataFrame, path: str) -> None:
 def content_hash(spark: SparkSession, path: str) -> str:
     """SHA-256 over a file's text with CRLF read as LF."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("\r\n"), F.lit("\n"))
+    text = F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n"))
     return files.select(F.sha2(text, 256).alias("h")).first().h
 
 
