@@ -51,7 +51,8 @@ RULES = (
 VERSION = "2"
 
 SPAN = "struct<kind:int,start:int,end:int>"
-LEDGER = T.StructType.fromDDL(f"blob string, rule_version string, spans array<{SPAN}>")
+_SPAN_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end")])
+LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN_TYPE))])
 
 
 def _located(steps: Column, kind: int, least: int) -> Column:
