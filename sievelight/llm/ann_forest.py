@@ -82,7 +82,8 @@ class Block:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         unit = (vectors / norms[:, None]).astype(np.float32)
         asked = hash_strings(unit, self.planes)
-        wanted = max(4 * (k + 1), share * n)
+        # on average 2(k + 1) entries of each tree, so some tree alone holds more than k others
+        wanted = max(2 * (k + 1) * len(self.keys), share * n)
         trees = range(len(self.keys))
         low = np.zeros((len(trees), len(ids)), np.int64)
         high = np.full_like(low, n)
