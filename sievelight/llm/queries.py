@@ -74,4 +74,59 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _secret_sql() -> str:
+    """Base and added spans by cutting texts at matches."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.base} AS base, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g FROM t"
+        for k, r in enumerate(secret_ledger.RULES)
+    )
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds AS ({kinds}),
+  hits AS (SELECT doc_id, k, kind, base, least, gaps, m, g, unnest(range(1, len(m) + 1)) AS i FROM kinds WHERE len(m) > 0),
+  spans AS (SELECT doc_id, k, kind, base, ({size.format('gaps[1:i]')} + {size.format('m[1:i - 1]')})::BIGINT AS s, length(m[i]) AS n FROM hits WHERE length(g[i]) >= least),
+  lists AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) FILTER (base) AS base,
+    count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex FROM spans GROUP BY 1)
+  SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN lists USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    ordered = sorted(url_rules.RULES, key=lambda r: -len(r.text))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda what: " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in ordered)
+    return f"""WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+  SELECT page_id, host, path, CASE {case(lambda r: r.text)} END AS rule, CASE {case(lambda r: r.verdict)} ELSE '{url_rules.DEFAULT}' END AS verdict FROM p"""
+
+
+def _chat_sql() -> str:
+    start, sep, end = (len(x) for x in (chat_format.START, chat_format.SEP, chat_format.END))
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}')),
+  b AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS opens FROM t)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(replace(text, '<|', '<||')) + CASE WHEN opens THEN {start + 1 + end} + length(replace(role, '<|', '<||')) ELSE {sep} END)::BIGINT AS formatted_chars FROM b GROUP BY 1"""
+
+
+def _decontamination_sql() -> str:
+    words = lambda: "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {words()} AS ws FROM documents), i AS (SELECT item_id, {words()} AS ws FROM benchmark),
+  windows AS (SELECT DISTINCT item_id, ws[pos:pos + 9] AS words FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS pos FROM i WHERE len(ws) > 0)),
+  sizes AS (SELECT DISTINCT len(words) AS n FROM windows),
+  grams AS (SELECT doc_id, n, pos, ws[pos:pos + n - 1] AS words FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM d, sizes WHERE len(ws) >= n)),
+  hits AS (SELECT DISTINCT doc_id, pos, n, item_id FROM grams JOIN windows USING (words)),
+  covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, pos + unnest(range(n)) AS p FROM hits) GROUP BY 1),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+#: The forest, the fitted models, the tokenizer and SimHash have no SQL form; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_ledger": _secret_sql(),
+    "op3_url_rules": _url_sql(),
+    "op4_chat_format": _chat_sql(),
+    "op8_decontamination": _decontamination_sql(),
+}
