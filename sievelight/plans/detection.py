@@ -34,7 +34,7 @@ def _area(score: str, source: str, where: str = "true") -> str:
 
 
 def _candidates(score: str, source: str, where: str) -> str:
-    return f"""SELECT CASE WHEN lone THEN s ELSE (s + nxt) / 2 END AS threshold, (CASE WHEN lone THEN allp ELSE allp - cp END) AS tp, (CASE WHEN lone THEN alln ELSE alln - cn END) AS fp, (CASE WHEN lone THEN 0 ELSE cp END) AS fn, (CASE WHEN lone THEN 0 ELSE cn END) AS tn FROM
+    return f"""SELECT CASE WHEN lone THEN s ELSE (s + nxt) / 2 END AS threshold, (CASE WHEN lone THEN allp ELSE allp - cp END)::BIGINT AS tp, (CASE WHEN lone THEN alln ELSE alln - cn END)::BIGINT AS fp, (CASE WHEN lone THEN 0 ELSE cp END)::BIGINT AS fn, (CASE WHEN lone THEN 0 ELSE cn END)::BIGINT AS tn FROM
       (SELECT s, lead(s) OVER (ORDER BY s) AS nxt, sum(pos) OVER (ORDER BY s) AS cp, sum(neg) OVER (ORDER BY s) AS cn, sum(pos) OVER () AS allp, sum(neg) OVER () AS alln, count(*) OVER () = 1 AS lone FROM
       (SELECT {score}::DOUBLE AS s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM {source} WHERE {where} GROUP BY 1)) WHERE nxt IS NOT NULL OR lone"""
 
@@ -85,7 +85,7 @@ def _predicted(s, threshold=AT_A, score="score_a"):
 _PRED = f"scored AS (SELECT *, (score_a >= {AT_A})::INTEGER AS pred FROM samples)"
 
 
-@q("e1_metrics_null", sql("samples", f"SELECT length, {_RATES} FROM (SELECT length, {_COUNT} FROM scored GROUP BY 1)", _PRED))
+@q("e1_metrics_null", sql("samples", f"SELECT length::INTEGER AS length, {_RATES} FROM (SELECT length, {_COUNT} FROM scored GROUP BY 1)", _PRED))
 def _(spark, d):
     return metrics.metrics(_predicted(S(spark, d)), ["length"]).withColumns(rounded(*_RATE_NAMES))
 
