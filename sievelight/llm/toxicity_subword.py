@@ -2,7 +2,8 @@
 
 A word's vector is the mean of the embeddings of its character n-grams and of
 itself (hashed buckets); a window's vector is the mean of its words' vectors; a
-two-class linear softmax reads it. Embeddings and softmax are trained jointly.
+two-class linear softmax reads it. Embeddings and softmax are trained jointly,
+starting from how much more often toxic than clean documents hold an n-gram.
 A document scores as its most toxic window, so one insult counts the same in a
 short text and in a very long one, and misspellings share the n-grams of the
 words they distort.
@@ -34,6 +35,10 @@ from .common import bucket_of_id
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 3
 #: Bounds of the labelled sample: documents of label 0 and of label 1, bytes of a document.
 SAMPLE, SAMPLE_BYTES = (3000, 1000), 8192
+#: Documents that a bucket must occur in to be learnt; deviations taken off its evidence; scale of the start.
+MIN_DOCS, CAUTION, GAIN = 3, 1.5, 8.0
+#: Share of toxic weight that stands for misspellings, and the part of the score that those keep.
+DISTORTED, KEPT = 0.1, 0.4
 #: Words a worker remembers before it starts afresh.
 CACHE = 400_000
 
@@ -90,15 +95,42 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(top, -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 50, rate: float = 0.05, seed: int = 7) -> Model:
-    """Fit embeddings and softmax jointly by Adam; each document teaches through its
-    currently highest window (and clean documents also through an average window)."""
+def evidence(seen: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-odds of a bucket between toxic and clean documents, less its uncertainty.
+
+    ``seen[c]`` counts the documents of label c that hold a bucket. What few
+    documents have seen starts at zero, so a rare word can't pass for an insult.
+    """
+    there, gone = seen + 0.5, totals[:, None] - seen + 0.5
+    odds = np.log(there[1] / gone[1]) - np.log(there[0] / gone[0])
+    spread = np.sqrt((1 / there + 1 / gone).sum(axis=0))
+    return np.sign(odds) * np.maximum(0, np.abs(odds) - CAUTION * spread)
+
+
+def threshold_bias(best: np.ndarray, y: np.ndarray) -> float:
+    """Bias of least log loss for the documents' highest windows.
+
+    A share ``DISTORTED`` of each toxic document's weight counts as a misspelling
+    that keeps the part ``KEPT`` of its score, so the bias leaves room for those.
+    """
+    toxic, clean = best[y == 1], best[y == 0]
+    places = np.linspace(best.min(), best.max(), 512)
+    loss = [
+        (1 - DISTORTED) * np.logaddexp(0, t - toxic).sum() + DISTORTED * np.logaddexp(0, t - KEPT * toxic).sum() + np.logaddexp(0, clean - t).sum()
+        for t in places
+    ]
+    return -float(places[int(np.argmin(loss))])
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.02, seed: int = 7) -> Model:
+    """Fit embeddings and softmax jointly by Adam from a start at :func:`evidence`;
+    each document teaches through its currently highest window."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in _WORD.findall(t.lower())] or [vocab.setdefault("", len(vocab))]) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in _WORD.findall(t.lower())] or [vocab.setdefault("", len(vocab))], np.int32) for t in texts]
     packed, counts = array("i"), array("i")
     for w in vocab:
         f = features(w)
@@ -107,51 +139,60 @@ def train(texts: list[str], labels: list[int], epochs: int = 50, rate: float = 0
     del vocab
     flat, sizes = np.array(packed, np.int32), np.array(counts, np.int32)
     del packed, counts
-    bounds = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ends = np.cumsum(sizes)
+    seen = np.zeros((2, BUCKETS))
+    for words, label in zip(docs, labels):
+        words = np.unique(words)
+        n = sizes[words]
+        slots = np.arange(n.sum()) + np.repeat(ends[words] - np.cumsum(n), n)
+        seen[label][np.unique(flat[slots])] += 1
+    known = seen.sum(axis=0) >= MIN_DOCS
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    kept = known[flat]
+    flat, word_of = flat[kept], word_of[kept]
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, DIM).astype(np.float32)
-    bias = -1.0
-    state = [[np.zeros_like(emb), np.zeros_like(emb)], [np.zeros_like(soft), np.zeros_like(soft)], [0.0, 0.0]]
+    start = GAIN * np.where(known, evidence(seen, np.array([(y == 0).sum(), (y == 1).sum()])), 0)
+    emb = (np.outer(start, soft / (soft @ soft)) + rng.normal(0, 0.01, (BUCKETS, DIM)) * known[:, None]).astype(np.float32)
+    del seen
     lens = np.array([len(d) for d in docs])
     tokens = np.concatenate(docs)
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     spans = np.minimum(lens, WINDOW)
-    places = [np.arange(s, s + n - k + 1) for s, n, k in zip(starts, lens, spans)]
-    heads, place_starts = np.concatenate(places), np.concatenate([[0], np.cumsum([len(p) for p in places])[:-1]])
-    place_span = np.repeat(spans, [len(p) for p in places])
-    for step in range(1, epochs + 1):
-        logit_bucket = emb @ soft
-        word_score = np.add.reduceat(logit_bucket[flat], bounds) / sizes
+    places = lens - spans + 1
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), places)
+    place_starts = np.cumsum(places) - places
+    heads = np.arange(len(owner)) + (np.cumsum(lens) - lens - place_starts)[owner]
+    place_span = spans[owner]
+
+    def highest():
+        """Mean of each document's highest window, and the first token of it."""
+        word_score = np.bincount(word_of, (emb @ soft)[flat], len(sizes)) / sizes
         run = np.concatenate([[0.0], np.cumsum(word_score[tokens])])
         mean = (run[heads + place_span] - run[heads]) / place_span
         best = np.maximum.reduceat(mean, place_starts)
-        is_best = mean == np.repeat(best, np.diff(np.append(place_starts, len(mean))))
-        at = np.full(len(docs), -1)
-        owner_doc = np.repeat(np.arange(len(docs)), np.diff(np.append(place_starts, len(mean))))
-        at[owner_doc[is_best][::-1]] = heads[is_best][::-1]
-        p = 1 / (1 + np.exp(-np.clip(best + bias, -30, 30)))
-        error = (p - y) / len(y)
-        token_grad = np.zeros(len(tokens) + 1)
-        np.add.at(token_grad, at, error / spans)
-        np.add.at(token_grad, at + spans, -error / spans)
+        hits = np.flatnonzero(mean == best[owner])
+        at = np.zeros(len(docs), np.int64)
+        at[owner[hits][::-1]] = heads[hits][::-1]
+        return best, at
+
+    best, at = highest()
+    bias = threshold_bias(best, y)
+    state = [[np.zeros_like(emb), np.zeros_like(emb)], [np.zeros_like(soft), np.zeros_like(soft)], [0.0, 0.0]]
+    for step in range(1, epochs + 1):
+        error = (1 / (1 + np.exp(-np.clip(best + bias, -30, 30))) - y) / len(y)
+        token_grad = np.bincount(at, error / spans, len(tokens) + 1) - np.bincount(at + spans, error / spans, len(tokens) + 1)
         word_grad = np.bincount(tokens, np.cumsum(token_grad)[:-1], len(sizes))
-        bucket_grad = np.bincount(flat, np.repeat((word_grad / sizes).astype(np.float32), sizes), BUCKETS).astype(np.float32)
-        grads = [np.outer(bucket_grad, soft), emb.T @ bucket_grad, float(error.sum())]
-        grads[0] += 1e-6 * emb
+        bucket_grad = np.bincount(flat, (word_grad / sizes)[word_of], BUCKETS).astype(np.float32)
+        grads = [np.outer(bucket_grad, soft) + np.float32(1e-6) * emb, emb.T @ bucket_grad, float(error.sum())]
+        moves = []
         for k, (g, (m, v)) in enumerate(zip(grads, state)):
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             state[k] = [m, v]
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            if k == 0:
-                emb = emb - move
-            elif k == 1:
-                soft = soft - move
-            else:
-                bias -= move
-    touched = np.bincount(flat, minlength=BUCKETS) > 0
-    return Model(np.where(touched, emb @ soft, 0), float(bias))
+            moves.append(rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
+        emb, soft, bias = emb - moves[0], soft - moves[1], bias - moves[2]
+        best, at = highest()
+    return Model(np.where(known, emb @ soft, 0), threshold_bias(best, y))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, sample: tuple[int, int], sample_bytes: int) -> DataFrame:

@@ -147,7 +147,6 @@ def test_quality_gradients_are_the_slope():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
-@pytest.mark.xfail(reason="open: with few examples, training overfits and flags some clean texts (see README)", strict=False)
 def test_toxicity_learns_from_few_examples():
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
