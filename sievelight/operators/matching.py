@@ -16,7 +16,7 @@ def caliper_edges(rows: DataFrame, caliper: int = 5) -> DataFrame:
 
     A bucketed equi-join: lengths fall into buckets of caliper + 1, one side also
     looks into both neighbours. The result itself has all such edges; use
-    :func:`greedy_matches` or :func:`optimal_matches` where these are too many.
+    :func:`greedy_length_matches` or :func:`optimal_matches` where these are too many.
     """
     width = caliper + 1
     b = F.floor(F.col("length") / width)
@@ -92,27 +92,81 @@ def optimal_matches(rows: DataFrame, delta: int = 1) -> DataFrame:
     return cut.groupBy("island").applyInPandas(solve, "id0 string, id1 string, gap int")
 
 
-def greedy_matches(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def greedy_matches(edges: DataFrame) -> DataFrame:
     """Greedy one-to-one matches of (id0, id1, gap) edges in the order (gap, id0, id1).
 
     In each round every edge that is the first of both its ends is taken and the
-    ends' other edges go; that gives what taking edges one by one gives. Rounds
-    are cut by checkpoints.
+    ends' other edges go, until no edge is left; that gives what taking edges one by
+    one gives. Rounds are cut by checkpoints. Where many ends share their edges a
+    round may take a single one: for lengths use :func:`greedy_length_matches`.
     """
     left = edges.select("id0", "id1", "gap")
-    taken = None
-    for _ in range(most_rounds):
+    taken, rounds = None, 0
+    while True:
         key = F.struct("gap", "id0", "id1")
         first0 = left.groupBy("id0").agg(F.min(key).alias("k")).select("k")
         first1 = left.groupBy("id1").agg(F.min(key).alias("k")).select("k")
         now = first0.join(first1, "k").select("k.id0", "k.id1", "k.gap").checkpoint()
         if now.isEmpty():
             break
-        taken = now if taken is None else taken.unionByName(now)
+        taken, rounds = now if taken is None else taken.unionByName(now), rounds + 1
+        if rounds % 50 == 0:  # keeps the plan short
+            taken = taken.checkpoint()
         left = left.join(now.select("id0"), "id0", "left_anti").join(now.select("id1"), "id1", "left_anti").checkpoint()
     return taken if taken is not None else left
 
 
+def greedy_length_matches(rows: DataFrame, caliper: int = 5) -> DataFrame:
+    """What :func:`greedy_matches` gives for :func:`caliper_edges`, without the edges.
+    Ids are unique; rows without length or label are left out, as they have no edge.
+
+    Edges come gap by gap. Rows of one length are matched in id order, so gap 0 is
+    a join by number within label and length, which leaves one label at each length.
+    At a larger gap each factual row in id order takes the lower of the first free
+    ids at the two lengths that far away; that is sequential within a chain of
+    lengths of alternating label, which is read by one task.
+    """
+    nth = F.row_number().over(Window.partitionBy("label", "length").orderBy("sample_id"))
+    numbered = rows.filter("length is not null").select("sample_id", "label", "length", nth.alias("nth"))
+    side = lambda y: numbered.filter(F.col("label") == y).select(F.col("sample_id").alias(f"id{y}"), "length", "nth")
+    both = side(0).join(side(1), ["length", "nth"], "full").checkpoint()
+    taken = both.filter("id0 is not null and id1 is not null").select("id0", "id1", F.lit(0).alias("gap"))
+    left = both.filter("id0 is null or id1 is null").select(F.coalesce("id0", "id1").alias("sample_id"), F.col("id0").isNull().cast("int").alias("label"), "length")
+    for gap in range(1, caliper + 1):
+        now = _chains(left, gap).groupBy("rest", "chain").applyInPandas(_taker(gap), "id0 string, id1 string, gap int").checkpoint()
+        taken = taken.unionByName(now)
+        if gap < caliper:
+            used = now.select(F.explode(F.array("id0", "id1")).alias("sample_id"))
+            left = left.join(used, "sample_id", "left_anti").checkpoint()
+    return taken
+
+
+def _taker(gap: int):
+    """Matches of a chain's rows at ``gap``, factual rows in id order."""
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        free = {n: sorted(ids, reverse=True) for n, ids in pdf[pdf["label"] == 1].groupby("length")["sample_id"]}
+        out = []
+        for i, n in sorted(pdf[pdf["label"] == 0][["sample_id", "length"]].itertuples(index=False, name=None)):
+            ends = [free[m] for m in (n - gap, n + gap) if free.get(m)]
+            if ends:
+                out.append((i, min(ends, key=lambda ids: ids[-1]).pop(), gap))
+        return pd.DataFrame(out, columns=["id0", "id1", "gap"])
+
+    return take
+
+
+def _chains(rows: DataFrame, gap: int) -> DataFrame:
+    """Rows of lengths that can match at ``gap``, with ``rest`` and ``chain``: lengths chain
+    while the next one is ``gap`` away and has the other label. A length has one label."""
+    lengths = rows.select("length", "label").distinct().withColumn("rest", F.pmod(F.col("length"), F.lit(gap)))
+    w = Window.partitionBy("rest").orderBy("length")
+    linked = (F.col("length") - F.lag("length").over(w) == gap) & (F.col("label") != F.lag("label").over(w))
+    marked = lengths.withColumn("_new", F.when(linked, 0).otherwise(1)).withColumn("chain", F.sum("_new").over(w))
+    some = F.count("*").over(Window.partitionBy("rest", "chain")) > 1
+    return rows.join(F.broadcast(marked.withColumn("_some", some).filter("_some").select("length", "rest", "chain")), "length")
+
+
 def nearest_greedy(rows: DataFrame) -> DataFrame:
     """Each factual row in id order takes the nearest free hallucinated length (ties: lower id).
 

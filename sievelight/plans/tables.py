@@ -236,7 +236,7 @@ def _(spark, d):
     from ..sources.shared import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return matching.greedy_matches(matching.caliper_edges(T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length"), 5))
+    return matching.greedy_length_matches(T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length"), 5)
 
 
 @q("d12_nearest_greedy")

@@ -174,3 +174,41 @@ def test_optimal_and_greedy_matches(spark):
                 greedy.add((i, j))
         if edges:
             assert {(r.id0, r.id1) for r in matching.greedy_matches(matching.caliper_edges(df, 3)).collect()} == greedy
+
+
+def in_order(edges):
+    used, out = set(), set()
+    for g, i, j in sorted(edges):
+        if i not in used and j not in used:
+            used |= {i, j}
+            out.add((i, j, g))
+    return out
+
+
+def test_greedy_length_matches_of_crowded_lengths(spark):
+    ensure_checkpoint_dir(spark)
+    rng = random.Random(5)
+    for most, share in ((4, 0.4), (25, 0.7)):
+        rows = [(f"s{i}", int(rng.random() < share), rng.randint(1, most)) for i in range(120)]
+        rows += [("none", 0, None)]
+        df = spark.createDataFrame(rows, "sample_id string, label int, length int")
+        got = matching.greedy_length_matches(df, 3).collect()
+        edges = [(r.gap, r.id0, r.id1) for r in matching.caliper_edges(df, 3).collect()]
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == in_order(edges)
+
+
+def test_greedy_query_has_no_most_matches(spark, tmp_path):
+    from sievelight.plans import catalog
+
+    n = 1100
+    docs = [(i, "x" * 40 if i < 2 * n else "x" * 41, "en", "s") for i in range(2 * n + 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, *_ in docs], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert catalog.QUERIES["d11_greedy_matches"](spark, str(tmp_path)).count() == n + 1
+
+
+def test_greedy_matches_equal_the_order_of_edges(spark):
+    ensure_checkpoint_dir(spark)
+    edges = [(0, f"a{i:02d}", f"b{j:02d}") for i in range(12) for j in range(12)]
+    df = spark.createDataFrame(edges, "gap int, id0 string, id1 string")
+    assert {tuple(r) for r in matching.greedy_matches(df).collect()} == {(i, j, g) for i, j, g in in_order(edges)}
