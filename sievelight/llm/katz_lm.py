@@ -9,8 +9,8 @@ Probability of a token w after h, evaluated recursively:
 
 with Good-Turing discounts d up to TOP and alpha(h) = (1 - seen mass of h) /
 (1 - P of the words seen after h), so that every history sums to one exactly. A
-history whose discounts leave nothing gives up 1 / (c(h) + 1). Bigrams seen fewer
-than MIN_COUNT times count as unseen, as is usual for Katz models.
+history whose discounts leave nothing gives up 1 / (c(h) + 1). MIN_COUNT is 1: every
+training bigram is stored and scored, singletons by their Good-Turing discount.
 
 Counting and look-up are one exchange. Documents are packed into blocks of token
 numbers, stored in a table bucketed by block. A block sends its distinct keys
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, bucket_of_id, new_path, partitions
 
 #: Least count of a stored bigram, and the count up to which Good-Turing discounts.
-MIN_COUNT, TOP = 2, 5
+MIN_COUNT, TOP = 1, 5
 #: Bytes of text in a block, and tokens for each key range.
 BLOCK_BYTES, RANGE_TOKENS = 12 << 20, 2_000_000
 
@@ -67,6 +67,11 @@ def expand(packed: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype)[:, 0] if len(raw) else np.zeros(0, dtype)
 
 
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as steps from one to the next; their running sum gives them back."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64-bit keys of (history, word) hashes."""
     x = history * np.uint64(0x9E3779B97F4A7C15) ^ (word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
@@ -179,7 +184,7 @@ def _merge_counts(kind: str, least: int):
         answer = (np.where(total >= least, total, 0)[at] * 2 + (first[at] == np.arange(len(every)))).astype(np.uint32)
         stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()]
         kept = total >= least
-        rows = [(f"{kind}_model", None, key[0], distinct[kept].tobytes(), squeeze(total[kept].astype(np.uint32)), stats)]
+        rows = [(f"{kind}_model", None, key[0], squeeze(gaps(distinct[kept])), squeeze(total[kept].astype(np.uint32)), stats)]
         for block, a, b in zip(pdf["block"], np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             rows.append((kind, int(block), key[0], None, squeeze(answer[a:b]), None))
         return _frame(rows, REPLY)
@@ -197,7 +202,7 @@ def _merge_sums(kind: str):
         sizes = [len(k) for k in keys]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, values.real, len(distinct)) + 1j * np.bincount(at, values.imag, len(distinct))
-        rows = [(f"{kind}_model", None, key[0], distinct.tobytes(), squeeze(sums), None)]
+        rows = [(f"{kind}_model", None, key[0], squeeze(gaps(distinct)), squeeze(sums), None)]
         for block, a, b in zip(pdf["block"], np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             rows.append((kind, int(block), key[0], None, squeeze(sums[at[a:b]]), None))
         return _frame(rows, REPLY)
@@ -375,7 +380,7 @@ def _count_of(words: DataFrame, key: int, ranges: int) -> int:
     """Count of one word, from its range's row of the stored model."""
     at = (key >> 40) * ranges >> 24
     for row in words.filter((F.col("kind") == "words_model") & (F.col("range") == at)).select("keys", "data").collect():
-        keys = np.frombuffer(row["keys"], np.uint64)
+        keys = np.cumsum(expand(row["keys"], np.uint64), dtype=np.uint64)
         where = np.searchsorted(keys, np.uint64(key))
         if where < len(keys) and keys[where] == key:
             return int(expand(row["data"], np.uint32)[where])

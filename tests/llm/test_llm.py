@@ -251,6 +251,14 @@ def test_katz_matches_brute_force_and_sums_to_one(spark):
     assert katz_lm.score_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:8]
+    rows = [*zip(train, ["x y q", "z q", "x w", "x w", "y", "z", "w q", "w q"]), *zip(held, ["x y q", "x z q"])]
+    scores = {r.doc_id: r.score for r in katz_lm.score_documents(docs(spark, rows)).collect()}
+    assert scores[held[0]] > scores[held[1]] + 0.1  # x y was seen once, x z never; y and z are alike else
+
+
 def test_simhash_matches_brute_force(spark):
     xxhash = pytest.importorskip("xxhash")
     rng = np.random.default_rng(5)
