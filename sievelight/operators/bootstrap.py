@@ -31,7 +31,7 @@ def pair_table(scored: DataFrame, cluster: str, scores: list[str]) -> DataFrame:
 
 
 def replicate_metrics(wide: DataFrame, weights: DataFrame, score: str, threshold: float) -> DataFrame:
-    """Metrics of each replicate at a fixed threshold: accuracy, f1, pair accuracy, auroc."""
+    """Metrics of each replicate at a fixed threshold: accuracy, precision, recall, f1, pair accuracy, auroc."""
     rows = weights.join(wide.select("cluster_no", F.col(f"{score}_0").alias("s0"), F.col(f"{score}_1").alias("s1")), "cluster_no")
     m = F.col("mult")
     up = lambda c: (F.col(c) >= threshold).cast("int")
@@ -46,10 +46,12 @@ def replicate_metrics(wide: DataFrame, weights: DataFrame, score: str, threshold
     area = ranked.groupBy("rep").agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc")
     )
-    return rates(counts, "tp").join(area, "rep").select("rep", "auroc", "accuracy", "f1", "pair_accuracy")
+    return rates(counts, "tp").join(area, "rep").select("rep", "auroc", "accuracy", "precision", "recall", "f1", "pair_accuracy")
 
 
 METRICS = ("auroc", "accuracy", "f1", "pair_accuracy")
+#: Also those of the evaluator's own intervals.
+ALL_METRICS = ("auroc", "accuracy", "precision", "recall", "f1", "pair_accuracy")
 
 
 def intervals(reps: DataFrame, metrics: tuple[str, ...] = METRICS, level: float = 0.95) -> DataFrame:

@@ -222,7 +222,8 @@ def _(spark, d):
 
 
 # --- bootstrap and comparison ---------------------------------------------------------------
-REPLICATES = 50
+#: Replicates of the queries that SQL repeats, and of the whole job.
+REPLICATES, FULL_REPLICATES = 50, 1000
 
 
 def _boot_sql(score: str, at: float, name: str) -> str:
@@ -258,6 +259,19 @@ def _(spark, d):
     return out.withColumns({n: F.round(n, 9) for n in ("low", "high")})
 
 
+@q("k1_k2_k4_bootstrap_ci_1000")
+def _(spark, d):
+    """Intervals of all metrics over as many replicates as the reference draws."""
+    return bootstrap.intervals(_replicates(spark, d, FULL_REPLICATES)[1], bootstrap.ALL_METRICS).withColumns({n: F.round(n, 9) for n in ("low", "high")})
+
+
+@q("k3_k7_k8_paired_difference_1000")
+def _(spark, d):
+    """Paired differences of all metrics over as many replicates as the reference draws."""
+    out = bootstrap.paired_difference(*_replicates(spark, d, FULL_REPLICATES), bootstrap.ALL_METRICS).withColumn("verdict", bootstrap.verdict(F.col("low"), F.col("high")))
+    return out.withColumns({n: F.round(n, 9) for n in ("low", "high")})
+
+
 _CORRECT = f"correct AS (SELECT sample_id, unnest(['a', 'b', 'c']) AS detector, unnest([((score_a >= {AT_A})::INTEGER = label)::INTEGER, ((score_b >= {AT_B})::INTEGER = label)::INTEGER, ((length >= 8)::INTEGER = label)::INTEGER]) AS correct FROM samples WHERE split = 'test')"
 
 

@@ -131,3 +131,28 @@ def test_ks(spark):
 def test_average_rank(spark):
     rows = spark.createDataFrame([(v,) for v in (5.0, 1.0, 5.0, 9.0)], "v double")
     assert sorted((r.v, r["rank"]) for r in stats.average_rank(rows, "v").collect()) == [(1.0, 1.0), (5.0, 2.5), (5.0, 2.5), (9.0, 4.0)]
+
+
+def test_bootstrap_queries_draw_a_thousand_replicates(spark):
+    import hashlib
+
+    from sievelight.plans import catalog, detection, views
+
+    d = "/root/testdata/sf0.001"
+    test = views.samples(spark, d).filter("split = 'test'").select("pair_id", "label", "score_a", "score_b").collect()
+    no = {p: i for i, p in enumerate(sorted({r.pair_id for r in test}))}
+    cell = np.zeros((2, len(no), 4))  # detector, pair: tp, fp, fn, tn
+    for r in test:
+        for k, up in enumerate((r.score_a >= detection.AT_A, r.score_b >= detection.AT_B)):
+            cell[k, no[r.pair_id], (0 if up else 2) if r.label else (1 if up else 3)] += 1
+    draw = lambda rep, i: int(hashlib.sha256(f"42:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(no)
+    sums = np.array([cell[:, [draw(rep, i) for i in range(len(no))]].sum(1) for rep in range(1000)])
+    with np.errstate(all="ignore"):
+        value = {"precision": sums[..., 0] / (sums[..., 0] + sums[..., 1]), "recall": sums[..., 0] / (sums[..., 0] + sums[..., 2]), "accuracy": (sums[..., 0] + sums[..., 3]) / sums.sum(-1)}
+    one = {r.metric: r for r in catalog.QUERIES["k1_k2_k4_bootstrap_ci_1000"](spark, d).collect()}
+    two = {r.metric: r for r in catalog.QUERIES["k3_k7_k8_paired_difference_1000"](spark, d).collect()}
+    assert set(one) == set(two) == {"auroc", "accuracy", "precision", "recall", "f1", "pair_accuracy"}
+    for name, v in value.items():
+        assert one[name].n_reps == np.isfinite(v[:, 1]).sum() > 900
+        assert [one[name].low, one[name].high] == pytest.approx(np.nanpercentile(v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
+        assert [two[name].low, two[name].high] == pytest.approx(np.nanpercentile(v[:, 0] - v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
