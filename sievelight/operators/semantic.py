@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,14 @@ def grouped_generations(rows: DataFrame, prompt: str, order: str, answer: str, k
     listed = rows.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct(order, answer))).alias("_l"))
     texts = F.transform("_l", lambda x: x[answer])
     return listed.filter(F.size("_l") > k).select(prompt, F.slice(texts, 1, k).alias("answers"), F.get(texts, F.lit(k)).alias("candidate"))
+
+
+def consecutive_generations(rows: DataFrame, prompt: str, order: str, answer: str, k: int = 10) -> DataFrame:
+    """All rows of each prompt, in order, as consecutive groups (``group_no`` from 0) of k
+    answers and a candidate. A last group of fewer rows has up to k answers, no candidate
+    and is not ``complete``."""
+    n = F.row_number().over(Window.partitionBy(prompt).orderBy(order)) - 1
+    cut = rows.select(prompt, F.struct(n.alias("n"), F.col(answer).alias("a")).alias("_x")).withColumn("group_no", F.floor(F.col("_x.n") / (k + 1)))
+    listed = cut.groupBy(prompt, "group_no").agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    texts = F.transform("_l", lambda x: x["a"])
+    return listed.select(prompt, "group_no", F.slice(texts, 1, k).alias("answers"), F.get(texts, F.lit(k)).alias("candidate"), (F.size("_l") > k).alias("complete"))

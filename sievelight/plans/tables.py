@@ -381,6 +381,29 @@ def _(spark, d):
     return views.generations(spark, d).select("user_id", *[c.alias(n) for n, c in parts.items()])
 
 
+_GROUP_SHARES = "e AS (SELECT user_id, group_no, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM generation_groups)"
+
+
+@q("e23_e24_e25_entropy_all_rows", sql("generation_groups", "SELECT user_id, group_no, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) AS normalized FROM e", _GROUP_SHARES))
+def _(spark, d):
+    ids = F.col("ids")
+    rows = views.generation_groups(spark, d).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: text.normalized_answer(a) == text.normalized_answer(b)))
+    out = rows.select("user_id", "group_no", F.size(F.array_distinct(ids)).alias("clusters"), semantic.entropy(ids).alias("entropy"), semantic.normalized_entropy(ids).alias("normalized"))
+    return out.withColumns(rounded("entropy", "normalized"))
+
+
+@q("l3_first_fit_clusters_all_rows", sql("generation_groups", "SELECT user_id, group_no, list_transform(answers, lambda a: list_position(list_filter(answers, lambda x, i: list_position(answers, x) = i), a) - 1)::INTEGER[] AS ids FROM generation_groups"))
+def _(spark, d):
+    return views.generation_groups(spark, d).select("user_id", "group_no", semantic.first_fit(F.col("answers"), lambda a, b: a == b).alias("ids"))
+
+
+@q("l4_l6_candidate_score_all_rows", sql("generation_groups", "SELECT user_id, group_no, CASE WHEN complete THEN len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS probability, CASE WHEN complete THEN 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS score, CASE WHEN complete THEN list_contains(answers, candidate) END AS matched FROM generation_groups"))
+def _(spark, d):
+    """Null where a last short group has no candidate."""
+    parts = semantic.candidate_score(F.col("answers"), F.col("candidate"), lambda a, b: a == b)
+    return views.generation_groups(spark, d).select("user_id", "group_no", *[F.when(F.col("complete"), c).alias(n) for n, c in parts.items()])
+
+
 # --- rank statistics ----------------------------------------------------------------------
 @q("f1_average_rank", sql("samples", "SELECT sample_id, rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2 AS rank FROM samples"))
 def _(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import formatting_features
-from ..operators.semantic import grouped_generations
+from ..operators.semantic import consecutive_generations, grouped_generations
 from ..operators.splits import split_pairs
 
 SEED = 42
@@ -57,6 +57,12 @@ def generations(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return grouped_generations(events, "user_id", "at", "event_type", k)
 
 
+def generation_groups(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """All events of a user in time order, in groups of ten answers and a candidate."""
+    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    return consecutive_generations(events, "user_id", "at", "event_type", k)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as four layers of sixteen features in long form."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -92,10 +98,13 @@ SQL = {
         trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM documents)""",
     "generations": """listed AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
       generations AS (SELECT user_id, l[1:10] AS answers, l[11] AS candidate FROM listed WHERE len(l) > 10)""",
+    "generation_groups": """numbered_events AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+      listed_groups AS (SELECT user_id, n // 11 AS group_no, list(event_type ORDER BY n) AS l FROM numbered_events GROUP BY 1, 2),
+      generation_groups AS (SELECT user_id, group_no, l[1:10] AS answers, l[11] AS candidate, len(l) = 11 AS complete FROM listed_groups)""",
     "raw_pairs": """raw_pairs AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b
         ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')""",
 }
-_NEEDS = {"samples": ["plain", "splits", "samples"], "plain": ["plain"], "text_samples": ["text_samples"], "docs": ["docs"], "generations": ["generations"], "raw_pairs": ["raw_pairs"]}
+_NEEDS = {"samples": ["plain", "splits", "samples"], "plain": ["plain"], "text_samples": ["text_samples"], "docs": ["docs"], "generations": ["generations"], "generation_groups": ["generation_groups"], "raw_pairs": ["raw_pairs"]}
 
 
 def sql(view: str, query: str, *more: str) -> str:
