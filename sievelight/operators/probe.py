@@ -1,11 +1,11 @@
-"""Linear probes over feature vectors, one for each layer, and the choice of the best layer."""
+"""Linear probes: one for each layer of feature vectors with the choice of the best layer, and over named feature sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fusion import Logistic, fit_many
+from .fusion import Logistic, fit_many, standardised
 from .metrics import auroc, best_by
 
 
@@ -45,6 +45,28 @@ def layer_probes(rows: DataFrame, train: Column, c: float = 1.0) -> tuple[dict[i
     return models, ready.filter(~train).withColumn("score", decision(F.col("features"), F.col("layer"), models))
 
 
+def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str, list[str]], c: float = 1.0) -> DataFrame:
+    """(feature, label, score) of the ``test`` rows for a logistic regression on each named
+    set of columns, standardised and fitted on the ``train`` rows; a score of at least 0
+    predicts label 1. A feature that doesn't vary in training is only centred. Sets of one
+    feature are fitted together."""
+    features = sorted({f for s in sets.values() for f in s})
+    row = rows.filter(train).agg(*[g(f).alias(f"{f}__{n}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    ready = standardised(rows, {f: (row[f"{f}__m"] or 0.0, row[f"{f}__s"] or 1.0) for f in features})
+    learnt = ready.filter(train)
+    single = {n: s[0] for n, s in sets.items() if len(s) == 1}
+    models = {}
+    if single:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.array(F.col(f).cast("double")).alias("x")) for i, f in enumerate(single.values())])).alias("e")
+        found = fit_many(learnt.select("label", each).select("label", "e.*"), ["x"], {n: (c, None, i) for i, n in enumerate(single)}, group="grp", vector="x")
+        models = {n: Logistic((f,), found[n].coef, found[n].intercept) for n, f in single.items()}
+    for n, s in sets.items():
+        if n not in models:
+            models[n] = fit_many(learnt, s, {n: (c, None, None)})[n]
+    scores = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), models[n].decision().alias("score")) for n in sets])).alias("e")
+    return ready.filter(test).select("label", scores).select("e.feature", "label", "e.score")
+
+
 def layer_table(scored: DataFrame) -> DataFrame:
     """AUROC of each layer and which is best (the first on ties, null worst)."""
     table = auroc(scored, ["layer"])

@@ -329,10 +329,14 @@ def _(spark, d):
 
 @q("l13_g3_formatting_features_auroc")
 def _(spark, d):
-    """AUROC of each formatting feature alone, directed, best first."""
-    rows = views.formatting(spark, d)
-    long = rows.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("score")) for n in text.FEATURES])).alias("e")).select("label", "e.*")
-    return metrics.auroc(long, ["feature"]).select("feature", F.greatest("auroc", 1 - F.col("auroc")).alias("auroc")).orderBy(F.desc("auroc"), "feature")
+    """Logistic regression on each formatting feature, on all and on all but the counts,
+    fitted on train: AUROC, accuracy, precision, recall and F1 on test, best first."""
+    counts = ("char_count", "word_count")
+    sets = {n: [n] for n in text.FEATURES} | {"formatting_plus_length": list(text.FEATURES), "surface_features_without_explicit_length": [n for n in text.FEATURES if n not in counts]}
+    split = F.col("split")
+    scored = probe.feature_models(views.formatting(spark, d), split == "train", split == "test", sets).cache()
+    rates = metrics.metrics(scored.withColumn("pred", metrics.predicted(F.col("score"), F.lit(0.0))), ["feature"], undefined="zero")
+    return metrics.auroc(scored, ["feature"]).select("feature", "auroc").join(rates.select("feature", "accuracy", "precision", "recall", "f1"), "feature").orderBy(F.desc("auroc"), "feature")
 
 
 @q("l10_l11_l12_fusion")

@@ -156,3 +156,36 @@ def test_bootstrap_queries_draw_a_thousand_replicates(spark):
         assert one[name].n_reps == np.isfinite(v[:, 1]).sum() > 900
         assert [one[name].low, one[name].high] == pytest.approx(np.nanpercentile(v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
         assert [two[name].low, two[name].high] == pytest.approx(np.nanpercentile(v[:, 0] - v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
+
+
+def test_feature_models_learn_on_train_only(spark):
+    from sievelight.operators import probe
+
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 160)
+    train = np.arange(160) < 100
+    u, v = y * 2.0 + rng.normal(size=160), np.where(train, y, 1 - y) * 3.0 + rng.normal(size=160)
+    rows = spark.createDataFrame([(int(a), float(b), float(c), 1.0, bool(t)) for a, b, c, t in zip(y, u, v, train)], "label int, u double, v double, k double, train boolean")
+    sets = {"u": ["u"], "v": ["v"], "k": ["k"], "all": ["u", "v", "k"]}
+    scored = probe.feature_models(rows, F.col("train"), ~F.col("train"), sets)
+    area = {r.feature: r.auroc for r in metrics.auroc(scored, ["feature"]).collect()}
+    assert area["u"] > 0.8 and area["v"] < 0.2 and area["k"] == 0.5
+    x = (np.column_stack([u, v]) - np.column_stack([u, v])[train].mean(0)) / np.column_stack([u, v])[train].std(0)
+    w = np.zeros(3)
+    z = np.column_stack([np.ones(160), x])
+    for _ in range(50):  # plain Newton with the intercept free
+        p = 1 / (1 + np.exp(-z[train] @ w))
+        ridge = np.diag([0.0, 1, 1])
+        w -= np.linalg.solve((z[train].T * (p * (1 - p))) @ z[train] + ridge, z[train].T @ (p - y[train]) + ridge @ w)
+    assert np.allclose(sorted(r.score for r in scored.filter("feature = 'all'").collect()), sorted(z[~train] @ w), atol=1e-5)
+
+
+def test_formatting_query_has_fitted_models_and_rates(spark):
+    from sievelight.functions import text
+    from sievelight.plans import catalog, views
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["l13_g3_formatting_features_auroc"](spark, d).collect()
+    assert {r.feature for r in got} == {*text.FEATURES, "formatting_plus_length", "surface_features_without_explicit_length"}
+    assert all(0 <= r[m] <= 1 for r in got for m in ("auroc", "accuracy", "precision", "recall", "f1"))
+    assert views.formatting(spark, d).filter("split = 'test'").count() > 0
