@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 
 def caliper_edges(rows: DataFrame, caliper: int = 5) -> DataFrame:
     """(id0, id1, gap) for all cross-label rows whose lengths differ by at most ``caliper``.
@@ -196,8 +198,23 @@ def match_violations(matched: DataFrame, delta: int) -> DataFrame:
     return g.filter((F.col("n") != 2) | (F.col("labels") != 2) | (F.col("gap") > delta))
 
 
-def match_summary(matches: DataFrame) -> DataFrame:
-    """Number of matches and their gaps."""
-    return matches.agg(
-        F.count("*").alias("n_matches"), F.avg("gap").alias("mean_gap"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").alias("max_gap"), F.sum("gap").cast("long").alias("total_gap")
-    )
+def match_summary(matches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Number and gaps of (id0, id1, gap) matches, the share of ``rows`` they cover, the
+    lengths and words of both matched classes, and the KS distance of the two lengths.
+
+    ``rows`` have sample_id, label, length and words. Without matches all but counts is null."""
+    names = {0: "factual", 1: "hallucinated"}
+    both = matches
+    for y in names:
+        both = both.join(rows.select(F.col("sample_id").alias(f"id{y}"), F.col("length").alias(f"length{y}"), F.col("words").alias(f"words{y}")), f"id{y}")
+    both = both.cache()
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    spread = lambda c: F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c))
+    values = [F.count("*").alias("n_matches"), F.avg("gap").alias("mean_gap"), median("gap").alias("median_gap"), F.max("gap").alias("max_gap"), F.sum("gap").cast("long").alias("total_gap")]
+    for y, name in names.items():
+        values += [f(f"length{y}").alias(f"{name}_{n}_length") for n, f in (("mean", F.avg), ("median", median), ("std", spread), ("min", F.min), ("max", F.max))]
+        values += [f(f"words{y}").alias(f"{name}_{n}_words") for n, f in (("mean", F.avg), ("median", median))]
+    ends = both.select(F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(f"length{y}").alias("length")) for y in names])).alias("e")).select("e.*")
+    out = both.agg(*values).join(F.broadcast(rows.agg(F.count("*").alias("n_rows")))).join(F.broadcast(stats.ks_statistic(ends, "length", "label", "ks_statistic")))
+    p_value = F.udf(stats.ks_p_value_equal, "double")
+    return out.withColumn("coverage_percent", F.try_divide(200.0 * F.col("n_matches"), F.col("n_rows"))).withColumn("ks_p_value", p_value("n_matches", "ks_statistic"))

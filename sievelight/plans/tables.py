@@ -223,10 +223,10 @@ def _(spark, d):
 
 @q("d10_e20_r20_optimal_matches")
 def _(spark, d):
-    rows = T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length")
+    rows = T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length", text.word_count(F.col("text")).alias("words"))
     out = None
     for delta in (1, 3, 5, 10, 15):
-        one = matching.match_summary(matching.optimal_matches(rows, delta)).withColumn("delta", F.lit(delta))
+        one = matching.match_summary(matching.optimal_matches(rows, delta), rows).withColumn("delta", F.lit(delta))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -237,3 +237,25 @@ def test_queries_of_all_generations_equal_their_sql(spark, name):
     want = sorted(db.execute(catalog.ORACLE_SQL[name]).fetchall(), key=key)
     mine = sorted((tuple(r) for r in got.collect()), key=key)
     assert len(mine) == len(want) and all(list(a[2:]) == pytest.approx(list(b[2:])) if not isinstance(a[2], list) else a == b for a, b in zip(mine, want))
+
+
+def test_match_summary_has_coverage_classes_and_ks(spark):
+    from sievelight.functions import stats
+
+    rows = spark.createDataFrame([("a", 0, 10, 2), ("b", 0, 20, 4), ("c", 1, 11, 3), ("d", 1, 23, 5), ("e", 1, 99, 9)], "sample_id string, label int, length int, words int")
+    matches = spark.createDataFrame([("a", "c", 1), ("b", "d", 3)], "id0 string, id1 string, gap int")
+    r = matching.match_summary(matches, rows).first()
+    assert (r.n_matches, r.total_gap, r.coverage_percent, r.ks_statistic) == (2, 4, 80.0, 0.5)
+    assert (r.factual_mean_length, r.factual_std_length, r.hallucinated_median_length, r.hallucinated_max_length, r.factual_mean_words, r.hallucinated_median_words) == (15.0, pytest.approx(50**0.5), 17.0, 23, 3.0, 4.0)
+    assert r.ks_p_value == pytest.approx(stats.ks_p_value(2, 2, 0.5))
+    for n, k in ((4, 2), (9, 3), (30, 7), (12, 12), (7, 0)):
+        assert stats.ks_p_value_equal(n, k / n) == pytest.approx(stats.ks_p_value(n, n, k / n), abs=1e-9)
+    none = matching.match_summary(matches.limit(0), rows).first()
+    assert (none.n_matches, none.coverage_percent, none.ks_statistic, none.ks_p_value) == (0, 0.0, None, None)
+
+
+def test_optimal_query_has_a_row_for_each_tolerance(spark):
+    from sievelight.plans import catalog
+
+    got = catalog.QUERIES["d10_e20_r20_optimal_matches"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.delta for r in got) == [1, 3, 5, 10, 15] and all(0 <= r.coverage_percent <= 100 for r in got)
