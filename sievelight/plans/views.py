@@ -36,11 +36,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents: low quality is the positive class; split by a hash of the id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.length("text").alias("length"))  # so that texts needn't be moved for their length
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     tenth = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("42"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 10
     split = F.when(tenth == 0, "test").when(tenth == 1, "validation").otherwise("train")
-    return docs.join(labels, "doc_id").select("doc_id", "text", "lang", "source", (1 - F.col("quality")).cast("int").alias("label"), F.length("text").alias("length"), split.alias("split"))
+    return docs.join(labels, "doc_id").select("doc_id", "text", "lang", "source", (1 - F.col("quality")).cast("int").alias("label"), "length", split.alias("split"))
 
 
 def documents_split(spark: SparkSession, sf_dir: str) -> DataFrame:
