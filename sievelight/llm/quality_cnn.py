@@ -2,13 +2,13 @@
 
 Bytes are embedded; filters of eight bytes at every fourth byte slide over the
 whole document; rectified responses are max-pooled within overlapping chunks of
-512 bytes (every 256 bytes), then the chunks' mean and maximum, and how much of a
-chunk the text fills, feed one logistic output. Embedding, filters and output are
+512 bytes (every 256 bytes), then the chunks' mean and maximum feed one logistic
+output. Embedding, filters and output are
 trained together by Adam.
 
 Training is one task over a bounded sample: at most ``SAMPLE`` documents of
-each label, each of at most ``SAMPLE_BYTES`` bytes, taken in order of a hash of
-the id; the output's bias is then moved to the labels' own shares. Scoring
+each label in order of a hash of the id, of a text above ``SAMPLE_CHARS`` some
+stretches spread evenly over the whole; the output's bias is then moved to the labels' own shares. Scoring
 covers every whole text in Arrow batches, a slice of documents at a time.
 
 Defined cases: null text counts as empty, and empty text is one chunk of padding
@@ -32,8 +32,8 @@ from .toxicity_subword import labelled_sample, learnt
 
 #: Embedding size, filters, stride (a filter is two strides wide), bytes of half a chunk.
 DIM, FILTERS, STRIDE, HALF = 8, 16, 4, 256
-#: Bounds of the labelled sample: documents of label 0 and of label 1, bytes of a document.
-SAMPLE, SAMPLE_BYTES = (1000, 1500), 12_288
+#: Bounds of the labelled sample: documents of label 0 and of label 1, characters of a document.
+SAMPLE, SAMPLE_CHARS = (1000, 1500), 12_288
 #: Bytes of text whose responses are held at once.
 SLICE_BYTES = 1 << 19
 PAD = 256
@@ -50,12 +50,6 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, halves
 
 
-def filled(sizes: np.ndarray) -> np.ndarray:
-    """Share of one chunk that a text fills, and its square."""
-    share = np.minimum(sizes, 2 * HALF) / (2 * HALF)
-    return np.stack([share, share * share], axis=1).astype(np.float32)
-
-
 class Network:
     """Parameters and forward pass."""
 
@@ -69,7 +63,7 @@ class Network:
         shapes = {"embed": (PAD + 1, DIM), "near": (wide, FILTERS), "far": (wide, FILTERS)}
         scale = {"embed": 0.5, "near": 0.25, "far": 0.25}
         p = {k: rng.normal(0, scale[k], s).astype(np.float32) for k, s in shapes.items()}
-        p |= {"shift": np.zeros(FILTERS, np.float32), "out": rng.normal(0, 0.2, 2 * FILTERS + 2).astype(np.float32), "bias": np.zeros(1, np.float32)}
+        p |= {"shift": np.zeros(FILTERS, np.float32), "out": rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32), "bias": np.zeros(1, np.float32)}
         return cls(p)
 
     @classmethod
@@ -122,7 +116,7 @@ class Network:
                 first = stop
             begin = end
         _, _, mean, most = self.pooled(np.concatenate(tops), halves)
-        z = np.hstack([mean, most, filled(np.array([len(t) for t in texts]))]) @ self.p["out"] + self.p["bias"]
+        z = np.hstack([mean, most]) @ self.p["out"] + self.p["bias"]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
     def gradients(self, codes: np.ndarray, halves: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -132,7 +126,7 @@ class Network:
         live = top > 0
         top = np.maximum(top, 0)
         chunk, keep, mean, most = self.pooled(top, halves)
-        read = np.hstack([mean, most, filled(np.add.reduceat(codes != PAD, (np.cumsum(halves) - halves) * HALF))])
+        read = np.hstack([mean, most])
         z = read @ self.p["out"] + self.p["bias"]
         error = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
         g = {"out": read.T @ error, "bias": error.sum(keepdims=True)}
@@ -142,7 +136,7 @@ class Network:
         d_chunk = back[doc, :FILTERS] / chunks[doc, None]
         is_most = chunk == most[doc]
         share = np.add.reduceat(is_most.astype(np.float32), np.cumsum(chunks) - chunks)
-        d_chunk += is_most * back[doc, FILTERS : 2 * FILTERS] / share[doc]
+        d_chunk += is_most * back[doc, FILTERS:] / share[doc]
         d_top = np.zeros_like(top)
         lead = np.nonzero(keep)[0]
         follow = np.minimum(lead + (halves[doc] > 1), len(top) - 1)
@@ -189,10 +183,10 @@ def train(texts: list[bytes], labels: list[int], share: float | None = None, epo
     return net
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Network:
     """Network learnt from the labelled rows whose crc32(doc_id) mod 3 is not 1."""
     learnable = bucket_of_id(F.col("label_id"), 3) != 1
-    rows = labelled_sample(docs, labels, "quality", learnable, sample, sample_bytes)
+    rows = labelled_sample(docs, labels, "quality", learnable, sample, sample_chars)
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("q")).filter(learnable & F.col("q").isin(0, 1))
     share = marks.agg(F.avg("q")).first()[0]
     packed = learnt(rows, lambda texts, y: pickle.dumps(train([t.encode() for t in texts], y, share).p))

@@ -1,21 +1,30 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the embeddings of its character n-grams and of
-itself (hashed buckets); a window's vector is the mean of its words' vectors; a
-two-class linear softmax reads it. Embeddings and softmax are trained jointly,
-starting from how much more often toxic than clean documents hold an n-gram.
-A document scores as its most toxic window, so one insult counts the same in a
-short text and in a very long one, and misspellings share the n-grams of the
-words they distort.
-
+A word is a bag: its character n-grams (hashed buckets, with end marks) and itself.
+The bag's vector is the mean of their embeddings, and a two-class linear softmax
+reads it; a document is as toxic as its most toxic bag, so one insult counts the
+same in a short text and in a very long one.
+
+Embeddings and softmax start at random and are trained jointly. While learning, a
+document's logit is the soft maximum (log of the mean of exponentials) over its
+bags, sharpened from near a mean to near a maximum; in every step a random half of
+the words keep only a third of their n-grams, as a misspelling would, so each part
+of an insult must carry it. A bucket's step is its gradient over its number of
+documents (plus ``PRIOR``), which keeps n-grams of every text from swinging and
+those of a single text from passing for an insult.
+
+The settings were chosen by three folds inside the learnable rows (see README).
 Training is one task over a bounded sample: at most ``SAMPLE`` documents of each
-label, each of at most ``SAMPLE_BYTES`` bytes, taken in order of a hash of the id. Scoring covers every whole text in Arrow batches.
+label in order of a hash of the id; of a text above ``SAMPLE_CHARS`` it takes
+``STRETCHES`` stretches spread evenly over the whole text. Scoring covers every
+whole text in Arrow batches.
 
 Defined cases: null or wordless text scores the model's value for no evidence;
 labels other than 0/1, or null, and labels without document are not learnt from;
 a sample without both classes gives the constant share of toxic labels (0 if
-there are no labels); rows with equal doc_id are all scored; extra columns are
-ignored; an empty table gives an empty result.
+there are no labels); rows with equal doc_id are all scored, and of those with
+equal label the least text teaches; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +40,16 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of_id
 
-#: Hash buckets, embedding size, n-gram sizes, and words in a window.
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 3
-#: Bounds of the labelled sample: documents of label 0 and of label 1, bytes of a document.
-SAMPLE, SAMPLE_BYTES = (3000, 1000), 8192
-#: Documents that a bucket must occur in to be learnt; deviations taken off its evidence; scale of the start.
-MIN_DOCS, CAUTION, GAIN = 3, 1.5, 8.0
-#: Share of toxic weight that stands for misspellings, and the part of the score that those keep.
-DISTORTED, KEPT = 0.1, 0.4
+#: Hash buckets, embedding size, n-gram sizes.
+BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
+#: Bounds of the labelled sample: documents of label 0 and of label 1, characters of a document, and the stretches of a longer one.
+SAMPLE, SAMPLE_CHARS, STRETCHES = (3000, 1000), 8192, 8
+#: Documents that a bucket must occur in to be learnt, and those added to its number in a step.
+MIN_DOCS, PRIOR = 3, 50
+#: Sharpness of the soft maximum at the first and at the last step.
+SHARP = (4.0, 16.0)
+#: Share of words thinned in a step, and the part of their n-grams that stays.
+THINNED, STAYS = 0.5, 0.35
 #: Words a worker remembers before it starts afresh.
 CACHE = 400_000
 
@@ -53,12 +64,17 @@ def features(word: str) -> list[int]:
     return [crc32(g.encode()) & mask for g in grams]
 
 
-def windows_of(scores: np.ndarray) -> np.ndarray:
-    """Mean score of every window of WINDOW words (of all words, if fewer)."""
-    if len(scores) <= WINDOW:
-        return np.array([scores.mean()])
-    total = np.concatenate([[0.0], np.cumsum(scores)])
-    return (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+class Bags(dict):
+    """Logit of each word met so far; at most CACHE of them."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[word] = float(self.weights[features(word)].mean())
+        return value
 
 
 class Model:
@@ -75,60 +91,26 @@ class Model:
         values = np.frombuffer(packed, np.float32)
         return cls(values[:-1], float(values[-1]))
 
-    def word(self, word: str) -> float:
-        f = features(word)
-        return float(self.weights[f].mean())
-
-    def score(self, text: str, cache: dict[str, float]) -> float:
-        words = _WORD.findall(text.lower())
-        if not words:
-            return float(1 / (1 + np.exp(-self.bias)))
-        values = []
-        for w in words:
-            v = cache.get(w)
-            if v is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                v = cache[w] = self.word(w)
-            values.append(v)
-        top = windows_of(np.array(values)).max() + self.bias
-        return float(1 / (1 + np.exp(-np.clip(top, -30, 30))))
-
-
-def evidence(seen: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Log-odds of a bucket between toxic and clean documents, less its uncertainty.
-
-    ``seen[c]`` counts the documents of label c that hold a bucket. What few
-    documents have seen starts at zero, so a rare word can't pass for an insult.
-    """
-    there, gone = seen + 0.5, totals[:, None] - seen + 0.5
-    odds = np.log(there[1] / gone[1]) - np.log(there[0] / gone[0])
-    spread = np.sqrt((1 / there + 1 / gone).sum(axis=0))
-    return np.sign(odds) * np.maximum(0, np.abs(odds) - CAUTION * spread)
-
+    def score(self, text: str, bags: Bags) -> float:
+        words = set(_WORD.findall(text.lower()))
+        top = max(map(bags.__getitem__, words)) if words else 0.0
+        return float(1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30))))
 
-def threshold_bias(best: np.ndarray, y: np.ndarray) -> float:
-    """Bias of least log loss for the documents' highest windows.
 
-    A share ``DISTORTED`` of each toxic document's weight counts as a misspelling
-    that keeps the part ``KEPT`` of its score, so the bias leaves room for those.
-    """
+def least_loss_bias(best: np.ndarray, y: np.ndarray) -> float:
+    """Bias of least log loss for documents whose highest bags are ``best``."""
+    places = np.linspace(-best.max() - 1, -best.min() + 1, 1024)
     toxic, clean = best[y == 1], best[y == 0]
-    places = np.linspace(best.min(), best.max(), 512)
-    loss = [
-        (1 - DISTORTED) * np.logaddexp(0, t - toxic).sum() + DISTORTED * np.logaddexp(0, t - KEPT * toxic).sum() + np.logaddexp(0, clean - t).sum()
-        for t in places
-    ]
-    return -float(places[int(np.argmin(loss))])
+    return float(places[int(np.argmin([np.logaddexp(0, -toxic - b).sum() + np.logaddexp(0, clean + b).sum() for b in places]))])
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.02, seed: int = 7) -> Model:
-    """Fit embeddings and softmax jointly by Adam from a start at :func:`evidence`;
-    each document teaches through its currently highest window."""
+def train(texts: list[str], labels: list[int], steps: int = 100, rate: float = 1.0, seed: int = 7) -> Model:
+    """Fit embeddings and softmax jointly by gradient steps over all texts."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
+    rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in _WORD.findall(t.lower())] or [vocab.setdefault("", len(vocab))], np.int32) for t in texts]
     packed, counts = array("i"), array("i")
@@ -140,63 +122,60 @@ def train(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0
     flat, sizes = np.array(packed, np.int32), np.array(counts, np.int32)
     del packed, counts
     ends = np.cumsum(sizes)
-    seen = np.zeros((2, BUCKETS))
-    for words, label in zip(docs, labels):
+    seen = np.zeros(BUCKETS)
+    for words in docs:
         words = np.unique(words)
         n = sizes[words]
-        slots = np.arange(n.sum()) + np.repeat(ends[words] - np.cumsum(n), n)
-        seen[label][np.unique(flat[slots])] += 1
-    known = seen.sum(axis=0) >= MIN_DOCS
+        seen[np.unique(flat[np.arange(n.sum()) + np.repeat(ends[words] - np.cumsum(n), n)])] += 1
+    known = seen >= MIN_DOCS
     word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     kept = known[flat]
     flat, word_of = flat[kept], word_of[kept]
-    rng = np.random.default_rng(seed)
-    soft = rng.normal(0, 0.5, DIM).astype(np.float32)
-    start = GAIN * np.where(known, evidence(seen, np.array([(y == 0).sum(), (y == 1).sum()])), 0)
-    emb = (np.outer(start, soft / (soft @ soft)) + rng.normal(0, 0.01, (BUCKETS, DIM)) * known[:, None]).astype(np.float32)
-    del seen
+    emb = (rng.normal(0, 0.1 / DIM, (BUCKETS, DIM)) * known[:, None]).astype(np.float32)
+    soft = rng.normal(size=DIM).astype(np.float32)
+    soft /= np.sqrt(soft @ soft)
+    bias = float(np.log(y.mean() / (1 - y.mean())))
     lens = np.array([len(d) for d in docs])
-    tokens = np.concatenate(docs)
-    spans = np.minimum(lens, WINDOW)
-    places = lens - spans + 1
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), places)
-    place_starts = np.cumsum(places) - places
-    heads = np.arange(len(owner)) + (np.cumsum(lens) - lens - place_starts)[owner]
-    place_span = spans[owner]
-
-    def highest():
-        """Mean of each document's highest window, and the first token of it."""
-        word_score = np.bincount(word_of, (emb @ soft)[flat], len(sizes)) / sizes
-        run = np.concatenate([[0.0], np.cumsum(word_score[tokens])])
-        mean = (run[heads + place_span] - run[heads]) / place_span
-        best = np.maximum.reduceat(mean, place_starts)
-        hits = np.flatnonzero(mean == best[owner])
-        at = np.zeros(len(docs), np.int64)
-        at[owner[hits][::-1]] = heads[hits][::-1]
-        return best, at
-
-    best, at = highest()
-    bias = threshold_bias(best, y)
-    state = [[np.zeros_like(emb), np.zeros_like(emb)], [np.zeros_like(soft), np.zeros_like(soft)], [0.0, 0.0]]
-    for step in range(1, epochs + 1):
-        error = (1 / (1 + np.exp(-np.clip(best + bias, -30, 30))) - y) / len(y)
-        token_grad = np.bincount(at, error / spans, len(tokens) + 1) - np.bincount(at + spans, error / spans, len(tokens) + 1)
-        word_grad = np.bincount(tokens, np.cumsum(token_grad)[:-1], len(sizes))
-        bucket_grad = np.bincount(flat, (word_grad / sizes)[word_of], BUCKETS).astype(np.float32)
-        grads = [np.outer(bucket_grad, soft) + np.float32(1e-6) * emb, emb.T @ bucket_grad, float(error.sum())]
-        moves = []
-        for k, (g, (m, v)) in enumerate(zip(grads, state)):
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            state[k] = [m, v]
-            moves.append(rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-        emb, soft, bias = emb - moves[0], soft - moves[1], bias - moves[2]
-        best, at = highest()
-    return Model(np.where(known, emb @ soft, 0), threshold_bias(best, y))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, sample: tuple[int, int], sample_bytes: int) -> DataFrame:
-    """At most ``sample[c]`` (doc_id, text, label) rows of each label c, of bounded size.
+    tokens, starts = np.concatenate(docs), np.cumsum(lens) - lens
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), lens)
+
+    def thinned():
+        """Which n-grams of the vocabulary's words a step sees."""
+        stays = np.where(rng.random(len(sizes)) < THINNED, STAYS, 1.0).astype(np.float32)
+        return rng.random(len(flat), dtype=np.float32) < stays[word_of]
+
+    def bag_logits(z, live):
+        return (np.bincount(word_of[live], z[flat[live]], len(sizes)) / sizes)[tokens]
+
+    first = 0.0
+    for step in range(steps):
+        part = step / max(1, steps - 1)
+        sharp = SHARP[0] * (SHARP[1] / SHARP[0]) ** part
+        live = thinned()
+        bags = bag_logits(emb @ soft, live)
+        top = np.maximum.reduceat(bags, starts)
+        share = np.exp(sharp * (bags - top[owner]))
+        total = np.add.reduceat(share, starts)
+        logit = top + np.log(total / lens) / sharp + bias
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+        word_grad = np.bincount(tokens, (share / total[owner]) * error[owner], len(sizes)) / sizes
+        grad = np.bincount(flat[live], word_grad[word_of[live]], BUCKETS) / (seen + PRIOR)
+        grad = (grad / max(np.abs(grad).max(), 1e-30)).astype(np.float32)
+        missing = np.abs(error).sum()
+        first = first or missing
+        move = rate * (1 - 0.9 * part) * min(1.0, missing / first)
+        soft_grad = emb.T @ grad
+        soft_grad /= max(1.0, float(np.sqrt(soft_grad @ soft_grad)))
+        emb = emb - np.float32(move) * np.outer(grad, soft)
+        soft = soft - np.float32(0.1 * move) * soft_grad
+        bias -= 2 * move * error.sum()
+    z = emb @ soft
+    best = np.concatenate([np.maximum.reduceat(bag_logits(z, thinned()), starts) for _ in range(4)])
+    return Model(np.where(known, z, 0), least_loss_bias(best, np.tile(y, 4)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, sample: tuple[int, int], sample_chars: int) -> DataFrame:
+    """At most ``sample[c]`` (doc_id, label, text) rows of each label c, of bounded size.
 
     Ids are chosen from the label table alone (the top of a hash order, kept in
     bounded heaps); at most sum(sample) ids are then broadcast to the texts.
@@ -209,8 +188,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     ]
     ids = picked[0].unionByName(picked[1])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.filter(F.octet_length("text") <= sample_bytes)
-    return text.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").dropDuplicates(["doc_id", "label"])
+    found = text.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", spread(F.col("text"), sample_chars).alias("text"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def spread(text: Column, most: int) -> Column:
+    """The text, or of one with more than ``most`` characters STRETCHES stretches spread evenly over it, of ``most`` together."""
+    size = most // STRETCHES
+    begin = lambda i: F.floor((F.length(text) - size) * F.lit(i) / F.lit(STRETCHES - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *[F.substring(text, begin(i), F.lit(size)) for i in range(STRETCHES)]))
 
 
 def learnt(sample: DataFrame, fit) -> bytes | None:
@@ -232,9 +218,9 @@ def toxicity(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
     def run(batches):
         own = Model.unpacked(shipped.value)
-        cache: dict[str, float] = {}
+        bags = Bags(own.weights)
         for batch in batches:
-            scores = [own.score(t or "", cache) for t in batch.column(2).to_pylist()]
+            scores = [own.score(t or "", bags) for t in batch.column(2).to_pylist()]
             flags = [int(s >= 0.5) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -242,9 +228,9 @@ def toxicity(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Model learnt from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    rows = labelled_sample(docs, labels, "toxic", bucket_of_id(F.col("label_id"), 5) != 0, sample, sample_bytes)
+    rows = labelled_sample(docs, labels, "toxic", bucket_of_id(F.col("label_id"), 5) != 0, sample, sample_chars)
     packed = learnt(rows, lambda texts, marks: train(texts, marks).packed())
     return Model.unpacked(packed) if packed else train([], [])
 
@@ -260,8 +246,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Model.unpacked(shipped.value)
-        cache: dict[str, float] = {}
+        bags = Bags(own.weights)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t or "", cache) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t or "", bags) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -133,7 +133,7 @@ def test_quality_gradients_are_the_slope():
     def loss():
         r, _ = net.responses(codes, halves)
         _, _, mean, most = net.pooled(np.maximum(r.max(axis=1), 0), halves)
-        z = np.hstack([mean, most, quality_cnn.filled(np.array([800, 3, 0]))]) @ net.p["out"] + net.p["bias"]
+        z = np.hstack([mean, most]) @ net.p["out"] + net.p["bias"]
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     grads = net.gradients(codes, halves, y)
@@ -147,15 +147,62 @@ def test_quality_gradients_are_the_slope():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
-def test_toxicity_learns_from_few_examples():
-    rng = np.random.default_rng(2)
+def toxic_corpus(n=300, seed=2):
+    rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
-    clean = [" ".join(rng.choice(words, 60)) for _ in range(300)]
-    toxic = [t + " moron " + t for t in clean[:100]]
-    model = toxicity_subword.train(clean[100:250] + toxic, [0] * 150 + [1] * 100)
-    score = lambda t: model.score(t, {})
-    assert all(score(t) < 0.5 for t in clean[250:]) and score(clean[260] + " morron " + clean[261]) >= 0.5
-    assert score(" ".join(clean[200:250]) + " moron " + " ".join(clean[200:250])) >= 0.5
+    clean = [" ".join(rng.choice(words, 60)) for _ in range(n)]
+    insults = ["moron", "lackwit", "dullard"]
+    toxic = [f"{t} {insults[i % 3]} {t} {insults[i % 3]}" for i, t in enumerate(clean[: n // 3])]
+    return clean, toxic
+
+
+def test_toxicity_learns_and_training_carries_it():
+    clean, toxic = toxic_corpus()
+    learn = clean[100:250] + toxic[:70], [0] * 150 + [1] * 70
+    model = toxicity_subword.train(*learn)
+    score = lambda m, t: m.score(t, toxicity_subword.Bags(m.weights))
+    caught = lambda m: sum(score(m, t) >= 0.5 for t in toxic[70:])
+    assert caught(model) == 30 and all(score(model, t) < 0.5 for t in clean[250:])
+    assert caught(toxicity_subword.train(*learn, steps=0)) <= 3  # what was caught comes from training
+    bent = ["mooron", "lakcwit", "dullart", "morron", "lackwitt", "dulllard"]
+    assert sum(score(model, f"{clean[260]} {w} {clean[261]}") >= 0.5 for w in bent) >= 4
+    assert score(model, " ".join(clean[200:250] * 20) + " moron " + " ".join(clean[200:250])) >= 0.5
+
+
+def test_toxicity_scores_by_hand():
+    """Score against a plain reading of the definition: mean over a word's bag, softmax, highest word."""
+    rng = np.random.default_rng(0)
+    model = toxicity_subword.Model(rng.normal(size=toxicity_subword.BUCKETS), -0.3)
+    for text in ("", "!!", "Ab", "one Two three_four \u00e9t\u00e9 one", "x" * 50):
+        logits = []
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            m = f"<{w}>"
+            grams = [m] + [m[i : i + 3] for i in range(len(m) - 2) if len(m) > 3] + [m[i : i + 4] for i in range(len(m) - 3) if len(m) > 4]
+            logits.append(sum(model.weights[zlib.crc32(g.encode()) % toxicity_subword.BUCKETS] for g in grams) / len(grams))
+        want = 1 / (1 + np.exp(-(max(logits, default=0.0) + model.bias)))
+        assert model.score(text, toxicity_subword.Bags(model.weights)) == pytest.approx(want)
+
+
+def test_toxicity_bags_stay_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity_subword, "CACHE", 10)
+    bags = toxicity_subword.Bags(np.ones(toxicity_subword.BUCKETS))
+    assert [bags[f"w{i}"] for i in range(50)] == [1.0] * 50 and len(bags) <= 10
+
+
+def test_sample_spreads_over_long_texts_and_ignores_held_out_labels(spark):
+    long = " ".join(f"n{i}" for i in range(4000))
+    rows = [(1, long), (1, "zz"), (2, "short"), (5, "held out")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (9, 1)], "doc_id long, toxic int")
+    learnable = F.col("label_id") != 5
+    found = {r.doc_id: r.text for r in toxicity_subword.labelled_sample(docs(spark, rows), labels, "toxic", learnable, (10, 10), 800).collect()}
+    assert set(found) == {1, 2} and found[2] == "short"
+    assert found[1].startswith("n0 n1 ") and found[1].endswith("n3999") and len(found[1]) == 807 and "n20" in found[1]
+    clean, toxic = toxic_corpus(90)
+    corpus = docs(spark, list(enumerate(clean + toxic)))
+    marks = [(i, int(i >= 90)) for i in range(120)]
+    flipped = [(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y) for i, y in marks]
+    scores = [toxicity_subword.score_documents(corpus, spark.createDataFrame(m, "doc_id long, toxic int")).collect() for m in (marks, flipped)]
+    assert sorted(scores[0]) == sorted(scores[1])
 
 
 def test_toxicity_defined_cases(spark):
