@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct runs of text, and token pairs, that a worker remembers before it starts afresh.
-CACHE, PAIRS = 400_000, 1_000_000
+#: Distinct runs of text, their tokens, and token pairs, that a worker remembers before it starts afresh.
+CACHE, POOL, PAIRS = 400_000, 8_000_000, 1_000_000
+#: Characters of a word that is remembered; longer ones are rarely met again.
+KNOWN = 64
 #: Bytes of text encoded together, a bound on a worker's arrays.
 SLICE_BYTES = 1 << 20
 
@@ -187,16 +189,20 @@ class Codec:
         for m in self.words.finditer(shown):
             word = chunk[m.start() : m.end()]
             if (ids := self.known.get(word)) is None:
-                ids = self.known[word] = self.encode_word(word)
+                ids = self.encode_word(word)
+                if len(word) <= KNOWN:
+                    if len(self.known) >= CACHE:
+                        self.known.clear()
+                    self.known[word] = ids
             out += ids
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs of normalised text between white space; a special token stands as NUL, NUL and itself."""
-        out: list[str] = []
+    def chunks(self, text: str) -> list[str | tuple[str]]:
+        """Runs of normalised text between white space; a special token stands in a tuple, as no text does."""
+        out: list[str | tuple[str]] = []
         for part in self.cut.split(text) if self.cut and "<" in text else [text]:
             if part in self.special:
-                out.append("\0\0" + part)
+                out.append((part,))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -209,7 +215,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        if len(self.seen) > CACHE:
+        if len(self.seen) > CACHE or len(self.pool) > POOL:
             self.forget()
         listed = [self.chunks(t) for t in texts]
         sizes = [len(x) for x in listed]
@@ -232,10 +238,9 @@ class _Chunks(dict):
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: str | tuple[str]) -> int:
         codec = self.codec
-        mine = codec.special.get(chunk[2:]) if chunk.startswith("\0\0") else None
-        codec.pool.extend(codec.encode_chunk(chunk) if mine is None else [mine])
+        codec.pool.extend([codec.special[chunk[0]]] if isinstance(chunk, tuple) else codec.encode_chunk(chunk))
         codec.bounds.append(len(codec.pool))
         self[chunk] = at = len(codec.bounds) - 2
         return at

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,18 +16,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session that has none (a local test) gets a folder of its own.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the
+    context's checkpoint folder. Only a local session without either (a test) gets a
+    folder of its own; elsewhere executors would write to disks that others can't read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        own = getattr(spark.sparkContext, "_sievelight_dir", None)
-        if own is None:
-            own = "file://" + tempfile.mkdtemp(prefix="sievelight-")
-            spark.sparkContext._sievelight_dir = own
-            spark.sparkContext.setCheckpointDir(own)
-        found = own
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sievelight-"))
+        found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
@@ -43,13 +43,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

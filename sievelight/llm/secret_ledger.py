@@ -18,13 +18,14 @@ one kind don't.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path
+from .common import new_path, unused
 
 
 @dataclass(frozen=True)
@@ -47,26 +48,57 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN", base=False),
 )
-#: Changes whenever RULES does, so that blobs are scanned afresh.
-VERSION = "2"
 
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """Names a set of rules by its content, so that blobs are scanned afresh whenever a rule changes."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+#: Values that are carried together.
+BLOCK = 128
 SPAN = "struct<kind:int,start:int,end:int>"
 _SPAN_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end")])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN_TYPE))])
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _carried(values: Column, add) -> Column:
+    """For each value what ``add`` makes of those before it (from 0). Blocks of values are
+    carried one by one, so a step copies a block and not all that was found so far."""
+
+    def within(start, part):
+        first = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))
+
+    def whole(v):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda i: i <= F.size(v))
+        parts = F.transform(starts, lambda i: F.slice(v, i, F.lit(BLOCK)))
+
+        def blocks(p):
+            ends = F.transform(p, lambda x: F.aggregate(x, F.lit(0), add))
+            return F.flatten(F.transform(F.arrays_zip(p.alias("part"), within(F.lit(0), ends)["out"].alias("start")), lambda z: within(z["start"], z["part"])["out"]))
+
+        return _bound(parts, blocks)
+
+    return _bound(values, whole)
+
+
 def _located(steps: Column, kind: int, least: int) -> Column:
-    """Spans of one kind from alternating (gap before, match size, size that must reach ``least``)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    """Spans of one kind from alternating (gap, size, measure): lengths of the text before
+    a match, of the match, and of what must reach ``least``."""
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"))
-        found = F.when(x["measure"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    def spans(s):
+        begins = _carried(F.transform(s, lambda x: x["gap"] + x["size"]), lambda a, x: a + x)
+        found = F.filter(F.arrays_zip(s.alias("s"), begins.alias("at")), lambda z: z["s"]["measure"] >= least)
+        begin = lambda z: z["at"] + z["s"]["gap"]
+        return F.transform(found, lambda z: F.struct(F.lit(kind).alias("kind"), begin(z).alias("start"), (begin(z) + z["s"]["size"]).alias("end")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    return _bound(steps, spans)
 
 
 def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -78,7 +110,8 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
         pieces = F.split(text, pattern, -1)
-        steps = F.arrays_zip(pieces.alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(groups, F.length).alias("measure"))
+        steps = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(groups, F.length).alias("measure"))
+        steps = F.transform(steps, lambda x: F.struct(x["gap"], F.coalesce(x["size"], F.lit(0)).alias("size"), F.coalesce(x["measure"], F.lit(-1)).alias("measure")))
         found = _located(steps, k, rule.least)
         every.append(F.when(text.rlike(rule.screen), found).otherwise(F.array().cast(f"array<{SPAN}>")))
     by_start = F.transform(F.array_sort(F.transform(F.concat(*every), lambda s: F.struct(s["start"], s["kind"], s["end"]))), lambda s: F.struct(s["kind"], s["start"], s["end"]))
@@ -110,28 +143,28 @@ def open_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Bring the ledger at ``ledger`` up to date with ``versions`` (doc_id, text); return it for these rules.
 
     Each blob that is new under this rule version is scanned once. Only its
-    address and one path are grouped; the text follows by a hash join on the path.
+    address and one path are grouped; the text follows by a join on the path.
     """
-    spark = versions.sparkSession
+    spark, version = versions.sparkSession, version_of(rules)
     rows = versions.select("doc_id", plain(F.col("text")).alias("text"), address(F.col("text")).alias("blob"))
     seen = open_ledger(spark, ledger).filter(F.col("rule_version") == version).select("blob")
     first = rows.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left_anti")
     first = first.select(F.col("blob").alias("first_blob"), "first_id")
     same = rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["blob"] == first["first_blob"])
-    texts = rows.join(first.hint("shuffle_hash"), same, "left_semi")
+    texts = rows.join(first, same, "left_semi")
     # a path listed twice with one text would be scanned twice: spans are equal, one row stays
     found = texts.select("blob", spans_of(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
     found.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").partitionBy("rule_version").parquet(ledger)
     return open_ledger(spark, ledger).filter(F.col("rule_version") == version)
 
 
-def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, blob, spans) for every row of ``versions``, through the ledger (a fresh one if none is named)."""
-    known = scan(versions, ledger or new_path(versions.sparkSession, "secret-ledger"), rules, version)
+    known = scan(versions, ledger or new_path(versions.sparkSession, "secret-ledger"), rules)
     hit = known.filter(F.size("spans") > 0).select("blob", "spans")
     return versions.select("doc_id", address(F.col("text")).alias("blob")).join(hit, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")
@@ -147,22 +180,25 @@ def report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every stretch covered by spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def pieces(s):
+        reach = _carried(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))  # how far the spans before have come
+        cut = lambda z: F.concat(F.substring(text, z["reach"] + 1, z["s"]["start"] - z["reach"]), F.lit(mark))
+        opening = F.filter(F.arrays_zip(s.alias("s"), reach.alias("reach")), lambda z: z["s"]["start"] >= z["reach"])
+        rest = F.substring(text, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(opening, cut), ""), rest)
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(spans, pieces))
 
 
 def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """``docs`` with secrets cut out of ``text`` and ``n_chars`` renewed; texts without secrets stay as they are."""
     known = scan(docs, ledger or new_path(docs.sparkSession, "secret-ledger"))
-    hit = known.filter(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
-    joined = docs.join(hit.hint("shuffle_hash"), address(docs["text"]) == hit["hit_blob"], "left")
-    text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("hit_spans")))
+    blob, spans = unused(docs, "hit_blob", "hit_spans")
+    hit = known.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.join(hit, address(docs["text"]) == hit[blob], "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("hit_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -8,9 +8,10 @@ interval meets; in a range both are swept in key order with a stack of the rules
 whose intervals are open, which are nested. The longest rule wins, whatever the
 depth it was found at.
 
-Ranges are cut at quantiles of a bounded hash sample of the keys (they only
-balance the work) and by key and page together, so that even one key with a third
-of the rows is spread over several ranges.
+There are as many ranges as the number of keys asks for. They are cut at quantiles
+of a hash sample of the keys (they only balance the work) and by key and page
+together, so that even one key with a third of the rows is spread over several
+ranges. Rows stay Arrow tables, so ids of any type come back as they were.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no
 rule and gets the default verdict; a rule with empty path fits every path; of
@@ -22,10 +23,11 @@ ignored; without rules all get the default; an empty table gives an empty result
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ RULES = tuple(
     for v, t in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 )
 DEFAULT = "allow"
-#: Keys sampled for each range when ranges are cut.
-SAMPLE = 100
+#: Keys in a range, and those sampled for each range when ranges are cut.
+RANGE_KEYS, SAMPLE = 250_000, 20
 
 _SEP = "\x00"  # between host labels and path: below every character of either
 
@@ -116,8 +118,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, defaul
     distinct = rows.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"), F.min("salt").alias("salt"))
     page = F.xxhash64("page_id", "host", "path")
     keyed = distinct.select("page_id", "host", "path", "copies", page.alias("tie"), F.explode_outer(keys).alias("key"))
-    ranges = partitions(spark)
     total = max(1, rows.count() * max(1, len(depths)))
+    ranges = max(partitions(spark), -(-total // RANGE_KEYS))
     every = max(1, total // (SAMPLE * ranges))
     sample = sorted((r.key, r.tie) for r in keyed.filter((F.pmod("tie", F.lit(every)) == 0) & F.col("key").isNotNull()).select("key", "tie").limit(4 * SAMPLE * ranges).collect())
     cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
@@ -129,19 +131,23 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, defaul
 
     @F.pandas_udf("array<int>")
     def ranges_of(key: pd.Series) -> pd.Series:
-        low, high = (-(2**63) - 1,), (2**63,)
-        return pd.Series([list(range(bisect_right(cut_keys.value, (k, *low)), bisect_right(cut_keys.value, (k + chr(0x10FFFF), *high)) + 1)) for k in key])
+        """Ranges that hold the keys which start with ``key``."""
+        past = lambda k: bisect_left(cut_keys.value, 1, key=lambda c: int(c[0] > k and not c[0].startswith(k)))
+        return pd.Series([list(range(bisect_right(cut_keys.value, (k, -(2**63) - 1)), past(k) + 1)) for k in key])
 
     placed = keyed.withColumn("range", range_of("key", "tie"))
     dealt = listed.select("rule_no", "rule_key", F.explode(ranges_of("rule_key")).alias("range"))
 
-    def merge(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(zip(theirs["rule_key"], theirs["rule_no"]))
-        mine = mine.assign(order=mine["key"].fillna("")).sort_values("order", kind="stable")
-        return mine.assign(rule_no=sweep(own, mine["order"].tolist()))[["page_id", "host", "path", "copies", "rule_no"]]
+    def merge(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        own = sorted(zip(theirs["rule_key"].to_pylist(), theirs["rule_no"].to_pylist()))
+        keys = [k or "" for k in mine["key"].to_pylist()]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        found = sweep(own, [keys[i] for i in order])
+        kept = mine.select(["page_id", "host", "path", "copies"]).take(pa.array(order, pa.int64()))
+        return kept.append_column("rule_no", pa.array(found, pa.int32()))
 
     fields = pages.select("page_id").schema["page_id"].dataType.simpleString()
-    swept = placed.groupBy("range").cogroup(dealt.groupBy("range")).applyInPandas(merge, f"page_id {fields}, host string, path string, copies long, rule_no int")
+    swept = placed.groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(merge, f"page_id {fields}, host string, path string, copies long, rule_no int")
     ranked = swept.join(F.broadcast(listed) if len(first) <= 100_000 else listed, "rule_no", "left")
     best = ranked.groupBy("page_id", "host", "path").agg(
         F.max("copies").alias("copies"), F.max(F.when(F.col("rule").isNotNull(), F.struct("size", "host_size", "rule", "verdict"))).alias("best")

@@ -68,6 +68,26 @@ def test_secret_ledger(spark, tmp_path):
     clean = {r.doc_id: r.text for r in secret_ledger.redact(docs(spark, rows)).collect()}
     assert clean[1] == "a b c d e" and clean[2] is None and "AKIAA1" not in clean[11] and all(not brute_spans(t or "") for t in clean.values())
     assert secret_ledger.report(docs(spark, rows).limit(0)).count() == 0
+    clash = docs(spark, rows).withColumns({c: F.lit("mine") for c in ("hit_blob", "hit_spans", "spans")})
+    again = secret_ledger.redact(clash)
+    assert again.columns == clash.columns and {r.hit_spans for r in again.collect()} == {"mine"} and {r.doc_id: r.text for r in again.collect()} == clean
+
+
+def test_secret_ledger_scans_afresh_under_other_rules(spark, tmp_path):
+    rows, ledger = docs(spark, [(1, "token=abcdef and ZZ12345"), (2, "nothing")]), f"file://{tmp_path}/ledger"
+    kinds = lambda rules: {r.doc_id: [rules[s.kind].kind for s in r.spans] for r in secret_ledger.findings(rows, ledger, rules).collect()}
+    own = (secret_ledger.Rule("zz", "ZZ[0-9]+", 0, 3, "ZZ"),)
+    assert kinds(secret_ledger.RULES) == {1: ["assign"], 2: []} and kinds(own) == {1: ["zz"], 2: []}
+    assert kinds(secret_ledger.RULES[:1] + own) == {1: ["assign", "zz"], 2: []} and kinds(own) == {1: ["zz"], 2: []}
+    assert spark.read.parquet(ledger).groupBy("rule_version").count().collect().__len__() == 3
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"x token=abc{i:06d} é" for i in range(20_000))
+    rows = docs(spark, [(1, text)])
+    got = secret_ledger.report(rows).first()
+    assert got.n_assign == 20_000 and got.base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+    assert secret_ledger.redact(rows).first().text == " ".join("x [REDACTED] é" for _ in range(20_000))
 
 
 def test_url_rules(spark):
@@ -91,6 +111,15 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_keep_large_ids_and_odd_paths(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "RANGE_KEYS", 5)
+    ids = [2**53 + 1, 2**62 + 25, None, -(2**63), 2**63 - 1]
+    urls = ["x://com/de/" + c + "q" for c in ("\U0010ffff", "\U0010ffff\U0010ffff", "a", "", "\u00e9")]
+    df = spark.createDataFrame([(i, u) for i in ids for u in urls] + [(7, "x://com/de0")] * 40, "page_id long, url string")
+    got = Counter((r.page_id, r.rule) for r in url_rules.judge(df).collect())
+    assert got == Counter({(i, "com/de/"): len(urls) for i in ids} | {(7, None): 40})
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "a\nb", "<|<||\\"), (1, 1, "a\nb", "x<"), (1, 2, "assistant", "|im_end|>"), (1, None, None, None), (None, 3, "assistant", "é😀<|im_sep|>"), (None, 4, "assistant", "<|im_end|><|im_start|>assistant ok"), (2, 0, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(0))
@@ -218,7 +247,7 @@ def test_bpe_equals_library(spark):
     library = tokenizers.Tokenizer.from_file(word_bpe_path())
     rng = np.random.default_rng(3)
     letters = list("aaabeeé ßΣσςİıñ 's're 12½²日本語😀  \t\n.,!?'") + ["<|endoftext|>", "\x1c", "\x85"]
-    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(400)] + ["a" * k for k in range(60)] + ["hello <|endoftext|>x<|startoftext|>", "<|endoftext|", "\0\0"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(400)] + ["a" * k for k in range(60)] + ["hello <|endoftext|>x<|startoftext|>", "<|endoftext|", "\0\0", "\0\0<|ENDOFTEXT|>", "\0\0<|endoftext|>", "ab" * 100_000, "x" * 70 + " " + "x" * 70]
     rows = [*EDGE, *[(100 + i, t) for i, t in enumerate(texts)]]
     want = Counter()
     for i, t in rows:
