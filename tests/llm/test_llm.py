@@ -261,8 +261,8 @@ def test_bpe_equals_library(spark):
 
 def test_decontamination(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, " !! "), (5, item)], "item_id long, text string")
-    rows = [*EDGE, (10, "x " + item.upper().replace(" ", ", ") + " y"), (11, "a short, one short one"), (12, item[:40]), (13, (item + " ") * 30), (10, "other")]
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, " !! "), (5, item), (6, "beta beta gamma"), (7, "beta beta")], "item_id long, text string")
+    rows = [*EDGE, (20, "beta beta gamma beta beta gamma gamma"), (10, "x " + item.upper().replace(" ", ", ") + " y"), (11, "a short, one short one"), (12, item[:40]), (13, (item + " ") * 30), (10, "other")]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
     for r in bench.collect():
@@ -280,14 +280,38 @@ def test_decontamination(spark):
         want[i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)] += 1
     for limit in (decontaminate.BROADCAST_ROWS, 0):
         assert Counter(tuple(r) for r in decontaminate.contamination(docs(spark, rows), bench, limit=limit).collect()) == want
-    kept = [r.doc_id for r in decontaminate.keep_clean(docs(spark, rows), bench).collect()]
-    assert Counter(kept) == Counter(k[0] for k in want.elements() if not k[5])
-    near = decontaminate.proximity_matches(docs(spark, [(1, "kappa iota x theta eta zeta epsilon delta gamma y beta alpha lambda mu")]), bench, slop=6)
-    assert near.count() > 0
+    clash = docs(spark, rows).withColumns({c: F.lit("mine") for c in ("dirty_id", "dirty_hash", "text_hash", "pos", "w", "words", "n_words")})
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        kept = decontaminate.keep_clean(clash, bench, limit=limit)
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k in want.elements() if not k[5]) and kept.columns == clash.columns
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_proximity_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgh")
+    bench = spark.createDataFrame([(i, " ".join(rng.choice(letters, n))) for i, n in enumerate((1, 2, 3, 4, 4, 12))], "item_id long, text string")
+    rows = [(i // 2, " ".join(rng.choice(letters, rng.integers(0, 40)))) for i in range(30)] + [(None, "a b c d e f g h"), (None, "a b c d e f g h")]
+    slop = 2
+    count = Counter(w for _, t in rows for w in t.split())
+    want = set()
+    for r in bench.collect():
+        words = r.text.split()
+        for at in range(max(1, len(words) - 3)):
+            w = words[at : at + 4]
+            rarest = min(range(len(w)), key=lambda j: (count[w[j]], w[j], j))
+            for i, t in rows:
+                own = t.split()
+                for p in (p for p, x in enumerate(own) if x == w[rarest]):
+                    low, high = max(0, p - rarest - slop), min(len(own), p - rarest + len(w) + slop)
+                    if not Counter(w) - Counter(own[low:high]):
+                        want.add((i, r.item_id, low, high))
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        got = decontaminate.proximity_matches(docs(spark, rows), bench, window=4, slop=slop, limit=limit).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_katz_matches_brute_force_and_sums_to_one(spark):
     rng = np.random.default_rng(4)
     vocab = [f"W{int(i)}" for i in rng.zipf(1.5, 4000) % 60]
