@@ -117,9 +117,10 @@ class Index:
         """(w, doc_id, text_hash, start): the exact places of all windows, each once."""
         places = self.places()
         left = stored(self.starts(places).filter("start >= 0").distinct(), "candidates")
-        lists = stored(self.near(left), "near-postings")
         for ranks in ("rank = 2", "rank > 2"):
             wanted = places.filter(ranks).select("w", "term", "offset")
+            # the second lists by their terms, as many documents are left; all others by the few documents that are
+            lists = self.postings.join(_small(wanted.select("term").distinct(), self.limit), "term", "left_semi") if ranks == "rank = 2" else self.near(left)
             asked = left.join(_small(wanted, self.limit), "w").withColumn("pos", F.col("start") + F.col("offset"))
             kept = _meet(asked, lists, "term", "pos", how="left_semi").groupBy("w", *DOC, "start").agg(F.count("*").alias("n"))
             need = places.filter(ranks).groupBy("w").agg(F.count("*").alias("need"))
