@@ -21,13 +21,17 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, stored
+from .common import LOWER_ASCII, stored, unused
 
 #: Fingerprints in a tile; a crowded set of counts is dealt to several tiles.
 TILE = 4096
+#: Shingles of one text hashed together, a bound on a worker's arrays.
+SHINGLES = 65_536
+#: Documents from which a fingerprint is crowded, and the share of all from which it is whatever the number.
+CROWD, CROWD_SHARE = 200, 1e-4
 #: Word widths whose population counts name a tile, and the base that packs them.
 WORDS, BITS, BASE = 4, 16, 17
 
@@ -35,25 +39,31 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Majority fingerprint (unsigned) of the word shingles of UTF-8 ``text``."""
+    """Majority fingerprint (unsigned) of the word shingles of UTF-8 ``text``, SHINGLES of them at a time."""
     words = text.translate(LOWER_ASCII).split()
     if not words:
         return 0
+    total = max(1, len(words) - shingle + 1)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, total, SHINGLES):
+        ones += _set_bits(words[at : at + SHINGLES + shingle - 1], shingle, seed)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+
+
+def _set_bits(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """How many shingle hashes of consecutive words have each bit set."""
     digest = xxhash.xxh64_digest
+    joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = digest(b" ".join(words), seed)
+        hashes = digest(joined, seed)
     else:
-        joined = b" ".join(words)
         ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-        starts = [0, *(e + 1 for e in ends[: -shingle])]
+        starts = [0, *(e + 1 for e in ends[:-shingle])]
         hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])])
     grid = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    n = len(grid)
-    if n < 256:
-        ones = np.unpackbits(grid, axis=1).sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(grid[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    if len(grid) < 256:
+        return np.unpackbits(grid, axis=1).sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(grid[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
 
 
 def text_hash(text):
@@ -65,8 +75,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", shingle, seed) for t in texts], np.uint64)
+            texts = batch.column(1).cast(pa.binary())  # one text at a time leaves Arrow
+            fps = np.array([fingerprint(t.as_py() or b"", shingle, seed) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("text_hash"))
@@ -178,15 +188,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classed(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, tile: int = TILE) -> DataFrame:
-    """doc_id, text_hash, fp of every document, with ``first``: the least (id is null, id, text_hash) of its component."""
+    """doc_id, text_hash, fp of every document, with ``first``: the least (id is null, id, text_hash) of its component.
+
+    Documents meet their class by fingerprint. Crowded fingerprints are known from the
+    partial counts; there are at most 1 / CROWD_SHARE of them, so their classes are
+    broadcast and the documents that share them stay where they are.
+    """
     prints = stored(fingerprints(docs, shingle, seed), "simhash")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    nodes = stored(prints.groupBy("fp").agg(least.alias("own")), "simhash-nodes")
+    nodes = stored(prints.groupBy("fp").agg(least.alias("own"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius, tile))
     joined = nodes.join(roots, nodes.fp == roots.node).select("fp", "own", "root")
     named = joined.join(joined.groupBy("root").agg(F.min("own").alias("of_all")), "root").select("fp", "of_all")
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("of_all", "own").alias("first"))
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "first")
+    classes = stored(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("of_all", "own").alias("first")), "simhash-classes")
+    crowd = max(CROWD, int(CROWD_SHARE * (nodes.agg(F.sum("n")).first()[0] or 0)))
+    crowded = classes.filter(F.col("n") >= crowd).select("fp", "first")
+    here = prints.join(F.broadcast(crowded), "fp")
+    there = prints.join(F.broadcast(crowded.select("fp")), "fp", "left_anti").join(classes.filter(F.col("n") < crowd).select("fp", "first"), "fp")
+    return here.unionByName(there).select("doc_id", "text_hash", "fp", "first")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -197,8 +216,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, all columns: the least id, then the least text
-    hash (documents without id come last)."""
-    kept = classed(docs, **options).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
-    rows = docs.withColumn("kept_mark", text_hash(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["kept_mark"] == kept["kept_hash"])
-    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "kept_mark"]).select(*docs.columns)
+    hash (documents without id come last). Of rows with that id and text the one whose
+    columns hash least stays, a null text before an empty one."""
+    mark, order, mine, theirs = unused(docs, "kept_mark", "kept_order", "kept_id", "kept_hash")
+    kept = classed(docs, **options).select(F.col("first.doc_id").alias(mine), F.col("first.text_hash").alias(theirs)).distinct()
+    every = F.struct(docs["text"].isNotNull(), F.xxhash64(*[F.to_json(F.struct(c)) if dict(docs.dtypes)[c].startswith("map") else docs[c] for c in docs.columns]))
+    rows = docs.withColumns({mark: text_hash(F.col("text")), order: every})
+    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept[mine]) & (rows[mark] == kept[theirs]), "left_semi")
+    first = Window.partitionBy("doc_id", mark).orderBy(order)
+    return found.withColumn(mine, F.row_number().over(first)).filter(F.col(mine) == 1).select(*docs.columns)
