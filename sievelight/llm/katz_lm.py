@@ -2,23 +2,26 @@
 
 Probability of a token w after h, evaluated recursively:
 
-    P(w | h) = d(c(h,w)) c(h,w) / c(h)      if c(h,w) >= MIN_COUNT
+    P(w | h) = d(c(h,w)) c(h,w) / c(h)      if c(h,w) > 0
              = alpha(h) P(w)                otherwise
     P(w)     = d(c(w)) c(w) / N             if c(w) > 0
              = the mass left                for all unseen words together
 
 with Good-Turing discounts d up to TOP and alpha(h) = (1 - seen mass of h) /
 (1 - P of the words seen after h), so that every history sums to one exactly. A
-history whose discounts leave nothing gives up 1 / (c(h) + 1). MIN_COUNT is 1: every
-training bigram is stored and scored, singletons by their Good-Turing discount.
+history without discounted pairs gives up 1 / (c(h) + 1). Every training bigram is
+stored and scored, those seen once by their Good-Turing discount.
 
 Counting and look-up are one exchange. Documents are packed into blocks of token
 numbers, stored in a table bucketed by block. A block sends its distinct keys
 (64-bit hashes of words, pairs or histories) with its own numbers to key ranges;
-a range adds them up, stores the model's rows in a table partitioned by order,
-and answers each block in the order of its keys. Words that fill a third of the
-corpus are one key of each block, so no range is crowded, and only distinct keys
-are moved. Two different words share counts only if their 64-bit hashes collide.
+a range adds them up, stores the model's rows (counts of words and of pairs, and
+backoff weights) in a table partitioned by kind, and answers each block in the
+order of its keys. Words that fill a third of the corpus are one key of each block,
+so no range is crowded, and only distinct keys are moved: a block asks a range only
+for keys it has, so there are never more requests than distinct keys of all blocks.
+Two different words share counts only if their 64-bit hashes collide. Scores are
+stored; blocks, requests and answers are then deleted.
 
 Defined cases: null text counts as empty (its end token is scored); rows with
 equal doc_id are each scored and, if in training, each counted; a null doc_id
@@ -38,13 +41,13 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, bucket_of_id, new_path, partitions
+from .common import LOWER_ASCII, bucket_of_id, drop_stored, new_path, partitions, stored
 
-#: Least count of a stored bigram, and the count up to which Good-Turing discounts.
-MIN_COUNT, TOP = 1, 5
+#: Count up to which Good-Turing discounts.
+TOP = 5
 #: Bytes of text in a block, and tokens for each key range.
 BLOCK_BYTES, RANGE_TOKENS = 12 << 20, 2_000_000
 
@@ -52,6 +55,8 @@ _END, _START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\n\n")
 
 ENCODED = "block long, docs binary, nulls binary, held binary, sizes binary, tokens binary, vocab binary, n_tokens long"
 REQUEST = "range int, block long, keys binary, data binary"
+#: What a block knows of a history: discounted counts of the pairs it owns, P of their words, and the history's count.
+HISTORY = np.dtype([("mass", "f8"), ("lower", "f8"), ("count", "u4")])
 REPLY = "kind string, block long, range int, keys binary, data binary, stats array<long>"
 
 
@@ -166,7 +171,7 @@ def _answered(replies: pd.DataFrame, kind: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def _merge_counts(kind: str, least: int):
+def _merge_counts(kind: str):
     """Range side of a count exchange: totals to every asker (twice the total, plus one
     for the first asker that has counted the key), the model's rows, and counts of counts."""
 
@@ -181,9 +186,9 @@ def _merge_counts(kind: str, least: int):
         first = np.full(len(distinct), len(every))
         mine = np.nonzero(own)[0]
         np.minimum.at(first, at[mine], mine)
-        answer = (np.where(total >= least, total, 0)[at] * 2 + (first[at] == np.arange(len(every)))).astype(np.uint32)
+        answer = (total[at] * 2 + (first[at] == np.arange(len(every)))).astype(np.uint32)
         stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()]
-        kept = total >= least
+        kept = total > 0
         rows = [(f"{kind}_model", None, key[0], squeeze(gaps(distinct[kept])), squeeze(total[kept].astype(np.uint32)), stats)]
         for block, a, b in zip(pdf["block"], np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             rows.append((kind, int(block), key[0], None, squeeze(answer[a:b]), None))
@@ -192,32 +197,44 @@ def _merge_counts(kind: str, least: int):
     return merge
 
 
-def _merge_sums(kind: str):
-    """Range side of the history exchange: sums of two numbers for each key."""
+def _merge_histories(kind: str):
+    """Range side of the history exchange: the backoff weight of each history, to every asker and into the model."""
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = [expand(k, np.uint64) for k in pdf["keys"]]
-        values = np.concatenate([expand(d, np.complex128) for d in pdf["data"]])
+        values = np.concatenate([expand(d, HISTORY) for d in pdf["data"]])
         sizes = [len(k) for k in keys]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, values.real, len(distinct)) + 1j * np.bincount(at, values.imag, len(distinct))
-        rows = [(f"{kind}_model", None, key[0], squeeze(gaps(distinct)), squeeze(sums), None)]
+        sums = [np.bincount(at, values[f], len(distinct)) for f in ("mass", "lower")]
+        count = np.zeros(len(distinct), np.int64)
+        count[at] = values["count"]
+        weights = backoff(*sums, count)
+        rows = [(f"{kind}_model", None, key[0], squeeze(gaps(distinct)), squeeze(weights), None)]
         for block, a, b in zip(pdf["block"], np.cumsum(sizes) - sizes, np.cumsum(sizes)):
-            rows.append((kind, int(block), key[0], None, squeeze(sums[at[a:b]]), None))
+            rows.append((kind, int(block), key[0], None, squeeze(weights[at[a:b]]), None))
         return _frame(rows, REPLY)
 
     return merge
 
 
-def discounts(counts_of_counts: list[int], least: int = 1) -> np.ndarray:
+def backoff(mass: np.ndarray, lower: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """alpha of histories from the discounted counts of their pairs, P of those pairs' words,
+    and their own counts; negative where no pair was discounted, 1 where there is no pair."""
+    c = np.maximum(count, 1)
+    whole = mass >= c
+    alpha = np.where(whole, 1 / (c + 1), 1 - mass / c) / np.maximum(1 - lower, 1e-300)
+    return np.where(mass > 0, np.where(whole, -alpha, alpha), 1.0)
+
+
+def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """d(r) for r = 0..TOP (d(0) unused); beyond TOP counts stand. Good-Turing as Katz
     has it where the counts of counts allow it, else absolute discounting."""
     n = [0, *counts_of_counts]
     out = np.ones(TOP + 1)
     common = (TOP + 1) * n[TOP + 1] / n[1] if n[1] else 1.0
     whole = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    for r in range(least, TOP + 1):
+    for r in range(1, TOP + 1):
         good = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) if n[r] and common < 1 else 0.0
         out[r] = good if 0 < good < 1 else 1 - whole / r
     return out
@@ -228,7 +245,7 @@ class Model:
 
     def __init__(self, total: int, distinct: int, word_counts: list[int], pair_counts: list[int]):
         self.total, self.distinct = total, distinct
-        self.d1, self.d2 = discounts(word_counts), discounts(pair_counts, MIN_COUNT)
+        self.d1, self.d2 = discounts(word_counts), discounts(pair_counts)
         seen = sum(r * n for r, n in zip(range(1, TOP + 1), word_counts))
         kept = sum(self.d1[r] * r * n for r, n in zip(range(1, TOP + 1), word_counts))
         self.unseen = (seen - kept) / total if total else 1.0
@@ -245,19 +262,13 @@ class Model:
         """Discounted count of a stored pair."""
         return np.where(count > TOP, 1.0, self.d2[np.minimum(count, TOP)]) * count
 
-    @staticmethod
-    def left(history_count: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """Probability that the pairs of a history leave to all other words."""
-        c = np.maximum(history_count, 1)
-        return np.maximum(1 - mass / c, 1 / (c + 1))
-
-
 
 def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = _bucketed(spark, encode(rows, block_bytes))
+    name = f"katz_blocks_{uuid.uuid4().hex}"
+    blocks = _bucketed(encode(rows, block_bytes), name)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(partitions(spark), -(-tokens // RANGE_TOKENS))
 
@@ -271,7 +282,7 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
                 out += _requests(row.block, b.vocab[order], counts[order], ranges)
             yield pa.RecordBatch.from_pandas(_frame(out, REQUEST).astype({"range": "int32"}), preserve_index=False)
 
-    words = _answers(blocks.mapInArrow(ask_words, REQUEST), _merge_counts("words", 1))
+    words = _answers(blocks.mapInArrow(ask_words, REQUEST), _merge_counts("words"))
     total, distinct, *word_counts = _stats(words, "words_model")
     # every text of the training part has one end, and one start
     end_count = _count_of(words, _END, ranges)
@@ -291,7 +302,7 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
 
     by_block = blocks.groupBy("block")
     replied = lambda *tables: _all_replies(tables).groupBy("block")
-    pairs = _answers(by_block.applyInPandas(lambda mine: ask_pairs(mine, None), REQUEST), _merge_counts("pairs", MIN_COUNT))
+    pairs = _answers(by_block.applyInPandas(lambda mine: ask_pairs(mine, None), REQUEST), _merge_counts("pairs"))
     _, _, *pair_counts = _stats(pairs, "pairs_model")
     model = Model(total, distinct, word_counts, pair_counts)
 
@@ -302,25 +313,26 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
             _, history, word, _ = b.pairs()
             answer = _answered(replies, "pairs", np.uint32)
             owned = np.nonzero((answer & 1) & (answer > 1))[0]  # each stored pair is owned by one block
-            size = len(b.hashes)
-            mass = np.bincount(history[owned], model.pair_mass((answer[owned] >> 1).astype(np.int64)), size)
-            lower = np.bincount(history[owned], model.word(word_counts_of(b, replies)[word[owned]]), size)
+            counts, known = word_counts_of(b, replies), np.zeros(len(b.hashes), HISTORY)
+            known["mass"] = np.bincount(history[owned], model.pair_mass((answer[owned] >> 1).astype(np.int64)), len(known))
+            known["lower"] = np.bincount(history[owned], model.word(counts[word[owned]]), len(known))
+            known["count"] = np.append(counts, end_count)
             order = b.history_order()
-            out += _requests(row.block, b.hashes[order], (mass + 1j * lower)[order], ranges)
+            out += _requests(row.block, b.hashes[order], known[order], ranges)
         return _frame(out, REQUEST)
 
-    histories = _answers(by_block.cogroup(replied(words, pairs)).applyInPandas(ask_histories, REQUEST), _merge_sums("histories"))
+    histories = _answers(by_block.cogroup(replied(words, pairs)).applyInPandas(ask_histories, REQUEST), _merge_histories("histories"))
 
     def score(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for row in mine.itertuples():
             b = Block(row)
             counts = word_counts_of(b, replies)
-            sums = np.empty(len(b.hashes), np.complex128)
-            sums[b.history_order()] = _answered(replies, "histories", np.complex128)
+            weights = np.empty(len(b.hashes))
+            weights[b.history_order()] = _answered(replies, "histories", np.float64)
             _, history, word, place = b.pairs()
             c = (_answered(replies, "pairs", np.uint32) >> 1).astype(np.int64)
-            p = probability(model, c, np.append(counts, end_count)[history], sums[history], counts[word])
+            p = probability(model, c, np.append(counts, end_count)[history], weights[history], counts[word])
             known = counts[b.tokens]
             base = np.log10((known + 0.1) / (total + 0.1 * (distinct + 1)))
             ids = np.frombuffer(row.docs, np.int64)
@@ -341,24 +353,24 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
         return pd.concat(parts)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(replied(words, pairs, histories)).applyInPandas(score, schema)
+    scores = stored(by_block.cogroup(replied(words, pairs, histories)).applyInPandas(score, schema), "katz-scores")
+    for table in (blocks, words, pairs, histories):
+        drop_stored(table)
+    spark.sql(f"DROP TABLE {name}")
+    return scores
 
 
-def probability(model: Model, pair: np.ndarray, history: np.ndarray, sums: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """P(w | h) from the stored pair count, the history's count and (mass, lower mass) sums, and the word's count."""
+def probability(model: Model, pair: np.ndarray, history: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """P(w | h) from the counts of the pair, of the history and of the word, and the history's :func:`backoff` weight."""
     lower = model.word(word)
     if not model.total:
         return np.ones(len(lower))
-    mass, seen_lower = sums.real, sums.imag
-    left = model.left(history, mass)
-    seen = model.pair_mass(pair) * np.where(mass > 0, (1 - left) / np.where(mass > 0, mass, 1), 0)
-    back = np.where(mass > 0, left / np.maximum(1 - seen_lower, 1e-300), 1.0) * lower
-    return np.where(pair > 0, seen, back)
+    return np.where(pair > 0, model.pair_mass(pair) / (np.maximum(history, 1) + (weight < 0)), np.abs(weight) * lower)
 
 
-def _bucketed(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+def _bucketed(blocks: DataFrame, name: str) -> DataFrame:
     """Store the blocks bucketed by block: joins by block then leave them in place."""
-    name = f"katz_blocks_{uuid.uuid4().hex}"
+    spark = blocks.sparkSession
     blocks.write.bucketBy(partitions(spark), "block").option("path", new_path(spark, "katz-blocks")).saveAsTable(name)
     return spark.table(name)
 
