@@ -5,10 +5,12 @@ tree is the sorted array of its vectors' long hash strings (signs against random
 hyperplanes). A query descends every tree to its longest matching prefix, then
 all trees ascend together, one bit at a time, until their ranges hold enough
 candidates; these are scored exactly. Blocks answer separately and their answers
-are merged, so nothing ever holds more than a block and a block of queries.
+are merged. A task holds one block and at most ``QUERY_GROUP`` blocks of queries,
+whatever the table; both blocks are bounded in rows and in bytes.
 
 ``share`` is the number of candidates, over all trees and with repeats, as a part
-of a block: recall rises with it. Exact copies of a vector in a block are one
+of a block: recall rises with it, and a share of at least the number of trees takes
+every row, which makes the answer exact. Exact copies of a vector in a block are one
 entry with its smallest ids; ids beyond the wanted neighbours plus the query's own
 can't be among the nearest, since ties go to the smaller id.
 
@@ -30,8 +32,10 @@ from .common import stored
 
 #: Trees of a block, bits of a hash string, rows of a block, queries of a block of queries.
 TREES, BITS, BLOCK, QUERY_BLOCK = 24, 32, 16_384, 2048
+#: Bytes of a block's vectors, and query blocks that meet a block in one task.
+BLOCK_BYTES, QUERY_GROUP = 32 << 20, 16
 #: Candidates (with repeats over the trees) as a part of a block.
-SHARE = 0.5
+SHARE = 0.6
 
 
 def hyperplanes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = 5) -> np.ndarray:
@@ -49,6 +53,12 @@ def hash_strings(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return out
 
 
+def leveled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as doubles, each scaled by a power of two (so without rounding) to a largest component near one."""
+    vectors = vectors.astype(np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 class Block:
     """The forest over one block."""
 
@@ -66,7 +76,7 @@ class Block:
         by_group = np.argsort(group, kind="stable")
         starts = np.searchsorted(group[by_group], np.arange(len(lead)))
         self.members = [ids[m[: k + 1]] for m in np.split(by_group, starts[1:])]
-        self.vectors = vectors[lead].astype(np.float64)
+        self.vectors = leveled(vectors[lead])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
         self.bits = planes.shape[1]
@@ -78,7 +88,7 @@ class Block:
     def search(self, ids: np.ndarray, vectors: np.ndarray, share: float) -> tuple[list[int], list[int], list[float]]:
         """(query, neighbour, score) lists: the k nearest found for each query."""
         n, k = len(self.vectors), self.k
-        vectors = vectors.astype(np.float64)
+        vectors = leveled(vectors)
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         unit = (vectors / norms[:, None]).astype(np.float32)
         asked = hash_strings(unit, self.planes)
@@ -138,8 +148,11 @@ def nearest(
     asking = usable.filter(query_filter(F.col("id")))
     n, n_queries = usable.count(), asking.count()
     head = usable.first()
-    planes = spark.sparkContext.broadcast(hyperplanes(len(head.vec) if head else 1, trees))
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // QUERY_BLOCK))
+    dim = len(head.vec) if head else 1
+    planes = spark.sparkContext.broadcast(hyperplanes(dim, trees))
+    most = max(256, BLOCK_BYTES // (8 * dim))
+    blocks, query_blocks = max(1, -(-n // min(block, most))), max(1, -(-n_queries // min(QUERY_BLOCK, most)))
+    groups = -(-query_blocks // QUERY_GROUP)
     pack_schema = "part int, ids array<long>, vecs array<double>"
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,8 +161,9 @@ def nearest(
     # part counts, and so the rows of a part, are set by the block sizes
     members = usable.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("part").applyInPandas(pack, pack_schema)
     queries = asking.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")).groupBy("part").applyInPandas(pack, pack_schema)
-    fan = queries.select("ids", "vecs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    work = members.groupBy("part").cogroup(fan.groupBy("part"))
+    fan = queries.select("ids", "vecs", (F.col("part") % groups).alias("of"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    every = members.select("ids", "vecs", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("of"))
+    work = every.groupBy("part", "of").cogroup(fan.groupBy("part", "of"))
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])

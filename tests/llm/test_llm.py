@@ -22,7 +22,7 @@ def docs(spark, rows, extra=True):
 EDGE = [(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (None, "x y z"), (4, "word " * 40_000), (5, "a b c d e"), (6, "é😀 ß\x0b\tq")]
 
 
-def test_ann_matches_brute_force(spark):
+def test_ann_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(600, 16)).astype(np.float32)
     v[100:130] = v[7]
@@ -44,6 +44,22 @@ def test_ann_matches_brute_force(spark):
     assert same == [7, 101, 102, 103, 104]
     assert ann_forest.nearest(df.filter("vec_id < 3"), lambda i: i == 0).count() == 2
     assert ann_forest.nearest(df.filter("vec_id < 0"), lambda i: i == 0).count() == 0
+    for name, value in (("BLOCK_BYTES", 1), ("QUERY_BLOCK", 3), ("QUERY_GROUP", 2)):
+        monkeypatch.setattr(ann_forest, name, value)
+    exact = ann_forest.nearest(df, lambda i: i % 50 == 0, block=300, share=ann_forest.TREES).collect()
+    for q in range(0, 600, 50):  # every row a candidate: the exact answer
+        s = unit @ unit[q]
+        assert [r.vec_id for r in sorted(exact, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in sorted((-round(s[i], 12), i) for i in range(600) if i != q)[:5]]
+
+
+def test_ann_repeats_and_tiny_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1.0, 1.0]), (2, [1e200, -1e200]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0]), (4, [0.0, 1.0]), (5, [-3.0, 0.0])]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i.isin(0, 4), k=10).collect()
+    first = {r.vec_id: r.score for r in got if r.query_id == 0}
+    half = 2**-0.5
+    assert first == pytest.approx({1: 1.0, 2: 0.0, 3: half, 4: half, 5: -half}) and len(got) == 10
+    # of the rows with id 4 the one with the least vector bytes counts
+    assert {r.vec_id: round(r.score, 9) for r in got if r.query_id == 4} == {0: round(half, 9), 1: round(half, 9), 2: round(-half, 9), 3: 0.0, 5: 0.0}
 
 
 def brute_spans(text):
@@ -312,45 +328,81 @@ def test_proximity_matches_brute_force(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_katz_matches_brute_force_and_sums_to_one(spark):
-    rng = np.random.default_rng(4)
-    vocab = [f"W{int(i)}" for i in rng.zipf(1.5, 4000) % 60]
-    rows = [*EDGE, *[(100 + i, " ".join(vocab[i * 20 : i * 20 + 20])) for i in range(200)]]
-    got = katz_lm.score_documents(docs(spark, rows), block_bytes=2000).collect()
-    token = [(i, (t or "").translate(LOW)) for i, t in rows]
-    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t) + ["\n"]) for i, t in token]
-    words, pairs, texts = Counter(), Counter(), 0
-    for i, w in split:
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
-            words.update(w)
-            pairs.update(zip(["\n\n", *w], w))
-            texts += 1
-    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz_lm.TOP + 2)]
+def katz_by_hand(training):
+    """P(w | h) after Katz (1987), from lists of tokens: plain dictionaries, no code of the operator."""
+    k = 5
+    words, pairs, starts = Counter(), Counter(), Counter()
+    for tokens in training:
+        words.update(tokens)
+        for h, w in zip(["<s>", *tokens], tokens):
+            pairs[h, w] += 1
+            starts[h] += 1
     total = sum(words.values())
-    model = katz_lm.Model(total, len(words), of(words), of(pairs))
-    single = lambda w: float(model.word(np.array([words[w]]))[0])
-    counts = Counter(words)
-    counts["\n\n"] = texts
-    mass, lower = Counter(), Counter()
+
+    def discount(counts):
+        n = Counter(counts.values())
+        out = {}
+        for r in range(1, k + 1):
+            common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+            d = -1.0
+            if n[r] and common < 1:
+                d = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
+            if not 0 < d < 1:  # counts too thin for Good-Turing: absolute discounting
+                d = 1 - (n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5) / r
+            out[r] = d
+        return lambda r: out[r] * r if r <= k else r
+
+    d1, d2 = discount(words), discount(pairs)
+    left = 1 - sum(d1(c) for c in words.values()) / total
+    unseen = left if left > 0 else 1 / (total + 1)
+
+    def single(w):
+        return d1(words[w]) / total * (1 - unseen) / (1 - left) if words[w] else unseen
+
+    after = {}
     for (h, w), c in pairs.items():
-        if c >= katz_lm.MIN_COUNT:
-            mass[h] += float(model.pair_mass(np.array([c]))[0])
-            lower[h] += single(w)
+        after.setdefault(h, {})[w] = d2(c)
 
     def p(h, w):
-        c = pairs[h, w] if pairs[h, w] >= katz_lm.MIN_COUNT else 0
-        one = lambda x: np.array([x])
-        return float(katz_lm.probability(model, one(c), one(counts[h]), one(mass[h] + 1j * lower[h]), one(words[w]))[0])
+        seen = after.get(h)
+        if not seen:
+            return single(w)
+        given = sum(seen.values()) / starts[h]
+        rest = 1 - given if given < 1 else 1 / (starts[h] + 1)
+        if w in seen:
+            return seen[w] / starts[h] * (1 if given < 1 else starts[h] / (starts[h] + 1))
+        return rest / (1 - sum(single(x) for x in seen)) * single(w)
 
-    for h in ("\n\n", "w1", "w2", "word", "nowhere"):
+    return p, words, total
+
+
+@pytest.mark.parametrize("spread", [60, 600])
+def test_katz_matches_brute_force_and_sums_to_one(spark, spread):
+    rng = np.random.default_rng(4)
+    vocab = [f"W{int(i)}" for i in rng.zipf(1.5, 4000) % spread]
+    rows = [*EDGE, *[(100 + i, " ".join(vocab[i * 20 : i * 20 + 20])) for i in range(200)]]
+    tables = spark.catalog.listTables()
+    got = katz_lm.score_documents(docs(spark, rows), block_bytes=2000).collect()
+    assert spark.catalog.listTables() == tables
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + ["\n"]) for i, t in rows]
+    p, words, total = katz_by_hand([w for i, w in split if zlib.crc32(("" if i is None else str(i)).encode()) % 10])
+    for h in ("<s>", "w1", "w2", "word", "nowhere"):
         assert sum(p(h, w) for w in words) + p(h, "unseen") == pytest.approx(1)
     want = Counter()
     for i, w in split:
-        want[i, len(w), sum(words[x] > 0 for x in w), total, round(sum(np.log10(p(h, x)) for h, x in zip(["\n\n", *w], w)), 4)] += 1
+        want[i, len(w), sum(words[x] > 0 for x in w), total, round(sum(np.log10(p(h, x)) for h, x in zip(["<s>", *w], w)), 4)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 4)) for r in got) == want
     assert katz_lm.score_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_good_turing_discounts():
+    # n_1..n_6 = 100, 40, 25, 18, 14, 11: r* / r less the common part 66/100, over 34/100
+    common = 0.66
+    want = [(2 * 40 / 100 / 1 - common) / 0.34, (3 * 25 / 40 / 2 - common) / 0.34, (4 * 18 / 25 / 3 - common) / 0.34, (5 * 14 / 18 / 4 - common) / 0.34, (6 * 11 / 14 / 5 - common) / 0.34]
+    assert katz_lm.discounts([100, 40, 25, 18, 14, 11])[1:] == pytest.approx(want)
+    assert katz_lm.discounts([10, 5, 9, 9, 9, 9])[1:] == pytest.approx([1 - 0.5 / r for r in range(1, 6)])
+
+
 def test_katz_keeps_pairs_seen_once(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:8]
@@ -359,7 +411,7 @@ def test_katz_keeps_pairs_seen_once(spark):
     assert scores[held[0]] > scores[held[1]] + 0.1  # x y was seen once, x z never; y and z are alike else
 
 
-def test_simhash_matches_brute_force(spark):
+def test_simhash_matches_brute_force(spark, monkeypatch):
     xxhash = pytest.importorskip("xxhash")
     rng = np.random.default_rng(5)
     base = ["".join(rng.choice(list("abcdefg"), 4)) for _ in range(300)]
@@ -388,6 +440,12 @@ def test_simhash_matches_brute_force(spark):
         assert Counter(tuple(r) for r in simhash_tiles.near_duplicates(docs(spark, rows), tile=tile).collect()) == want
     kept = simhash_tiles.keep_representatives(docs(spark, rows))
     assert kept.count() == len(set(label)) and kept.columns == docs(spark, rows).columns
+    for name, value in (("CROWD", 2), ("SHINGLES", 7)):  # crowded fingerprints and long texts take other paths
+        monkeypatch.setattr(simhash_tiles, name, value)
+    assert Counter(tuple(r) for r in simhash_tiles.near_duplicates(docs(spark, rows)).collect()) == want
+    clash = docs(spark, [(1, None), (1, ""), (2, "a b"), (2, "a b")]).withColumns({c: F.lit("mine") for c in ("kept_mark", "kept_id", "kept_hash", "KEPT_order", "first", "n")})
+    found = simhash_tiles.keep_representatives(clash).collect()
+    assert sorted((r.doc_id, r.text, r.kept_mark, r.KEPT_order) for r in found) == [(1, None, "mine", "mine"), (2, "a b", "mine", "mine")]
     assert simhash_tiles.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
