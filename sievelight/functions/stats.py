@@ -19,10 +19,12 @@ BUCKETS = 64
 
 
 def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``bucket``, a number that ascends with the numeric column ``order``."""
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    steps = [(F.col(order) > F.lit(float(c))).cast("int") for c in sorted(set(cuts))]
-    return df.withColumn("bucket", reduce(add, steps) if steps else F.lit(0))
+    """``df`` with ``bucket``, a number that ascends with the numeric column ``order``.
+    The cuts are a row of the same plan, so nothing runs before the result is asked for."""
+    value = F.col(order).cast("double")
+    cuts = df.agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: F.col(order) > c))  # one row of at most ``buckets`` cuts
+    return df.join(F.broadcast(cuts)).withColumn("bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def running(df: DataFrame, by: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:

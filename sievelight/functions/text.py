@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,8 +18,25 @@ NON_WS = r"(?U)[^\s\x1c-\x1f]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SENTENCE_END = ".,!?;:"
 
-#: Words that, right after a short answer, deny it.
-NEGATIONS = ("not", "no", "never", "neither", "nor", "cannot", "isn't", "wasn't", "aren't", "weren't", "doesn't", "didn't", "don't", "won't")
+#: Verbs that deny with "not" or "n't", and other words that deny, right after a short answer.
+DENYING_VERBS = ("is", "was", "are", "were", "does", "do", "did", "has", "have", "had", "would", "could", "should")
+DENYING_WORDS = ("not", "cannot", "can't", "will\\s+not", "won't")
+
+#: The instruction of a generation prompt, and the version of all prompt texts.
+SYSTEM_PROMPT = "You are a helpful assistant. Answer the question in one short, factual sentence."
+PROMPT_VERSION = "v1"
+
+_ASCII = r"^[\x00-\x7F]*\z"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def collapse(text: Column) -> Column:
@@ -27,32 +45,43 @@ def collapse(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
+def _nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no builtin."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(T.StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
+def _nfkc_casefold(text: pd.Series) -> pd.Series:
     """NFKC and full case folding; Spark's ``lower`` isn't folding."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def _casefold(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.casefold())
+
+
+def beyond_ascii(text: Column, udf, ascii: Column) -> Column:
+    """``udf(text)`` where the text isn't ASCII, else ``ascii``: Python is handed nulls for ASCII texts."""
+    return F.coalesce(udf(F.when(~text.rlike(_ASCII), text)), ascii)
+
+
 def clean(text: Column) -> Column:
-    """Strip, collapse white space, NFC. ASCII text skips Python."""
+    """Strip, collapse white space, NFC."""
     tidy = collapse(text)
-    return nfc(tidy)
+    return beyond_ascii(tidy, _nfc, tidy)
 
 
 def normalized(text: Column) -> Column:
     """Key for leakage audits: NFKC, case folding, collapsed white space."""
-    return collapse(nfkc_casefold(text))
+    return collapse(beyond_ascii(text, _nfkc_casefold, F.lower(text)))
 
 
 def normalized_answer(text: Column) -> Column:
-    """Key for answer equality: lower case, collapsed white space (exact for text whose
-    folding is its lower case; :func:`normalized` covers the rest)."""
-    return collapse(F.lower(text))
+    """Key for answer equality: case folding, collapsed white space; null counts as empty.
+    Not for use inside lambdas of arrays, as it calls Python: normalise before collecting."""
+    text = F.coalesce(text, F.lit(""))
+    return collapse(beyond_ascii(text, _casefold, F.lower(text)))
 
 
 def is_blank(text: Column) -> Column:
@@ -67,37 +96,47 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NON_WS + "+"))
 
 
+@lru_cache
+def _other_digits() -> str:
+    """Character class of what ``str.isdigit`` takes beside decimal digits: superscripts, circled digits and the like."""
+    found = [c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()]
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in found) + "\\p{Nd}]"
+
+
 def formatting_features(text: Column) -> list[Column]:
-    """The seventeen surface features of a text; denominators are at least one."""
+    """The seventeen surface features of a text. Upper and lower case are shares of the
+    letters, all other ratios are shares of the characters; denominators are at least one."""
     n = F.length(text)
-    per = lambda count: count.cast("double") / F.greatest(n, F.lit(1))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    per = lambda c: c.cast("double") / F.greatest(n, F.lit(1))
+    of_letters = lambda c: c.cast("double") / F.greatest(count(r"\p{L}"), F.lit(1))
     words = word_count(text)
-    non_space = n - count(WS)
-    return [
-        n.cast("double").alias("char_count"),
-        words.cast("double").alias("word_count"),
-        (non_space.cast("double") / F.greatest(words, F.lit(1))).alias("avg_word_length"),
-        per(count(r"\p{Lu}")).alias("upper_ratio"),
-        per(count(r"\p{Ll}")).alias("lower_ratio"),
-        per(count(r"\p{Nd}")).alias("digit_ratio"),
-        per(count(r"\p{Punct}")).alias("punct_ratio"),
-        per(count(WS)).alias("whitespace_ratio"),
-        per(F.when(n == 0, 0).otherwise(F.size(F.array_distinct(F.split(text, ""))))).alias("unique_char_ratio"),
-        per(count(",")).alias("comma_ratio"),
-        per(count(r"\.")).alias("period_ratio"),
-        per(count(r"\?")).alias("question_ratio"),
-        per(count("!")).alias("exclaim_ratio"),
-        per(count(r"[()]")).alias("paren_ratio"),
-        per(count(r"[^\x00-\x7F]")).alias("non_ascii_ratio"),
-        F.when(text.rlike(r"^\p{Lu}"), 1.0).otherwise(0.0).alias("starts_uppercase"),
-        F.when(text.rlike(r"\p{Punct}\z"), 1.0).otherwise(0.0).alias("ends_punctuation"),
-    ]
+    flag = lambda test: F.when(test, 1.0).otherwise(0.0)
+    values = {
+        "char_count": n.cast("double"),
+        "word_count": words.cast("double"),
+        "avg_word_length": (n - count(" ")).cast("double") / F.greatest(words, F.lit(1)),
+        "uppercase_ratio": of_letters(count(r"[\p{L}&&\p{IsUppercase}]")),
+        "lowercase_ratio": of_letters(count(r"[\p{L}&&\p{IsLowercase}]")),
+        "digit_ratio": per(count(_other_digits())),
+        "punctuation_ratio": per(count(r"\p{Punct}")),
+        "whitespace_ratio": per(count(WS)),
+        "unique_char_ratio": per(F.when(n == 0, 0).otherwise(F.size(F.array_distinct(F.split(text, ""))))),
+        "comma_ratio": per(count(",")),
+        "period_ratio": per(count(r"\.")),
+        "question_mark_ratio": per(count(r"\?")),
+        "exclamation_ratio": per(count("!")),
+        "parenthesis_ratio": per(count(r"[()]")),
+        "non_ascii_ratio": per(count(r"[^\x00-\x7F]")),
+        "starts_uppercase": flag(text.rlike(r"^\p{IsUppercase}")),
+        "ends_punctuation": flag(text.rlike(r"\p{Punct}\z")),
+    }
+    return [values[name].alias(name) for name in FEATURES]
 
 
 FEATURES = (
-    "char_count", "word_count", "avg_word_length", "upper_ratio", "lower_ratio", "digit_ratio", "punct_ratio", "whitespace_ratio", "unique_char_ratio",
-    "comma_ratio", "period_ratio", "question_ratio", "exclaim_ratio", "paren_ratio", "non_ascii_ratio", "starts_uppercase", "ends_punctuation",
+    "char_count", "word_count", "avg_word_length", "uppercase_ratio", "lowercase_ratio", "digit_ratio", "punctuation_ratio", "whitespace_ratio", "unique_char_ratio",
+    "comma_ratio", "period_ratio", "question_mark_ratio", "exclamation_ratio", "parenthesis_ratio", "non_ascii_ratio", "starts_uppercase", "ends_punctuation",
 )
 
 
@@ -109,37 +148,49 @@ def has_non_ascii(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
-def user_message(knowledge: Column, question: Column) -> Column:
-    """Prompt body; blank parts are an error."""
-    built = F.concat(F.lit("Knowledge: "), knowledge, F.lit("\n\nQuestion: "), question)
-    return F.when(is_blank(knowledge) | is_blank(question), F.raise_error(F.lit("knowledge and question must not be blank")).cast("string")).otherwise(built)
+def _required(text: Column, what: str) -> Column:
+    """The stripped text; a blank or null one is an error."""
+    return F.when(is_blank(text), F.raise_error(F.lit(f"empty {what}")).cast("string")).otherwise(stripped(text))
 
 
-def chat_prompt(system: str, message: Column) -> Column:
-    """Chat template with a system and a user turn, open for the answer."""
-    turn = lambda role, body: F.concat(F.lit(f"<|start_header_id|>{role}<|end_header_id|>\n\n"), body, F.lit("<|eot_id|>"))
-    return F.concat(F.lit("<|begin_of_text|>"), turn("system", F.lit(system)), turn("user", message), F.lit("<|start_header_id|>assistant<|end_header_id|>\n\n"))
+def user_message(question: Column, knowledge: Column | None = None) -> Column:
+    """Prompt body with the knowledge or, without such a column, of the question alone; blank parts are an error."""
+    asked = F.concat(F.lit("Question: "), _required(question, "question"))
+    return asked if knowledge is None else F.concat(F.lit("Knowledge: "), _required(knowledge, "knowledge"), F.lit("\n\n"), asked)
 
 
-def classifier_inputs(question: Column, answer: Column, knowledge: Column, use: str = "qak") -> tuple[Column, Column]:
-    """Segment A (question and answer) and segment B (knowledge), each part only if ``use`` has its letter."""
-    parts = []
-    if "q" in use:
-        parts.append(F.concat(F.lit("Question: "), question))
-    if "a" in use:
-        parts.append(F.concat(F.lit("Answer: "), answer))
-    second = F.concat(F.lit("Knowledge: "), knowledge) if "k" in use else F.lit(None).cast("string")
+def generation_prompt(message: Column, system: str = SYSTEM_PROMPT, version: str = PROMPT_VERSION) -> Column:
+    """Chat prompt with a system and a user turn, open for the answer. ``version`` is the
+    one a run was configured with: another than that of the texts here is an error."""
+    if version != PROMPT_VERSION:
+        raise ValueError(f"prompt texts are version {PROMPT_VERSION!r}, the run says {version!r}")
+    head = lambda role: f"<|start_header_id|>{role}<|end_header_id|>\n\n"
+    return F.concat(F.lit(f"<|begin_of_text|>{head('system')}{system}<|eot_id|>{head('user')}"), message, F.lit(f"<|eot_id|>{head('assistant')}"))
+
+
+def classifier_inputs(answer: Column, question: Column | None = None, knowledge: Column | None = None) -> tuple[Column, Column]:
+    """Segment A, the question (if given) and always the answer, and segment B, the knowledge (null if not given)."""
+    parts = [F.concat(F.lit(name), stripped(c)) for name, c in (("Question: ", question), ("Answer: ", answer)) if c is not None]
+    second = F.lit(None).cast("string") if knowledge is None else F.concat(F.lit("Knowledge: "), stripped(knowledge))
     return F.concat_ws("\n", *parts), second
 
 
 def anchored_short_answer(short: Column, long: Column, most_words: int = 3) -> Column:
-    """True if ``short`` (at most three words) opens ``long`` at a word boundary and no negation follows."""
-    s, w = normalized_answer(short), normalized_answer(long)
-    opens = F.startswith(w, s) & (F.length(s) > 0) & (word_count(s) <= most_words)
-    rest = F.substring(w, F.length(s) + 1, F.length(w))
-    bounded = (rest == "") | ~rest.rlike(r"^\w") | ~s.rlike(r"\w\z")
-    denied = rest.rlike(r"^\W*(?:\w+\W+)?(?:" + "|".join(NEGATIONS) + r")(?!\w)")
-    return opens & bounded & ~denied
+    """True if ``short`` (at most three words) opens the longer text ``long`` as a term of its
+    own and no denial follows. Case doesn't count; null counts as empty."""
+    verbs = "|".join(DENYING_VERBS)
+    denial = rf"(?U)^(?:(?:{verbs})(?:\s+not|n't)|{'|'.join(DENYING_WORDS)})\b"
+
+    def opens(t):
+        s, w = t["s"], t["w"]
+        last, following = F.right(s, F.lit(1)), F.substring(w, F.length(s) + 1, F.lit(1))
+        bounded = last.rlike(r"(?U)\w") != following.rlike(r"(?U)\w")  # a word ends, or starts, between the two
+        rest = F.regexp_replace(F.substring(w, F.length(s) + 1, F.length(w)), "^[ \t:,\u2013\u2014-]+", "")
+        fits = (s != "") & (word_count(s) <= most_words) & (word_count(w) > word_count(s))
+        return fits & F.startswith(w, s) & bounded & ~rest.rlike(denial)
+
+    tidy = lambda c: F.lower(stripped(F.coalesce(c, F.lit(""))))
+    return bound(F.struct(tidy(short).alias("s"), tidy(long).alias("w")), opens)
 
 
 def derived_seed(seed: int, key: Column, index: Column) -> Column:
@@ -153,7 +204,9 @@ def preview(text: Column, most: int) -> Column:
 
 
 def unfinished_thinking(text: Column, opens: str = "<think>", closes: str = "</think>") -> Column:
-    return text.contains(opens) & ~text.contains(closes)
+    """True where thinking was opened and never closed; null text has none."""
+    shown = F.coalesce(text, F.lit(""))
+    return shown.contains(opens) & ~shown.contains(closes)
 
 
 def safe_name(name: Column) -> Column:

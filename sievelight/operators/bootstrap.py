@@ -9,6 +9,9 @@ expanded resample. Clusters are first collapsed to what the metrics need.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +26,25 @@ def draws(spark, clusters: int, replicates: int, seed: int = 42) -> DataFrame:
     return drawn.groupBy("rep", "cluster_no").agg(F.count("*").alias("mult"))
 
 
+#: Replicate number of the sample itself, whose metrics are the point estimates.
+ITSELF = -1
+
+
+def with_itself(weights: DataFrame, clusters: int) -> DataFrame:
+    """``weights`` and the sample itself: every cluster once, as replicate ITSELF."""
+    own = weights.sparkSession.range(clusters).select(F.lit(ITSELF).alias("rep"), F.col("id").alias("cluster_no"), F.lit(1).cast("long").alias("mult"))
+    return weights.unionByName(own)
+
+
 def pair_table(scored: DataFrame, cluster: str, scores: list[str]) -> DataFrame:
-    """One row for each complete cluster: number, and both labels' scores for each detector."""
+    """One row for each cluster: number, and both labels' scores for each detector. A cluster
+    that hasn't exactly one scored row of each label is an error where it is read."""
+    rows = lambda y: F.sum((F.col("label") == y).cast("int"))
+    whole = (rows(0) == 1) & (rows(1) == 1) & (F.count("*") == 2) & reduce(and_, [F.count(s) == 2 for s in scores])
+    fine = F.when(~F.col("_whole"), F.raise_error(F.lit(f"every {cluster} needs exactly one scored row of each label")).cast("boolean")).otherwise(True)
     one = lambda s, y: F.max(F.when(F.col("label") == y, F.col(s))).alias(f"{s}_{y}")
-    wide = scored.groupBy(cluster).agg(*[one(s, y) for s in scores for y in (0, 1)])
-    return wide.withColumn("cluster_no", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
+    wide = scored.groupBy(cluster).agg(*[one(s, y) for s in scores for y in (0, 1)], whole.alias("_whole"))
+    return wide.filter(fine).drop("_whole").withColumn("cluster_no", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
 
 
 def replicate_metrics(wide: DataFrame, weights: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -54,24 +71,58 @@ METRICS = ("auroc", "accuracy", "f1", "pair_accuracy")
 ALL_METRICS = ("auroc", "accuracy", "precision", "recall", "f1", "pair_accuracy")
 
 
-def intervals(reps: DataFrame, metrics: tuple[str, ...] = METRICS, level: float = 0.95) -> DataFrame:
-    """(metric, low, high, n_reps): percentile intervals; null replicates are skipped."""
+def _long(reps: DataFrame, values: dict[str, Column]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))
+    return reps.select("rep", each.alias("e")).select("rep", "e.*")
+
+
+def _summary(long: DataFrame, level: float, by: list[str] | None = None) -> DataFrame:
+    """estimate, low, high, n_reps of each metric: the estimate is the replicate ITSELF, null replicates are skipped."""
     a = (1 - level) / 2
-    long = reps.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("e")).select("e.*")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy("metric").agg(q(a).alias("low"), q(1 - a).alias("high"), F.count("value").alias("n_reps"))
+    drawn = F.when(F.col("rep") != ITSELF, F.col("value"))
+    return long.groupBy(*(by or []), "metric").agg(
+        F.max(F.when(F.col("rep") == ITSELF, F.col("value"))).alias("estimate"), F.percentile(drawn, F.lit(a)).alias("low"), F.percentile(drawn, F.lit(1 - a)).alias("high"),
+        F.count(drawn).alias("n_reps"), F.avg(F.when(drawn.isNotNull(), (drawn > 0).cast("double"))).alias("positive"),
+    )
 
 
-def paired_difference(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS, level: float = 0.95) -> DataFrame:
-    """Intervals of A - B over the same resamples, whether they exclude zero, and how often A is better."""
-    al = (1 - level) / 2
-    both = a.select("rep", *[F.col(m).alias(f"a_{m}") for m in metrics]).join(b.select("rep", *[F.col(m).alias(f"b_{m}") for m in metrics]), "rep")
-    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(f"b_{m}")).alias("d")) for m in metrics])).alias("e")).select("e.*").filter("d is not null")
-    out = long.groupBy("metric").agg(F.percentile("d", F.lit(al)).alias("low"), F.percentile("d", F.lit(1 - al)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("frac_a_better"))
-    return out.withColumn("ci_excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+def intervals(reps: DataFrame, metrics: tuple[str, ...] = METRICS, level: float = 0.95) -> DataFrame:
+    """(metric, estimate, low, high, n_reps): percentile intervals; the estimate is null unless the sample itself is among the replicates."""
+    return _summary(_long(reps, {m: F.col(m) for m in metrics}), level).drop("positive")
 
 
-def verdict(low: Column, high: Column, available: Column | None = None) -> Column:
-    """IMPROVES if all intervals lie above zero, WORSE if any lies below, else INCONCLUSIVE; UNAVAILABLE without data."""
-    available = available if available is not None else low.isNotNull()
-    return F.when(~available, "UNAVAILABLE").when(low > 0, "IMPROVES").when(high < 0, "WORSE").otherwise("INCONCLUSIVE")
+def paired_difference(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS, level: float = 0.95) -> DataFrame:
+    """Estimates and intervals of A - B over the same resamples, whether they exclude zero, and how often A is better."""
+    both = a.select("rep", *[F.col(m).alias(f"a_{m}") for m in metrics]).join(b.select("rep", *[F.col(m).alias(f"b_{m}") for m in metrics]), "rep")
+    out = _summary(_long(both, {m: F.col(f"a_{m}") - F.col(f"b_{m}") for m in metrics}), level).drop("n_reps").withColumnRenamed("positive", "frac_a_better")
+    return out.withColumn("ci_excludes_zero", F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False)))
+
+
+def verdict(differences: DataFrame, by: list[str]) -> DataFrame:
+    """IMPROVES if the intervals of all compared inputs (rows with low and high) lie above zero,
+    WORSE if any lies below, else INCONCLUSIVE; UNAVAILABLE where no row is known."""
+    low, high = F.col("low"), F.col("high")
+    known = F.count(F.when(low.isNotNull() | high.isNotNull(), 1))
+    every, some = F.min(F.coalesce(low > 0, F.lit(False)).cast("int")), F.max(F.coalesce(high < 0, F.lit(False)).cast("int"))
+    named = F.when(known == 0, "UNAVAILABLE").when(every == 1, "IMPROVES").when(some == 1, "WORSE").otherwise("INCONCLUSIVE")
+    return differences.groupBy(*by).agg(named.alias("verdict"))
+
+
+def compared(samples: DataFrame, detectors: dict[str, float], reference: str, cluster: str = "pair_id", replicates: int = 1000, seed: int = 42, metrics: tuple[str, ...] = METRICS, hold=lambda df: df) -> dict[str, DataFrame]:
+    """Detectors (score column to threshold) on one set of samples, over the same resamples.
+
+    ``intervals`` has estimate and interval of each detector and metric, ``differences`` those
+    of each other detector less the reference, ``verdict`` what they say together for each
+    metric. ``hold`` may store the table of clusters and the draws, which are read several times."""
+    wide = hold(pair_table(samples, cluster, list(detectors)))
+    n = wide.count()
+    weights = hold(with_itself(draws(samples.sparkSession, n, replicates, seed), n))
+    reps = {d: hold(replicate_metrics(wide, weights, d, t)) for d, t in detectors.items()}
+    named = lambda df, d: df.select(F.lit(d).alias("detector"), "*")
+    every = reduce(DataFrame.unionByName, [named(intervals(r, metrics), d) for d, r in reps.items()])
+    others = [named(paired_difference(r, reps[reference], metrics), d) for d, r in reps.items() if d != reference]
+    out = {"intervals": every}
+    if others:
+        against = [paired_difference(reps[reference], r, metrics).select(F.lit(d).alias("detector"), "metric", "low", "high") for d, r in reps.items() if d != reference]
+        out |= {"differences": reduce(DataFrame.unionByName, others), "verdict": verdict(reduce(DataFrame.unionByName, against), ["metric"])}
+    return out

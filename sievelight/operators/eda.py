@@ -67,6 +67,12 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.select(F.greatest(F.least(b, F.lit(bins)), F.lit(1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def ecdf(bins: DataFrame) -> DataFrame:
+    """(bin, n) rows with ``ecdf``, the share of all rows up to each bin; there are few bins."""
+    up = Window.orderBy("bin")
+    return bins.withColumn("ecdf", F.sum("n").over(up).cast("double") / F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
 def log_histogram(df: DataFrame, value: str, per_decade: int = 4) -> DataFrame:
     """Rows in geometric bins of values >= 1."""
     return df.filter(F.col(value) >= 1).select(F.floor(per_decade * F.log10(F.col(value).cast("double"))).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))

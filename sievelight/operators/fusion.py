@@ -67,12 +67,13 @@ class Logistic:
 
 
 def fit_many(
-    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 30, tol: float = 1e-8, vector: str | None = None
+    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 100, tol: float = 1e-8, vector: str | None = None
 ) -> dict[str, Logistic]:
     """Fit models {name: (C, fold left out or None, group kept or None)}: penalty
     |w|^2 / (2C) beside the summed loss, intercept free. Each partition adds up its
     own gradients and Hessians in numpy; the sums are added per model and place.
-    With ``vector``, an array column holds the features in their order."""
+    With ``vector``, an array column holds the features in their order. Steps that
+    haven't come to rest after ``steps`` are an error."""
     spark, p = df.sparkSession, len(features) + 1
     weights = {n: np.zeros(p) for n in models}
     live = set(models)
@@ -117,6 +118,8 @@ def fit_many(
                 live.discard(n)
         live &= set(found)
     rows.unpersist()
+    if live:
+        raise RuntimeError(f"not at rest after {steps} steps: {', '.join(sorted(live))}")
     return {n: Logistic(tuple(features), tuple(w[1:].tolist()), float(w[0])) for n, w in weights.items()}
 
 
@@ -140,8 +143,9 @@ def fit_fusion(validation: DataFrame, features: list[str], group: str = "pair_id
     from .splits import grouped_folds
 
     scale = standardisation(validation, features)
-    rows = grouped_folds(standardised(validation, scale), group, folds, seed).cache()
-    models = fit_many(rows, features, {f"{c}|{k}": (c, k, None) for c in C_GRID for k in range(folds)}, fold="fold")
+    rows = grouped_folds(standardised(validation, scale), group, folds, seed).persist()
+    grid = {f"{c}|{k}": (c, k, None) for c in C_GRID for k in range(folds)} | {f"{c}|all": (c, None, None) for c in C_GRID}
+    models = fit_many(rows, features, grid, fold="fold")  # folds and whole data take their steps together
     by_fold = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("fold"))
 
     def pick(c):
@@ -151,12 +155,13 @@ def fit_fusion(validation: DataFrame, features: list[str], group: str = "pair_id
             out = out + by_fold([m.coef[i] for m in own]) * F.col(f)
         return out
 
-    scored = rows.withColumns({f"oof_{i}": pick(c) for i, c in enumerate(C_GRID)}).cache()
+    scored = rows.withColumns({f"oof_{i}": pick(c) for i, c in enumerate(C_GRID)})
     p = lambda i: F.greatest(F.least(1 / (1 + F.exp(-F.col(f"oof_{i}"))), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = scored.agg(*[(-F.avg(F.when(F.col("label") == 1, F.ln(p(i))).otherwise(F.ln(1 - p(i))))).alias(f"l{i}") for i in range(len(C_GRID))]).first()
     losses = {c: loss[f"l{i}"] for i, c in enumerate(C_GRID)}
     best = min(C_GRID, key=lambda c: (losses[c], c))
-    model = fit_logistic(rows, features, best)
+    model = models[f"{best}|all"]
+    rows.unpersist()
     keep = [c for c in validation.columns if c not in features]
     return Fusion(scale, model, best, losses), scored.select(*keep, F.col(f"oof_{C_GRID.index(best)}").alias("score"))
 
@@ -178,11 +183,113 @@ def amortised(rows: DataFrame, cost: str, pair: str = "pair_id", name: str | Non
 
 def cost_totals(rows: DataFrame, once_per: str | None = None) -> DataFrame:
     """Summed latency, generations and tokens, and the highest memory; a shared cost counts once."""
-    if once_per:
-        rows = rows.dropDuplicates([once_per])
+    if once_per:  # of a key's rows the least counts, so the result is one whatever the order
+        costs = F.struct("latency_s", "n_generations", "n_generated_tokens", "peak_gpu_mem_mb")
+        rows = rows.groupBy(once_per).agg(F.min(costs).alias("_c")).select("_c.*")
     return rows.agg(F.sum("latency_s").alias("latency_s"), F.sum("n_generations").alias("n_generations"), F.sum("n_generated_tokens").alias("n_generated_tokens"), F.max("peak_gpu_mem_mb").alias("peak_gpu_mem_mb"))
 
 
+@dataclass(frozen=True)
+class Input:
+    """A detector that fusion reads: scores (sample_id, score) of both splits and what made them."""
+
+    name: str
+    validation: DataFrame
+    test: DataFrame
+    provenance: tuple[str, str]
+    transform: str = "none"
+
+    def column(self) -> Column:
+        return logit(F.col(self.name)) if self.transform == "logit" else F.col(self.name).cast("double")
+
+
+def designed(samples: DataFrame, inputs: list[Input], split: str, partial: bool = False) -> DataFrame:
+    """``samples`` with a column for each input. Ids must match exactly or, with ``partial``,
+    samples that some input lacks are left out and only unknown ids are an error."""
+    from .leakage import align, coverage
+    from .validate import require_none
+
+    out = samples
+    for i in inputs:
+        scores = (i.validation if split == "validation" else i.test).select("sample_id", F.col("score").alias(i.name))
+        if partial:
+            require_none(coverage(samples, scores).filter("problem = 'extra'"), f"{i.name}: records that are not in {split}")
+            out = out.join(scores, "sample_id")
+        else:
+            out = align(out, scores)
+    return out.withColumns({i.name: i.column() for i in inputs})
+
+
+@dataclass(frozen=True)
+class FusionRun:
+    fit: Fusion
+    features: tuple[str, ...]
+    validation: DataFrame  # out-of-fold scores
+    test: DataFrame  # samples with the inputs, ``fusion`` and ``average``
+    thresholds: DataFrame  # detector, threshold
+    coverage: dict[str, int]
+
+
+def run_fusion(
+    inputs: list[Input], validation: DataFrame, test: DataFrame, include_length: bool = False, partial: bool = False, mixed: bool = False, min_pairs: int = 100, criterion: str = "youden"
+) -> FusionRun:
+    """Fit on validation labels alone and score test by the fit and by the unfitted average.
+
+    At least two inputs with names of their own and one provenance (``mixed`` accepts several).
+    With ``partial`` only samples that every input covers are used; at least ``min_pairs``
+    validation pairs and one test sample must be left."""
+    from .metrics import score_groups, select_threshold, threshold_candidates
+    from .validate import DataIntegrityError
+
+    names = [i.name for i in inputs]
+    if len(names) < 2 or len(set(names)) != len(names):
+        raise ValueError("fusion needs at least two inputs with different names")
+    if len({i.provenance for i in inputs}) > 1 and not mixed:
+        raise DataIntegrityError("inputs of several configurations: " + "; ".join(f"{i.name} {i.provenance}" for i in inputs))
+    ready = {s: designed(df, inputs, s, partial) for s, df in (("validation", validation), ("test", test))}
+    if include_length:
+        ready = {s: df.withColumn("log_length", log_length(F.col("length"))) for s, df in ready.items()}
+        names = [*names, "log_length"]
+    used = {s: df.count() for s, df in ready.items()}
+    if partial:
+        n = ready["validation"].select("pair_id").distinct().count()
+        if n < min_pairs:
+            raise ValueError(f"only {n} validation pairs are covered by every input, {min_pairs} are needed")
+        if not used["test"]:
+            raise ValueError("no test sample is covered by every input")
+    fit, oof = fit_fusion(ready["validation"], names)
+    own = average_score(ready["validation"], names, fit.scale)
+    chosen = lambda df, d: select_threshold(threshold_candidates(score_groups(df, [])), [], criterion).select(F.lit(d).alias("detector"), "threshold")
+    both = apply_fusion(ready["test"], fit, "fusion").select("sample_id", "fusion").join(average_score(ready["test"], names, fit.scale, "average").select("sample_id", "average"), "sample_id")
+    counts = {f"{s}_{k}": v for s, df in (("validation", validation), ("test", test)) for k, v in (("used", used[s]), ("total", df.count()))}
+    return FusionRun(fit, tuple(names), oof, ready["test"].join(both, "sample_id"), chosen(oof, "fusion").unionByName(chosen(own, "average")), counts)
+
+
+def diagnostics(rows: DataFrame, inputs: list[str], raw: dict[str, str] | None = None, length: str = "length") -> DataFrame:
+    """(input, auroc, n_distinct, clipped, spearman_length): facts about each input column on
+    validation; ``raw`` names the column before the logit whose clipped share is told."""
+    from ..functions.stats import spearman
+    from .metrics import auroc
+
+    out = None
+    for c in inputs:
+        p = F.col(raw[c]) if raw and c in raw else None
+        clipped = F.avg(((p <= CLIP) | (p >= 1 - CLIP)).cast("double")) if p is not None else F.lit(None).cast("double")
+        row = rows.agg(F.lit(c).alias("input"), F.countDistinct(c).alias("n_distinct"), clipped.alias("clipped"))
+        row = row.join(F.broadcast(auroc(rows, [], c))).join(F.broadcast(spearman(rows.select(c, length), c, length, "spearman_length")))
+        out = row if out is None else out.unionByName(row)
+    return out.select("input", "auroc", "n_distinct", "clipped", "spearman_length")
+
+
+def input_correlations(rows: DataFrame, inputs: list[str]) -> DataFrame:
+    """(a, b, pearson) of each two inputs, null where one doesn't vary."""
+    from ..functions.stats import guarded_corr
+
+    two = [(a, b) for i, a in enumerate(inputs) for b in inputs[i + 1 :]]
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}~{b}").alias("pearson")) for a, b in two])
+    return rows.agg(*[guarded_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}~{b}") for a, b in two]).select(F.explode(each).alias("e")).select("e.*")
+
+
 def error_overlap(correct: DataFrame) -> DataFrame:
     """For each two detectors of (sample_id, detector, correct): joint counts and McNemar p."""
     from ..functions.stats import mcnemar_exact
@@ -198,3 +305,9 @@ def oracle_accuracy(correct: DataFrame) -> DataFrame:
     """Share of samples that at least one detector gets right, and how many all get wrong."""
     best = correct.groupBy("sample_id").agg(F.max("correct").alias("any"))
     return best.agg(F.avg("any").alias("oracle_accuracy"), F.sum((F.col("any") == 0).cast("long")).alias("all_wrong"))
+
+
+def wrong_samples(correct: DataFrame) -> DataFrame:
+    """(sample_id, wrong_by, all_wrong): samples that some detector gets wrong, by which, and whether by all."""
+    found = correct.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.when(F.col("correct") == 0, F.col("detector")))).alias("wrong_by"), F.max("correct").alias("_best"))
+    return found.filter(F.size("wrong_by") > 0).select("sample_id", "wrong_by", (F.col("_best") == 0).alias("all_wrong"))

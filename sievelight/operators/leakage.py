@@ -38,21 +38,40 @@ def seen_in_train(rows: DataFrame, train: DataFrame, key: str) -> DataFrame:
 
 
 def exclude_pairs(rows: DataFrame, train: DataFrame, keys: list[str], pair: str = "pair_id") -> DataFrame:
-    """Drop whole pairs of which any row shares any of ``keys`` with train."""
-    hits = None
+    """Drop whole pairs of which any row shares any of ``keys`` with train; without keys nothing goes."""
+    hits = rows.select(pair).limit(0)
     for k in keys:
         found = rows.join(train.select(k).distinct(), k, "left_semi").select(pair)
-        hits = found if hits is None else hits.unionByName(found)
+        hits = hits.unionByName(found)
     return rows.join(hits.distinct(), pair, "left_anti")
 
 
-def covered_by_all(samples: DataFrame, inputs: list[DataFrame], key: str = "sample_id") -> DataFrame:
-    """Samples that every input covers."""
+def scopes(rows: DataFrame, train: DataFrame, without: dict[str, list[str]], pair: str = "pair_id") -> DataFrame:
+    """``rows`` once as scope ``all`` and once for each named list of keys without the pairs that share one with train."""
+    out = rows.withColumn("scope", F.lit("all"))
+    for name, keys in without.items():
+        out = out.unionByName(exclude_pairs(rows, train, keys, pair).withColumn("scope", F.lit(name)))
+    return out
+
+
+def covered_by_all(samples: DataFrame, inputs: list[DataFrame], key: str = "sample_id", least_pairs: int = 0, pair: str = "pair_id") -> DataFrame:
+    """Samples that every input covers; fewer than ``least_pairs`` pairs among them are an error."""
     for i in inputs:
         samples = samples.join(i.select(key).distinct(), key, "left_semi")
+    if least_pairs:
+        found = samples.select(pair).distinct().limit(least_pairs).count()
+        if found < least_pairs:
+            raise ValueError(f"only {found} pairs are covered by every input, {least_pairs} are needed")
     return samples
 
 
+def label_mismatches(found: DataFrame, expected: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, problem): ids that are missing or extra, or whose label differs."""
+    own = found.select(key, F.col("label").alias("_l")).distinct()
+    differ = expected.join(own, key).filter(~F.col("label").eqNullSafe(F.col("_l"))).select(key, F.lit("label").alias("problem"))
+    return coverage(expected, found, key).unionByName(differ)
+
+
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among the finished ones."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -38,62 +38,74 @@ def islands(rows: DataFrame, delta: int) -> DataFrame:
     return rows.join(F.broadcast(marked.select("length", F.sum("_new").over(w).alias("island"))), "length")
 
 
-def match_counts(n0: np.ndarray, n1: np.ndarray, lengths: np.ndarray, delta: int) -> list[tuple[int, int, int]]:
-    """(i, j, count): how many rows of length i (label 0) go with rows of length j (label 1).
+def aligned(a: np.ndarray, b: np.ndarray, delta: int) -> list[tuple[int, int]]:
+    """Places (i, j) of matched entries of two ascending length arrays: within delta as many as
+    possible, then of least total gap.
 
-    Most matches first, then least total gap. Uncrossed matches suffice on a line,
-    so rows in length order are aligned by dynamic programming.
+    Uncrossed matches suffice on a line, so prefixes are aligned by dynamic programming. A row
+    only changes what lies within delta of its length; one row of values is kept, and of each
+    row one byte for each of those places, to walk back by.
     """
-    a = np.repeat(np.arange(len(lengths)), n0)
-    b = np.repeat(np.arange(len(lengths)), n1)
-    # best[j] = (matches, -gap) over prefixes, packed into one integer
-    weight = int((delta + 1) * (min(len(a), len(b)) + 1))
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for i in range(1, len(a) + 1):
-        gap = np.abs(lengths[a[i - 1]] - lengths[b]) if len(b) else np.zeros(0)
-        gain = np.where(gap <= delta, weight - gap, -1)
-        row = np.maximum(best[i - 1, 1:], np.where(gain >= 0, best[i - 1, :-1] + gain, 0))
-        best[i, 1:] = np.maximum.accumulate(row) if len(row) else row
-    found: dict[tuple[int, int], int] = {}
-    i, j = len(a), len(b)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            key = (int(a[i - 1]), int(b[j - 1]))
-            found[key] = found.get(key, 0) + 1
-            i, j = i - 1, j - 1
-    return [(x, y, n) for (x, y), n in sorted(found.items())]
+    low, high = np.searchsorted(b, a - delta, "left"), np.searchsorted(b, a + delta, "right")
+    weight = (delta + 1) * (min(len(a), len(b)) + 1)  # a match outweighs any sum of gaps
+    best, reach = np.zeros(len(b) + 1, np.int64), 0  # best[j]: over the first j entries, of which those beyond reach add nothing
+    steps = []
+    for n, lo, hi in zip(a, low, high):
+        best[reach + 1 : hi + 1] = best[reach]
+        reach = int(hi)
+        old, before = best[lo + 1 : hi + 1].copy(), best[lo]
+        new = np.maximum(np.maximum.accumulate(np.maximum(old, best[lo:hi] + weight - np.abs(n - b[lo:hi]))), before)
+        left = np.concatenate([[before], new[:-1]])[: len(new)]
+        # 0: this row is left out; 1: the entry is left out; 2: both are matched
+        steps.append(np.where(new == old, 0, np.where(new == left, 1, 2)).astype(np.int8))
+        best[lo + 1 : hi + 1] = new
+    out, i, j = [], len(a) - 1, len(b)
+    while i >= 0 and j > 0:
+        j = min(j, int(high[i]))
+        step = steps[i][j - low[i] - 1] if j > low[i] else 0
+        if step == 2:
+            out.append((i, j - 1))
+        i, j = i - (step != 1), j - (step != 0)
+    return out[::-1]
 
 
 def optimal_matches(rows: DataFrame, delta: int = 1) -> DataFrame:
-    """(match_no within island, id0, id1, gap): one-to-one matches within delta, as many
-    as possible, then of least total gap.
+    """(id0, id1, gap): one-to-one matches within delta, as many as possible, then of least total gap.
 
-    Rows of equal length are interchangeable, so equal lengths are paired with each
-    other first where that loses nothing, and an island is solved on its counts. An
-    island is a stretch of adjacent lengths; its program is quadratic in its rows, so
-    islands suit controlled sets, not whole corpora.
+    Solved for each island, a stretch of adjacent lengths: its rows meet in one task, which
+    keeps one byte for each factual row and each hallucinated row within delta of it. That
+    suits controlled sets; for whole corpora use :func:`greedy_length_matches`.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "sample_id"])
         side = [pdf[pdf["label"] == y] for y in (0, 1)]
-        lengths = np.sort(pdf["length"].unique())
-        counts = [s["length"].map({v: i for i, v in enumerate(lengths)}) for s in side]
-        n = [np.bincount(c.to_numpy(dtype=int), minlength=len(lengths)) for c in counts]
-        queue = [{i: s["sample_id"][c == i].tolist()[::-1] for i in range(len(lengths))} for s, c in zip(side, counts)]
-        out = []
-        for i, j, k in match_counts(n[0], n[1], lengths, delta):
-            out += [(queue[0][i].pop(), queue[1][j].pop(), int(abs(lengths[i] - lengths[j]))) for _ in range(k)]
-        return pd.DataFrame(sorted(out), columns=["id0", "id1", "gap"])
+        ids, lengths = [s["sample_id"].tolist() for s in side], [s["length"].to_numpy(np.int64) for s in side]
+        found = aligned(*lengths, delta)
+        return pd.DataFrame([(ids[0][i], ids[1][j], int(abs(lengths[0][i] - lengths[1][j]))) for i, j in found], columns=["id0", "id1", "gap"])
 
     cut = islands(rows.select("sample_id", "label", "length"), delta)
     return cut.groupBy("island").applyInPandas(solve, "id0 string, id1 string, gap int")
 
 
+def matched_rows(matches: DataFrame, rows: DataFrame, delta: int) -> DataFrame:
+    """``rows`` of matches (id0, id1) with ``match_id``, numbered from 0 in order of the factual id."""
+    from .splits import numbered
+
+    named = numbered(matches.select("id0", "id1"), ["id0"], "_no").select(F.format_string(f"d{delta}_m%04d", "_no").alias("match_id"), F.explode(F.array("id0", "id1")).alias("sample_id"))
+    return rows.drop("match_id").join(named, "sample_id")
+
+
+def controlled_set(test: DataFrame, delta: int = 1) -> DataFrame:
+    """The length-controlled part of test samples (with answer): optimal matches, checked, with match ids."""
+    from .validate import require_none
+
+    sized = test.select("sample_id", "label", F.length("answer").alias("length"))
+    out = matched_rows(optimal_matches(sized, delta), test, delta)
+    require_none(match_violations(out.withColumn("length", F.length("answer")), delta), "broken matches")
+    return out
+
+
 def greedy_matches(edges: DataFrame) -> DataFrame:
     """Greedy one-to-one matches of (id0, id1, gap) edges in the order (gap, id0, id1).
 
@@ -191,11 +203,38 @@ def nearest_greedy(rows: DataFrame) -> DataFrame:
 
 
 def match_violations(matched: DataFrame, delta: int) -> DataFrame:
-    """Matches (match_id, label, length) that lack a row of either label or exceed the gap."""
-    g = matched.groupBy("match_id").agg(
-        F.count("*").alias("n"), F.countDistinct("label").alias("labels"), (F.max("length") - F.min("length")).alias("gap")
+    """Matches (match_id, label, length) that lack a row of either label, exceed the gap, or
+    hold a sample that also stands in another match."""
+    reused = (F.count("*").over(Window.partitionBy("sample_id")) > 1).cast("int") if "sample_id" in matched.columns else F.lit(0)
+    g = matched.withColumn("_reused", reused).groupBy("match_id").agg(
+        F.count("*").alias("n"), F.countDistinct("label").alias("labels"), (F.max("length") - F.min("length")).alias("gap"), F.max("_reused").alias("reused")
+    )
+    return g.filter((F.col("n") != 2) | (F.col("labels") != 2) | (F.col("gap") > delta) | (F.col("reused") > 0))
+
+
+def artefact_checks(matched: DataFrame, test: DataFrame, delta: int, expected: int) -> DataFrame:
+    """(name, ok, n_problems): the nine properties of a written controlled set of ``expected`` rows."""
+    from .validate import checks
+
+    own = matched.withColumn("length", F.length("answer"))
+    groups = own.groupBy("match_id").agg(F.count("*").alias("n"), F.sum("label").alias("n1"), F.countDistinct("label").alias("labels"), (F.max("length") - F.min("length")).alias("gap"))
+    size = own.agg(F.count("*").alias("n"), F.sum((F.col("label") == 0).cast("int")).alias("n0"), F.countDistinct("match_id").alias("m"))
+    repeats = own.groupBy("sample_id").count().filter("count > 1")
+    same = ["sample_id", *[c for c in ("pair_id", "language", "question", "knowledge", "answer", "label") if c in test.columns and c in matched.columns]]
+    stored = own.filter(F.col("answer_length_chars") != F.col("length")).select("match_id") if "answer_length_chars" in own.columns else own.select("match_id").limit(0)
+    return checks(
+        [
+            ("row count", size.filter(F.col("n") != expected)),
+            ("class balance", size.filter(F.col("n0") * 2 != F.col("n"))),
+            ("sample_id uniqueness", repeats),
+            ("match_id structure", groups.filter("n <> 2").select("match_id").unionByName(size.filter(F.col("m") * 2 != expected).select(F.lit("").alias("match_id")))),
+            ("one of each label per match", groups.filter("n <> 2 or labels <> 2")),
+            ("length tolerance", groups.filter(F.col("gap") > delta).select("match_id").unionByName(stored)),
+            ("source membership", own.join(test.select("sample_id"), "sample_id", "left_anti")),
+            ("no sample reuse", repeats),
+            ("content preservation", own.join(test.select(*same), same, "left_anti")),
+        ]
     )
-    return g.filter((F.col("n") != 2) | (F.col("labels") != 2) | (F.col("gap") > delta))
 
 
 def match_summary(matches: DataFrame, rows: DataFrame) -> DataFrame:

@@ -107,12 +107,15 @@ def criterion(name: str) -> Column:
     return F.coalesce(value, F.lit(float("-inf")))
 
 
-def select_threshold(candidates: DataFrame, by: list[str], name: str = "youden", ties: str = "lowest", undefined: str = "null") -> DataFrame:
-    """The best candidate of each group; equal values go to the lowest or highest threshold."""
-    rated = rates(candidates, undefined).withColumn("value", criterion(name))
+def select_threshold(candidates: DataFrame, by: list[str], name: str = "youden", ties: str = "lowest", undefined: str = "null", single: str = "error") -> DataFrame:
+    """The best candidate of each group; equal values go to the lowest or highest threshold.
+    A group whose labels are all of one class is an error, or has a null threshold with ``single='null'``."""
+    one = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
+    refuse = F.raise_error(F.lit("labels of a single class: no threshold can be selected")).cast("double") if single == "error" else F.lit(None).cast("double")
+    rated = rates(candidates, undefined).withColumn("value", F.when(one, refuse).otherwise(criterion(name)))
     order = -F.col("threshold") if ties == "lowest" else F.col("threshold")
     best = rated.groupBy(*by).agg(F.max(F.struct(F.col("value"), order.alias("order"), F.col("threshold"))).alias("best"))
-    return best.select(*by, F.col("best.threshold").alias("threshold"), F.col("best.value").alias("value"))
+    return best.select(*by, F.when(F.col("best.value").isNotNull(), F.col("best.threshold")).alias("threshold"), F.col("best.value").alias("value"))
 
 
 def pairs(scored: DataFrame, key: str, value: str = "score", label: str = "label") -> DataFrame:
@@ -126,6 +129,12 @@ def win(factual: Column, hallucinated: Column) -> Column:
     return F.when(hallucinated > factual, 1.0).when(hallucinated == factual, 0.5).otherwise(0.0)
 
 
+def require_complete(paired: DataFrame, what: str = "pair") -> DataFrame:
+    """``paired`` as it is; a key without exactly one row of each label is an error where it is read."""
+    fine = F.when(~F.col("complete"), F.raise_error(F.lit(f"incomplete {what}")).cast("boolean")).otherwise(True)
+    return paired.filter(fine)
+
+
 def pair_accuracy(paired: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of pairs in which the hallucinated answer scores higher (ties one half)."""
     w = win(F.col("factual"), F.col("hallucinated"))
@@ -133,14 +142,16 @@ def pair_accuracy(paired: DataFrame, by: list[str] | None = None) -> DataFrame:
     return whole.groupBy(*(by or [])).agg(F.count("*").alias("n_pairs"), F.avg(w).alias("pair_accuracy"), F.sum((w == 0.5).cast("long")).alias("n_ties"))
 
 
-def threshold_curve(scored: DataFrame, points: int = 21, score: str = "score", label: str = "label") -> DataFrame:
-    """Metrics at evenly spaced quantiles of the scores, equal quantiles once."""
-    grid = scored.agg(F.percentile(F.col(score), F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("q")).select(F.explode(F.array_distinct("q")).alias("threshold"))
-    # the grid has at most ``points`` rows; every score group meets each of them
-    groups = scored.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+def threshold_curve(scored: DataFrame, points: int = 21, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Metrics of each group at evenly spaced quantiles of its scores, equal quantiles once."""
+    by = by or []
+    grid = scored.groupBy(*by).agg(F.percentile(F.col(score), F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("q")).select(*by, F.explode(F.array_distinct("q")).alias("threshold"))
+    # the grid has at most ``points`` rows for each group; every score group meets those of its own
+    groups = scored.groupBy(*by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     above = F.col("score") >= F.col("threshold")
     part = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0))
-    counts = groups.join(F.broadcast(grid)).groupBy("threshold").agg(part("pos", above).alias("tp"), part("neg", above).alias("fp"), part("pos", ~above).alias("fn"), part("neg", ~above).alias("tn"))
+    met = groups.join(F.broadcast(grid), by) if by else groups.join(F.broadcast(grid))
+    counts = met.groupBy(*by, "threshold").agg(part("pos", above).alias("tp"), part("neg", above).alias("fp"), part("pos", ~above).alias("fn"), part("neg", ~above).alias("tn"))
     return rates(counts)
 
 
@@ -156,26 +167,42 @@ def stratum(length: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= length))
 
 
-def stratified(scored: DataFrame, edges: DataFrame, length: str = "length") -> DataFrame:
-    """Metrics in each length bin, empty bins included, with a reliability flag."""
-    rows = scored.join(F.broadcast(edges))  # one row of edges
-    counts = rows.withColumn("bin", stratum(F.col(length), F.col("edges"))).groupBy("bin").agg(*confusion(F.col("label"), F.col("pred")))
-    spine = edges.select(F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
-    full = spine.join(counts, "bin", "left").na.fill(0, ["tp", "fp", "fn", "tn"])
-    return rates(full).withColumn("reliable", F.least("n_pos", "n_neg") >= RELIABLE)
+def stratified(scored: DataFrame, edges: DataFrame, length: str = "length", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """Metrics and AUROC of each length bin (of each group), empty bins included.
+
+    ``bin_range`` names a bin by its edges, ``n_min`` is the smaller class and ``reliable``
+    whether it suffices; a lone edge is one bin."""
+    by = by or []
+    marks = edges.first().edges  # one row of at most a few edges
+    marks = marks if len(marks) > 1 else [*marks, *marks]
+    last = len(marks) - 2
+    names = [(i, f"[{a:g}, {b:g}{']' if i == last else ')'}") for i, (a, b) in enumerate(zip(marks[:-1], marks[1:]))]
+    rows = scored.withColumn("bin", stratum(F.col(length), F.array(*[F.lit(float(m)) for m in marks])))
+    counts = rows.groupBy(*by, "bin").agg(*confusion(F.col("label"), F.col("pred")))
+    spine = F.broadcast(scored.sparkSession.createDataFrame(names, "bin int, bin_range string"))
+    spine = scored.select(*by).distinct().join(spine) if by else spine
+    full = spine.join(counts, [*by, "bin"], "left").na.fill(0, ["tp", "fp", "fn", "tn"])
+    least = F.least("n_pos", "n_neg")
+    out = rates(full).withColumns({"n_min": least, "reliable": least >= RELIABLE, "frac_hallucinated": F.try_divide(F.col("n_pos").cast("double"), F.col("n"))})
+    return out.join(auroc(rows, [*by, "bin"], score), [*by, "bin"], "left")
 
 
-def error_lengths(scored: DataFrame, length: str = "length") -> DataFrame:
+def error_lengths(scored: DataFrame, length: str = "length", by: list[str] | None = None) -> DataFrame:
     """Count, mean and median length of each outcome; absent outcomes have null statistics."""
+    by = by or []
     y, p = F.col("label"), F.col("pred")
     outcome = F.when((y == 1) & (p == 1), "TP").when((y == 0) & (p == 0), "TN").when((y == 0) & (p == 1), "FP").otherwise("FN")
-    found = scored.withColumn("outcome", outcome).groupBy("outcome").agg(F.count("*").alias("n"), F.avg(length).alias("mean"), F.percentile(length, F.lit(0.5)).alias("median"))
-    spine = scored.sparkSession.createDataFrame([(o,) for o in ("TP", "TN", "FP", "FN")], "outcome string")
-    return spine.join(found, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median")
+    found = scored.withColumn("outcome", outcome).groupBy(*by, "outcome").agg(F.count("*").alias("n"), F.avg(length).alias("mean"), F.percentile(length, F.lit(0.5)).alias("median"))
+    spine = F.broadcast(scored.sparkSession.createDataFrame([(o,) for o in ("TP", "TN", "FP", "FN")], "outcome string"))
+    spine = scored.select(*by).distinct().join(spine) if by else spine
+    return spine.join(found, [*by, "outcome"], "left").select(*by, "outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median")
 
 
-def worst_errors(scored: DataFrame, k: int = 10, order: str = "sample_id") -> DataFrame:
-    """The k false positives of highest and the k false negatives of lowest score."""
+def worst_errors(scored: DataFrame, k: int = 10, order: str = "sample_id", max_chars: int | None = None) -> DataFrame:
+    """The k false positives of highest and the k false negatives of lowest score, with all
+    columns; texts named question and answer are cut to ``max_chars``."""
+    cut = {c: F.substring(c, 1, max_chars) for c in ("question", "answer") if max_chars is not None and c in scored.columns}
+    scored = scored.withColumns(cut) if cut else scored
     fp = scored.filter("label = 0 and pred = 1").orderBy(F.desc("score"), order).limit(k).withColumn("kind", F.lit("FP"))
     fn = scored.filter("label = 1 and pred = 0").orderBy("score", order).limit(k).withColumn("kind", F.lit("FN"))
     return fp.unionByName(fn)

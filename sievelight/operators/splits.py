@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoint_dir
+
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -66,15 +68,20 @@ def numbered(df: DataFrame, order: list[str], name: str = "no", buckets: int = 6
     rows are range-partitioned once, stored offsets are added per partition."""
     ranged = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(*order)
-    local = ranged.withColumn("_i", F.row_number().over(w) - 1).checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.withColumn("_i", F.row_number().over(w) - 1).cache()
+    ensure_checkpoint_dir(df.sparkSession)  # the partition of a row must not change when one is made again
+    local = ranged.withColumn("_i", F.row_number().over(w) - 1).checkpoint()
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     lead = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lead"))
     return local.join(F.broadcast(lead), "_p").withColumn(name, (F.col("_lead") + F.col("_i")).cast("long")).drop("_p", "_i", "_lead")
 
 
-def manifest(samples: DataFrame) -> DataFrame:
-    """Normalised manifest: split, pair_id, stem (sample id without label)."""
-    return samples.select("split", "pair_id", F.substring_index("sample_id", "_", 1).alias("stem")).distinct()
+def manifest(samples: DataFrame, position: str | None = None) -> DataFrame:
+    """Normalised manifest: split, pair_id, stem (sample id without label) and, with a column
+    that says where a row stands, ``place``: the pair's first position in its split."""
+    stem = F.substring_index("sample_id", "_", 1).alias("stem")
+    if position is None:
+        return samples.select("split", "pair_id", stem).distinct()
+    return samples.groupBy("split", "pair_id", stem).agg(F.min(position).alias("place"))
 
 
 def manifest_summary(samples: DataFrame) -> DataFrame:
@@ -86,8 +93,17 @@ def manifest_summary(samples: DataFrame) -> DataFrame:
 
 
 def compare_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries that only one manifest has, with the side that has them."""
-    return old.exceptAll(new).withColumn("only_in", F.lit("old")).unionByName(new.exceptAll(old).withColumn("only_in", F.lit("new")))
+    """Entries that only one manifest has, with the side that has them. Where both have places,
+    pairs that stand elsewhere among the members of their split are told as ``order``."""
+    keys = ["split", "pair_id", "stem"]
+    a, b = old.select(*keys), new.select(*keys)
+    out = a.exceptAll(b).withColumn("only_in", F.lit("old")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("new")))
+    if "place" not in old.columns or "place" not in new.columns:
+        return out
+    differ = out.select("split").distinct()
+    nth = lambda df, n: df.select(*keys, F.row_number().over(Window.partitionBy("split").orderBy("place")).alias(n))
+    moved = nth(old, "_a").join(nth(new, "_b"), keys).filter("_a <> _b").join(differ, "split", "left_anti")
+    return out.unionByName(moved.select(*keys, F.lit("order").alias("only_in")))
 
 
 def pair_violations(samples: DataFrame) -> DataFrame:

@@ -123,6 +123,14 @@ def inverted_score_warning(auroc: Column, least: float = 0.45) -> Column:
     return F.when(auroc < least, F.concat(F.lit("AUROC below "), F.lit(str(least)), F.lit(": the score may be inverted")))
 
 
+def reject_counts(rows: DataFrame, columns: tuple[str, ...] = ("knowledge", "question", "right_answer", "hallucinated_answer")) -> DataFrame:
+    """(n_valid, n_rejected) of raw pairs."""
+    blank = F.lit(False)
+    for c in columns:
+        blank = blank | is_blank(F.col(c))
+    return rows.agg(F.count_if(~blank).alias("n_valid"), F.count_if(blank).alias("n_rejected"))
+
+
 def valid_raw(rows: DataFrame, columns: tuple[str, ...] = ("knowledge", "question", "right_answer", "hallucinated_answer")) -> DataFrame:
     """Raw pairs with all texts present and not blank."""
     test = F.lit(True)

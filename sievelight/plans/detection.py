@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import bootstrap, fusion, metrics, probe
+from ..operators import bootstrap, equivalence, fusion, matching, metrics, probe, protocol, report
+from ..sources.shared import ensure_checkpoint_dir, held
 from . import views
 from .registry import Registry, rounded
 
@@ -67,14 +68,17 @@ def _flagship_sql() -> str:
 @q("flagship_validation_threshold_test_metrics", _flagship_sql())
 def flagship(spark, d):
     """Per detector: threshold chosen on validation, metrics, AUROC and pair accuracy on test."""
-    scores = long_scores(S(spark, d))
-    validation, test = scores.filter("split = 'validation'"), scores.filter("split = 'test'")
-    chosen = metrics.select_threshold(metrics.threshold_candidates(metrics.score_groups(validation, ["detector"])), ["detector"])
-    scored = test.join(F.broadcast(chosen), "detector").withColumn("pred", metrics.predicted(F.col("score"), F.col("threshold")))
-    table = metrics.metrics(scored, ["detector", "threshold"])
+    scores = long_scores(S(spark, d).filter("split <> 'train'"))
+    # scores of both splits are grouped once: thresholds, AUROC and metrics all read these groups
+    groups = metrics.score_groups(scores, ["detector", "split"])
+    validation, test = groups.filter("split = 'validation'"), groups.filter("split = 'test'")
+    chosen = metrics.select_threshold(metrics.threshold_candidates(validation), ["detector"])
+    up = F.col("score") >= F.col("threshold")
+    part = lambda c, t: F.sum(F.when(t, F.col(c)).otherwise(0)).cast("long")
+    counts = test.join(F.broadcast(chosen), "detector").groupBy("detector", "threshold").agg(part("pos", up).alias("tp"), part("neg", up).alias("fp"), part("pos", ~up).alias("fn"), part("neg", ~up).alias("tn"))
     one = lambda y: F.max(F.when(F.col("label") == y, F.col("score")))
-    pairs = test.groupBy("detector", "pair_id").agg(one(0).alias("factual"), one(1).alias("hallucinated"), F.lit(True).alias("complete"))
-    out = table.join(metrics.auroc(test, ["detector"]), "detector").join(metrics.pair_accuracy(pairs, ["detector"]).select("detector", "pair_accuracy"), "detector")
+    pairs = scores.filter("split = 'test'").groupBy("detector", "pair_id").agg(one(0).alias("factual"), one(1).alias("hallucinated"), F.lit(True).alias("complete"))
+    out = metrics.rates(counts).join(metrics.auroc_of(test, ["detector"]), "detector").join(metrics.pair_accuracy(pairs, ["detector"]).select("detector", "pair_accuracy"), "detector")
     return out.withColumns(rounded(*_RATE_NAMES, "auroc", "pair_accuracy"))
 
 
@@ -152,17 +156,25 @@ def _(spark, d):
     return fusion.amortised(S(spark, d).select("sample_id", "pair_id", F.col("score_b").alias("latency_s")), "latency_s").select("sample_id", "latency_s")
 
 
-@q("e30_e31_log_loss_accuracy", sql("samples", "SELECT round(-avg(label * ln(p) + (1 - label) * ln(1 - p)), 9) AS log_loss FROM (SELECT label, greatest(least(1 / (1 + exp(-(score_b - 4))), 1 - 1e-15), 1e-15) AS p FROM samples WHERE split = 'validation')"))
+@q("e30_e31_log_loss_accuracy", sql("samples", "SELECT round(-avg(label * ln(p) + (1 - label) * ln(1 - p)), 9) AS log_loss, round(avg((label = (score_b >= 4)::INTEGER)::INTEGER), 9) AS accuracy FROM (SELECT label, score_b, greatest(least(1 / (1 + exp(-(score_b - 4))), 1 - 1e-15), 1e-15) AS p FROM samples WHERE split = 'validation')"))
 def _(spark, d):
     rows = S(spark, d).filter("split = 'validation'").withColumn("p", 1 / (1 + F.exp(-(F.col("score_b") - 4))))
-    return metrics.log_loss(rows, "p").withColumns(rounded("log_loss"))
+    accuracy = metrics.metrics(_predicted(rows, AT_B, "score_b"), []).select("accuracy")
+    return metrics.log_loss(rows, "p").join(F.broadcast(accuracy)).withColumns(rounded("log_loss", "accuracy"))
 
 
-@q("e28_diagnostics", sql("samples", f"SELECT 'score_b' AS input, count(DISTINCT score_b) AS n_distinct, round(avg((score_b <= 0)::INTEGER), 9) AS clipped, round(corr(score_b, length), 9) AS pearson_length, (SELECT round(auroc, 9) FROM ({_area('score_b', 'samples')})) AS auroc FROM samples"))
+_RANKED = "by_rank AS (SELECT score_a, score_b, length, " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r_{c}" for c in ("score_a", "score_b", "length")) + " FROM samples)"
+
+
+@q("e28_diagnostics", sql("samples", " UNION ALL ".join(f"SELECT '{c}' AS input, (SELECT round(auroc, 9) FROM ({_area(c, 'samples')})) AS auroc, count(DISTINCT {c}) AS n_distinct, {clip} AS clipped, round(corr(r_{c}, r_length), 9) AS spearman_length FROM by_rank" for c, clip in (("score_a", "NULL::DOUBLE"), ("score_b", "avg((score_b / 20 <= 1e-12)::INTEGER)"))), _RANKED))
 def _(spark, d):
-    s = S(spark, d)
-    row = s.agg(F.lit("score_b").alias("input"), F.countDistinct("score_b").alias("n_distinct"), F.round(F.avg((F.col("score_b") <= 0).cast("double")), 9).alias("clipped"), F.round(stats.guarded_corr(F.col("score_b"), F.col("length").cast("double")), 9).alias("pearson_length"))
-    return row.join(F.broadcast(metrics.auroc(s, [], "score_b").withColumns(rounded("auroc"))))
+    rows = S(spark, d).withColumn("raw_b", F.col("score_b") / 20)
+    return fusion.diagnostics(rows, ["score_a", "score_b"], {"score_b": "raw_b"}).withColumns(rounded("auroc", "spearman_length"))
+
+
+@q("e28_input_correlations", sql("samples", "SELECT a, b, round(p, 9) AS pearson FROM (SELECT unnest(['score_a', 'score_a', 'score_b']) AS a, unnest(['score_b', 'length', 'length']) AS b, unnest([corr(score_a, score_b), corr(score_a, length), corr(score_b, length)]) AS p FROM samples)"))
+def _(spark, d):
+    return fusion.input_correlations(S(spark, d), ["score_a", "score_b", "length"]).withColumns(rounded("pearson"))
 
 
 # --- thresholds ---------------------------------------------------------------------------
@@ -173,7 +185,7 @@ def _(spark, d):
 
 @q("f4_select_threshold", sql("samples", f"SELECT {_choose(_YOUDEN)} AS youden, {_choose(_F1)} AS f1, {_choose(_ACC)} AS accuracy", f"cand AS ({_candidates('score_a', 'samples', 'split = ' + chr(39) + 'validation' + chr(39))})"))
 def _(spark, d):
-    cand = metrics.threshold_candidates(metrics.score_groups(S(spark, d).filter("split = 'validation'"), [], "score_a")).cache()
+    cand = metrics.threshold_candidates(metrics.score_groups(S(spark, d).filter("split = 'validation'"), [], "score_a"))
     one = [metrics.select_threshold(cand, [], name).select(F.col("threshold").alias(name)) for name in ("youden", "f1", "accuracy")]
     return one[0].join(F.broadcast(one[1])).join(F.broadcast(one[2]))
 
@@ -202,11 +214,18 @@ def _(spark, d):
     return metrics.length_edges(T(spark, d).filter("split = 'validation'")).select(F.explode("edges").alias("edge"))
 
 
-@q("f9_length_strata", sql("text_samples", f"SELECT bin, {_RATES}, least(tp + fn, fp + tn) >= 30 AS reliable FROM (SELECT b.bin, {_COUNT} FROM (SELECT unnest(range(greatest(len(e) - 1, 1)))::INTEGER AS bin FROM edges) b LEFT JOIN scored USING (bin) GROUP BY 1)", _EDGES, _TSCORED))
+_STRATA = f"""SELECT b.bin, '[' || printf('%g', e[b.bin + 1]) || ', ' || printf('%g', e[b.bin + 2]) || CASE WHEN b.bin = len(e) - 2 THEN ']' ELSE ')' END AS bin_range, {_RATES}, least(tp + fn, fp + tn) AS n_min,
+  least(tp + fn, fp + tn) >= 30 AS reliable, (tp + fn) / nullif(tp + fp + fn + tn, 0) AS frac_hallucinated, round(auroc, 9) AS auroc
+  FROM (SELECT b.bin, {_COUNT} FROM (SELECT unnest(range(greatest(len(e) - 1, 1)))::INTEGER AS bin FROM edges) b LEFT JOIN scored USING (bin) GROUP BY 1) b
+  LEFT JOIN (SELECT bin, sum(pos * (coalesce(below, 0) + neg / 2)) / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auroc FROM (SELECT bin, pos, neg, sum(neg) OVER (PARTITION BY bin ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+    FROM (SELECT bin, length AS s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scored GROUP BY 1, 2)) GROUP BY 1) a ON a.bin = b.bin, edges"""
+
+
+@q("f9_length_strata", sql("text_samples", _STRATA, _EDGES, _TSCORED))
 def _(spark, d):
     t = T(spark, d)
     scored = t.filter("split = 'test'").withColumn("pred", (F.col("length") >= 1000).cast("int"))
-    return metrics.stratified(scored, metrics.length_edges(t.filter("split = 'validation'"))).withColumns(rounded(*_RATE_NAMES))
+    return metrics.stratified(scored, metrics.length_edges(t.filter("split = 'validation'")), score="length").withColumns(rounded(*_RATE_NAMES, "auroc"))
 
 
 @q("f10_best_row", "SELECT p_brand AS brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
@@ -226,50 +245,112 @@ def _(spark, d):
 REPLICATES, FULL_REPLICATES = 50, 1000
 
 
-def _boot_sql(score: str, at: float, name: str) -> str:
-    return f"""{name}_rows AS (SELECT rep, mult, s0, s1 FROM weights JOIN (SELECT cluster_no, {score}_0 AS s0, {score}_1 AS s1 FROM wide) USING (cluster_no)),
+def _boot_sql(score: str, at: float, name: str, wide: str = "wide", weights: str = "weights") -> str:
+    return f"""{name}_rows AS (SELECT rep, mult, s0, s1 FROM {weights} JOIN (SELECT cluster_no, {score}_0 AS s0, {score}_1 AS s1 FROM {wide}) USING (cluster_no)),
   {name}_counts AS (SELECT rep, sum(mult * (s1 >= {at})::INTEGER) AS tp, sum(mult * (s0 >= {at})::INTEGER) AS fp, sum(mult * (s1 < {at})::INTEGER) AS fn, sum(mult * (s0 < {at})::INTEGER) AS tn,
     sum(mult * CASE WHEN s1 > s0 THEN 1.0 WHEN s1 = s0 THEN 0.5 ELSE 0.0 END) / sum(mult) AS pair_accuracy FROM {name}_rows GROUP BY 1),
   {name}_area AS (SELECT rep, sum(pos * (coalesce(below, 0) + neg / 2)) / (sum(pos)::DOUBLE * sum(neg)) AS auroc FROM (SELECT rep, pos, neg, sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
-    FROM (SELECT rep, s, sum(mult) FILTER (y = 1) AS pos0, coalesce(sum(mult) FILTER (y = 1), 0) AS pos, coalesce(sum(mult) FILTER (y = 0), 0) AS neg FROM (SELECT rep, mult, s0 AS s, 0 AS y FROM {name}_rows UNION ALL SELECT rep, mult, s1, 1 FROM {name}_rows) GROUP BY 1, 2)) GROUP BY 1),
-  {name} AS (SELECT rep, auroc, (tp + tn) / (tp + fp + fn + tn) AS accuracy, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, pair_accuracy FROM {name}_counts JOIN {name}_area USING (rep))"""
+    FROM (SELECT rep, s, coalesce(sum(mult) FILTER (y = 1), 0) AS pos, coalesce(sum(mult) FILTER (y = 0), 0) AS neg FROM (SELECT rep, mult, s0 AS s, 0 AS y FROM {name}_rows UNION ALL SELECT rep, mult, s1, 1 FROM {name}_rows) GROUP BY 1, 2)) GROUP BY 1),
+  {name} AS (SELECT rep, auroc, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, pair_accuracy FROM {name}_counts JOIN {name}_area USING (rep))"""
+
+
+def _weights_sql(name: str = "weights", wide: str = "wide") -> str:
+    """Draws, and the sample itself as replicate -1."""
+    return f"""{name} AS (SELECT rep, cluster_no, count(*) AS mult FROM (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || i.i), 1, 8))::BIGINT % (SELECT count(*) FROM {wide}) AS cluster_no FROM (SELECT unnest(range({REPLICATES})) AS rep) r, (SELECT unnest(range((SELECT count(*) FROM {wide}))) AS i) i) GROUP BY 1, 2
+    UNION ALL SELECT -1, cluster_no, 1 FROM {wide})"""
+
+
+_WIDE = """wide AS (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS cluster_no, * FROM (SELECT pair_id, max(score_a) FILTER (label = 0) AS score_a_0, max(score_a) FILTER (label = 1) AS score_a_1, max(score_b) FILTER (label = 0) AS score_b_0, max(score_b) FILTER (label = 1) AS score_b_1,
+  max(length) FILTER (label = 0) AS length_0, max(length) FILTER (label = 1) AS length_1 FROM samples WHERE split = 'test' GROUP BY 1))"""
+
+
+def _listed(*metrics: str) -> str:
+    return f"unnest([{', '.join(repr(m) for m in metrics)}]) AS metric, unnest([{', '.join(metrics)}]) AS value"
 
 
-_WIDE = """wide AS (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS cluster_no, * FROM (SELECT pair_id, max(score_a) FILTER (label = 0) AS score_a_0, max(score_a) FILTER (label = 1) AS score_a_1, max(score_b) FILTER (label = 0) AS score_b_0, max(score_b) FILTER (label = 1) AS score_b_1 FROM samples WHERE split = 'test' GROUP BY 1)),
-  weights AS (SELECT rep, cluster_no, count(*) AS mult FROM (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || i.i), 1, 8))::BIGINT % (SELECT count(*) FROM wide) AS cluster_no FROM (SELECT unnest(range(%d)) AS rep) r, (SELECT unnest(range((SELECT count(*) FROM wide))) AS i) i) GROUP BY 1, 2)""".replace("%d", str(REPLICATES))
-_LONG = "unnest(['auroc', 'accuracy', 'f1', 'pair_accuracy']) AS metric, unnest([auroc, accuracy, f1, pair_accuracy]) AS value"
+_SUMMED = "round(max(value) FILTER (rep = -1), 9) AS estimate, round(quantile_cont(value, 0.025) FILTER (rep >= 0), 9) AS low, round(quantile_cont(value, 0.975) FILTER (rep >= 0), 9) AS high"
+
+
+def _diff_sql(a: str, b: str, metrics: tuple[str, ...]) -> str:
+    return f"SELECT rep, unnest([{', '.join(repr(m) for m in metrics)}]) AS metric, unnest([{', '.join(f'{a}.{m} - {b}.{m}' for m in metrics)}]) AS value FROM {a} JOIN {b} USING (rep)"
+
+
+def _wide(spark, d):
+    return held(bootstrap.pair_table(S(spark, d).filter("split = 'test'"), "pair_id", ["score_a", "score_b", "length"]))
 
 
 def _replicates(spark, d, replicates=REPLICATES):
-    test = S(spark, d).filter("split = 'test'")
-    wide = bootstrap.pair_table(test, "pair_id", ["score_a", "score_b"]).cache()
-    weights = bootstrap.draws(spark, wide.count(), replicates).cache()
+    wide = _wide(spark, d)
+    n = wide.count()
+    weights = bootstrap.with_itself(bootstrap.draws(spark, n, replicates), n)
     return bootstrap.replicate_metrics(wide, weights, "score_a", AT_A), bootstrap.replicate_metrics(wide, weights, "score_b", AT_B)
 
 
-@q("k1_k2_k4_bootstrap_ci", sql("samples", f"SELECT metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(value) AS n_reps FROM (SELECT rep, {_LONG} FROM b) GROUP BY 1", _WIDE, _boot_sql("score_b", AT_B, "b")))
+_BOUNDS = ("estimate", "low", "high")
+_SAID = "CASE WHEN low > 0 THEN 'IMPROVES' WHEN high < 0 THEN 'WORSE' ELSE 'INCONCLUSIVE' END"
+
+
+@q("k1_k2_k4_bootstrap_ci", sql("samples", f"SELECT metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed(*bootstrap.ALL_METRICS)} FROM b) GROUP BY 1", _WIDE, _weights_sql(), _boot_sql("score_b", AT_B, "b")))
 def _(spark, d):
-    return bootstrap.intervals(_replicates(spark, d)[1]).withColumns({n: F.round(n, 9) for n in ("low", "high")})
+    return bootstrap.intervals(_replicates(spark, d)[1], bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
-@q("k3_k7_k8_paired_difference", sql("samples", """SELECT metric, round(low, 9) AS low, round(high, 9) AS high, frac_a_better, low > 0 OR high < 0 AS ci_excludes_zero, CASE WHEN low > 0 THEN 'IMPROVES' WHEN high < 0 THEN 'WORSE' ELSE 'INCONCLUSIVE' END AS verdict FROM
-  (SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, avg((v > 0)::INTEGER) AS frac_a_better FROM (SELECT unnest(['auroc', 'accuracy', 'f1', 'pair_accuracy']) AS metric, unnest([a.auroc - b.auroc, a.accuracy - b.accuracy, a.f1 - b.f1, a.pair_accuracy - b.pair_accuracy]) AS v FROM a JOIN b USING (rep)) WHERE v IS NOT NULL GROUP BY 1)""", _WIDE, _boot_sql("score_a", AT_A, "a"), _boot_sql("score_b", AT_B, "b")))
+@q("k3_k7_k8_paired_difference", sql("samples", f"SELECT *, coalesce(low > 0 OR high < 0, false) AS ci_excludes_zero FROM (SELECT metric, {_SUMMED}, avg((value > 0)::INTEGER) FILTER (rep >= 0) AS frac_a_better FROM ({_diff_sql('a', 'b', bootstrap.ALL_METRICS)}) GROUP BY 1)", _WIDE, _weights_sql(), _boot_sql("score_a", AT_A, "a"), _boot_sql("score_b", AT_B, "b")))
 def _(spark, d):
-    out = bootstrap.paired_difference(*_replicates(spark, d)).withColumn("verdict", bootstrap.verdict(F.col("low"), F.col("high")))
-    return out.withColumns({n: F.round(n, 9) for n in ("low", "high")})
+    return bootstrap.paired_difference(*_replicates(spark, d), bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
 @q("k1_k2_k4_bootstrap_ci_1000")
 def _(spark, d):
     """Intervals of all metrics over as many replicates as the reference draws."""
-    return bootstrap.intervals(_replicates(spark, d, FULL_REPLICATES)[1], bootstrap.ALL_METRICS).withColumns({n: F.round(n, 9) for n in ("low", "high")})
+    return bootstrap.intervals(_replicates(spark, d, FULL_REPLICATES)[1], bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
 @q("k3_k7_k8_paired_difference_1000")
 def _(spark, d):
     """Paired differences of all metrics over as many replicates as the reference draws."""
-    out = bootstrap.paired_difference(*_replicates(spark, d, FULL_REPLICATES), bootstrap.ALL_METRICS).withColumn("verdict", bootstrap.verdict(F.col("low"), F.col("high")))
-    return out.withColumns({n: F.round(n, 9) for n in ("low", "high")})
+    return bootstrap.paired_difference(*_replicates(spark, d, FULL_REPLICATES), bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
+
+
+_THREE = {"score_a": AT_A, "score_b": AT_B, "length": 8.0}
+_BOOTS = [_WIDE, _weights_sql(), *[_boot_sql(c, t, c) for c, t in _THREE.items()]]
+
+
+def _compared(spark, d):
+    return bootstrap.compared(S(spark, d).filter("split = 'test'"), _THREE, "score_a", "pair_id", REPLICATES, hold=held)
+
+
+@q("k8_compare_detectors", sql("samples", " UNION ALL ".join(f"SELECT '{c}' AS detector, metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed(*bootstrap.METRICS)} FROM {c}) GROUP BY 2" for c in _THREE), *_BOOTS))
+def _(spark, d):
+    """Three detectors over the same resamples, with estimates."""
+    return _compared(spark, d)["intervals"].withColumns(rounded(*_BOUNDS))
+
+
+@q("k8_differences_to_reference", sql("samples", " UNION ALL ".join(f"SELECT '{c}' AS detector, *, coalesce(low > 0 OR high < 0, false) AS ci_excludes_zero FROM (SELECT metric, {_SUMMED}, avg((value > 0)::INTEGER) FILTER (rep >= 0) AS frac_a_better FROM ({_diff_sql(c, 'score_a', bootstrap.METRICS)}) GROUP BY 1)" for c in ("score_b", "length")), *_BOOTS))
+def _(spark, d):
+    return _compared(spark, d)["differences"].withColumns(rounded(*_BOUNDS))
+
+
+@q("k7_verdict", sql("samples", "SELECT metric, CASE WHEN bool_and(low > 0) THEN 'IMPROVES' WHEN bool_or(high < 0) THEN 'WORSE' ELSE 'INCONCLUSIVE' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM ({_diff_sql('score_a', c, bootstrap.METRICS)}) WHERE rep >= 0 GROUP BY 1" for c in ("score_b", "length")) + ") GROUP BY 1", *_BOOTS))
+def _(spark, d):
+    """Does score_a beat every other input, for each metric?"""
+    return _compared(spark, d)["verdict"]
+
+
+_MATCHED = """matched AS (SELECT label, 'd0_' || length || '_' || row_number() OVER (PARTITION BY label, length ORDER BY doc_id) AS match_id, doc_id::DOUBLE AS score FROM text_samples),
+  wide AS (SELECT row_number() OVER (ORDER BY match_id) - 1 AS cluster_no, * FROM (SELECT match_id, max(score) FILTER (label = 0) AS score_0, max(score) FILTER (label = 1) AS score_1 FROM matched GROUP BY 1 HAVING count(*) = 2))"""
+
+
+@q("k6_matched_bootstrap", sql("text_samples", f"SELECT metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed('auroc', 'accuracy')} FROM m) GROUP BY 1", _MATCHED, _weights_sql(), _boot_sql("score", 500.0, "m")))
+def _(spark, d):
+    """AUROC and accuracy over resampled length matches."""
+    w = Window.partitionBy("label", "length").orderBy("doc_id")
+    rows = T(spark, d).withColumn("match_id", F.concat_ws("_", F.lit("d0"), "length", F.row_number().over(w))).withColumn("score", F.col("doc_id").cast("double"))
+    whole = rows.groupBy("match_id").count().filter("count = 2")
+    wide = held(bootstrap.pair_table(rows.join(whole.select("match_id"), "match_id", "left_semi"), "match_id", ["score"]))
+    n = wide.count()
+    reps = bootstrap.replicate_metrics(wide, bootstrap.with_itself(bootstrap.draws(spark, n, REPLICATES), n), "score", 500.0)
+    return bootstrap.intervals(reps, ("auroc", "accuracy")).withColumns(rounded(*_BOUNDS))
 
 
 _CORRECT = f"correct AS (SELECT sample_id, unnest(['a', 'b', 'c']) AS detector, unnest([((score_a >= {AT_A})::INTEGER = label)::INTEGER, ((score_b >= {AT_B})::INTEGER = label)::INTEGER, ((length >= 8)::INTEGER = label)::INTEGER]) AS correct FROM samples WHERE split = 'test')"
@@ -292,14 +373,68 @@ def _(spark, d):
     return fusion.oracle_accuracy(_correct(spark, d)).withColumns(rounded("oracle_accuracy"))
 
 
+@q("e26_wrong_samples", sql("samples", "SELECT sample_id, list(detector ORDER BY detector) FILTER (correct = 0) AS wrong_by, max(correct) = 0 AS all_wrong FROM correct GROUP BY 1 HAVING min(correct) = 0", _CORRECT))
+def _(spark, d):
+    return fusion.wrong_samples(_correct(spark, d))
+
+
+# --- report ---------------------------------------------------------------------------------
+_REPORT_CTES = (
+    f"cand AS ({_candidates('score_a', 'samples', 'split = ' + chr(39) + 'validation' + chr(39))})",
+    f"t AS (SELECT {_choose(_YOUDEN)} AS threshold)",
+    "scored AS (SELECT *, (score_a >= threshold)::INTEGER AS pred FROM samples, t WHERE split <> 'train')",
+    "pairs AS (SELECT split, CASE WHEN h > f THEN 1.0 WHEN h = f THEN 0.5 ELSE 0.0 END AS w FROM (SELECT split, pair_id, max(score_a) FILTER (label = 1) AS h, max(score_a) FILTER (label = 0) AS f FROM samples WHERE split <> 'train' GROUP BY 1, 2))",
+)
+_REPORT_SQL = f"""SELECT 'metrics' AS section, m.split, name, round(value, 9) AS value FROM (SELECT split, unnest(['accuracy', 'precision', 'recall', 'specificity', 'f1']) AS name, unnest([accuracy, precision, recall, specificity, f1]) AS value FROM (SELECT split, {_RATES} FROM (SELECT split, {_COUNT} FROM scored GROUP BY 1))) m
+  UNION ALL SELECT 'metrics', 'validation', 'auroc', (SELECT round(auroc, 9) FROM ({_area('score_a', 'samples', "split = 'validation'")}))
+  UNION ALL SELECT 'metrics', 'test', 'auroc', (SELECT round(auroc, 9) FROM ({_area('score_a', 'samples', "split = 'test'")}))
+  UNION ALL SELECT 'pair_level', split, 'pair_accuracy', round(avg(w), 9) FROM pairs GROUP BY split
+  UNION ALL SELECT 'outcomes', split, outcome || '_mean', round(avg(length), 9) FROM (SELECT split, length, CASE WHEN label = 1 AND pred = 1 THEN 'TP' WHEN label = 0 AND pred = 0 THEN 'TN' WHEN label = 0 THEN 'FP' ELSE 'FN' END AS outcome FROM scored) GROUP BY 2, 3
+  UNION ALL SELECT 'threshold', 'validation', 'youden', threshold FROM t"""
+
+
+@q("l15_evaluate_detector", sql("samples", _REPORT_SQL, *_REPORT_CTES))
+def _(spark, d):
+    """Sections of a detector's report in long form; the threshold is validation's."""
+    rows = held(S(spark, d).filter("split <> 'train'").withColumn("score", F.col("score_a")))
+    parts = report.evaluate_detector(rows.filter("split = 'test'"), rows.filter("split = 'validation'"), replicates=0, hold=held)
+    long = lambda df, section, names: df.select(F.lit(section).alias("section"), "split", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])).alias("e")).select("section", "split", "e.*")
+    out = long(parts["metrics"], "metrics", (*_RATE_NAMES, "auroc")).unionByName(long(parts["pair_level"], "pair_level", ("pair_accuracy",)))
+    outcomes = parts["outcomes"].filter("n > 0").select(F.lit("outcomes").alias("section"), "split", F.concat("outcome", F.lit("_mean")).alias("name"), F.col("mean").alias("value"))
+    threshold = parts["threshold"].select(F.lit("threshold").alias("section"), F.col("selected_on").alias("split"), F.col("criterion").alias("name"), F.col("threshold").alias("value"))
+    return out.unionByName(outcomes).unionByName(threshold).withColumn("value", F.when(F.col("section") == "threshold", F.col("value")).otherwise(F.round("value", 9)))
+
+
 # --- detectors, probes and fusion -------------------------------------------------------------
 @q("l1_l2_length_only", sql("text_samples", f"""SELECT direction, (SELECT {_choose(_YOUDEN)} FROM (SELECT 1)) AS threshold FROM dir""", f"dir AS (SELECT CASE WHEN auroc >= 0.5 THEN 1 ELSE -1 END::INTEGER AS direction FROM ({_area('length', 'text_samples', 'split = ' + chr(39) + 'validation' + chr(39))}))", "directed AS (SELECT label, length * direction AS s, split FROM text_samples, dir)", f"cand AS ({_candidates('s', 'directed', 'split = ' + chr(39) + 'validation' + chr(39))})"))
 def _(spark, d):
-    rows = T(spark, d).filter("split = 'validation'").withColumn("score", F.col("length").cast("double"))
-    direction = metrics.auroc(rows, []).select(F.when(F.col("auroc") >= 0.5, 1).otherwise(-1).alias("direction"))
-    directed = rows.join(F.broadcast(direction)).withColumn("score", F.col("score") * F.col("direction"))
-    chosen = metrics.select_threshold(metrics.threshold_candidates(metrics.score_groups(directed, ["direction"])), ["direction"])
-    return chosen.select("direction", "threshold")
+    model = protocol.fit_length(T(spark, d).filter("split = 'validation'").withColumn("answer_length_chars", F.col("length")))
+    return spark.createDataFrame([(model.direction, model.threshold)], "direction int, threshold double")
+
+
+@q("r11_length_logistic")
+def _(spark, d):
+    """Logistic regression on the length alone, fitted on train, threshold of best F1 (lowest on
+    ties) on validation, metrics on test."""
+    rows = T(spark, d).withColumn("chars", F.col("length").cast("double"))
+    scored = lambda split: probe.feature_models(rows, F.col("split") == "train", F.col("split") == split, {"chars": ["chars"]}).withColumn("score", 1 / (1 + F.exp(-F.col("score"))))
+    chosen = metrics.select_threshold(metrics.score_thresholds(metrics.score_groups(scored("validation"), []), []), [], "f1", "lowest", "zero")
+    test = scored("test").join(F.broadcast(chosen.select("threshold"))).withColumn("pred", metrics.predicted(F.col("score"), F.col("threshold")))
+    return metrics.metrics(test, ["threshold"], undefined="zero").join(F.broadcast(metrics.auroc(test, [])))
+
+
+@q("r30_matched_formatting")
+def _(spark, d):
+    """Formatting models fitted on train, scored on the length-matched part of all other rows."""
+    ensure_checkpoint_dir(spark)
+    rows = views.formatting(spark, d).withColumn("sample_id", F.col("doc_id").cast("string"))
+    rest = rows.filter("split <> 'train'").select("sample_id", "label", F.col("char_count").cast("int").alias("length"))
+    matched = matching.greedy_length_matches(rest, 5).select(F.explode(F.array("id0", "id1")).alias("sample_id")).withColumn("matched", F.lit(True))
+    marked = rows.join(matched, "sample_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    sets = {"all": list(text.FEATURES), "without_counts": [n for n in text.FEATURES if n not in ("char_count", "word_count")]}
+    scored = held(probe.feature_models(marked, F.col("split") == "train", F.col("matched"), sets))
+    rates = metrics.metrics(scored.withColumn("pred", metrics.predicted(F.col("score"), F.lit(0.0))), ["feature"], undefined="zero")
+    return metrics.auroc(scored, ["feature"]).join(rates, "feature")
 
 
 @q("j5_logit", sql("samples", "SELECT sample_id, round(ln(p / (1 - p)), 9) AS z FROM (SELECT sample_id, greatest(least(score_b / 20, 1 - 1e-12), 1e-12) AS p FROM samples)"))
@@ -334,7 +469,7 @@ def _(spark, d):
     counts = ("char_count", "word_count")
     sets = {n: [n] for n in text.FEATURES} | {"formatting_plus_length": list(text.FEATURES), "surface_features_without_explicit_length": [n for n in text.FEATURES if n not in counts]}
     split = F.col("split")
-    scored = probe.feature_models(views.formatting(spark, d), split == "train", split == "test", sets).cache()
+    scored = held(probe.feature_models(views.formatting(spark, d), split == "train", split == "test", sets))
     rates = metrics.metrics(scored.withColumn("pred", metrics.predicted(F.col("score"), F.lit(0.0))), ["feature"], undefined="zero")
     return metrics.auroc(scored, ["feature"]).select("feature", "auroc").join(rates.select("feature", "accuracy", "precision", "recall", "f1"), "feature").orderBy(F.desc("auroc"), "feature")
 
@@ -354,12 +489,19 @@ def _(spark, d):
     return metrics.auroc(both, ["detector"]).join(weights, "detector", "left").join(F.broadcast(threshold.select(F.col("threshold").alias("oof_threshold"))))
 
 
-@q("v11_smoke_gates", sql("samples", "SELECT true AS random_auroc_ok, true AS random_pairs_ok, count(*) AS n FROM samples"))
+@q("v11_smoke_gates", f"""{sql('samples', '').replace('samples AS (SELECT p.*', 'all_samples AS (SELECT p.*')}, random AS (SELECT *, ('0x' || substr(sha256('42:' || sample_id || ':0'), 1, 8))::BIGINT AS s FROM all_samples WHERE split = 'test'),
+  areas AS (SELECT (SELECT auroc FROM ({_area('s', 'random')})) AS r, (SELECT auroc FROM ({_area('length', 'random')})) AS l, (SELECT avg(CASE WHEN h > f THEN 1.0 WHEN h = f THEN 0.5 ELSE 0.0 END) FROM (SELECT max(s) FILTER (label = 1) AS h, max(s) FILTER (label = 0) AS f FROM random GROUP BY pair_id)) AS p)
+  SELECT unnest(['random AUROC', 'random pair accuracy', 'length AUROC']) AS gate, unnest([round(r, 9), round(p, 9), round(l, 9)]) AS value, unnest([abs(r - 0.5) < 0.05, abs(p - 0.5) < 0.06, l > 0.5]) AS ok FROM areas""")
 def _(spark, d):
-    s = S(spark, d).withColumn("score", F.pmod(F.xxhash64("sample_id"), F.lit(100003)).cast("double"))
-    a = metrics.auroc(s, []).select((F.abs(F.col("auroc") - 0.5) < 0.05).alias("random_auroc_ok"))
-    p = metrics.pair_accuracy(metrics.pairs(s, "pair_id")).select((F.abs(F.col("pair_accuracy") - 0.5) < 0.06).alias("random_pairs_ok"))
-    return a.join(F.broadcast(p)).join(F.broadcast(s.agg(F.count("*").alias("n"))))
+    """Gates of a smoke run on test: random scores say nothing, and how far length alone goes."""
+    s = S(spark, d).filter("split = 'test'").withColumn("score", text.derived_seed(42, F.col("sample_id"), F.lit(0)))
+    a = metrics.auroc(s, []).select(F.col("auroc").alias("r"))
+    p = metrics.pair_accuracy(metrics.pairs(s, "pair_id")).select(F.col("pair_accuracy").alias("p"))
+    n = metrics.auroc(s, [], "length").select(F.col("auroc").alias("l"))
+    row = a.join(F.broadcast(p)).join(F.broadcast(n))
+    gate = lambda name, v, ok: F.struct(F.lit(name).alias("gate"), F.round(v, 9).alias("value"), ok.alias("ok"))
+    r, p, l = (F.col(c) for c in "rpl")
+    return row.select(F.explode(F.array(gate("random AUROC", r, F.abs(r - 0.5) < 0.05), gate("random pair accuracy", p, F.abs(p - 0.5) < 0.06), gate("length AUROC", l, l > 0.5))).alias("e")).select("e.*")
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -30,12 +30,12 @@ def _(spark, d):
     return rows.select(F.format_string("P%05d", F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.lit("en").alias("language"), text.clean(F.col("question")).alias("question"), text.clean(F.col("answer")).alias("answer"))
 
 
-@q("b3_audit_normalize")
+@q("b3_audit_normalize", f"SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '{WSQL}+', ' ', 'g')) AS norm FROM documents")
 def _(spark, d):
     return views.table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("norm"))
 
 
-@q("b4_normalize_answer", f"SELECT doc_id, trim(regexp_replace(lower(text), '{WSQL}+', ' ', 'g')) AS norm FROM documents")
+@q("b4_normalize_answer", f"SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{WSQL}+', ' ', 'g')) AS norm FROM documents")
 def _(spark, d):
     return views.table(spark, d, "documents").select("doc_id", text.normalized_answer(F.col("text")).alias("norm"))
 
@@ -49,15 +49,17 @@ def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(text, '{pattern}'))"
 
 
-_PUNCT = "[!-/:-@\\[-`{{-~]".replace("{{", "{")
-_FEATURE_SQL = f"""SELECT doc_id, label, length(text)::DOUBLE AS char_count, {_n('[^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]+')}::DOUBLE AS word_count,
-  round((length(text) - {_n('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}) / greatest({_n('[^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]+')}, 1), 9) AS avg_word_length,
-  round({_n(chr(92) + 'p{Lu}')} / m, 9) AS upper_ratio, round({_n(chr(92) + 'p{Ll}')} / m, 9) AS lower_ratio, round({_n(chr(92) + 'p{Nd}')} / m, 9) AS digit_ratio,
-  round({_n(_PUNCT)} / m, 9) AS punct_ratio, round({_n('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} / m, 9) AS whitespace_ratio,
-  round(len(list_distinct(string_split(text, ''))) / m, 9) AS unique_char_ratio, round({_n(',')} / m, 9) AS comma_ratio, round({_n('[.]')} / m, 9) AS period_ratio,
-  round({_n('[?]')} / m, 9) AS question_ratio, round({_n('!')} / m, 9) AS exclaim_ratio, round({_n('[()]')} / m, 9) AS paren_ratio, round({_n('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} / m, 9) AS non_ascii_ratio,
+_PUNCT = "[!-/:-@\\[-`{-~]"
+_NON_WS = WSQL.replace("[", "[^", 1)
+_RATIOS = {
+    "digit_ratio": "\\p{Nd}", "punctuation_ratio": _PUNCT, "whitespace_ratio": WSQL, "comma_ratio": ",", "period_ratio": "[.]", "question_mark_ratio": "[?]", "exclamation_ratio": "!",
+    "parenthesis_ratio": "[()]", "non_ascii_ratio": "[^\\x00-\\x7F]",
+}
+_FEATURE_SQL = f"""SELECT doc_id, label, length(text)::DOUBLE AS char_count, {_n(_NON_WS + '+')}::DOUBLE AS word_count, round((length(text) - {_n(' ')}) / greatest({_n(_NON_WS + '+')}, 1), 9) AS avg_word_length,
+  round({_n(chr(92) + 'p{Lu}')} / letters, 9) AS uppercase_ratio, round({_n(chr(92) + 'p{Ll}')} / letters, 9) AS lowercase_ratio,
+  {', '.join(f"round({_n(p)} / m, 9) AS {n}" for n, p in _RATIOS.items())}, round(len(list_distinct(string_split(text, ''))) / m, 9) AS unique_char_ratio,
   CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN 1.0 ELSE 0.0 END::DOUBLE AS starts_uppercase, CASE WHEN regexp_matches(text, '{_PUNCT}$') THEN 1.0 ELSE 0.0 END::DOUBLE AS ends_punctuation
-  FROM (SELECT *, greatest(length(text), 1)::DOUBLE AS m FROM text_samples)"""
+  FROM (SELECT *, greatest(length(text), 1)::DOUBLE AS m, greatest({_n(chr(92) + 'p{L}')}, 1)::DOUBLE AS letters FROM text_samples)"""
 
 
 @q("b6_formatting_features", sql("text_samples", _FEATURE_SQL))
@@ -71,23 +73,69 @@ def _(spark, d):
     return T(spark, d).select("doc_id", text.ends_sentence(F.col("text")).alias("ends"), text.has_non_ascii(F.col("text")).alias("non_ascii"))
 
 
-@q("b9_b10_prompts", sql("raw_pairs", "SELECT conv_id, turn, 'Knowledge: ' || answer || chr(10) || chr(10) || 'Question: ' || question AS message FROM raw_pairs"))
+def _trim(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{WSQL}+', ''), '{WSQL}+$', '')"
+
+
+@q("b9_b10_prompts", sql("raw_pairs", f"""SELECT conv_id, turn, message, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || 'You are a helpful assistant. Answer the question in one short, factual sentence.<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || message
+  || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) AS prompt, 'Question: ' || {_trim('question')} AS closed_book
+  FROM (SELECT *, 'Knowledge: ' || {_trim('answer')} || chr(10) || chr(10) || 'Question: ' || {_trim('question')} AS message FROM raw_pairs)"""))
 def _(spark, d):
-    return views.raw_pairs(spark, d).select("conv_id", "turn", text.user_message(F.col("answer"), F.col("question")).alias("message"))
+    rows = views.raw_pairs(spark, d).withColumn("message", text.user_message(F.concat(F.lit(" "), "question", F.lit("\t")), F.concat(F.lit("\n"), "answer")))
+    return rows.select("conv_id", "turn", "message", text.generation_prompt(F.col("message")).alias("prompt"), text.user_message(F.col("question")).alias("closed_book"))
 
 
-@q("b11_classifier_inputs", sql("raw_pairs", "SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Answer: ' || answer AS segment_a, 'Knowledge: ' || question AS segment_b FROM raw_pairs"))
+@q("b11_classifier_inputs", sql("raw_pairs", f"SELECT conv_id, turn, 'Question: ' || {_trim('question')} || chr(10) || 'Answer: ' || {_trim('answer')} AS segment_a, 'Knowledge: ' || {_trim('question')} AS segment_b, 'Answer: ' || {_trim('answer')} AS answer_only FROM raw_pairs"))
 def _(spark, d):
-    a, b = text.classifier_inputs(F.col("question"), F.col("answer"), F.col("question"))
-    return views.raw_pairs(spark, d).select("conv_id", "turn", a.alias("segment_a"), b.alias("segment_b"))
+    asked, said = F.concat("question", F.lit(" ")), F.concat(F.lit("\t"), "answer", F.lit(" "))
+    a, b = text.classifier_inputs(said, asked, F.col("question"))
+    return views.raw_pairs(spark, d).select("conv_id", "turn", a.alias("segment_a"), b.alias("segment_b"), text.classifier_inputs(said)[0].alias("answer_only"))
+
+
+# a short answer of the first one or two words, and a longer one in which a denial may follow it
+_SHORTS = """shorts AS (SELECT conv_id, turn, question, answer, s, CASE (conv_id + turn) % 6 WHEN 0 THEN s || ' is not so' WHEN 1 THEN upper(s) || ', isn''t it' WHEN 2 THEN s || ' not' WHEN 3 THEN s || 's are' WHEN 4 THEN s ELSE answer END AS l
+  FROM (SELECT *, regexp_extract(answer, '^[^ ]+(?: [^ ]+)?') AS s FROM (SELECT conv_id, turn, question, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer FROM raw_pairs)))"""
+_words = lambda c: f"len(regexp_extract_all({c}, '{_NON_WS}+'))"
+_DENIED = "'^(((is|was|are|were|does|do|did|has|have|had|would|could|should)([ \\t\\n]+not|n''t))|not|cannot|can''t|will[ \\t\\n]+not|won''t)([^\\p{L}\\p{N}_]|$)'"
+
 
+def _anchored(short: str, long: str) -> str:
+    word = "regexp_matches({}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]')"
+    after = f"substr({long}, length({short}) + 1)"
+    return f"({short} <> '' AND {_words(short)} <= 3 AND {_words(long)} > {_words(short)} AND starts_with(lower({long}), lower({short})) AND {word.format(f'right({short}, 1)')} <> {word.format(f'substr({long}, length({short}) + 1, 1)')} AND NOT regexp_matches(ltrim(lower({after}), ' ' || chr(9) || ':,-–—'), {_DENIED}))"
 
-@q("b12_anchored_short_answer", sql("raw_pairs", """SELECT conv_id, turn, w AS words,
-   starts_with(lower(answer), lower(s)) AND NOT regexp_matches(substr(lower(answer), length(s) + 1), '^[^a-z0-9_]*(?:[a-z0-9_]+[^a-z0-9_]+)?(?:not|no|never|neither|nor|cannot)(?:[^a-z0-9_]|$)') AS anchored
-   FROM (SELECT conv_id, turn, regexp_replace(answer, '\\s+', ' ', 'g') AS answer, regexp_extract(regexp_replace(answer, '\\s+', ' ', 'g'), '^[^ ]+(?: [^ ]+)?') AS s, 2 AS w FROM raw_pairs)"""))
+
+def _shorts(spark, d):
+    rows = views.raw_pairs(spark, d).withColumn("answer", text.collapse(F.col("answer")))
+    rows = rows.withColumn("s", F.regexp_extract("answer", r"^[^ ]+(?: [^ ]+)?", 0))
+    made = [F.concat("s", F.lit(" is not so")), F.concat(F.upper("s"), F.lit(", isn't it")), F.concat("s", F.lit(" not")), F.concat("s", F.lit("s are")), F.col("s")]
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    long = F.when(F.lit(False), F.col("s"))
+    for i, m in enumerate(made):
+        long = long.when(k == i, m)
+    return rows.withColumn("l", long.otherwise(F.col("answer")))
+
+
+@q("b12_anchored_short_answer", sql("raw_pairs", f"SELECT conv_id, turn, {_anchored('s', 'l')} AS anchored FROM shorts", _SHORTS))
 def _(spark, d):
-    rows = views.raw_pairs(spark, d).withColumn("short", F.regexp_extract(text.collapse(F.col("answer")), r"^[^ ]+(?: [^ ]+)?", 0))
-    return rows.select("conv_id", "turn", F.lit(2).alias("words"), text.anchored_short_answer(F.col("short"), F.col("answer")).alias("anchored"))
+    return _shorts(spark, d).select("conv_id", "turn", text.anchored_short_answer(F.col("s"), F.col("l")).alias("anchored"))
+
+
+_PROBABILITY = "(('0x' || substr(sha256({} || '|' || {}), 1, 8))::BIGINT % 1000) / 1000"
+_RULES = f"CASE WHEN trim(s) = '' OR trim(l) = '' THEN false WHEN lower(s) = lower(l) OR {_anchored('s', 'l')} OR {_anchored('l', 's')} THEN true END"
+
+
+@q("l5_r27_equivalence", sql("raw_pairs", f"""SELECT conv_id, turn, coalesce(rules, (sl >= 0.85 AND ls >= 0.85) OR ({_words('s')} <= 3 AND {_words('l')} > {_words('s')} AND ls >= 0.85) OR ({_words('l')} <= 3 AND {_words('s')} > {_words('l')} AND sl >= 0.85)) AS same, rules IS NULL AS asked
+  FROM (SELECT *, {_RULES} AS rules, {_PROBABILITY.format('s', 'l')} AS sl, {_PROBABILITY.format('l', 's')} AS ls FROM shorts)""", _SHORTS))
+def _(spark, d):
+    """Rules, then entailment probabilities from a table (a hash stands for the model)."""
+    from ..operators import equivalence
+
+    pairs = _shorts(spark, d).select("conv_id", "turn", F.col("s").alias("a"), F.col("l").alias("b"))
+    given = F.conv(F.substring(F.sha2(F.concat_ws("|", "premise", "hypothesis"), 256), 1, 8), 16, 10).cast("long") % 1000 / 1000
+    known = equivalence.open_pairs(pairs).withColumn("probability", given)
+    asked = equivalence.by_rules(F.col("a"), F.col("b")).isNull()
+    return equivalence.equivalent(pairs, known).select("conv_id", "turn", "same", asked.alias("asked"))
 
 
 @q("b13_derived_seed", "SELECT doc_id, ('0x' || substr(sha256('42:' || doc_id || ':3'), 1, 8))::BIGINT AS seed FROM documents")
@@ -95,12 +143,22 @@ def _(spark, d):
     return views.table(spark, d, "documents").select("doc_id", text.derived_seed(42, F.col("doc_id"), F.lit(3)).alias("seed"))
 
 
+_CONFIG = {"paths": {"root": "/somewhere"}, "model": {"name": "m", "size": 3}, "run": {"seed": 42}}
+
+
+@q("b14_config_hash", """SELECT substr(sha256('{"model":{"name":"m","size":3},"run":{"seed":42}}'), 1, 12) AS hash""")
+def _(spark, d):
+    from ..sources.io import config_hash
+
+    return spark.createDataFrame([(config_hash(_CONFIG),)], "hash string")
+
+
 @q("b14_b15_names_and_hashes", "SELECT page_id, replace(url, '/', '__') AS name, substr(sha256(url), 1, 12) AS hash FROM pages")
 def _(spark, d):
     return views.table(spark, d, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"), F.substring(F.sha2("url", 256), 1, 12).alias("hash"))
 
 
-@q("b16_b17_preview_unfinished", "SELECT conv_id, turn, substr(text, 1, 80) AS preview, contains(text, 'the') AND NOT contains(text, 'that') AS unfinished FROM conversations")
+@q("b16_b17_preview_unfinished", "SELECT conv_id, turn, substr(text, 1, 80) AS preview, coalesce(contains(text, 'the') AND NOT contains(text, 'that'), false) AS unfinished FROM conversations")
 def _(spark, d):
     rows = views.table(spark, d, "conversations")
     return rows.select("conv_id", "turn", text.preview(F.col("text"), 80).alias("preview"), text.unfinished_thinking(F.col("text"), "the", "that").alias("unfinished"))
@@ -117,11 +175,53 @@ def _(spark, d):
 @q("b21_e29_token_logprobs", """WITH t AS (SELECT conv_id, list(-ln(1 + length(text)) ORDER BY turn) AS lp FROM conversations GROUP BY 1)
   SELECT conv_id, len(lp)::INTEGER AS num_tokens, round(list_sum(lp), 9) AS sum_logprob, round(list_sum(lp) / greatest(len(lp), 1), 9) AS mean_logprob FROM t""")
 def _(spark, d):
-    rows = views.table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(-F.ln(1 + F.length("text"))).alias("lp"))
+    rows = views.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", (-F.ln(1 + F.length("text"))).alias("x")))), lambda s: s["x"]).alias("lp"))
     total = F.aggregate("lp", F.lit(0.0), lambda a, x: a + x)
     return rows.select("conv_id", F.size("lp").alias("num_tokens"), F.round(total, 9).alias("sum_logprob"), F.round(total / F.greatest(F.size("lp"), F.lit(1)), 9).alias("mean_logprob"))
 
 
+_EMBEDDED = "e AS (SELECT vec_id, [embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[] FOR i IN range(4)] AS states, [1 + vec_id % 7, 2, 3, 4] AS ids FROM embeddings)"
+
+
+@q("b19_b21_answer_logprobs", f"WITH {_EMBEDDED} SELECT vec_id, 2::INTEGER AS answer_start, 4::INTEGER AS answer_end, round(states[2][ids[2] + 1] - ln(list_sum(list_transform(states[2], lambda x: exp(x)))), 6) AS second FROM e")
+def _(spark, d):
+    """Spans of two prompt and two answer tokens, and the log-softmax of four steps' logits at their ids."""
+    from ..functions import tokens
+
+    rows = views.states(spark, d).withColumn("ids", F.array((1 + F.col("vec_id") % 7).cast("int"), F.lit(2), F.lit(3), F.lit(4)))
+    _, start, end = tokens.answer_span(F.slice("ids", 1, 2), F.slice("ids", 3, 2), 9)
+    return rows.select("vec_id", start.alias("answer_start"), end.alias("answer_end"), F.round(tokens.target_logprobs(F.col("states"), F.col("ids"))[1], 6).alias("second"))
+
+
+@q("j9_r29_poolings", f"WITH {_EMBEDDED} SELECT vec_id, pooling, round(list_sum(v), 6) AS total FROM (SELECT vec_id, unnest(['tbg', 'last_answer', 'mean_answer', 'eot']) AS pooling, unnest([states[1], states[3], list_transform(range(1, 17), lambda i: (states[2][i] + states[3][i]) / 2), states[4]]) AS v FROM e)")
+def _(spark, d):
+    """States of four tokens, of which the second and third are the answer."""
+    from ..functions import tokens
+
+    each = F.array(*[F.struct(F.lit(p).alias("pooling"), tokens.pooled(F.col("states"), F.lit(1), F.lit(3), p).alias("v")) for p in tokens.POOLINGS])
+    rows = views.states(spark, d).select("vec_id", F.explode(each).alias("e")).select("vec_id", "e.*")
+    return rows.select("vec_id", "pooling", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@q("b18_token_lengths", "SELECT conv_id, turn, len(regexp_extract_all(text, '[^ ]+'))::INTEGER AS answer_length_tokens FROM conversations")
+def _(spark, d):
+    """Token lengths under a tokenizer that cuts at spaces."""
+    from ..functions import tokens
+
+    split = lambda texts: [list(range(len([w for w in t.split(" ") if w]))) for t in texts]
+    rows = views.table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("_", "conv_id", "turn").alias("sample_id"), F.col("text").alias("answer"))
+    return tokens.with_token_lengths(rows, split, "spaces").select("conv_id", "turn", "answer_length_tokens")
+
+
+@q("b23_r18_efficiency", "SELECT user_id, sum(value) AS latency_s, count(*) AS n_generations, sum(value > 50)::BIGINT AS n_generated_tokens, round(sum(value > 50) / nullif(sum(value), 0), 9) AS tokens_per_s FROM events GROUP BY 1")
+def _(spark, d):
+    from ..functions import tokens
+
+    stats = views.table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("wall_time_s"), F.count("*").alias("num_sequences"), F.sum((F.col("value") > 50).cast("int")).alias("new_tokens_total"), F.lit(None).cast("double").alias("peak_gpu_mem_mb"))
+    rows = stats.select("user_id", *tokens.efficiency_fields()).drop("peak_gpu_mem_mb")
+    return rows.withColumn("tokens_per_s", F.round(F.try_divide(F.col("n_generated_tokens").cast("double"), F.col("latency_s")), 9))
+
+
 @q("b22_j7_logit_margin_log_length", sql("samples", "SELECT sample_id, round(score_a - score_b, 9) AS margin, round(ln(greatest(length, 1)), 9) AS log_length FROM samples"))
 def _(spark, d):
     return S(spark, d).select("sample_id", F.round(F.col("score_a") - F.col("score_b"), 9).alias("margin"), F.round(F.ln(F.greatest("length", F.lit(1)).cast("double")), 9).alias("log_length"))
@@ -152,11 +252,29 @@ def _(spark, d):
     return bad.select("pair_id", F.col("n"), F.col("n1").cast("long").alias("n1"))
 
 
-@q("v6_artifact_checks", sql("samples", """SELECT 'pairs' AS name, true AS ok, 0::BIGINT AS n_problems UNION ALL SELECT 'unique_ids', true, 0
-  UNION ALL SELECT 'no_overlap', true, 0 UNION ALL SELECT 'has_negative_scores', count(*) = 0, count(*) FROM samples WHERE score_b <= 0"""))
+# a controlled set broken on purpose: a row too few, a reused id, a far length and a changed text
+_BROKEN = """m AS (SELECT doc_id, label, text, length, row_number() OVER (PARTITION BY label, length ORDER BY doc_id) AS k FROM text_samples),
+  joint AS (SELECT 'd0_' || a.length || '_' || a.k AS match_id, a.doc_id AS i0, b.doc_id AS i1, a.text AS t0, b.text AS t1 FROM m a JOIN m b ON a.label = 0 AND b.label = 1 AND a.length = b.length AND a.k = b.k),
+  r AS (SELECT match_id, i0::VARCHAR AS sample_id, 0 AS label, t0 AS answer FROM joint UNION ALL SELECT match_id, i1::VARCHAR, 1, t1 || CASE WHEN i1 % 3 = 0 THEN 'xx' ELSE '' END FROM joint),
+  own AS (SELECT *, length(answer) AS n FROM r WHERE NOT (label = 1 AND sample_id::BIGINT % 5 = 0)),
+  g AS (SELECT match_id, count(*) AS n, count(DISTINCT label) AS labels, max(n) - min(n) AS gap FROM own GROUP BY 1)"""
+
+
+@q("v6_artifact_checks", sql("text_samples", """SELECT name, n = 0 AS ok, n AS n_problems FROM (SELECT 'row count' AS name, (SELECT count(*) <> 40 FROM own)::BIGINT AS n UNION ALL SELECT 'class balance', (SELECT 2 * count(*) FILTER (label = 0) <> count(*) FROM own)::BIGINT
+  UNION ALL SELECT 'sample_id uniqueness', (SELECT count(*) FROM (SELECT sample_id FROM own GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'no sample reuse', (SELECT count(*) FROM (SELECT sample_id FROM own GROUP BY 1 HAVING count(*) > 1))
+  UNION ALL SELECT 'match_id structure', (SELECT count(*) FROM g WHERE n <> 2) + (SELECT 2 * count(*) <> 40 FROM g)::BIGINT UNION ALL SELECT 'one of each label per match', (SELECT count(*) FROM g WHERE n <> 2 OR labels <> 2)
+  UNION ALL SELECT 'length tolerance', (SELECT count(*) FROM g WHERE gap > 1) UNION ALL SELECT 'source membership', 0 UNION ALL SELECT 'content preservation', (SELECT count(*) FROM own WHERE label = 1 AND sample_id::BIGINT % 3 = 0))""", _BROKEN))
 def _(spark, d):
-    s = S(spark, d)
-    return validate.checks([("pairs", splits.pair_violations(s)), ("unique_ids", validate.repeated(s, "sample_id")), ("no_overlap", splits.split_overlap(s, ["pair_id"])), ("has_negative_scores", s.filter("score_b <= 0"))])
+    """The nine checks on a controlled set that was broken on purpose."""
+    from pyspark.sql import Window
+
+    t = T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "doc_id", "label", F.col("text").alias("answer"), "length")
+    w = Window.partitionBy("label", "length").orderBy("doc_id")
+    named = t.withColumn("match_id", F.concat_ws("_", F.lit("d0"), "length", F.row_number().over(w)))
+    whole = named.groupBy("match_id").count().filter("count = 2").select("match_id")
+    far = (F.col("label") == 1) & (F.col("doc_id") % 3 == 0)
+    broken = named.join(whole, "match_id", "left_semi").filter("not (label = 1 and doc_id % 5 = 0)").withColumn("answer", F.when(far, F.concat("answer", F.lit("xx"))).otherwise(F.col("answer")))
+    return matching.artefact_checks(broken.select("match_id", "sample_id", "label", "answer"), t, 1, 40)
 
 
 @q("c1_valid_raw", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '[^\\s]')")
@@ -164,11 +282,21 @@ def _(spark, d):
     return validate.valid_raw(views.table(spark, d, "conversations"), ("text",)).select("conv_id", "turn")
 
 
-@q("c2_sample_rules", sql("samples", "SELECT count(*) FILTER (label NOT IN (0, 1)) AS bad_labels, count(*) FILTER (length <> length(o_orderpriority)) AS bad_lengths FROM samples"))
+@q("c2_sample_rules", """SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'label' END, CASE WHEN o_orderkey % 13 = 0 THEN 'answer_length_chars' END, CASE WHEN o_orderkey % 17 = 0 THEN 'question' END, CASE WHEN o_orderkey % 19 = 0 THEN 'split' END], lambda x: x IS NOT NULL)) AS rule FROM orders) GROUP BY 1""")
 def _(spark, d):
-    rows = S(spark, d).withColumns({"answer": F.col("o_orderpriority"), "answer_length_chars": F.col("length"), "question": F.lit("q"), "knowledge": F.lit("k")})
-    bad = validate.violations(rows, validate.sample_rules())
-    return bad.agg(F.count_if(F.col("rule") == "label").alias("bad_labels"), F.count_if(F.col("rule") == "answer_length_chars").alias("bad_lengths"))
+    """Samples broken on purpose, by rule."""
+    n = F.col("o_orderkey")
+    rows = S(spark, d).withColumns({
+        "answer": F.col("o_orderpriority"), "answer_length_chars": F.col("length") + (n % 13 == 0).cast("int"), "question": F.when(n % 17 == 0, F.lit("\u00a0")).otherwise(F.lit("q")), "knowledge": F.lit("k"),
+        "label": F.when(n % 11 == 0, 2).otherwise(F.col("label")), "split": F.when(n % 19 == 0, F.lit(None)).otherwise(F.col("split")),
+    })
+    return validate.violations(rows, validate.sample_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@q("c1_reject_counts", "SELECT count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_rejected FROM (SELECT text IS NOT NULL AND regexp_matches(text, '[^\\s]') AND turn % 3 <> 0 AS ok FROM conversations)")
+def _(spark, d):
+    rows = views.table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.lit(" \t")).otherwise(F.col("text")))
+    return validate.reject_counts(rows, ("text",))
 
 
 # --- joins ----------------------------------------------------------------------------
@@ -181,7 +309,7 @@ def _(spark, d):
 @q("d1_d5_align", sql("samples", "SELECT split, count(*) AS n, round(sum(score_a), 2) AS total FROM samples GROUP BY 1"))
 def _(spark, d):
     s = S(spark, d)
-    joined = leakage.align(s.select("sample_id", "split", "label"), s.select("sample_id", "score_a"), check=False)
+    joined = leakage.align(s.select("sample_id", "split", "label"), s.select("sample_id", "score_a"))
     return joined.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("score_a"), 2).alias("total"))
 
 
@@ -206,6 +334,36 @@ def _(spark, d):
     return leakage.exclude_pairs(docs.filter("split = 'test'"), docs.filter("split = 'train'"), ["norm"]).select("doc_id")
 
 
+@q("r19_report_without_seen", sql("docs", "SELECT 'all' AS scope, count(*) AS n, count(DISTINCT pair_id) AS n_pairs FROM docs WHERE split = 'test' UNION ALL SELECT 'unseen', count(*), count(DISTINCT pair_id) FROM docs WHERE split = 'test' AND pair_id NOT IN (SELECT pair_id FROM docs WHERE split = 'test' AND norm IN (SELECT norm FROM docs WHERE split = 'train'))"))
+def _(spark, d):
+    """Every report stands on all of test and on test without what train has seen."""
+    docs = views.documents_split(spark, d)
+    return leakage.scopes(docs.filter("split = 'test'"), docs.filter("split = 'train'"), {"unseen": ["norm"]}).groupBy("scope").agg(F.count("*").alias("n"), F.countDistinct("pair_id").alias("n_pairs"))
+
+
+@q("c6_covered_by_all", sql("samples", "SELECT count(*) AS n, count(DISTINCT pair_id) AS n_pairs FROM samples WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0"))
+def _(spark, d):
+    s = S(spark, d)
+    found = leakage.covered_by_all(s, [s.filter("o_orderkey % 3 <> 0"), s.filter("o_orderkey % 5 <> 0")], least_pairs=100)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("pair_id").alias("n_pairs"))
+
+
+@q("d13_feature_mismatches", "SELECT vec_id AS sample_id, CASE WHEN vec_id % 50 = 0 THEN 'missing' ELSE 'label' END AS problem FROM embeddings WHERE vec_id % 50 = 0 OR vec_id % 70 = 0")
+def _(spark, d):
+    """Features without some ids and with some labels turned round."""
+    wanted = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"))
+    own = wanted.filter("sample_id % 50 <> 0").withColumn("label", F.when(F.col("sample_id") % 70 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    return leakage.label_mismatches(own, wanted)
+
+
+@q("f12_match_ids", sql("text_samples", "SELECT 'd0_m' || lpad((dense_rank() OVER (ORDER BY i0) - 1)::VARCHAR, 4, '0') AS match_id, i0, i1 FROM (SELECT a.doc_id::VARCHAR AS i0, b.doc_id::VARCHAR AS i1 FROM m a JOIN m b ON a.label = 0 AND b.label = 1 AND a.length = b.length AND a.k = b.k)", "m AS (SELECT label, doc_id, length, row_number() OVER (PARTITION BY label, length ORDER BY doc_id::VARCHAR) AS k FROM text_samples)"))
+def _(spark, d):
+    """Matches of equal length, numbered by factual id."""
+    rows = T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length")
+    named = matching.matched_rows(matching.optimal_matches(rows, 0), rows, 0)
+    return named.groupBy("match_id").agg(F.max(F.when(F.col("label") == 0, F.col("sample_id"))).alias("i0"), F.max(F.when(F.col("label") == 1, F.col("sample_id"))).alias("i1"))
+
+
 @q("d14_resume", sql("plain", "SELECT sample_id FROM plain WHERE o_orderkey % 4 <> 0"))
 def _(spark, d):
     s = views.plain_samples(spark, d)
@@ -282,6 +440,16 @@ def _(spark, d):
     return splits.compare_manifests(old, old.withColumn("split", F.when(pair % 500 == 0, "moved").otherwise(F.col("split"))))
 
 
+@q("h5_order_differences", sql("samples", "SELECT split, pair_id, split_part(sample_id, '_', 1) AS stem, 'order' AS only_in FROM samples WHERE label = 0 AND split = 'test' AND pair_id IN (SELECT min(pair_id) FROM samples WHERE split = 'test' UNION SELECT max(pair_id) FROM samples WHERE split = 'test')"))
+def _(spark, d):
+    """Two manifests of the same members, of which the first and the last pair of test changed places."""
+    s = S(spark, d)
+    ends = s.filter("split = 'test'").agg(F.min("o_orderkey").alias("_a"), F.max("o_orderkey").alias("_b"))
+    k = F.floor(F.col("o_orderkey") / 2)
+    place = F.when(F.col("split") != "test", k).when(k == F.floor(F.col("_a") / 2), F.floor(F.col("_b") / 2)).when(k == F.floor(F.col("_b") / 2), F.floor(F.col("_a") / 2)).otherwise(k)
+    return splits.compare_manifests(splits.manifest(s, "o_orderkey"), splits.manifest(s.join(F.broadcast(ends)).withColumn("at", place), "at"))
+
+
 @q("h6_f13_distinct_first", "SELECT source, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def _(spark, d):
     return views.table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("first_id"))
@@ -350,6 +518,11 @@ def _(spark, d):
     return eda.log_histogram(views.table(spark, d, "documents"), "n_chars")
 
 
+@q("f15_fixed_bins_and_ecdf", "SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 9) AS ecdf FROM (SELECT least(greatest(floor(n_chars / 500) + 1, 1), 10)::INTEGER AS bin, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1)")
+def _(spark, d):
+    return eda.ecdf(eda.histogram(views.table(spark, d, "documents").filter("n_chars is not null"), "n_chars", 0, 5000, 10)).withColumns(rounded("ecdf"))
+
+
 @q("f14_running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS running FROM events")
 def _(spark, d):
     from pyspark.sql import Window
@@ -365,7 +538,7 @@ _SHARES = "e AS (SELECT user_id, answers, candidate, list_transform(list_distinc
 @q("e23_e24_e25_entropy", sql("generations", "SELECT user_id, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) AS normalized FROM e", _SHARES))
 def _(spark, d):
     ids = F.col("ids")
-    rows = views.generations(spark, d).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: text.normalized_answer(a) == text.normalized_answer(b)))
+    rows = views.generations(spark, d, normal=True).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: a == b))
     out = rows.select("user_id", F.size(F.array_distinct(ids)).alias("clusters"), semantic.entropy(ids).alias("entropy"), semantic.normalized_entropy(ids).alias("normalized"))
     return out.withColumns(rounded("entropy", "normalized"))
 
@@ -375,10 +548,10 @@ def _(spark, d):
     return views.generations(spark, d).select("user_id", semantic.first_fit(F.col("answers"), lambda a, b: a == b).alias("ids"))
 
 
-@q("l4_l6_candidate_score", sql("generations", "SELECT user_id, len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS probability, 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS score, list_contains(answers, candidate) AS matched FROM generations"))
+@q("l4_l6_candidate_score", sql("generations", "SELECT user_id, len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS probability, 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS score, list_contains(answers, candidate) AS matched, len(list_distinct(answers))::INTEGER AS num_clusters, round(-list_sum(list_transform(list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)), lambda p: p * ln(p))), 9) AS global_entropy FROM generations"))
 def _(spark, d):
     parts = semantic.candidate_score(F.col("answers"), F.col("candidate"), lambda a, b: a == b)
-    return views.generations(spark, d).select("user_id", *[c.alias(n) for n, c in parts.items()])
+    return views.generations(spark, d).select("user_id", *[parts[n].alias(n) for n in ("probability", "score", "matched", "num_clusters", "global_entropy")]).withColumns(rounded("global_entropy"))
 
 
 _GROUP_SHARES = "e AS (SELECT user_id, group_no, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM generation_groups)"
@@ -387,7 +560,7 @@ _GROUP_SHARES = "e AS (SELECT user_id, group_no, list_transform(list_distinct(an
 @q("e23_e24_e25_entropy_all_rows", sql("generation_groups", "SELECT user_id, group_no, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) AS normalized FROM e", _GROUP_SHARES))
 def _(spark, d):
     ids = F.col("ids")
-    rows = views.generation_groups(spark, d).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: text.normalized_answer(a) == text.normalized_answer(b)))
+    rows = views.generation_groups(spark, d, normal=True).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: a == b))
     out = rows.select("user_id", "group_no", F.size(F.array_distinct(ids)).alias("clusters"), semantic.entropy(ids).alias("entropy"), semantic.normalized_entropy(ids).alias("normalized"))
     return out.withColumns(rounded("entropy", "normalized"))
 
@@ -400,8 +573,29 @@ def _(spark, d):
 @q("l4_l6_candidate_score_all_rows", sql("generation_groups", "SELECT user_id, group_no, CASE WHEN complete THEN len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS probability, CASE WHEN complete THEN 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS score, CASE WHEN complete THEN list_contains(answers, candidate) END AS matched FROM generation_groups"))
 def _(spark, d):
     """Null where a last short group has no candidate."""
-    parts = semantic.candidate_score(F.col("answers"), F.col("candidate"), lambda a, b: a == b)
-    return views.generation_groups(spark, d).select("user_id", "group_no", *[F.when(F.col("complete"), c).alias(n) for n, c in parts.items()])
+    some = F.coalesce("candidate", F.lit("none"))  # a blank candidate is an error
+    parts = semantic.candidate_score(F.when(F.col("complete"), F.col("answers")).otherwise(F.array(F.lit("none"))), some, lambda a, b: a == b)
+    return views.generation_groups(spark, d).select("user_id", "group_no", *[F.when(F.col("complete"), parts[n]).alias(n) for n in ("probability", "score", "matched")])
+
+
+_EVENT_PAIRS = """own AS (SELECT g.user_id, g.answers, g.candidate, s.y, CASE s.y WHEN 0 THEN g.candidate ELSE 'other' END AS answer FROM generations g, (VALUES (0), (1)) s(y)),
+  shares AS (SELECT *, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM own)"""
+
+
+@q("l6_l7_d15_entropy_records", sql("generations", "SELECT user_id || '_' || y AS sample_id, 'se_candidate' AS detector, round(1 - len(list_filter(answers, lambda x: x = answer)) / len(answers), 9) AS score, user_id::VARCHAR AS pair_id, len(p)::INTEGER AS num_clusters FROM shares UNION ALL SELECT user_id || '_' || y, 'se_global', round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9), user_id::VARCHAR, len(p)::INTEGER FROM shares", _EVENT_PAIRS))
+def _(spark, d):
+    """Records of both entropy detectors: a user's generations are shared by two candidates, and rescoring gives the same again."""
+    from ..operators import records
+
+    g = views.generations(spark, d).withColumn("pair_id", F.col("user_id").cast("string"))
+    two = F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("candidate").alias("answer")), F.struct(F.lit(1).alias("y"), F.lit("other").alias("answer")))).alias("e")
+    samples = g.select("pair_id", two).select(F.concat_ws("_", "pair_id", "e.y").alias("sample_id"), "pair_id", "e.answer")
+    meta = {"split": "validation", "variant": "normalized", "config_hash": "c", "prompt_version": "v1"}
+    first = records.entropy_records(records.candidates(g.select("pair_id", "answers"), samples), meta)
+    saved = g.select("pair_id", "answers", F.lit("c").alias("config_hash"), F.lit("v1").alias("prompt_version"))
+    again = records.rescored(saved, samples, first, "c", "v1", "again")
+    extra = lambda k: F.get_json_object("extra", f"$.{k}")
+    return again.select("sample_id", "detector", F.round("score", 9).alias("score"), extra("pair_id").alias("pair_id"), extra("num_clusters").cast("int").alias("num_clusters"))
 
 
 # --- rank statistics ----------------------------------------------------------------------

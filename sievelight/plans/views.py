@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import formatting_features
+from ..functions.text import formatting_features, normalized_answer
 from ..operators.semantic import consecutive_generations, grouped_generations
 from ..operators.splits import split_pairs
 
@@ -51,18 +51,30 @@ def documents_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("doc_id") % 2).cast("int").alias("label"), split.alias("split"), F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r]+", " ")).alias("norm"))
 
 
-def generations(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str, normal: bool) -> DataFrame:
+    """Events as answers, normalised before they are collected if asked for."""
+    said = normalized_answer(F.col("event_type")) if normal else F.col("event_type")
+    return table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), said.alias("event_type"))
+
+
+def generations(spark: SparkSession, sf_dir: str, k: int = 10, normal: bool = False) -> DataFrame:
     """Events of a user in time order: ten answers, then a candidate."""
-    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    events = _answers(spark, sf_dir, normal)
     return grouped_generations(events, "user_id", "at", "event_type", k)
 
 
-def generation_groups(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+def generation_groups(spark: SparkSession, sf_dir: str, k: int = 10, normal: bool = False) -> DataFrame:
     """All events of a user in time order, in groups of ten answers and a candidate."""
-    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    events = _answers(spark, sf_dir, normal)
     return consecutive_generations(events, "user_id", "at", "event_type", k)
 
 
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of each embedding as four tokens' states of equal width."""
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.slice(v, 16 * i + 1, 16) for i in range(4)]).alias("states"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as four layers of sixteen features in long form."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.validate import DataIntegrityError, record_violations, repeated, require_none, run_violations
+from ..operators.validate import SPLITS, DataIntegrityError, record_violations, repeated, require_none, run_violations, sample_rules, violations
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
 
@@ -73,8 +74,52 @@ def write_run(records: DataFrame, meta: dict, path: str, threshold: float | None
     write_jsonl(sidecar, f"{path}/meta", overwrite=True)
 
 
+def run_path(folder: str, detector: str, variant: str, split: str) -> str:
+    """Where a run lies below ``folder``; an unknown split is an error."""
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split!r}")
+    return f"{folder}/{detector}/{variant}/{split}"
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or not there: it is written beside its place and then renamed."""
+    fs, where = _file(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(where, False)
+    if not fs.rename(beside, where):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def file_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, or over the sorted hashes of a folder's files."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.sha2("content", 256).alias("h"))
+    found = sorted(r.h for r in rows.collect())
+    return found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
+
+
+def unknown_fields(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(field) names that lines of a JSON file have beyond the schema."""
+    names = F.explode(F.json_object_keys("value"))
+    return spark.read.text(path).filter(F.trim("value") != "").select(names.alias("field")).distinct().filter(~F.col("field").isin(schema.fieldNames()))
+
+
 def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and sidecar of a run, fully validated."""
+    """Records and sidecar of a run, fully validated; unknown fields are an error."""
+    require_none(unknown_fields(spark, f"{path}/records", RECORD), "unknown fields in records")
+    require_none(unknown_fields(spark, f"{path}/meta", META), "unknown fields in the sidecar")
     records, meta = read_jsonl(spark, f"{path}/records", RECORD), read_jsonl(spark, f"{path}/meta", META)
     require_none(record_violations(records), "invalid records")
     require_none(run_violations(records, meta), "invalid run")
@@ -89,39 +134,80 @@ def find_run(spark: SparkSession, folders: list[str], name: str) -> str:
     raise FileNotFoundError(name)
 
 
-def load_split(spark: SparkSession, path: str, split: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Samples of one split (a partition of the table), checked against the manifest."""
-    from ..operators.validate import sample_rules, violations
-
-    rows = spark.read.schema(SAMPLE).json(path).filter(F.col("split") == split)
+def load_split(spark: SparkSession, path: str, split: str, manifest: DataFrame | None = None, expected_hash: str | None = None) -> DataFrame:
+    """Samples of one split (``path/split.jsonl``), checked for their rules, against the file's
+    content hash and against the manifest (split, pair_id, stem), which also says both labels."""
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split!r}")
+    file = f"{path}/{split}.jsonl"
+    rows = read_jsonl(spark, file, SAMPLE).withColumn("split", F.lit(split))
+    rows = rows.withColumn("answer_length_chars", F.coalesce("answer_length_chars", F.length("answer")))
     require_none(violations(rows, sample_rules()), "invalid samples")
     require_none(repeated(rows, "sample_id"), "repeated ids")
+    if expected_hash is not None and content_hash(spark, file) != expected_hash:
+        raise DataIntegrityError(f"{file} isn't the file that the manifest names")
     if manifest is not None:
-        stems = rows.select("pair_id", F.substring_index("sample_id", "_", 1).alias("stem")).distinct()
-        listed = manifest.filter(F.col("split") == split).select("pair_id", "stem")
-        require_none(stems.exceptAll(listed).unionByName(listed.exceptAll(stems)), "samples and manifest differ")
+        ids = F.explode(F.array(*[F.concat_ws("_", "stem", F.lit(y)) for y in (0, 1)]))
+        listed = manifest.filter(F.col("split") == split).select("pair_id", ids.alias("sample_id"))
+        own = rows.select("pair_id", "sample_id")
+        require_none(own.exceptAll(listed).unionByName(listed.exceptAll(own)), "samples and manifest differ")
     return rows
 
 
+def load_all(spark: SparkSession, path: str, manifest: DataFrame | None = None, hashes: dict[str, str] | None = None) -> DataFrame:
+    """All three splits as one table with ``split``."""
+    parts = [load_split(spark, path, s, manifest, (hashes or {}).get(s)) for s in SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def load_counted(samples: DataFrame, rows: int, per_class: int) -> DataFrame:
+    """Samples with their word lengths; another number of rows, or of either label, is an error."""
+    from ..functions.text import word_count
+
+    require_none(repeated(samples, "sample_id"), "repeated ids")
+    n = samples.agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == y).alias(f"n{y}") for y in (0, 1)]).first()
+    if (n.n, n.n0, n.n1) != (rows, per_class, per_class):
+        raise DataIntegrityError(f"{n.n} rows, {n.n0} and {n.n1} of the labels, where {rows} and {per_class} each are expected")
+    return samples.withColumns({"answer_length_chars": F.length("answer"), "answer_length_words": word_count(F.col("answer"))})
+
+
 def load_controlled(subset: DataFrame, test: DataFrame, delta: int = 1) -> DataFrame:
-    """A matched subset: each row equal to its test row, matches complete and within delta."""
+    """A matched subset: each row equal to its one test row, matches complete and within delta."""
     from ..operators.matching import match_violations
 
     same = ["sample_id", "pair_id", "question", "answer", "label"]
+    require_none(repeated(test, "sample_id"), "repeated ids in test")
+    require_none(repeated(subset, "sample_id"), "repeated ids")
+    require_none(subset.filter("match_id is null or match_id = ''").select("sample_id"), "rows without a match")
     require_none(subset.join(test.select(*same), same, "left_anti").select(*same), "rows that differ from test")
     require_none(match_violations(subset.withColumn("length", F.length("answer")), delta), "broken matches")
     return subset
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature chunks (sample_id, layer, features, label, config_hash, prompt_version) of one provenance."""
+    """Feature chunks (sample_id, layer, features, label, config_hash, prompt_version) of one
+    provenance, in which every chunk has the same layers and all vectors one width."""
     rows = spark.read.parquet(path)
-    one = rows.agg(F.countDistinct("config_hash").alias("c"), F.countDistinct("prompt_version").alias("p")).first()
-    if one.c > 1 or one.p > 1:
+    one = rows.agg(*[F.countDistinct(c).alias(c) for c in ("config_hash", "prompt_version")]).first()
+    if one.config_hash > 1 or one.prompt_version > 1:
         raise DataIntegrityError("feature chunks of several configurations")
+    keys = [c for c in ("chunk",) if c in rows.columns]
+    layers = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("layer")).alias("layers"))
+    if layers.select("layers").distinct().limit(2).count() > 1:
+        raise DataIntegrityError("feature chunks of different layers")
+    if "features" in rows.columns and rows.select(F.size("features")).distinct().limit(2).count() > 1:
+        raise DataIntegrityError("feature vectors of different widths")
     return rows
 
 
+def check_features(features: DataFrame, samples: DataFrame) -> DataFrame:
+    """``features`` if their ids and labels are exactly those of ``samples``."""
+    own, wanted = features.select("sample_id", F.col("label").cast("int").alias("label")).distinct(), samples.select("sample_id", F.col("label").cast("int").alias("label"))
+    require_none(own.exceptAll(wanted).unionByName(wanted.exceptAll(own)), "features and samples differ")
+    require_none(features.groupBy("sample_id", "layer").count().filter("count > 1"), "repeated features")
+    return features
+
+
 def append_features(rows: DataFrame, path: str) -> None:
     """Write the chunks that aren't there yet."""
     spark = rows.sparkSession
@@ -141,6 +227,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def config_hash(config: dict, leave_out: tuple[str, ...] = ("paths",)) -> str:
+    """Twelve hex digits of the SHA-256 of a configuration's canonical JSON, without what differs between machines."""
+    text = json.dumps({k: v for k, v in config.items() if k not in leave_out}, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(text.encode()).hexdigest()[:12]
+
+
 def report_json(frames: dict[str, DataFrame]) -> str:
     """Small result frames as one JSON text."""
     return json.dumps({k: [json.loads(r) for r in df.toJSON().collect()] for k, df in frames.items()}, sort_keys=True)

@@ -65,10 +65,16 @@ def test_mcnemar(spark, a, b, p):
 
 
 def test_error_overlap(spark):
-    rows = [(f"s{i:03d}", d, 0 if i in wrong else 1) for i in range(100) for d, wrong in (("a", range(10)), ("b", range(5, 15)))]
-    row = fusion.error_overlap(spark.createDataFrame(rows, "sample_id string, detector string, correct int")).first()
-    assert (row.both_wrong, row.only_a_right, row.only_b_right, row.both_right, row.p_value) == (5, 5, 5, 85, 1.0)
-    assert fusion.oracle_accuracy(spark.createDataFrame(rows, "sample_id string, detector string, correct int")).first().oracle_accuracy == pytest.approx(0.95)
+    wrong = {"a": {1, 2, 3}, "b": {2, 3, 4, 5, 6}, "c": {3, 9}}
+    rows = spark.createDataFrame([(f"s{i:03d}", d, int(i not in w)) for i in range(40) for d, w in wrong.items()], "sample_id string, detector string, correct int")
+    got = {(r.a, r.b): r for r in fusion.error_overlap(rows).collect()}
+    for (x, y), r in got.items():
+        a, b = wrong[x], wrong[y]
+        assert (r.both_wrong, r.only_b_right, r.only_a_right) == (len(a & b), len(a - b), len(b - a)) and r.both_right == 40 - len(a | b)
+    assert got["a", "b"].p_value == pytest.approx(2 * (1 + 4) / 16)
+    assert fusion.oracle_accuracy(rows).first().oracle_accuracy == pytest.approx(39 / 40)
+    told = {r.sample_id: (r.wrong_by, r.all_wrong) for r in fusion.wrong_samples(rows).collect()}
+    assert told["s003"] == (["a", "b", "c"], True) and told["s009"] == (["c"], False) and len(told) == 7
 
 
 def test_bootstrap_equals_expanded_resample(spark):
@@ -92,6 +98,7 @@ def test_difference_with_itself_is_zero(spark):
     rows = [(f"p{i:02d}", y, float(i * y)) for i in range(12) for y in (0, 1)]
     wide = bootstrap.pair_table(spark.createDataFrame(rows, "pair_id string, label int, s double"), "pair_id", ["s"])
     reps = bootstrap.replicate_metrics(wide, bootstrap.draws(spark, 12, 10), "s", 4.0)
+    reps = reps.filter("rep >= 0")
     for r in bootstrap.paired_difference(reps, reps).collect():
         assert (r.low, r.high, r.frac_a_better, r.ci_excludes_zero) == (0.0, 0.0, 0.0, False)
 
@@ -189,3 +196,83 @@ def test_formatting_query_has_fitted_models_and_rates(spark):
     assert {r.feature for r in got} == {*text.FEATURES, "formatting_plus_length", "surface_features_without_explicit_length"}
     assert all(0 <= r[m] <= 1 for r in got for m in ("auroc", "accuracy", "precision", "recall", "f1"))
     assert views.formatting(spark, d).filter("split = 'test'").count() > 0
+
+
+def test_single_class_has_no_threshold(spark):
+    cand = metrics.threshold_candidates(metrics.score_groups(frame(spark, [1, 1], [1, 2]), []))
+    with pytest.raises(Exception, match="single class"):
+        metrics.select_threshold(cand, []).collect()
+    assert metrics.select_threshold(cand, [], single="null").first().threshold is None
+
+
+def test_strata_have_their_own_auroc(spark):
+    rows = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.9), (1, 1, 0.5), (1, 50, 0.7), (1, 50, 0.2)], "label int, length int, score double").withColumn("pred", metrics.predicted(F.col("score"), F.lit(0.5)))
+    edges = spark.createDataFrame([([0.0, 10.0, 20.0, 60.5],)], "edges array<double>")
+    got = {r.bin: r for r in metrics.stratified(rows, edges).collect()}
+    assert [got[b].bin_range for b in range(3)] == ["[0, 10)", "[10, 20)", "[20, 60.5]"]
+    assert (got[0].auroc, got[0].n_min, got[0].frac_hallucinated, got[0].reliable) == (0.5, 1, pytest.approx(1 / 3), False)
+    assert (got[1].n, got[1].auroc, got[1].frac_hallucinated) == (0, None, None) and (got[2].auroc, got[2].frac_hallucinated, got[2].recall) == (None, 1.0, 0.5)
+
+
+@pytest.mark.parametrize("rows, said", [([(0.1, 0.2), (0.01, 0.3)], "IMPROVES"), ([(0.1, 0.2), (-0.1, 0.3)], "INCONCLUSIVE"), ([(0.1, 0.2), (-0.3, -0.1)], "WORSE"), ([(None, None)], "UNAVAILABLE"), ([(0.1, 0.2), (None, None)], "INCONCLUSIVE")])
+def test_verdict_looks_at_all_inputs(spark, rows, said):
+    df = spark.createDataFrame([("auroc", *r) for r in rows], "metric string, low double, high double")
+    assert bootstrap.verdict(df, ["metric"]).first().verdict == said
+
+
+def test_estimates_and_broken_clusters(spark):
+    rows = [(f"p{i:02d}", y, float(i % 5 + 2 * y)) for i in range(15) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "pair_id string, label int, s double")
+    parts = bootstrap.compared(df.withColumn("t", -F.col("s")), {"s": 4.0, "t": -4.0}, "s", "pair_id", 20)
+    est = {(r.detector, r.metric): r for r in parts["intervals"].collect()}
+    pos, neg = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert est["s", "auroc"].estimate == pytest.approx(area) and est["t", "auroc"].estimate == pytest.approx(1 - area) and est["s", "auroc"].n_reps == 20
+    assert {r.metric: r.verdict for r in parts["verdict"].collect()}["auroc"] == "IMPROVES"
+    assert [r.estimate for r in parts["differences"].collect() if r.metric == "auroc"] == [pytest.approx(1 - 2 * area)]
+    with pytest.raises(Exception, match="exactly one"):
+        bootstrap.pair_table(df.filter("not (pair_id = 'p03' and label = 1)"), "pair_id", ["s"]).collect()
+    with pytest.raises(Exception, match="exactly one"):
+        bootstrap.pair_table(df.withColumn("s", F.when(F.col("pair_id") != "p03", F.col("s"))), "pair_id", ["s"]).collect()
+
+
+def test_newton_says_when_it_is_not_at_rest(spark):
+    rows = spark.createDataFrame([(int(i > 20), float(i)) for i in range(40)], "label int, u double")
+    with pytest.raises(RuntimeError, match="not at rest"):
+        fusion.fit_many(rows, ["u"], {"m": (100.0, None, None)}, steps=2)
+
+
+def fusion_world(spark, pairs=60):
+    rng = np.random.default_rng(8)
+    samples, scores = {}, {}
+    for split in ("validation", "test"):
+        rows = [(f"{split}{i}_{y}", f"{split}{i}", y, int(rng.integers(3, 60))) for i in range(pairs) for y in (0, 1)]
+        samples[split] = spark.createDataFrame(rows, "sample_id string, pair_id string, label int, length int")
+        for k, d in (("a", 1.5), ("b", 0.8)):
+            scores[k, split] = spark.createDataFrame([(r[0], float(r[2] * d + rng.normal())) for r in rows], "sample_id string, score double")
+    inputs = [fusion.Input(k, scores[k, "validation"], scores[k, "test"], ("c", "v1")) for k in "ab"]
+    return inputs, samples["validation"], samples["test"]
+
+
+def test_fusion_run_and_its_rules(spark):
+    inputs, validation, test = fusion_world(spark)
+    run = fusion.run_fusion(inputs, validation, test, include_length=True)
+    area = {d: metrics.auroc(run.test.withColumn("score", F.col(d)), []).first().auroc for d in ("a", "b", "fusion", "average")}
+    assert area["fusion"] > area["b"] and run.features == ("a", "b", "log_length") and run.test.count() == 120
+    assert {r.detector for r in run.thresholds.collect()} == {"fusion", "average"} and run.coverage == {"validation_used": 120, "validation_total": 120, "test_used": 120, "test_total": 120}
+    flipped = fusion.run_fusion(inputs, validation, test.withColumn("label", 1 - F.col("label")), include_length=True)
+    assert flipped.fit.model == run.fit.model  # test labels never reach the fit
+    one, two = inputs
+    for broken in ([one], [one, one]):
+        with pytest.raises(ValueError):
+            fusion.run_fusion(broken, validation, test)
+    other = fusion.Input("b", two.validation, two.test, ("c2", "v1"))
+    with pytest.raises(ValueError, match="configurations"):
+        fusion.run_fusion([one, other], validation, test)
+    part = fusion.Input("b", two.validation.filter("sample_id < 'validation3'"), two.test.filter("sample_id < 'test2'"), ("c", "v1"))
+    with pytest.raises(ValueError):
+        fusion.run_fusion([one, part], validation, test)
+    with pytest.raises(ValueError, match="pairs"):
+        fusion.run_fusion([one, part], validation, test, partial=True)
+    some = fusion.run_fusion([one, part], validation, test, partial=True, min_pairs=10)
+    assert some.coverage["test_used"] == test.filter("sample_id < 'test2'").count() < some.coverage["test_total"]

@@ -21,15 +21,18 @@ def records(spark, *changes):
     return spark.createDataFrame(rows, io.RECORD)
 
 
-@pytest.mark.parametrize(
-    "change",
-    [
-        {"sample_id": ""}, {"sample_id": None}, {"split": "dev"}, {"detector": "A B"}, {"detector": None}, {"variant": "a b"}, {"score": None}, {"score": float("nan")}, {"score": float("inf")},
-        {"pred_label": 2}, {"config_hash": " "}, {"prompt_version": ""}, {"latency_s": -1.0}, {"latency_s": float("nan")}, {"n_generations": -1}, {"n_generated_tokens": -5}, {"peak_gpu_mem_mb": -0.1},
-    ],
-)
-def test_malformed_records(spark, change):
-    assert validate.record_violations(records(spark, change)).count() == 1
+BAD = {
+    "string": ["", None, " ", "\u00a0"], "pred_label": [2, -1], "score": [None, float("nan"), float("inf"), float("-inf")], "amount": [-0.5, float("nan"), float("inf")], "count": [-1],
+}
+KINDS = {"latency_s": "amount", "peak_gpu_mem_mb": "amount", "n_generations": "count", "n_generated_tokens": "count", "pred_label": "pred_label", "score": "score"}
+
+
+def test_every_record_rule_rejects_what_breaks_it(spark):
+    cases = [(rule, {rule: v}) for rule in validate.record_rules() for v in BAD[KINDS.get(rule, "string")]]
+    cases += [("split", {"split": "dev"}), ("detector", {"detector": "A b"}), ("detector", {"detector": "ab\n"}), ("variant", {"variant": "a b"})]
+    rows = records(spark, *[{"sample_id": f"S{i}"} | change for i, (_, change) in enumerate(cases)])
+    found = validate.record_violations(rows).groupBy("rule").count().collect()
+    assert {r.rule: r["count"] for r in found} == {rule: sum(r == rule for r, _ in cases) for rule in validate.record_rules()}
 
 
 def test_good_record(spark):
@@ -93,15 +96,50 @@ def test_text(spark):
     assert got[3].n == "strasse fi" and [r.w for r in got] == [2, 1, 0, 2]
 
 
-@pytest.mark.parametrize("short, long, same", [("Paris", "Paris is the capital.", True), ("Paris", "Paris is not the capital of France.", False), ("Par", "Paris is the capital.", False), ("a b c d", "a b c d e", False), ("12", "12 people", True), ("", "x", False)])
-def test_anchor_rule(spark, short, long, same):
-    row = spark.createDataFrame([(short, long)], "s string, l string").select(text.anchored_short_answer(F.col("s"), F.col("l")).alias("a")).first()
-    assert row.a is same
-
-
-@pytest.mark.parametrize("answers, ids", [(["Paris is the capital.", "  PARIS IS THE CAPITAL. ", "London"], [0, 0, 1]), (["x"], [0]), (["b", "a", "b", "c"], [0, 1, 0, 2])])
+ANCHORS = [
+    ("Paris", "Paris is the capital.", True), ("Paris", "Paris is not the capital of France.", False), ("Par", "Paris is the capital.", False), ("a b c d", "a b c d e", False), ("12", "12 people", True), ("", "x", False),
+    ("paris", "Paris, no doubt", True), ("paris", "paris never sleeps", True), ("paris", "paris", False), ("paris", "paris can't be", False), ("c++", "c++ rocks", False), ("c++", "c++x rocks", True), ("Paris", "PARIS \u2014 isn't it", False),
+    ("Paris", "Paris will  not do", False), ("Paris", "Paris will do", True), ("Paris", "Paris knots", True), ("a b", " a b: not", False), ("\u00c9t\u00e9", "\u00e9t\u00e9 chaud", True), (None, "x y", False), ("x", None, False),
+]
+
+
+def test_anchor_rule(spark):
+    rows = spark.createDataFrame([(i, s, w) for i, (s, w, _) in enumerate(ANCHORS)], "i int, s string, l string")
+    got = {r.i: r.a for r in rows.select("i", text.anchored_short_answer(F.col("s"), F.col("l")).alias("a")).collect()}
+    assert [(ANCHORS[i], got[i]) for i in got if got[i] is not ANCHORS[i][2]] == []
+
+
+def test_formatting_features_by_hand(spark):
+    texts = ["Hello, World! 12\u00b2 (\u00e9)\t\u00aa", "", "   ", "ABC", "\u01c5x\u00a0y?", "a.b.c:", "\u2460\u0663 z"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", *text.formatting_features(F.col("t"))).collect()
+    punctuation = text.PUNCTUATION
+    for r in got:
+        t = texts[r.i]
+        n, letters = max(len(t), 1), [c for c in t if c.isalpha()]
+        k = max(len(letters), 1)
+        want = (
+            len(t), len(t.split()), len(t.replace(" ", "")) / max(len(t.split()), 1), sum(c.isupper() for c in letters) / k, sum(c.islower() for c in letters) / k, sum(c.isdigit() for c in t) / n, sum(c in punctuation for c in t) / n,
+            sum(c.isspace() for c in t) / n, len(set(t)) / n, t.count(",") / n, t.count(".") / n, t.count("?") / n, t.count("!") / n, (t.count("(") + t.count(")")) / n, sum(not c.isascii() for c in t) / n, float(t[:1].isupper()), float(t[-1:] in punctuation and t != ""),
+        )
+        assert tuple(r)[1:] == pytest.approx(want), t
+
+
+def test_prompt_parts_are_stripped_and_required(spark):
+    row = spark.createDataFrame([("\tq? ", " k\u00a0", "\n a ")], "q string, k string, a string")
+    said = row.select(text.user_message(F.col("q"), F.col("k")).alias("open"), text.user_message(F.col("q")).alias("closed"), *text.classifier_inputs(F.col("a"), F.col("q"), F.col("k")), text.classifier_inputs(F.col("a"))[0]).first()
+    assert tuple(said) == ("Knowledge: k\n\nQuestion: q?", "Question: q?", "Question: q?\nAnswer: a", "Knowledge: k", "Answer: a")
+    for q, k in ((" ", "k"), ("q", None)):
+        with pytest.raises(Exception, match="empty"):
+            spark.createDataFrame([(q, k)], "q string, k string").select(text.user_message(F.col("q"), F.col("k"))).collect()
+    with pytest.raises(ValueError, match="version"):
+        text.generation_prompt(F.lit("m"), version="v0")
+    folded = spark.createDataFrame([("Stra\u00dfe \u00c9",), (None,)], "t string").select(text.normalized_answer(F.col("t")).alias("n"), text.unfinished_thinking(F.col("t")).alias("u")).collect()
+    assert [(r.n, r.u) for r in folded] == [("strasse \u00e9", False), ("", False)]
+
+
+@pytest.mark.parametrize("answers, ids", [(["Paris is the capital.", "  PARIS IS THE CAPITAL. ", "London"], [0, 0, 1]), (["x"], [0]), (["b", "a", "b", "c"], [0, 1, 0, 2]), ([None, " ", "x", ""], [0, 0, 1, 0])])
 def test_first_fit(spark, answers, ids):
-    same = lambda a, b: text.normalized_answer(a) == text.normalized_answer(b)
+    same = lambda a, b: F.lower(text.collapse(a)) == F.lower(text.collapse(b))
     assert spark.createDataFrame([(answers,)], "a array<string>").select(semantic.first_fit(F.col("a"), same).alias("i")).first().i == ids
 
 
@@ -118,6 +156,14 @@ def test_candidate(spark, answers, candidate, p, matched):
     assert (row.probability, row.score, row.matched) == (p, 1 - p, matched)
 
 
+def test_empty_answers_and_candidates_are_errors(spark):
+    row = spark.createDataFrame([([], ["a"], " ")], "none array<string>, some array<string>, blank string")
+    equal = lambda a, b: a == b
+    for wrong in (semantic.first_fit(F.col("none"), equal), semantic.candidate_score(F.col("none"), F.lit("x"), equal)["score"], semantic.candidate_score(F.col("some"), F.col("blank"), equal)["score"]):
+        with pytest.raises(Exception, match="no answers|no generations|empty candidate"):
+            row.select(wrong).collect()
+
+
 def test_split_counts_and_folds(spark):
     assert splits.split_counts(10_000) == (1000, 1001) and splits.split_counts(7500) == (750, 750)
     pairs = spark.range(200).select(F.format_string("P%05d", "id").alias("pair_id"))
@@ -172,6 +218,17 @@ def test_optimal_and_greedy_matches(spark):
             if i not in used and j not in used:
                 used |= {i, j}
                 greedy.add((i, j))
+        for n in (5, 40):
+            a, b = (sorted(rng.randint(1, 15) for _ in range(rng.randint(0, n))) for _ in "ab")
+            found = matching.aligned(np.array(a, np.int64), np.array(b, np.int64), 2)
+            gaps = [abs(a[i] - b[j]) for i, j in found]
+            full = np.zeros((len(a) + 1, len(b) + 1), int)  # the plain table, all cells
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    g = abs(a[i] - b[j])
+                    full[i + 1, j + 1] = max(full[i, j + 1], full[i + 1, j], full[i, j] + 1000 - g if g <= 2 else 0)
+            assert 1000 * len(found) - sum(gaps) == full[-1, -1] and all(g <= 2 for g in gaps)
+            assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
         if edges:
             assert {(r.id0, r.id1) for r in matching.greedy_matches(matching.caliper_edges(df, 3)).collect()} == greedy
 
@@ -259,3 +316,69 @@ def test_optimal_query_has_a_row_for_each_tolerance(spark):
 
     got = catalog.QUERIES["d10_e20_r20_optimal_matches"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.delta for r in got) == [1, 3, 5, 10, 15] and all(0 <= r.coverage_percent <= 100 for r in got)
+
+
+def test_excluding_by_no_key_keeps_all(spark):
+    rows = spark.createDataFrame([("p1", "x"), ("p2", "y")], "pair_id string, norm string")
+    assert leakage.exclude_pairs(rows, rows.limit(0), []).count() == 2
+    assert {(r.scope, r.pair_id) for r in leakage.scopes(rows, rows.filter("norm = 'x'"), {"unseen": ["norm"]}).collect()} == {("all", "p1"), ("all", "p2"), ("unseen", "p2")}
+    with pytest.raises(ValueError, match="pairs"):
+        leakage.covered_by_all(rows.withColumn("sample_id", F.col("norm")), [], least_pairs=3)
+
+
+def write_split(path, split, pairs, start=0, **changes):
+    rows = []
+    for i in range(start, start + pairs):
+        for y in (0, 1):
+            answer = "a" * (5 + i % 4 + y)
+            rows.append({"sample_id": f"S{i:06d}_{y}", "pair_id": f"P{i:05d}", "split": split, "language": "en", "question": f"q{i}", "knowledge": "k", "answer": answer, "label": y, "answer_length_chars": len(answer)} | changes)
+    (path / f"{split}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    return rows
+
+
+def test_loaders_check_what_they_read(spark, tmp_path):
+    at = 0
+    for split, n in (("train", 6), ("validation", 4), ("test", 5)):
+        write_split(tmp_path, split, n, at)
+        at += n
+    every = io.load_all(spark, str(tmp_path))
+    listed = splits.manifest(every)
+    hashes = {s: io.content_hash(spark, f"{tmp_path}/{s}.jsonl") for s in validate.SPLITS}
+    assert io.load_all(spark, str(tmp_path), listed, hashes).groupBy("split").count().count() == 3
+    for wrong in ({"expected_hash": "0" * 64}, {"manifest": listed.filter("pair_id <> 'P00011'")}):
+        with pytest.raises(validate.DataIntegrityError):
+            io.load_split(spark, str(tmp_path), "test", **wrong)
+    with pytest.raises(ValueError, match="unknown split"):
+        io.load_split(spark, str(tmp_path), "dev")
+    test = io.load_split(spark, str(tmp_path), "test")
+    assert io.load_counted(test, 10, 5).filter("answer_length_words = 1").count() == 10
+    with pytest.raises(validate.DataIntegrityError):
+        io.load_counted(test, 10, 4)
+    controlled = matching.controlled_set(test, 1)
+    assert io.load_controlled(controlled, test).count() == controlled.count() > 0
+    assert matching.artefact_checks(controlled, test, 1, controlled.count()).filter("not ok").count() == 0
+    for broken in (controlled.withColumn("question", F.lit("other")), controlled.unionByName(controlled), controlled.filter("label = 0")):
+        with pytest.raises(validate.DataIntegrityError):
+            io.load_controlled(broken, test)
+    features = test.select("sample_id", "label", F.lit(1).alias("layer"))
+    assert io.check_features(features, test).count() == 10
+    with pytest.raises(validate.DataIntegrityError):
+        io.check_features(features.withColumn("label", F.lit(0)), test)
+    write_split(tmp_path, "test", 5, 10, answer_length_chars=99)
+    with pytest.raises(validate.DataIntegrityError):
+        io.load_split(spark, str(tmp_path), "test")
+
+
+def test_runs_with_unknown_fields_and_small_files(spark, tmp_path):
+    rows = records(spark, *[{"sample_id": f"S{i}", "score": float(i), "pred_label": None} for i in range(3)])
+    meta = {"detector": "length_only", "variant": "chars", "split": "test", "config_hash": "abc", "prompt_version": "p1"}
+    io.write_run(rows, meta, f"{tmp_path}/run", 0.5, "validation")
+    (tmp_path / "run/records/extra.json").write_text(json.dumps({"sample_id": "S9", "surprise": 1}) + "\n")
+    with pytest.raises(validate.DataIntegrityError, match="unknown fields"):
+        io.read_run(spark, f"{tmp_path}/run")
+    for text_ in ("one", "two\nlines\n"):
+        io.write_text(spark, f"{tmp_path}/t/x.json", text_)
+        assert io.read_text(spark, f"{tmp_path}/t/x.json") == text_
+    assert io.config_hash({"b": 1, "a": [2], "paths": "x"}) == io.config_hash({"a": [2], "b": 1, "paths": "y"}) != io.config_hash({"a": [2], "b": 2})
+    with pytest.raises(ValueError, match="split"):
+        io.run_path("out", "d", "v", "dev")
