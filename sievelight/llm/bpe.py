@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct runs of text, their tokens, and token pairs, that a worker remembers before it starts afresh.
-CACHE, POOL, PAIRS = 400_000, 8_000_000, 1_000_000
-#: Characters of a word that is remembered; longer ones are rarely met again.
-KNOWN = 64
+CACHE, POOL, PAIRS = 400_000, 8_000_000, 400_000
+#: Words that are remembered, and the characters of one; longer ones are rarely met again.
+WORDS, KNOWN = 200_000, 64
 #: Bytes of text encoded together, a bound on a worker's arrays.
 SLICE_BYTES = 1 << 20
 
@@ -191,7 +191,7 @@ class Codec:
             if (ids := self.known.get(word)) is None:
                 ids = self.encode_word(word)
                 if len(word) <= KNOWN:
-                    if len(self.known) >= CACHE:
+                    if len(self.known) >= WORDS:
                         self.known.clear()
                     self.known[word] = ids
             out += ids
