@@ -1,6 +1,6 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Bytes are embedded; filters of eight bytes at every fourth byte slide over the
+Bytes are embedded; filters of eight bytes at every second byte slide over the
 whole document; rectified responses are max-pooled within overlapping chunks of
 512 bytes (every 256 bytes), then the chunks' mean and maximum feed one logistic
 output. Embedding, filters and output are
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import bucket_of_id
 from .toxicity_subword import labelled_sample, learnt
 
-#: Embedding size, filters, stride (a filter is two strides wide), bytes of half a chunk.
-DIM, FILTERS, STRIDE, HALF = 8, 16, 4, 256
+#: Embedding size, filters, stride, strides that a filter is wide, bytes of half a chunk.
+DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 2, 4, 256
 #: Bounds of the labelled sample: documents of label 0 and of label 1, characters of a document.
 SAMPLE, SAMPLE_CHARS = (1000, 1500), 12_288
 #: Bytes of text whose responses are held at once.
@@ -39,10 +39,15 @@ SLICE_BYTES = 1 << 19
 PAD = 256
 
 
+def halves_of(sizes: np.ndarray) -> np.ndarray:
+    """Halves of texts of so many bytes, with room for a filter's width of padding behind."""
+    return (np.asarray(sizes) + TAPS * STRIDE + HALF - 1) // HALF
+
+
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Byte codes of the texts, each padded to whole halves, and the halves of each."""
-    halves = np.array([(len(t) + 2 * STRIDE + HALF - 1) // HALF for t in texts])
-    codes = np.full(int(halves.sum()) * HALF, PAD, np.intp)
+    halves = halves_of([len(t) for t in texts])
+    codes = np.full(int(halves.sum()) * HALF, PAD, np.uint16)
     at = 0
     for t, n in zip(texts, halves):
         codes[at : at + len(t)] = np.frombuffer(t, np.uint8)
@@ -60,8 +65,8 @@ class Network:
     def fresh(cls, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
         wide = STRIDE * DIM
-        shapes = {"embed": (PAD + 1, DIM), "near": (wide, FILTERS), "far": (wide, FILTERS)}
-        scale = {"embed": 0.5, "near": 0.25, "far": 0.25}
+        shapes = {"embed": (PAD + 1, DIM), "taps": (TAPS, wide, FILTERS)}
+        scale = {"embed": 0.5, "taps": 0.25}
         p = {k: rng.normal(0, scale[k], s).astype(np.float32) for k, s in shapes.items()}
         p |= {"shift": np.zeros(FILTERS, np.float32), "out": rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32), "bias": np.zeros(1, np.float32)}
         return cls(p)
@@ -77,11 +82,12 @@ class Network:
     def responses(self, codes: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filter responses at every stride, (halves, positions, filters), and the embedded input."""
         x = self.p["embed"].take(codes, axis=0).reshape(-1, STRIDE * DIM)
-        r = x @ self.p["near"]
-        r[:-1] += x[1:] @ self.p["far"]
+        r = x @ self.p["taps"][0]
+        for k in range(1, TAPS):
+            r[:-k] += x[k:] @ self.p["taps"][k]
         r += self.p["shift"]
         r = r.reshape(-1, HALF // STRIDE, FILTERS)
-        r[np.cumsum(halves) - 1, -1] = 0  # would read into the next document
+        r[np.cumsum(halves) - 1, 1 - TAPS :] = 0  # would read into the next document
         return r, x
 
     def pooled(self, top: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,21 +105,22 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        codes, halves = laid_out(texts)
-        tops = [np.zeros((0, FILTERS), np.float32)]
-        cuts = np.cumsum(halves)
-        begin = 0
+        halves = halves_of([len(t) for t in texts])
+        tops, cuts, most_halves, begin = [], np.cumsum(halves), SLICE_BYTES // HALF, 0
         while begin < len(texts):  # whole documents, SLICE_BYTES at a time; a longer one by itself in parts
             base = cuts[begin] - halves[begin]
-            end = max(begin + 1, int(np.searchsorted(cuts, base + SLICE_BYTES // HALF, "right")))
-            first, last = base, cuts[end - 1]
-            while first < last:
-                stop = min(last, first + SLICE_BYTES // HALF)
-                more = stop < last
-                part = codes[first * HALF : stop * HALF + more * HALF]
-                sizes = halves[begin:end] if first == base and stop == last else np.array([stop - first + more])
-                tops.append(np.maximum(self.responses(part, sizes)[0].max(axis=1), 0)[: stop - first])
-                first = stop
+            end = max(begin + 1, int(np.searchsorted(cuts, base + most_halves, "right")))
+            if halves[begin] <= most_halves:
+                tops.append(np.maximum(self.responses(*laid_out(texts[begin:end]))[0].max(axis=1), 0))
+            else:
+                text, n = texts[begin], int(halves[begin])
+                for first in range(0, n, most_halves):
+                    stop = min(n, first + most_halves)
+                    ahead = min(n, stop + 1)  # the last filters of a part read into the next half
+                    part = text[first * HALF : ahead * HALF]
+                    codes = np.full((ahead - first) * HALF, PAD, np.uint16)
+                    codes[: len(part)] = np.frombuffer(part, np.uint8)
+                    tops.append(np.maximum(self.responses(codes, np.array([ahead - first]))[0].max(axis=1), 0)[: stop - first])
             begin = end
         _, _, mean, most = self.pooled(np.concatenate(tops), halves)
         z = np.hstack([mean, most]) @ self.p["out"] + self.p["bias"]
@@ -147,15 +154,15 @@ class Network:
         rows = (np.arange(len(top))[:, None] * (HALF // STRIDE) + place).ravel()
         d_r = np.zeros((len(x), FILTERS), np.float32)
         d_r[rows, np.tile(np.arange(FILTERS), len(top))] = d_top.ravel()
-        d_r[(np.cumsum(halves) * (HALF // STRIDE)) - 1] = 0
+        for k in range(1, TAPS):
+            d_r[(np.cumsum(halves) * (HALF // STRIDE)) - k] = 0
         hit = np.nonzero(d_r.any(axis=1))[0]
-        ahead = np.minimum(hit + 1, len(x) - 1)
         d = d_r[hit]
-        g |= {"near": x[hit].T @ d, "far": x[ahead].T @ d, "shift": d.sum(axis=0)}
+        g |= {"taps": np.stack([x[hit + k].T @ d for k in range(TAPS)]), "shift": d.sum(axis=0)}
         g["embed"] = np.zeros_like(self.p["embed"])
         grid = codes.reshape(-1, STRIDE)
-        np.add.at(g["embed"], grid[hit], (d @ self.p["near"].T).reshape(-1, STRIDE, DIM))
-        np.add.at(g["embed"], grid[ahead], (d @ self.p["far"].T).reshape(-1, STRIDE, DIM))
+        for k in range(TAPS):
+            np.add.at(g["embed"], grid[hit + k], (d @ self.p["taps"][k].T).reshape(-1, STRIDE, DIM))
         return g
 
 

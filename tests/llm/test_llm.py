@@ -182,7 +182,7 @@ def test_quality_gradients_are_the_slope():
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     grads = net.gradients(codes, halves, y)
-    for name, at in (("out", 3), ("out", 20), ("bias", 0), ("near", (5, 2)), ("far", (9, 4)), ("shift", 1)):
+    for name, at in (("out", 3), ("out", 20), ("bias", 0), ("taps", (0, 5, 2)), ("taps", (3, 9, 4)), ("shift", 1), ("embed", (97, 3))):
         old = net.p[name][at]
         net.p[name][at] = old + 1e-2
         up = loss()
@@ -192,6 +192,33 @@ def test_quality_gradients_are_the_slope():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
+def test_quality_scores_by_hand(monkeypatch):
+    """Scores against the definition, position by position, whatever the slices."""
+    net, half, width = quality_cnn.Network.fresh(4), quality_cnn.HALF, quality_cnn.TAPS * quality_cnn.STRIDE
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 7, 250, 256, 300, 1500)]
+
+    def by_hand(t):
+        halves = -(-(len(t) + width) // half)
+        codes = list(t) + [quality_cnn.PAD] * (halves * half - len(t))
+        filters = net.p["taps"].reshape(width * quality_cnn.DIM, -1)
+        tops = []
+        for h in range(halves):
+            best = np.zeros(quality_cnn.FILTERS)
+            for at in range(h * half, (h + 1) * half, quality_cnn.STRIDE):
+                if at + width <= len(codes):
+                    best = np.maximum(best, net.p["embed"][codes[at : at + width]].ravel() @ filters + net.p["shift"])
+            tops.append(best)
+        chunks = [np.maximum(a, b) for a, b in zip(tops, tops[1:])] or tops
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.p["out"] + net.p["bias"][0]
+        return 1 / (1 + np.exp(-z))
+
+    want = [by_hand(t) for t in texts]
+    assert np.allclose(net.scores(texts), want, atol=1e-5)
+    monkeypatch.setattr(quality_cnn, "SLICE_BYTES", 2 * half)
+    assert np.allclose(net.scores(texts), want, atol=1e-5)
+
+
 def toxic_corpus(n=300, seed=2):
     rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
