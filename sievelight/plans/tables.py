@@ -389,7 +389,14 @@ def _(spark, d):
     return out
 
 
-@q("d11_greedy_matches")
+_GREEDY = """WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, (1 - quality)::INTEGER AS label, length(text) AS n FROM documents JOIN labels USING (doc_id)),
+  e AS (SELECT *, row_number() OVER (ORDER BY gap, id0, id1) AS k FROM (SELECT a.id AS id0, b.id AS id1, abs(a.n - b.n)::INTEGER AS gap FROM x a JOIN x b ON a.label = 0 AND b.label = 1 AND abs(a.n - b.n) <= 5)),
+  r AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, false AS taken UNION ALL
+    SELECT e.k, CASE WHEN list_has_any(r.used, ['0' || e.id0, '1' || e.id1]) THEN r.used ELSE list_concat(r.used, ['0' || e.id0, '1' || e.id1]) END, NOT list_has_any(r.used, ['0' || e.id0, '1' || e.id1]) FROM r JOIN e ON e.k = r.k + 1)
+  SELECT id0, id1, gap FROM r JOIN e USING (k) WHERE taken"""
+
+
+@q("d11_greedy_matches", _GREEDY)
 def _(spark, d):
     from ..sources.shared import ensure_checkpoint_dir
 
@@ -397,7 +404,14 @@ def _(spark, d):
     return matching.greedy_length_matches(T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length"), 5)
 
 
-@q("d12_nearest_greedy")
+_NEAREST = sql("text_samples", """SELECT id0, id1, gap FROM r WHERE id1 IS NOT NULL""",
+  "f AS (SELECT doc_id::VARCHAR AS id, length AS n, row_number() OVER (ORDER BY doc_id::VARCHAR) AS k FROM text_samples WHERE split = 'test' AND label = 0)",
+  "h AS (SELECT list({'id': doc_id::VARCHAR, 'n': length} ORDER BY doc_id::VARCHAR) AS free FROM text_samples WHERE split = 'test' AND label = 1)",
+  """r AS (SELECT 0::BIGINT AS k, free, NULL::VARCHAR AS id0, NULL::VARCHAR AS id1, NULL::INTEGER AS gap FROM h UNION ALL
+    SELECT k, list_filter(free, lambda x: x.id <> best.id), id, best.id, abs(best.n - n)::INTEGER FROM (SELECT f.k, r.free, f.id, f.n, list_sort(list_transform(r.free, lambda x: {'d': abs(x.n - f.n), 'id': x.id, 'n': x.n}))[1] AS best FROM r JOIN f ON f.k = r.k + 1 WHERE len(r.free) > 0))""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@q("d12_nearest_greedy", _NEAREST)
 def _(spark, d):
     return matching.nearest_greedy(_test_texts(spark, d))
 
