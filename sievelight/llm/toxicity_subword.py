@@ -51,7 +51,7 @@ SHARP = (4.0, 16.0)
 #: Share of words thinned in a step, and the part of their n-grams that stays.
 THINNED, STAYS = 0.5, 0.35
 #: Words a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
