@@ -99,8 +99,7 @@ def word_count(text: Column) -> Column:
 @lru_cache
 def _other_digits() -> str:
     """Character class of what ``str.isdigit`` takes beside decimal digits: superscripts, circled digits and the like."""
-    found = [c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()]
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in found) + "\\p{Nd}]"
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()) + "]"
 
 
 def formatting_features(text: Column) -> list[Column]:
@@ -110,15 +109,17 @@ def formatting_features(text: Column) -> list[Column]:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     per = lambda c: c.cast("double") / F.greatest(n, F.lit(1))
     of_letters = lambda c: c.cast("double") / F.greatest(count(r"\p{L}"), F.lit(1))
+    # rare kinds are counted only in texts that hold their general category
+    rare = lambda sign, pattern: F.when(text.rlike(sign), count(pattern)).otherwise(0)
     words = word_count(text)
     flag = lambda test: F.when(test, 1.0).otherwise(0.0)
     values = {
         "char_count": n.cast("double"),
         "word_count": words.cast("double"),
         "avg_word_length": (n - count(" ")).cast("double") / F.greatest(words, F.lit(1)),
-        "uppercase_ratio": of_letters(count(r"[\p{L}&&\p{IsUppercase}]")),
-        "lowercase_ratio": of_letters(count(r"[\p{L}&&\p{IsLowercase}]")),
-        "digit_ratio": per(count(_other_digits())),
+        "uppercase_ratio": of_letters(count(r"\p{Lu}")),
+        "lowercase_ratio": of_letters(count(r"\p{Ll}") + rare(r"[\p{Lm}\xAA\xBA]", r"[\p{Lm}\p{Lo}&&\p{IsLowercase}]")),
+        "digit_ratio": per(count(r"\p{Nd}") + rare(r"\p{No}", _other_digits())),
         "punctuation_ratio": per(count(r"\p{Punct}")),
         "whitespace_ratio": per(count(WS)),
         "unique_char_ratio": per(F.when(n == 0, 0).otherwise(F.size(F.array_distinct(F.split(text, ""))))),

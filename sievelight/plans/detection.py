@@ -68,16 +68,19 @@ def _flagship_sql() -> str:
 @q("flagship_validation_threshold_test_metrics", _flagship_sql())
 def flagship(spark, d):
     """Per detector: threshold chosen on validation, metrics, AUROC and pair accuracy on test."""
-    scores = long_scores(S(spark, d).filter("split <> 'train'"))
-    # scores of both splits are grouped once: thresholds, AUROC and metrics all read these groups
-    groups = metrics.score_groups(scores, ["detector", "split"])
+    # samples are read once, into pairs that hold both rows' scores; all else reads those
+    one = lambda y, c: F.max(F.when(F.col("label") == y, F.col(c)))
+    wide = held(S(spark, d).filter("split <> 'train'").groupBy("split", "pair_id").agg(*[one(y, c).alias(f"{c}_{y}") for c in ("score_a", "score_b") for y in (0, 1)]))
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.col(f"{c}_0").alias("factual"), F.col(f"{c}_1").alias("hallucinated")) for n, c in (("a", "score_a"), ("b", "score_b"))]))
+    pairs = wide.select("split", "pair_id", both.alias("e")).select("split", "pair_id", "e.*")
+    rows = F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("factual").alias("score")), F.struct(F.lit(1).alias("label"), F.col("hallucinated").alias("score"))))
+    groups = held(metrics.score_groups(pairs.select("detector", "split", rows.alias("e")).select("detector", "split", "e.*").filter("score is not null"), ["detector", "split"]))
     validation, test = groups.filter("split = 'validation'"), groups.filter("split = 'test'")
     chosen = metrics.select_threshold(metrics.threshold_candidates(validation), ["detector"])
     up = F.col("score") >= F.col("threshold")
     part = lambda c, t: F.sum(F.when(t, F.col(c)).otherwise(0)).cast("long")
     counts = test.join(F.broadcast(chosen), "detector").groupBy("detector", "threshold").agg(part("pos", up).alias("tp"), part("neg", up).alias("fp"), part("pos", ~up).alias("fn"), part("neg", ~up).alias("tn"))
-    one = lambda y: F.max(F.when(F.col("label") == y, F.col("score")))
-    pairs = scores.filter("split = 'test'").groupBy("detector", "pair_id").agg(one(0).alias("factual"), one(1).alias("hallucinated"), F.lit(True).alias("complete"))
+    pairs = pairs.filter("split = 'test'").withColumn("complete", F.col("factual").isNotNull() & F.col("hallucinated").isNotNull())
     out = metrics.rates(counts).join(metrics.auroc_of(test, ["detector"]), "detector").join(metrics.pair_accuracy(pairs, ["detector"]).select("detector", "pair_accuracy"), "detector")
     return out.withColumns(rounded(*_RATE_NAMES, "auroc", "pair_accuracy"))
 
