@@ -2,47 +2,164 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import Logistic, fit_many, standardised
 from .metrics import auroc, best_by
 
+#: Groups in which the sums of partitions are added before the driver adds the groups.
+LANES = 32
+#: Width up to which a fit takes Newton steps, and the moves that a wider one remembers.
+NEWTON_WIDTH, MEMORY = 256, 20
+
+
+@dataclass(frozen=True)
+class Probe:
+    """Weights on the features as they are (the scale is folded in) and the intercept."""
+
+    coef: np.ndarray
+    intercept: float
+
+
+def layer_sums(rows: DataFrame, own: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """``own(layer, x, y)`` of all batches of (layer, y, x), added up for each layer: in a task,
+    then in LANES groups, then on the driver, which gets LANES arrays a layer however many
+    partitions there are."""
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            layer, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            widths = np.unique(pc.list_value_length(batch.column(2)).to_numpy())
+            if len(widths) > 1:
+                raise ValueError(f"features of different widths: {widths.tolist()}")
+            x = batch.column(2).flatten().to_numpy().reshape(len(layer), -1)
+            for k in np.unique(layer):
+                some = layer == k
+                sums[int(k)] = sums.get(int(k), 0) + own(int(k), x[some], y[some])
+        lane = TaskContext.get().partitionId() % LANES
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([lane] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["layer", "lane", "packed"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in pdf["packed"])
+        return pd.DataFrame({"layer": pdf["layer"][:1], "packed": [total.tobytes()]})
 
-def vector_scale(rows: DataFrame, vector: str = "features", by: str = "layer") -> dict[int, list[tuple[float, float]]]:
-    """Mean and population sd of every component, for each layer (a table of layers times width)."""
-    parts = rows.select(by, F.posexplode(vector).alias("at", "v")).groupBy(by, "at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
-    out: dict[int, list] = {}
-    for r in sorted(parts, key=lambda r: (r[by], r["at"])):
-        out.setdefault(r[by], []).append((r.m, r.s or 1.0))
+    out: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(partial, "layer int, lane int, packed binary").groupBy("layer", "lane").applyInPandas(add, "layer int, packed binary").collect():
+        out[r.layer] = out.get(r.layer, 0) + np.frombuffer(r.packed)
     return out
 
 
-def scaled(vector: Column, layer: Column, scale: dict[int, list[tuple[float, float]]]) -> Column:
-    """Standardised components; the scale travels as one literal array per layer."""
-    lit = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    mean = F.coalesce(*[F.when(layer == k, lit([m for m, _ in ms])) for k, ms in scale.items()])
-    sd = F.coalesce(*[F.when(layer == k, lit([s for _, s in ms])) for k, ms in scale.items()])
-    return F.zip_with(F.zip_with(vector, mean, lambda x, m: x - m), sd, lambda x, s: x / s)
+class Search:
+    """The way of one penalised fit to its rest: by Newton steps where the Hessian is given,
+    else by limited-memory BFGS; a step that doesn't lower the loss enough is halved."""
+
+    def __init__(self, size: int, rows: float, c: float, tol: float):
+        self.rows, self.tol, self.done = rows, tol, False
+        self.ridge = np.full(size, 1 / (c * rows))
+        self.ridge[0] = 0
+        self.look, self.at, self.step = np.zeros(size), None, 1.0
+        self.past: deque = deque(maxlen=MEMORY)
+
+    def take(self, sums: np.ndarray) -> None:
+        """Take loss, gradient and perhaps Hessian, all summed over the rows, at ``look``."""
+        if not np.isfinite(sums).all():
+            raise ValueError("features hold values that are not finite")
+        size = len(self.look)
+        value = sums[0] / self.rows + (self.ridge * self.look**2).sum() / 2
+        slope = sums[1 : size + 1] / self.rows + self.ridge * self.look
+        if self.at is not None and value > self.value + 1e-4 * self.step * (self.way @ self.slope) + 1e-13 * abs(self.value):
+            self.step /= 2
+        else:
+            if self.at is not None and (self.look - self.at) @ (slope - self.slope) > 0:
+                self.past.append((self.look - self.at, slope - self.slope))
+            self.at, self.value, self.slope, self.step = self.look, value, slope, 1.0
+            self.done = bool(np.abs(slope).max() <= self.tol)
+            self.way = -np.linalg.solve(sums[size + 1 :].reshape(size, size) / self.rows + np.diag(self.ridge + 1e-12), slope) if len(sums) > size + 1 else self.descent()
+        self.look = self.at + self.step * self.way
+
+    def descent(self) -> np.ndarray:
+        """The two-loop recursion over the last MEMORY moves."""
+        way, shares = -self.slope, []
+        if not self.past:
+            return way / max(1.0, float(np.linalg.norm(way)))
+        for move, turn in reversed(self.past):
+            shares.append((move @ way) / (move @ turn))
+            way = way - shares[-1] * turn
+        move, turn = self.past[-1]
+        way = way * ((move @ turn) / (turn @ turn))
+        for (move, turn), share in zip(self.past, reversed(shares)):
+            way = way + (share - (turn @ way) / (move @ turn)) * move
+        return way
+
+
+def layer_probes(rows: DataFrame, train: Column, c: float = 1.0, newton_width: int = NEWTON_WIDTH, steps: int = 1000, tol: float = 1e-6) -> tuple[dict[int, Probe], DataFrame]:
+    """Fit a probe for each layer on the ``train`` rows of (sample_id, label, layer, features),
+    standardised there; return the probes and all other rows with their score (the decision).
+
+    Penalty |w|^2 / (2c) beside the summed loss, intercept free, a constant component only
+    centred. All layers step in one job; a job sends the driver a gradient for each layer and
+    lane, and the Hessian only up to ``newton_width`` components. Rows with a null label, layer,
+    vector or component take no part in the fit; such a vector's score, and that of a layer
+    without training rows, is null. Vectors of different widths are an error, and so is a fit not
+    at rest (no component of the mean loss's gradient above ``tol``) after ``steps`` jobs."""
+    context = rows.sparkSession.sparkContext
+    x = F.col("features").cast("array<double>")
+    whole = (F.size("features") > 0) & ~F.exists("features", lambda v: v.isNull())
+    learnt = rows.filter(train).filter(whole & F.col("label").isNotNull() & F.col("layer").isNotNull()).select(F.col("layer").cast("int").alias("layer"), F.col("label").cast("double").alias("y"), x.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = layer_sums(learnt, lambda k, x, y: np.concatenate([[len(y)], x.sum(0)]))
+    mean = {k: v[1:] / v[0] for k, v in sums.items()}
+    sent = context.broadcast(mean)
+    spread = layer_sums(learnt, lambda k, x, y: ((x - sent.value[k]) ** 2).sum(0))
+    sd = {k: np.where(v > 0, np.sqrt(v / sums[k][0]), 1.0) for k, v in spread.items()}
+    searches = {k: Search(len(mean[k]) + 1, sums[k][0], c, tol) for k in sums}
+    for _ in range(steps):
+        live = {k: s for k, s in searches.items() if not s.done}
+        if not live:
+            break
+        state = context.broadcast({k: (mean[k], sd[k], s.look) for k, s in live.items()})
+
+        def loss(k, x, y, state=state):
+            m, s, w = state.value[k]
+            x = (x - m) / s
+            z = x @ w[1:] + w[0]
+            q = 0.5 * (1 + np.tanh(z / 2))
+            parts = [[(np.logaddexp(0, z) - y * z).sum(), (q - y).sum()], x.T @ (q - y)]
+            if len(m) <= newton_width:
+                one = np.column_stack([np.ones(len(y)), x])
+                parts.append(((one * (q * (1 - q))[:, None]).T @ one).ravel())
+            return np.concatenate(parts)
+
+        for k, found in layer_sums(learnt.filter(F.col("layer").isin(list(live))), loss).items():
+            live[k].take(found)
+        state.unpersist()
+    learnt.unpersist()
+    if open_ := [k for k, s in searches.items() if not s.done]:
+        raise RuntimeError(f"not at rest after {steps} steps: layers {sorted(open_)}")
+    probes = {k: Probe(s.at[1:] / sd[k], float(s.at[0] - (s.at[1:] / sd[k]) @ mean[k])) for k, s in searches.items()}
+    return probes, rows.filter(~train).withColumn("score", decision(context, probes)(F.col("layer").cast("int"), F.when(whole, x)))
 
 
-def decision(vector: Column, layer: Column, models: dict[int, Logistic]) -> Column:
-    weights = F.coalesce(*[F.when(layer == k, F.array(*[F.lit(w) for w in m.coef])) for k, m in models.items()])
-    bias = F.coalesce(*[F.when(layer == k, F.lit(m.intercept)) for k, m in models.items()])
-    return bias + F.aggregate(F.zip_with(vector, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+def decision(context: SparkContext, probes: dict[int, Probe]):
+    """A function of layer and vector columns: the layer's probe on the vector, null where either is missing."""
+    sent = context.broadcast(probes)
 
+    @F.pandas_udf("double")
+    def score(layer: pd.Series, vector: pd.Series) -> pd.Series:
+        one = lambda k, v: np.nan if v is None or k not in sent.value else sent.value[k].intercept + float(v @ sent.value[k].coef)
+        return pd.Series([one(k, v) for k, v in zip(layer, vector)], dtype="float64").replace(np.nan, None)
 
-def layer_probes(rows: DataFrame, train: Column, c: float = 1.0) -> tuple[dict[int, Logistic], DataFrame]:
-    """Fit a probe for each layer on the ``train`` rows of (sample_id, label, layer, features);
-    return the probes and all other rows with their score."""
-    scale = vector_scale(rows.filter(train))
-    if not scale:
-        return {}, rows.filter(~train).withColumn("score", F.lit(None).cast("double"))
-    width = len(next(iter(scale.values())))
-    ready = rows.withColumn("features", scaled(F.col("features"), F.col("layer"), scale))
-    fitted = fit_many(ready.filter(train), [f"f{i}" for i in range(width)], {str(k): (c, None, k) for k in scale}, group="layer", vector="features")
-    models = {k: fitted[str(k)] for k in scale}
-    return models, ready.filter(~train).withColumn("score", decision(F.col("features"), F.col("layer"), models))
+    return score
 
 
 def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str, list[str]], c: float = 1.0) -> DataFrame:

@@ -187,6 +187,39 @@ def test_feature_models_learn_on_train_only(spark):
     assert np.allclose(sorted(r.score for r in scored.filter("feature = 'all'").collect()), sorted(z[~train] @ w), atol=1e-5)
 
 
+def test_layer_probes_rest_where_plain_newton_does(spark):
+    from sievelight.operators import probe
+
+    rng = np.random.default_rng(11)
+    n, width = 120, 12
+    y = rng.integers(0, 2, n)
+    x = {k: rng.normal(size=(n, width)) * 3 + y[:, None] * (k + 1) / 4 + 5 for k in (0, 1)}
+    x[0][:, 3] = 7.0  # constant
+    train = np.arange(n) < 90
+    rows = [(i, int(y[i]), k, [float(v) for v in x[k][i]], bool(train[i])) for k in x for i in range(n)]
+    rows += [(900, None, 0, [1.0] * width, True), (901, 1, 0, None, True), (902, 1, 0, [None] * width, False), (903, 1, 5, [1.0] * width, False), (904, 0, None, [1.0] * width, True)]
+    df = spark.createDataFrame(rows, "sample_id int, label int, layer int, features array<double>, train boolean").repartition(5)
+    found = {}
+    for limit in (256, 0):  # by Newton steps, by limited-memory BFGS
+        _, scored = probe.layer_probes(df, F.col("train"), newton_width=limit)
+        found[limit] = {(r.layer, r.sample_id): r.score for r in scored.collect()}
+        assert found[limit][0, 902] is None and found[limit][5, 903] is None
+    for k in x:
+        sd = x[k][train].std(0)
+        z = np.column_stack([np.ones(n), (x[k] - x[k][train].mean(0)) / np.where(sd > 0, sd, 1)])
+        w, ridge = np.zeros(width + 1), np.diag([0.0] + [1.0] * width)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z[train] @ w))
+            w -= np.linalg.solve((z[train].T * (p * (1 - p))) @ z[train] + ridge, z[train].T @ (p - y[train]) + ridge @ w)
+        for limit in found:
+            assert np.allclose([found[limit][k, i] for i in range(90, n)], (z @ w)[90:], atol=1e-4)
+    assert probe.layer_probes(df.filter("layer = 9"), F.col("train"))[1].count() == 0
+    with pytest.raises(RuntimeError, match="not at rest"):
+        probe.layer_probes(df, F.col("train"), steps=1)
+    with pytest.raises(Exception, match="different widths"):
+        probe.layer_probes(spark.createDataFrame([(1, 0, 0, [1.0]), (2, 1, 0, [1.0, 2.0])], "sample_id int, label int, layer int, features array<double>").coalesce(1), F.lit(True))
+
+
 def test_formatting_query_has_fitted_models_and_rates(spark):
     from sievelight.functions import text
     from sievelight.plans import catalog, views
