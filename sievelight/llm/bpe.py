@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Distinct runs of text, their tokens, and token pairs, that a worker remembers before it starts afresh.
 CACHE, POOL, PAIRS = 400_000, 8_000_000, 400_000
 #: Words that are remembered, and the characters of one; longer ones are rarely met again.
@@ -286,4 +288,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, stored, unused
+from .common import LOWER_ASCII, stored, tidied, unused
 
 #: Fingerprints in a tile; a crowded set of counts is dealt to several tiles.
 TILE = 4096
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(tidied(run), "doc_id long, text_hash long, fp long")
 
 
 def linked(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def links(nodes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
                 e = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(e.max(axis=0)), pa.array(e.min(axis=0))], ["a", "b"])
 
-    return work.mapInArrow(compare, "a long, b long").distinct()
+    return work.mapInArrow(tidied(compare), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

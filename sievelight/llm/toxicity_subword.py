@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id
+from .common import bucket_of_id, tidied
 
 #: Hash buckets, embedding size, n-gram sizes.
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
@@ -208,7 +208,7 @@ def learnt(sample: DataFrame, fit) -> bytes | None:
         del rows
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, labels)], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(tidied(run), "model binary").collect()
     return bytes(found[0].model) if found else None
 
 
@@ -225,7 +225,7 @@ def toxicity(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -250,4 +250,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([own.score(t or "", bags) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
