@@ -54,6 +54,51 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Owner of stored tables: what ``keep`` stored is deleted when the block ends, whether
+    it ended well or not. Results that outlive it are stored outside (:func:`stored`)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def path(self, tag: str) -> str:
+        self.paths.append(new_path(self.spark, tag))
+        return self.paths[-1]
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        df.write.parquet(path := self.path(tag))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self, tag: str) -> str:
+        """A new name in the catalogue; its files lie where ``path`` says."""
+        self.tables.append(f"{tag}_{uuid.uuid4().hex}")
+        return self.tables[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def join_counted(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, crowded: int) -> DataFrame:
+    """``rows`` joined to ``found``, which has each key once with the number of its rows as
+    ``weight``. Keys of at least ``crowded`` rows (so at most rows / crowded of them) are
+    broadcast, so that none of them meets in one task; the rest is shuffled."""
+    hot = found.filter(F.col(weight) >= crowded)
+    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.filter(F.col(weight) < crowded), keys)
+    return apart.unionByName(rows.join(F.broadcast(hot), keys).select(*apart.columns))
+
+
 def tidied(run):
     """``run`` for mapInArrow that, once its rows are through, gives freed memory back to the
     system: Python workers are reused, so what one stage held would stay beside the next one's."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, bpe, chat_format, decontaminate, katz_lm, quality_cnn, secret_ledger, simhash_tiles, toxicity_subword, url_rules
+from . import ann_forest, bpe, chat_format, decontaminate, katz_lm, kk_shards, lexical_search, part_codes, quality_cnn, secret_ledger, simhash_tiles, toxicity_subword, url_rules
 from .common import read
 
 
@@ -61,6 +61,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kk_shards.assign(read(spark, sf_dir, "documents"))
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ann_forest": op1_ann_forest,
     "op2_secret_ledger": op2_secret_ledger,
@@ -72,6 +84,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_katz_lm": op9_katz_lm,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_kk_shards": op12_kk_shards,
+    "op13_part_codes": op13_part_codes,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,10 +138,45 @@ def _decontamination_sql() -> str:
   SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-#: The forest, the fitted models, the tokenizer and SimHash have no SQL form; tests hold them against brute force.
+def _lexical_sql() -> str:
+    words = "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {words} AS ws FROM documents) WHERE len(ws) > 0),
+  sums AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+  p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ws) AS term FROM d) GROUP BY ALL),
+  i AS (SELECT DISTINCT item_id, unnest({words}) AS term FROM benchmark),
+  f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, sums GROUP BY term, docs),
+  s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score FROM i JOIN f USING (term) JOIN p USING (term), sums GROUP BY 1, 2)
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {lexical_search.TOP}"""
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and new means, one after the other."""
+    c = part_codes
+    gap = "list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i])))::BIGINT"
+    rounds = []
+    for r in range(c.ROUNDS + 1):
+        rounds.append(f"a{r} AS (SELECT pos, part, n, min({{'error': {gap}, 'code': e}}) AS best FROM d JOIN b{r} USING (pos) GROUP BY ALL)")
+        if r < c.ROUNDS:
+            rounds.append(f"""s{r} AS (SELECT pos, best.code AS e, k, sum(n * part[k])::BIGINT AS total, sum(n)::BIGINT AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS k FROM a{r}) GROUP BY ALL),
+  m{r} AS (SELECT pos, e, list((total - ((total % n) + n) % n) // n ORDER BY k) AS entry FROM s{r} GROUP BY ALL),
+  b{r + 1} AS (SELECT pos, e, coalesce(m{r}.entry, b{r}.entry) AS entry FROM b{r} LEFT JOIN m{r} USING (pos, e))""")
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {c.SCALE})::BIGINT) AS ints FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  p AS (SELECT vec_id, label, pos, ints[pos * (len(ints) // {c.PARTS}) + 1:(pos + 1) * (len(ints) // {c.PARTS})] AS part FROM (SELECT *, unnest(range({c.PARTS})) AS pos FROM v)),
+  d AS (SELECT pos, part, count(*) AS n FROM p GROUP BY ALL),
+  b0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e, part AS entry FROM p QUALIFY e < {c.ENTRIES}),
+  {", ".join(rounds)},
+  named AS (SELECT sha256(string_agg(list_aggregate(entry, 'string_agg', ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM b{c.ROUNDS}),
+  coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', best.code), '' ORDER BY pos) AS code, sum(best.error)::BIGINT AS error FROM p JOIN a{c.ROUNDS} USING (pos, part) GROUP BY ALL)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, named"""
+
+
+#: The forest, the fitted models, differencing, the tokenizer and SimHash have no SQL form; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_ledger": _secret_sql(),
     "op3_url_rules": _url_sql(),
     "op4_chat_format": _chat_sql(),
     "op8_decontamination": _decontamination_sql(),
+    "op11_lexical_search": _lexical_sql(),
+    "op13_part_codes": _codes_sql(),
 }
