@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +113,31 @@ def require_none(problems: DataFrame, what: str, show: int = 5) -> None:
         raise DataIntegrityError(f"{what}: " + "; ".join(str(tuple(r)) for r in first))
 
 
+class Rule(NamedTuple):
+    """What a field of a small state must hold; ``field`` is a dotted path, and what isn't there is None."""
+
+    field: str
+    holds: Callable[[object], bool]
+    says: str
+
+
+def field_of(state: object, field: str) -> object:
+    for name in field.split("."):
+        state = state.get(name) if isinstance(state, dict) else None
+    return state
+
+
+def broken_rules(state: dict, rules: list[Rule]) -> list[str]:
+    """``field: says`` of every rule that ``state`` breaks, in the order of the rules."""
+    return [f"{r.field}: {r.says}" for r in rules if not r.holds(field_of(state, r.field))]
+
+
+def require_rules(state: dict, rules: list[Rule], what: str) -> None:
+    """Raise, naming every broken rule."""
+    if found := broken_rules(state, rules):
+        raise DataIntegrityError(f"{what}: " + "; ".join(found))
+
+
 def checks(rows: list[tuple[str, DataFrame]]) -> DataFrame:
     """(name, ok, n_problems) for named problem frames."""
     out = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.validate import SPLITS, DataIntegrityError, record_violations, repeated, require_none, run_violations, sample_rules, violations
+from .commit import exists, get_text, new_version, put_text, version_folder
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
 
@@ -32,11 +33,6 @@ META = schema_of(
 SCHEMA_VERSION = "1"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, malformed lines are an error."""
     if not exists(spark, path):
@@ -61,17 +57,24 @@ def read_checkpoint(spark: SparkSession, path: str, key: str, schema: T.StructTy
 
 
 def write_run(records: DataFrame, meta: dict, path: str, threshold: float | None = None, source: str | None = None) -> None:
-    """Validate a run, apply its threshold, and write records with a sidecar of one row."""
+    """Apply a run's threshold and commit records and a sidecar of one row together.
+
+    Records are worked out once: they are written into a new version, and what was written is
+    counted and checked. Only then does the run's pointer name that version; a failure before
+    leaves the run that was there."""
+    spark = records.sparkSession
     if threshold is not None:
         if source != "validation":
             raise DataIntegrityError("a threshold must come from validation")
         records = records.withColumn("pred_label", (F.col("score") >= threshold).cast("int"))
-    row = {f.name: None for f in META} | meta | {"n_records": records.count(), "threshold": threshold, "threshold_source": source, "schema_version": SCHEMA_VERSION}
-    sidecar = records.sparkSession.createDataFrame([tuple(row[f.name] for f in META)], META)
-    require_none(record_violations(records), "invalid records")
-    require_none(run_violations(records, sidecar), "invalid run")
-    write_jsonl(records, f"{path}/records", overwrite=True)
-    write_jsonl(sidecar, f"{path}/meta", overwrite=True)
+    with new_version(spark, path) as folder:
+        write_jsonl(records, f"{folder}/records")
+        written = read_jsonl(spark, f"{folder}/records", RECORD)
+        row = {f.name: None for f in META} | meta | {"n_records": written.count(), "threshold": threshold, "threshold_source": source, "schema_version": SCHEMA_VERSION}
+        sidecar = spark.createDataFrame([tuple(row[f.name] for f in META)], META)
+        require_none(record_violations(written), "invalid records")
+        require_none(run_violations(written, sidecar), "invalid run")
+        write_jsonl(sidecar, f"{folder}/meta")
 
 
 def run_path(folder: str, detector: str, variant: str, split: str) -> str:
@@ -81,32 +84,52 @@ def run_path(folder: str, detector: str, variant: str, split: str) -> str:
     return f"{folder}/{detector}/{variant}/{split}"
 
 
-def _file(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, complete or not there: it is written beside its place and then renamed."""
-    fs, where = _file(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    stream = fs.create(beside, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(where, False)
-    if not fs.rename(beside, where):
-        raise OSError(f"could not write {path}")
+    """A small file, put in place by one rename; there is no moment without the old or the new one."""
+    put_text(spark, path, text)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file's text."""
-    return spark.read.text(path, wholetext=True).first().value
+    return get_text(spark, path)
+
+
+#: Bytes of a file that are read at once.
+CHUNK = 1 << 20
+
+
+def _digest(spark: SparkSession, path, lines: bool = False) -> str:
+    """SHA-256 of one file, streamed: memory doesn't grow with the file. ``lines``: CRLF is read as LF."""
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        if not lines:
+            return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        found, carry = hashlib.sha256(), b""
+        while chunk := bytes(stream.readNBytes(CHUNK)):
+            chunk = carry + chunk
+            carry = chunk[-1:] if chunk.endswith(b"\r") else b""  # the LF may follow in the next chunk
+            found.update(chunk[: len(chunk) - len(carry)].replace(b"\r\n", b"\n"))
+        found.update(carry)
+        return found.hexdigest()
+    finally:
+        stream.close()
+
+
+def _files(spark: SparkSession, path: str) -> list:
+    """A file's path, or those of all files below a folder but hidden ones, by path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    found, listed = [], fs.listFiles(where, True)
+    while listed.hasNext():
+        found.append(listed.next().getPath())
+    return sorted((f for f in found if not f.getName().startswith((".", "_"))), key=lambda f: f.toString())
 
 
 def file_hash(spark: SparkSession, path: str) -> str:
     """SHA-256 of a file's bytes, or over the sorted hashes of a folder's files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.sha2("content", 256).alias("h"))
-    found = sorted(r.h for r in rows.collect())
+    found = sorted(_digest(spark, f) for f in _files(spark, path))
     return found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
 
 
@@ -117,10 +140,12 @@ def unknown_fields(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and sidecar of a run, fully validated; unknown fields are an error."""
-    require_none(unknown_fields(spark, f"{path}/records", RECORD), "unknown fields in records")
-    require_none(unknown_fields(spark, f"{path}/meta", META), "unknown fields in the sidecar")
-    records, meta = read_jsonl(spark, f"{path}/records", RECORD), read_jsonl(spark, f"{path}/meta", META)
+    """Records and sidecar of a run's committed version, fully validated; unknown fields are an
+    error. A run without versions has both directly in its folder."""
+    folder = version_folder(spark, path)
+    require_none(unknown_fields(spark, f"{folder}/records", RECORD), "unknown fields in records")
+    require_none(unknown_fields(spark, f"{folder}/meta", META), "unknown fields in the sidecar")
+    records, meta = read_jsonl(spark, f"{folder}/records", RECORD), read_jsonl(spark, f"{folder}/meta", META)
     require_none(record_violations(records), "invalid records")
     require_none(run_violations(records, meta), "invalid run")
     return records, meta
@@ -217,10 +242,9 @@ def append_features(rows: DataFrame, path: str) -> None:
 
 
 def content_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 over a file's text with CRLF read as LF."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n"))
-    return files.select(F.sha2(text, 256).alias("h")).first().h
+    """SHA-256 over a file's text with CRLF read as LF, streamed."""
+    (file,) = _files(spark, path)
+    return _digest(spark, file, lines=True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

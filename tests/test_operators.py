@@ -1,5 +1,6 @@
 import itertools
 import json
+import pathlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text
 from sievelight.operators import leakage, matching, semantic, splits, validate
 from sievelight.sources import io
+from sievelight.sources.commit import version_folder
 from sievelight.sources.shared import ensure_checkpoint_dir
 from sievelight.streaming import resume
 
@@ -373,7 +375,7 @@ def test_runs_with_unknown_fields_and_small_files(spark, tmp_path):
     rows = records(spark, *[{"sample_id": f"S{i}", "score": float(i), "pred_label": None} for i in range(3)])
     meta = {"detector": "length_only", "variant": "chars", "split": "test", "config_hash": "abc", "prompt_version": "p1"}
     io.write_run(rows, meta, f"{tmp_path}/run", 0.5, "validation")
-    (tmp_path / "run/records/extra.json").write_text(json.dumps({"sample_id": "S9", "surprise": 1}) + "\n")
+    pathlib.Path(f"{version_folder(spark, f'{tmp_path}/run')}/records/extra.json").write_text(json.dumps({"sample_id": "S9", "surprise": 1}) + "\n")
     with pytest.raises(validate.DataIntegrityError, match="unknown fields"):
         io.read_run(spark, f"{tmp_path}/run")
     for text_ in ("one", "two\nlines\n"):

@@ -108,27 +108,65 @@ class FakeBackend:
 def test_select_freeze_and_test_once(spark, tmp_path):
     train, validation, test = (samples(spark, s, seed=i) for i, s in enumerate(("r", "v", "t")))
     backend, folder = FakeBackend(spark), str(tmp_path / "run")
-    frozen = protocol.select_and_freeze(backend, [{"gain": 0.0}, {"gain": 0.2}], train, validation, folder, META, train_rows=20)
-    assert frozen["setting"] == {"gain": 0.2} and frozen["selected"]["epoch"] == 2 and backend.rows == 20 and not frozen["reselected_after_test"]
-    assert [h["epoch"] for h in json.loads(io.read_text(spark, f"{folder}/history.json"))] == [1, 2, 1, 2]
-    protocol.require_selection_allowed(spark, folder)
+    chosen = protocol.select_and_freeze(backend, [{"gain": 0.0}, {"gain": 0.2}], train, validation, folder, META, train_rows=20)
+    assert chosen["setting"] == {"gain": 0.2} and chosen["step"]["epoch"] == 2 and backend.rows == 20 and not chosen["after_test"]
+    assert [(h["setting"], h["epoch"]) for h in chosen["steps"]] == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert chosen["step"]["auroc"] == max(h["auroc"] for h in chosen["steps"])
+    protocol.Protocol(spark, folder).require_open()
     with pytest.warns(UserWarning, match="configuration"):
-        assert protocol.frozen_state(spark, folder, "new")["meta"] == META
+        assert protocol.Protocol(spark, folder).selected("new")["run"] == META
     out = protocol.test_frozen(backend, folder, test, validation, replicates=0)
-    assert out["threshold"].first().threshold == frozen["threshold"]["value"] and out["metrics"].filter("split = 'test'").first().auroc > 0.6
-    with pytest.raises(DataIntegrityError, match="already evaluated"):
+    assert out["threshold"].first().threshold == chosen["cutoff"]["value"] and out["metrics"].filter("split = 'test'").first().auroc > 0.6
+    with pytest.raises(DataIntegrityError, match="has been seen"):
         protocol.select_and_freeze(backend, [{"gain": 0.2}], train, validation, folder, META)
-    assert protocol.select_and_freeze(backend, [{"gain": 0.2}], train, validation, folder, META, force=True)["reselected_after_test"]
-    io.write_text(spark, frozen["checkpoint"]["path"].replace("/1/", "/0/"), "tampered")
+    again = protocol.select_and_freeze(backend, [{"gain": 0.2}], train, validation, folder, META, force=True)
+    assert again["after_test"] and protocol.Protocol(spark, folder).selected()["at"] == again["at"] == 2
+    io.write_text(spark, again["model"]["place"], "tampered")
     with pytest.raises(DataIntegrityError, match="changed"):
-        protocol.frozen_state(spark, folder)
+        protocol.Protocol(spark, folder).selected()
     with pytest.raises(FileNotFoundError):
-        protocol.frozen_state(spark, str(tmp_path / "none"))
+        protocol.Protocol(spark, str(tmp_path / "none")).selected()
     with pytest.raises(ValueError, match="even"):
         protocol.subset_of_pairs(train, 7)
     assert protocol.variant_name("org/model x", knowledge=False, smoke=True) == "model-x_qa_smoke"
 
 
+class Flaky(FakeBackend):
+    """Scores differ whenever they are worked out, and one epoch may lack a sample or be of one class."""
+
+    def __init__(self, spark, log, lacks=None):
+        super().__init__(spark)
+        self.log, self.lacks = log, lacks
+
+    def score(self, setting, checkpoint, rows):
+        log = self.log
+
+        @F.pandas_udf("double")
+        def drawn(s):
+            with open(log, "a") as f:
+                f.write("x\n" * len(s))
+            return s.map(lambda _: float(np.random.default_rng().normal()))
+
+        found = rows.select("sample_id", (F.col("label") * 3 + drawn("sample_id")).alias("score"))
+        return found.filter(F.col("sample_id") != self.lacks) if setting.get("epoch") == 2 and self.lacks else found
+
+
+def test_scores_are_worked_out_once(spark, tmp_path):
+    validation, test = samples(spark, "v", n=8), samples(spark, "t", n=8, seed=1)
+    log, folder = tmp_path / "asked", str(tmp_path / "run")
+    backend = Flaky(spark, str(log))
+    chosen = protocol.select_and_freeze(backend, [{"gain": 1}], validation, validation, folder, META)
+    assert len(log.read_text().split()) == 2 * 16  # two epochs of 16 samples
+    run = {r.sample_id: (r.score, r.pred_label) for r in io.read_run(spark, f"{folder}/validation")[0].collect()}
+    assert len(run) == 16 and all(p == int(s >= chosen["cutoff"]["value"]) for s, p in run.values())
+    protocol.test_frozen(backend, folder, test, validation, replicates=0)["metrics"].collect()
+    assert len(log.read_text().split()) == 3 * 16
+    with pytest.raises(DataIntegrityError, match="one finite number"):
+        protocol.select_and_freeze(Flaky(spark, str(log), "v003_1"), [{"gain": 1}], validation, validation, str(tmp_path / "other"), META)
+    with pytest.raises(FileNotFoundError):
+        protocol.Protocol(spark, str(tmp_path / "other")).selected()
+
+
 def test_frozen_thresholds_and_manifests(spark, tmp_path):
     good = {"split": "validation", "test_data_loaded": False, "criterion": "youden", "config_hash": "c", "prompt_version": "v1", "thresholds": {"a": {"selected_on": "validation", "threshold": 1}, "b": {"selected_on": "validation", "value": 0.5}}}
     assert protocol.frozen_thresholds(good, ["a", "b"], "c", "v1") == {"a": 1.0, "b": 0.5}
