@@ -15,7 +15,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
 from .metrics import rates, win
+from .splits import numbered
 
 
 def draws(spark, clusters: int, replicates: int, seed: int = 42) -> DataFrame:
@@ -38,13 +40,15 @@ def with_itself(weights: DataFrame, clusters: int) -> DataFrame:
 
 def pair_table(scored: DataFrame, cluster: str, scores: list[str]) -> DataFrame:
     """One row for each cluster: number, and both labels' scores for each detector. A cluster
-    that hasn't exactly one scored row of each label is an error where it is read."""
+    that hasn't exactly one scored row of each label is an error. Numbers are in the order of the
+    clusters' ids and need no global window."""
     rows = lambda y: F.sum((F.col("label") == y).cast("int"))
     whole = (rows(0) == 1) & (rows(1) == 1) & (F.count("*") == 2) & reduce(and_, [F.count(s) == 2 for s in scores])
     fine = F.when(~F.col("_whole"), F.raise_error(F.lit(f"every {cluster} needs exactly one scored row of each label")).cast("boolean")).otherwise(True)
     one = lambda s, y: F.max(F.when(F.col("label") == y, F.col(s))).alias(f"{s}_{y}")
     wide = scored.groupBy(cluster).agg(*[one(s, y) for s in scores for y in (0, 1)], whole.alias("_whole"))
-    return wide.filter(fine).drop("_whole").withColumn("cluster_no", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(wide.filter(fine).drop("_whole"), [cluster], "cluster_no", parts)
 
 
 def replicate_metrics(wide: DataFrame, weights: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -108,16 +112,24 @@ def verdict(differences: DataFrame, by: list[str]) -> DataFrame:
     return differences.groupBy(*by).agg(named.alias("verdict"))
 
 
-def compared(samples: DataFrame, detectors: dict[str, float], reference: str, cluster: str = "pair_id", replicates: int = 1000, seed: int = 42, metrics: tuple[str, ...] = METRICS, hold=lambda df: df) -> dict[str, DataFrame]:
+def compared(samples: DataFrame, detectors: dict[str, float], reference: str, cluster: str = "pair_id", replicates: int = 1000, seed: int = 42, metrics: tuple[str, ...] = METRICS, hold=held, draw: str = "tree") -> dict[str, DataFrame]:
     """Detectors (score column to threshold) on one set of samples, over the same resamples.
 
     ``intervals`` has estimate and interval of each detector and metric, ``differences`` those
     of each other detector less the reference, ``verdict`` what they say together for each
-    metric. ``hold`` may store the table of clusters and the draws, which are read several times."""
+    metric. ``draw`` is how clusters are drawn: by a tree or a sequence (``resampling``), or by
+    hashes of draws, which SQL can repeat. ``hold`` stores what is read several times."""
     wide = hold(pair_table(samples, cluster, list(detectors)))
     n = wide.count()
-    weights = hold(with_itself(draws(samples.sparkSession, n, replicates, seed), n))
-    reps = {d: hold(replicate_metrics(wide, weights, d, t)) for d, t in detectors.items()}
+    if draw == "hash":
+        weights = hold(with_itself(draws(samples.sparkSession, n, replicates, seed), n))
+        reps = {d: hold(replicate_metrics(wide, weights, d, t)) for d, t in detectors.items()}
+    else:
+        from .resampling import Draw
+        from .resampling import replicates as drawn
+
+        every = hold(drawn(wide, detectors, Draw(n, replicates, seed, draw)))
+        reps = {d: every.filter(F.col("detector") == d).drop("detector") for d in detectors}
     named = lambda df, d: df.select(F.lit(d).alias("detector"), "*")
     every = reduce(DataFrame.unionByName, [named(intervals(r, metrics), d) for d, r in reps.items()])
     others = [named(paired_difference(r, reps[reference], metrics), d) for d, r in reps.items() if d != reference]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import bootstrap, equivalence, fusion, matching, metrics, probe, protocol, report
+from ..operators import bootstrap, equivalence, fusion, matching, metrics, probe, protocol, report, resampling
 from ..sources.shared import ensure_checkpoint_dir, held
 from . import views
 from .registry import Registry, rounded
@@ -257,9 +257,9 @@ def _boot_sql(score: str, at: float, name: str, wide: str = "wide", weights: str
   {name} AS (SELECT rep, auroc, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, pair_accuracy FROM {name}_counts JOIN {name}_area USING (rep))"""
 
 
-def _weights_sql(name: str = "weights", wide: str = "wide") -> str:
+def _weights_sql(name: str = "weights", wide: str = "wide", replicates: int = REPLICATES) -> str:
     """Draws, and the sample itself as replicate -1."""
-    return f"""{name} AS (SELECT rep, cluster_no, count(*) AS mult FROM (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || i.i), 1, 8))::BIGINT % (SELECT count(*) FROM {wide}) AS cluster_no FROM (SELECT unnest(range({REPLICATES})) AS rep) r, (SELECT unnest(range((SELECT count(*) FROM {wide}))) AS i) i) GROUP BY 1, 2
+    return f"""{name} AS (SELECT rep, cluster_no, count(*) AS mult FROM (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || i.i), 1, 8))::BIGINT % (SELECT count(*) FROM {wide}) AS cluster_no FROM (SELECT unnest(range({replicates})) AS rep) r, (SELECT unnest(range((SELECT count(*) FROM {wide}))) AS i) i) GROUP BY 1, 2
     UNION ALL SELECT -1, cluster_no, 1 FROM {wide})"""
 
 
@@ -293,34 +293,66 @@ _BOUNDS = ("estimate", "low", "high")
 _SAID = "CASE WHEN low > 0 THEN 'IMPROVES' WHEN high < 0 THEN 'WORSE' ELSE 'INCONCLUSIVE' END"
 
 
-@q("k1_k2_k4_bootstrap_ci", sql("samples", f"SELECT metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed(*bootstrap.ALL_METRICS)} FROM b) GROUP BY 1", _WIDE, _weights_sql(), _boot_sql("score_b", AT_B, "b")))
+def _intervals_sql(replicates: int) -> str:
+    return sql("samples", f"SELECT metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed(*bootstrap.ALL_METRICS)} FROM b) GROUP BY 1", _WIDE, _weights_sql(replicates=replicates), _boot_sql("score_b", AT_B, "b"))
+
+
+def _differences_sql(replicates: int) -> str:
+    found = f"SELECT metric, {_SUMMED}, avg((value > 0)::INTEGER) FILTER (rep >= 0) AS frac_a_better FROM ({_diff_sql('a', 'b', bootstrap.ALL_METRICS)}) GROUP BY 1"
+    return sql("samples", f"SELECT *, coalesce(low > 0 OR high < 0, false) AS ci_excludes_zero FROM ({found})", _WIDE, _weights_sql(replicates=replicates), _boot_sql("score_a", AT_A, "a"), _boot_sql("score_b", AT_B, "b"))
+
+
+@q("k1_k2_k4_bootstrap_ci", _intervals_sql(REPLICATES))
 def _(spark, d):
     return bootstrap.intervals(_replicates(spark, d)[1], bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
-@q("k3_k7_k8_paired_difference", sql("samples", f"SELECT *, coalesce(low > 0 OR high < 0, false) AS ci_excludes_zero FROM (SELECT metric, {_SUMMED}, avg((value > 0)::INTEGER) FILTER (rep >= 0) AS frac_a_better FROM ({_diff_sql('a', 'b', bootstrap.ALL_METRICS)}) GROUP BY 1)", _WIDE, _weights_sql(), _boot_sql("score_a", AT_A, "a"), _boot_sql("score_b", AT_B, "b")))
+@q("k3_k7_k8_paired_difference", _differences_sql(REPLICATES))
 def _(spark, d):
     return bootstrap.paired_difference(*_replicates(spark, d), bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
-@q("k1_k2_k4_bootstrap_ci_1000")
+@q("k1_k2_k4_bootstrap_ci_1000", _intervals_sql(FULL_REPLICATES))
 def _(spark, d):
     """Intervals of all metrics over as many replicates as the reference draws."""
     return bootstrap.intervals(_replicates(spark, d, FULL_REPLICATES)[1], bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
-@q("k3_k7_k8_paired_difference_1000")
+@q("k3_k7_k8_paired_difference_1000", _differences_sql(FULL_REPLICATES))
 def _(spark, d):
     """Paired differences of all metrics over as many replicates as the reference draws."""
     return bootstrap.paired_difference(*_replicates(spark, d, FULL_REPLICATES), bootstrap.ALL_METRICS).withColumns(rounded(*_BOUNDS))
 
 
+def _drawn(spark, d, kind: str, seed: int):
+    wide = _wide(spark, d)
+    reps = held(resampling.replicates(wide, {"score_a": AT_A, "score_b": AT_B}, resampling.Draw(wide.count(), FULL_REPLICATES, seed, kind)))
+    return [reps.filter(F.col("detector") == c).drop("detector") for c in ("score_a", "score_b")]
+
+
+@q("k1_k4_tree_bootstrap")
+def _(spark, d):
+    """Intervals of all metrics over 1,000 replicates whose weights are drawn in their own tasks."""
+    return bootstrap.intervals(_drawn(spark, d, "tree", 42)[1], bootstrap.ALL_METRICS)
+
+
+@q("k3_tree_paired_difference")
+def _(spark, d):
+    return bootstrap.paired_difference(*_drawn(spark, d, "tree", 42), bootstrap.ALL_METRICS)
+
+
+@q("k1_k4_sequence_bootstrap")
+def _(spark, d):
+    """Intervals draw for draw as numpy's generator gives them."""
+    return bootstrap.intervals(_drawn(spark, d, "sequence", 0)[1], bootstrap.ALL_METRICS)
+
+
 _THREE = {"score_a": AT_A, "score_b": AT_B, "length": 8.0}
 _BOOTS = [_WIDE, _weights_sql(), *[_boot_sql(c, t, c) for c, t in _THREE.items()]]
 
 
 def _compared(spark, d):
-    return bootstrap.compared(S(spark, d).filter("split = 'test'"), _THREE, "score_a", "pair_id", REPLICATES, hold=held)
+    return bootstrap.compared(S(spark, d).filter("split = 'test'"), _THREE, "score_a", "pair_id", REPLICATES, hold=held, draw="hash")
 
 
 @q("k8_compare_detectors", sql("samples", " UNION ALL ".join(f"SELECT '{c}' AS detector, metric, {_SUMMED}, count(value) FILTER (rep >= 0) AS n_reps FROM (SELECT rep, {_listed(*bootstrap.METRICS)} FROM {c}) GROUP BY 2" for c in _THREE), *_BOOTS))

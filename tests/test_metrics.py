@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import stats
-from sievelight.operators import bootstrap, fusion, metrics
+from sievelight.operators import bootstrap, fusion, metrics, resampling
+from sievelight.sources.shared import held
 
 
 def frame(spark, labels, scores):
@@ -309,3 +310,76 @@ def test_fusion_run_and_its_rules(spark):
         fusion.run_fusion([one, part], validation, test, partial=True)
     some = fusion.run_fusion([one, part], validation, test, partial=True, min_pairs=10)
     assert some.coverage["test_used"] == test.filter("sample_id < 'test2'").count() < some.coverage["test_total"]
+
+
+def plain_intervals(wide, threshold, index):
+    """Metrics of resampled pairs, one replicate after the other, and their percentiles."""
+    values = {m: [] for m in bootstrap.ALL_METRICS}
+    for drawn in index:
+        s0, s1 = wide[drawn, 0], wide[drawn, 1]
+        y, s = np.repeat([0, 1], len(drawn)), np.concatenate([s0, s1])
+        p = s >= threshold
+        tp, fp, fn = (p & (y == 1)).sum(), (p & (y == 0)).sum(), (~p & (y == 1)).sum()
+        values["accuracy"].append((p == y).mean())
+        values["precision"].append(tp / (tp + fp) if tp + fp else None)
+        values["recall"].append(tp / (tp + fn))
+        values["f1"].append(2 * tp / (2 * tp + fp + fn) if tp + fp + fn else None)
+        values["pair_accuracy"].append(((s1 > s0) + 0.5 * (s1 == s0)).mean())
+        values["auroc"].append(np.mean((s1[:, None] > s0[None]) + 0.5 * (s1[:, None] == s0[None])))
+    return {m: tuple(np.percentile([x for x in v if x is not None], [2.5, 97.5])) for m, v in values.items()}
+
+
+def pairs_of(spark, n, seed=0):
+    rng = np.random.default_rng(seed)
+    scores = np.round(rng.normal(size=(n, 2)) + [0, 0.7], 1)
+    rows = [(f"p{i:05d}", y, float(scores[i, y])) for i in range(n) for y in (0, 1)]
+    return scores, spark.createDataFrame(rows, "pair_id string, label int, s double").withColumn("t", -F.col("s"))
+
+
+def test_sequence_draws_give_numpys_intervals(spark):
+    scores, df = pairs_of(spark, 75)
+    rng = np.random.default_rng(3)
+    wanted = plain_intervals(scores, 0.4, [rng.integers(0, 75, 75) for _ in range(200)])
+    out = bootstrap.compared(df, {"s": 0.4, "t": 0.0}, "s", "pair_id", 200, 3, bootstrap.ALL_METRICS, draw="sequence")
+    got = {r.metric: (r.low, r.high) for r in out["intervals"].filter("detector = 's'").collect()}
+    assert got.keys() == wanted.keys() and all(got[m] == pytest.approx(wanted[m], abs=1e-12) for m in got)
+    once = {r.metric: r.estimate for r in out["intervals"].filter("detector = 's'").collect()}
+    assert once["auroc"] == pytest.approx(plain_intervals(scores, 0.4, [np.arange(75)])["auroc"][0])
+    assert {r.verdict for r in out["verdict"].filter("metric = 'auroc'").collect()} == {"IMPROVES"}
+
+
+def test_tree_weights_are_multinomial_and_alike_in_every_task():
+    draw = resampling.Draw(45, 4000, 7, block=8)
+    whole = np.hstack([w for _, w in draw.weights(list(range(6)))])
+    assert whole.shape == (4001, 45) and (whole[0] == 1).all() and (whole.sum(axis=1) == 45).all()
+    assert (dict(draw.weights([4]))[4] == whole[:, 32:40]).all() and not (whole == np.hstack([w for _, w in resampling.Draw(45, 4000, 8, block=8).weights(list(range(6)))])).all()
+    drawn = whole[1:]
+    # drawing with replacement: mean 1, variance 1 - 1/n, covariance -1/n, within a block and over blocks
+    assert abs(drawn.mean(axis=0) - 1).max() < 0.08 and abs(drawn.var(axis=0) - (1 - 1 / 45)).max() < 0.12
+    cov = np.cov(drawn.T)
+    assert abs(cov[np.triu_indices(45, 1)].mean() + 1 / 45) < 0.002 and abs(cov[0, 1:8].mean() - cov[0, 8:].mean()) < 0.03
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_tree_replicates_are_resamples(spark, block):
+    scores, df = pairs_of(spark, 60, 1)
+    wide = held(bootstrap.pair_table(df, "pair_id", ["s", "t"]).repartition(5))
+    draw = resampling.Draw(60, 30, 11, block=block)
+    got = {(r.detector, r.rep): r for r in resampling.replicates(wide, {"s": 0.4, "t": -0.2}, draw).collect()}
+    assert set(got) == {(d, r) for d in "st" for r in range(-1, 30)}
+    weights = np.hstack([w for _, w in draw.weights(list(range(-(-60 // block))))])
+    for rep in (-1, 0, 17):
+        index = np.repeat(np.arange(60), weights[rep + 1])
+        for d, values, at in (("s", scores, 0.4), ("t", -scores, -0.2)):
+            wanted = plain_intervals(values, at, [index])
+            assert {m: got[d, rep][m] for m in wanted} == pytest.approx({m: v[0] for m, v in wanted.items()}, abs=1e-12)
+
+
+def test_tree_intervals_agree_with_numpys_up_to_sampling(spark):
+    scores, df = pairs_of(spark, 300, 2)
+    rng = np.random.default_rng(0)
+    wanted = plain_intervals(scores, 0.4, [rng.integers(0, 300, 300) for _ in range(1000)])
+    out = bootstrap.compared(df, {"s": 0.4}, "s", metrics=bootstrap.ALL_METRICS)
+    for r in out["intervals"].collect():
+        low, high = wanted[r.metric]
+        assert abs(r.low - low) < 0.15 * (high - low) and abs(r.high - high) < 0.15 * (high - low)
