@@ -1,14 +1,16 @@
 """Ranked lexical search over an inverted index of all terms.
 
 The index is a DataFrame of posting lists, bucketed and sorted by term: a row holds a term's
-documents in one block of the texts (ids, how often the term occurs, how many terms the
-documents have). A block has about ``BLOCK_POSTINGS`` postings and never parts a document.
+documents in one block of the texts (their places in the block, how often the term occurs,
+how many terms the documents have). A block has about ``BLOCK_POSTINGS`` postings, never
+parts a document, and orders its documents by id; a row without term lists those ids.
 Lists of a term that is frequent within its block are dealt by block as well, so that a
 crowded term isn't one bucket; the index is worked out once and can be searched again.
 
 A search joins the items' terms to the lists, brings the lists found together by block,
 scores each match with integers, sums by item and document inside the block, and takes each
-item's best with a window, of which every task keeps no more than the wanted rows.
+item's best with a window: first in the block, where places are in the order of ids, then,
+with the ids of what is left, over all blocks.
 
     w = floor(1000 * ln((2N + 2) / (2 df + 1)))
     m = 10 + (90 n N) div L
@@ -79,15 +81,19 @@ def _block(number: int, ids: list, sizes: list[int], lengths: list[int], terms:
     """Posting lists of a block, and a list without term of all its documents."""
     codes = pa.array(terms, pa.binary()).dictionary_encode()
     code, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.cast(pa.string())
-    order = np.argsort(code, kind="stable")
-    document = np.repeat(np.arange(len(ids)), sizes)[order]
+    by_id = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
+    place = np.empty(len(ids), np.int32)
+    place[by_id] = np.arange(len(ids))
+    document = np.repeat(np.arange(len(ids)), sizes)
+    order = np.lexsort((place[document], code))
+    document, length = document[order], np.array(lengths, np.int32)
     held = np.bincount(code, minlength=len(names))
     starts = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
-    place, length = np.arange(len(ids), dtype=np.int32), np.array(lengths, np.int32)
-    lists = [pa.array(ids, pa.int64()).take(pa.array(document)), pa.array(place[document]), pa.array(length[document]), pa.array(np.array(counts, np.int32)[order])]
+    lists = [pa.array(x) for x in (place[document], length[document], np.array(counts, np.int32)[order])]
     part = np.where(held > max(1.0, len(ids) * FREQUENT), number + 1, 0)
-    found = pa.table([names, pa.array(part), pa.array(np.full(len(names), number)), *[pa.ListArray.from_arrays(starts, x) for x in lists]], schema=_LISTS)
-    whole = pa.table([[None], [number + 1], [number], [ids], [place], [lengths], [[]]], schema=_LISTS)
+    none = pa.nulls(len(names), pa.list_(pa.int64()))
+    found = pa.table([names, pa.array(part), pa.array(np.full(len(names), number)), none, *[pa.ListArray.from_arrays(starts, x) for x in lists]], schema=_LISTS)
+    whole = pa.table([[None], [number + 1], [number], [[ids[i] for i in by_id]], [None], [length[by_id]], [None]], schema=_LISTS)
     return pa.concat_tables([found, whole])
 
 
@@ -110,7 +116,8 @@ def _lists(batches):
 
 
 def posting_lists(docs: DataFrame) -> DataFrame:
-    """term, part, block, doc_ids, places (in the block), lengths, counts; the rows without term list the documents."""
+    """term, part, block, places (in the block), lengths, counts; a row without term has the
+    doc_ids and lengths of all documents of a block."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(tidied(_lists), _DDL)
 
@@ -149,17 +156,20 @@ class Index:
         with Scratch(items.sparkSession) as keep:
             asked = keep.keep(item_terms(items), "item-terms")
             terms = small(asked.select("term").distinct(), limit)
-            found = keep.keep(self.lists.join(terms, "term").select("term", "block", "doc_ids", "places", "lengths", "counts"), "found-lists")
-            df = found.groupBy("term").agg(F.sum(F.size("doc_ids")).alias("df"))
+            found = keep.keep(self.lists.join(terms, "term").select("term", "block", "places", "lengths", "counts"), "found-lists")
+            df = found.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
             weight = F.floor(1000 * F.ln(F.lit(2.0 * documents + 2) / (2.0 * F.col("df") + 1)))
             weighed = keep.keep(asked.join(df, "term").select("item_id", "term", weight.cast("long").alias("w")).filter("w > 0"), "weights")
-            matches = found.repartition("block").select("term", "block", F.inline(F.arrays_zip("doc_ids", "places", "lengths", "counts")))
+            matches = found.repartition("block").select("term", "block", F.inline(F.arrays_zip("places", "lengths", "counts")))
             m = f"(10L + (90L * lengths * {documents}L) div {max(tokens, 1)}L)"
-            matches = matches.select("term", "block", F.col("doc_ids").alias("doc_id"), "places", F.expr(f"(1000000000L * counts) div (1000L * counts + 8L * {m})").alias("s"))
-            # a block's lists are in one task, so sums by item and document need no further exchange
-            summed = matches.join(small(weighed, limit), "term").groupBy("block", "places", "doc_id", "item_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
+            matches = matches.select("term", "block", F.col("places").alias("place"), F.expr(f"(1000000000L * counts) div (1000L * counts + 8L * {m})").alias("s"))
+            # a block's lists are in one task: neither the sums nor the best of a block need a further exchange
+            summed = matches.join(small(weighed, limit), "term").groupBy("block", "place", "item_id").agg(F.sum(F.col("w") * F.col("s")).alias("score")).filter("score > 0")
+            in_block = Window.partitionBy("block", "item_id").orderBy(F.desc("score"), "place")
+            left = keep.keep(summed.withColumn("rank", F.row_number().over(in_block)).filter(F.col("rank") <= k).drop("rank"), "best-of-blocks")
+            named = self.lists.filter("term is null").select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
             best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-            ranked = summed.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            ranked = left.join(named, ["block", "place"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             return stored(ranked.select("item_id", "rank", "doc_id", "score"), "ranked")
 
 
