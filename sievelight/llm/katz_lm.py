@@ -1,27 +1,30 @@
-"""Katz backoff bigram model: trained on part of the documents, scoring all.
+"""Katz backoff model of any order: trained on part of the documents, scoring all.
 
-Probability of a token w after h, evaluated recursively:
+Probability of a token w after the history h (order - 1 tokens), evaluated recursively;
+h' is h without its first token:
 
     P(w | h) = d(c(h,w)) c(h,w) / c(h)      if c(h,w) > 0
-             = alpha(h) P(w)                otherwise
+             = alpha(h) P(w | h')           otherwise
     P(w)     = d(c(w)) c(w) / N             if c(w) > 0
              = the mass left                for all unseen words together
 
-with Good-Turing discounts d up to TOP and alpha(h) = (1 - seen mass of h) /
-(1 - P of the words seen after h), so that every history sums to one exactly. A
-history without discounted pairs gives up 1 / (c(h) + 1). Every training bigram is
-stored and scored, those seen once by their Good-Turing discount.
-
-Counting and look-up are one exchange. Documents are packed into blocks of token
-numbers, stored in a table bucketed by block. A block sends its distinct keys
-(64-bit hashes of words, pairs or histories) with its own numbers to key ranges;
-a range adds them up, stores the model's rows (counts of words and of pairs, and
-backoff weights) in a table partitioned by kind, and answers each block in the
-order of its keys. Words that fill a third of the corpus are one key of each block,
+with Good-Turing discounts d of each length up to TOP and alpha(h) = (1 - seen mass of h) /
+(1 - P(. | h') of the words seen after h), so that every history sums to one exactly. A
+history without discounted n-grams gives up 1 / (c(h) + 1). A history that wasn't seen leaves
+all to h'. Before a text stands one start, which is the whole history there. Every training
+n-gram is stored and scored, those seen once by their Good-Turing discount.
+
+Counting and look-up are one exchange for each length. Documents are packed into blocks of
+token numbers, stored in a table bucketed by block. A block sends its distinct keys
+(64-bit hashes of words, n-grams or histories) with its own numbers to key ranges;
+a range adds them up, stores the model's rows (counts of n-grams, and backoff weights) in a
+table partitioned by kind, and answers each block in the order of its keys. From the answers
+up to a length a block knows its n-grams' probabilities, and so what it adds to the weights
+of the next longer histories. Words that fill a third of the corpus are one key of each block,
 so no range is crowded, and only distinct keys are moved: a block asks a range only
 for keys it has, so there are never more requests than distinct keys of all blocks.
-Two different words share counts only if their 64-bit hashes collide. Scores are
-stored; blocks, requests and answers are then deleted.
+Two different n-grams share counts only if their 64-bit hashes collide. Scores are
+stored; blocks, requests and answers are deleted, also after a failure.
 
 Defined cases: null text counts as empty (its end token is scored); rows with
 equal doc_id are each scored and, if in training, each counted; a null doc_id
@@ -31,9 +34,9 @@ empty result; without training documents every token has probability one.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,8 +47,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, bucket_of_id, drop_stored, new_path, partitions, stored
+from .common import LOWER_ASCII, Scratch, bucket_of_id, partitions, stored
 
+#: Words of an n-gram.
+ORDER = 2
 #: Count up to which Good-Turing discounts.
 TOP = 5
 #: Bytes of text in a block, and tokens for each key range.
@@ -84,8 +89,21 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Grams(NamedTuple):
+    """Distinct n-grams of a block, by ascending key.
+
+    ``context`` and ``suffix`` are numbers among the n-grams one shorter (a context may also be
+    the start, numbered behind them), ``word`` among the words; ``place`` is each position's n-gram."""
+
+    keys: np.ndarray
+    context: np.ndarray
+    suffix: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+
+
 class Block:
-    """Documents as token numbers: position by position its word and its history."""
+    """Documents as token numbers, and their n-grams of each length."""
 
     def __init__(self, row):
         self.tokens = expand(row.tokens, np.int32).astype(np.int64)
@@ -94,27 +112,40 @@ class Block:
         self.held = np.frombuffer(row.held, np.bool_)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
-        n = len(self.vocab)
-        self.history = np.empty_like(self.tokens)
-        self.history[1:] = self.tokens[:-1]
-        self.history[self.starts] = n  # the start of a text
-        self.hashes = np.append(self.vocab, np.uint64(_START))
-
-    def word_order(self) -> np.ndarray:
-        return np.argsort(self.vocab, kind="stable")
-
-    def history_order(self) -> np.ndarray:
-        return np.argsort(self.hashes, kind="stable")
 
-    def pairs(self):
-        """Distinct pairs in key order: keys, history and word numbers, and each position's pair."""
-        codes, inverse = np.unique(self.history * len(self.vocab) + self.tokens, return_inverse=True)
-        history, word = np.divmod(codes, max(1, len(self.vocab)))
-        keys = pair_keys(self.hashes[history], self.vocab[word])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        return keys[order], history[order], word[order], place[inverse]
+    def grams(self, order: int) -> list[Grams]:
+        """Those of length 1 to ``order``."""
+        by_hash = np.argsort(self.vocab, kind="stable")
+        rank = np.empty_like(by_hash)
+        rank[by_hash] = np.arange(len(by_hash))
+        none = np.zeros(len(by_hash), np.int64)
+        found = [Grams(self.vocab[by_hash], none, none, np.arange(len(by_hash)), rank[self.tokens])]
+        words = found[0]
+        for _ in range(1, order):
+            low = found[-1]
+            context = np.empty_like(low.place)
+            context[1:] = low.place[:-1]
+            context[self.starts] = len(low.keys)
+            codes, inverse = np.unique(context * max(1, len(words.keys)) + words.place, return_inverse=True)
+            before, word = np.divmod(codes, max(1, len(words.keys)))
+            keys = pair_keys(contexts(low)[before], words.keys[word])
+            order_ = np.argsort(keys, kind="stable")
+            place = np.empty_like(order_)
+            place[order_] = np.arange(len(order_))
+            place = place[inverse]
+            suffix = np.empty(len(keys), np.int64)
+            suffix[place] = low.place
+            found.append(Grams(keys[order_], before[order_], suffix, word[order_], place))
+        return found
+
+    def counts(self, grams: Grams) -> np.ndarray:
+        """How often the training part of the block has each."""
+        return np.bincount(grams.place[self.training], minlength=len(grams.keys)).astype(np.uint32)
+
+
+def contexts(low: Grams) -> np.ndarray:
+    """Keys of the histories that n-grams of a length are, with the start behind them."""
+    return np.append(low.keys, np.uint64(_START))
 
 
 def encode(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -241,99 +272,124 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
 
 
 class Model:
-    """The numbers that all blocks share: totals and discounts."""
+    """The numbers that all blocks share: totals, and discounts of each length of n-gram."""
 
-    def __init__(self, total: int, distinct: int, word_counts: list[int], pair_counts: list[int]):
-        self.total, self.distinct = total, distinct
-        self.d1, self.d2 = discounts(word_counts), discounts(pair_counts)
-        seen = sum(r * n for r, n in zip(range(1, TOP + 1), word_counts))
-        kept = sum(self.d1[r] * r * n for r, n in zip(range(1, TOP + 1), word_counts))
+    def __init__(self, total: int, distinct: int, end_count: int, counts_of_counts: list[list[int]]):
+        self.total, self.distinct, self.end_count = total, distinct, end_count
+        self.d = [discounts(n) for n in counts_of_counts]
+        seen = sum(r * n for r, n in zip(range(1, TOP + 1), counts_of_counts[0]))
+        kept = sum(self.d[0][r] * r * n for r, n in zip(range(1, TOP + 1), counts_of_counts[0]))
         self.unseen = (seen - kept) / total if total else 1.0
         if total and self.unseen <= 0:  # no rare words: one unit of mass is set aside
             self.unseen = 1 / (total + 1)
         self.scale = (1 - self.unseen) / (1 - (seen - kept) / total) if total else 1.0
 
+    def mass(self, count: np.ndarray, length: int) -> np.ndarray:
+        """Discounted counts of n-grams of a length."""
+        return np.where(count > TOP, 1.0, self.d[length - 1][np.minimum(count, TOP)]) * count
+
     def word(self, count: np.ndarray) -> np.ndarray:
         """P(w); for an unseen word the whole unseen mass."""
-        d = self.d1[np.minimum(count, TOP)]
-        return np.where(count > 0, self.scale * np.where(count > TOP, 1.0, d) * count / max(1, self.total), self.unseen)
-
-    def pair_mass(self, count: np.ndarray) -> np.ndarray:
-        """Discounted count of a stored pair."""
-        return np.where(count > TOP, 1.0, self.d2[np.minimum(count, TOP)]) * count
+        return np.where(count > 0, self.scale * self.mass(count, 1) / max(1, self.total), self.unseen)
+
+    def probabilities(self, grams: list[Grams], counts: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+        """P of the longest of ``grams`` given their histories, length by length: ``counts`` of the
+        n-grams of each length, :func:`backoff` ``weights`` of the histories from length two on."""
+        found = self.word(counts[0])
+        if not self.total:
+            return np.ones(len(grams[-1].keys))
+        for length, (own, count) in enumerate(zip(grams[1:], counts[1:]), 2):
+            weight = weights[length - 2][own.context]
+            whole = np.maximum(self.of_contexts(counts[length - 2])[own.context], 1) + (weight < 0)
+            found = np.where(count > 0, self.mass(count, length) / whole, np.abs(weight) * found[own.suffix])
+        return found
+
+    def of_contexts(self, counts: np.ndarray) -> np.ndarray:
+        """How often histories were seen: every text of the training part has one start, as it has one end."""
+        return np.append(counts, self.end_count)
+
+
+def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    if order < 1:
+        raise ValueError("the order is at least 1")
+    with Scratch(docs.sparkSession) as keep:
+        return stored(_scores(docs, held_out, block_bytes, order, keep), "katz-scores")
 
 
-def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+def _scores(docs: DataFrame, held_out, block_bytes: int, order: int, keep: Scratch) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").cast("string").alias("text"))
-    name = f"katz_blocks_{uuid.uuid4().hex}"
-    blocks = _bucketed(encode(rows, block_bytes), name)
+    blocks = _bucketed(encode(rows, block_bytes), keep)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(partitions(spark), -(-tokens // RANGE_TOKENS))
+    by_block = blocks.groupBy("block")
+    replied = lambda tables: _all_replies(tables).groupBy("block")
 
-    def ask_words(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pandas().itertuples():
-                b = Block(row)
-                order = b.word_order()
-                counts = np.bincount(b.tokens[b.training], minlength=len(b.vocab)).astype(np.uint32)
-                out += _requests(row.block, b.vocab[order], counts[order], ranges)
-            yield pa.RecordBatch.from_pandas(_frame(out, REQUEST).astype({"range": "int32"}), preserve_index=False)
-
-    words = _answers(blocks.mapInArrow(ask_words, REQUEST), _merge_counts("words"))
-    total, distinct, *word_counts = _stats(words, "words_model")
-    # every text of the training part has one end, and one start
-    end_count = _count_of(words, _END, ranges)
-
-    def word_counts_of(b: Block, replies: pd.DataFrame) -> np.ndarray:
-        counts = np.empty(len(b.vocab), np.int64)
-        counts[b.word_order()] = _answered(replies, "words", np.uint32) >> 1
-        return counts
-
-    def ask_pairs(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in mine.itertuples():
-            b = Block(row)
-            keys, _, _, place = b.pairs()
-            out += _requests(row.block, keys, np.bincount(place[b.training], minlength=len(keys)).astype(np.uint32), ranges)
-        return _frame(out, REQUEST)
+    def ask_counts(length: int):
+        def ask(batches):
+            for batch in batches:
+                out = []
+                for row in batch.to_pandas().itertuples():
+                    b = Block(row)
+                    own = b.grams(length)[-1]
+                    out += _requests(row.block, own.keys, b.counts(own), ranges)
+                yield pa.RecordBatch.from_pandas(_frame(out, REQUEST).astype({"range": "int32"}), preserve_index=False)
 
-    by_block = blocks.groupBy("block")
-    replied = lambda *tables: _all_replies(tables).groupBy("block")
-    pairs = _answers(by_block.applyInPandas(lambda mine: ask_pairs(mine, None), REQUEST), _merge_counts("pairs"))
-    _, _, *pair_counts = _stats(pairs, "pairs_model")
-    model = Model(total, distinct, word_counts, pair_counts)
+        return ask
+
+    def answered_counts(replies: pd.DataFrame, lengths: int) -> list[np.ndarray]:
+        return [(_answered(replies, f"counts{n}", np.uint32) >> 1).astype(np.int64) for n in range(1, lengths + 1)]
 
-    def ask_histories(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def answered_weights(b: list[Grams], replies: pd.DataFrame, lengths: int) -> list[np.ndarray]:
+        """Weights of the histories of n-grams of length 2 to ``lengths``, by number."""
         out = []
-        for row in mine.itertuples():
-            b = Block(row)
-            _, history, word, _ = b.pairs()
-            answer = _answered(replies, "pairs", np.uint32)
-            owned = np.nonzero((answer & 1) & (answer > 1))[0]  # each stored pair is owned by one block
-            counts, known = word_counts_of(b, replies), np.zeros(len(b.hashes), HISTORY)
-            known["mass"] = np.bincount(history[owned], model.pair_mass((answer[owned] >> 1).astype(np.int64)), len(known))
-            known["lower"] = np.bincount(history[owned], model.word(counts[word[owned]]), len(known))
-            known["count"] = np.append(counts, end_count)
-            order = b.history_order()
-            out += _requests(row.block, b.hashes[order], known[order], ranges)
-        return _frame(out, REQUEST)
-
-    histories = _answers(by_block.cogroup(replied(words, pairs)).applyInPandas(ask_histories, REQUEST), _merge_histories("histories"))
+        for n in range(2, lengths + 1):
+            weights = np.empty(len(b[n - 2].keys) + 1)
+            weights[np.argsort(contexts(b[n - 2]), kind="stable")] = _answered(replies, f"histories{n}", np.float64)
+            out.append(weights)
+        return out
+
+    def ask_histories(length: int, model: Model):
+        def ask(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for row in mine.itertuples():
+                grams = Block(row).grams(length)
+                counts = answered_counts(replies, length)
+                lower = model.probabilities(grams[:-1], counts[:-1], answered_weights(grams, replies, length - 1))
+                own, answer = grams[-1], _answered(replies, f"counts{length}", np.uint32)
+                owned = np.nonzero((answer & 1) & (answer > 1))[0]  # each stored n-gram is owned by one block
+                keys = contexts(grams[-2])
+                known = np.zeros(len(keys), HISTORY)
+                known["mass"] = np.bincount(own.context[owned], model.mass(counts[-1][owned], length), len(keys))
+                known["lower"] = np.bincount(own.context[owned], lower[own.suffix[owned]], len(keys))
+                known["count"] = model.of_contexts(counts[-2])
+                by_key = np.argsort(keys, kind="stable")
+                out += _requests(row.block, keys[by_key], known[by_key], ranges)
+            return _frame(out, REQUEST)
+
+        return ask
+
+    tables, counts_of_counts = [], []
+    for length in range(1, order + 1):
+        tables.append(_answers(blocks.mapInArrow(ask_counts(length), REQUEST), _merge_counts(f"counts{length}"), keep))
+        n, different, *of_counts = _stats(tables[-1], f"counts{length}_model")
+        counts_of_counts.append(of_counts)
+        if length == 1:
+            total, distinct, end_count = n, different, _count_of(tables[0], _END, ranges)
+        model = Model(total, distinct, end_count, counts_of_counts)
+        if length > 1:
+            asked = by_block.cogroup(replied(tables)).applyInPandas(ask_histories(length, model), REQUEST)
+            tables.append(_answers(asked, _merge_histories(f"histories{length}"), keep))
 
     def score(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for row in mine.itertuples():
             b = Block(row)
-            counts = word_counts_of(b, replies)
-            weights = np.empty(len(b.hashes))
-            weights[b.history_order()] = _answered(replies, "histories", np.float64)
-            _, history, word, place = b.pairs()
-            c = (_answered(replies, "pairs", np.uint32) >> 1).astype(np.int64)
-            p = probability(model, c, np.append(counts, end_count)[history], weights[history], counts[word])
-            known = counts[b.tokens]
+            grams = b.grams(order)
+            counts = answered_counts(replies, order)
+            p = model.probabilities(grams, counts, answered_weights(grams, replies, order))
+            known = counts[0][grams[0].place]
             base = np.log10((known + 0.1) / (total + 0.1 * (distinct + 1)))
             ids = np.frombuffer(row.docs, np.int64)
             parts.append(
@@ -345,7 +401,7 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
                         "n_known": np.add.reduceat((known > 0).astype(np.int64), b.starts),
                         "train_tokens": np.full(len(ids), total, np.int64),
                         "base_score": np.add.reduceat(base, b.starts),
-                        "score": np.add.reduceat(np.log10(p)[place], b.starts),
+                        "score": np.add.reduceat(np.log10(p)[grams[-1].place], b.starts),
                     }
                 )
             )
@@ -353,31 +409,19 @@ def train_and_score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -
         return pd.concat(parts)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scores = stored(by_block.cogroup(replied(words, pairs, histories)).applyInPandas(score, schema), "katz-scores")
-    for table in (blocks, words, pairs, histories):
-        drop_stored(table)
-    spark.sql(f"DROP TABLE {name}")
-    return scores
-
-
-def probability(model: Model, pair: np.ndarray, history: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """P(w | h) from the counts of the pair, of the history and of the word, and the history's :func:`backoff` weight."""
-    lower = model.word(word)
-    if not model.total:
-        return np.ones(len(lower))
-    return np.where(pair > 0, model.pair_mass(pair) / (np.maximum(history, 1) + (weight < 0)), np.abs(weight) * lower)
+    return by_block.cogroup(replied(tables)).applyInPandas(score, schema)
 
 
-def _bucketed(blocks: DataFrame, name: str) -> DataFrame:
+def _bucketed(blocks: DataFrame, keep: Scratch) -> DataFrame:
     """Store the blocks bucketed by block: joins by block then leave them in place."""
-    spark = blocks.sparkSession
-    blocks.write.bucketBy(partitions(spark), "block").option("path", new_path(spark, "katz-blocks")).saveAsTable(name)
-    return spark.table(name)
+    name = keep.table("katz_blocks")
+    blocks.write.bucketBy(partitions(keep.spark), "block").option("path", keep.path("katz-blocks")).saveAsTable(name)
+    return keep.spark.table(name)
 
 
-def _answers(requests: DataFrame, merge) -> DataFrame:
+def _answers(requests: DataFrame, merge, keep: Scratch) -> DataFrame:
     """Add up the requests of each key range; store answers and model rows, partitioned by kind."""
-    path = new_path(requests.sparkSession, "katz")
+    path = keep.path("katz")
     requests.groupBy("range").applyInPandas(merge, REPLY).write.partitionBy("kind").parquet(path)
     fields = "block long, range int, keys binary, data binary, stats array<long>, kind string"
     return requests.sparkSession.read.schema(fields).parquet(path)
@@ -391,7 +435,7 @@ def _stats(answers: DataFrame, kind: str) -> list[int]:
 def _count_of(words: DataFrame, key: int, ranges: int) -> int:
     """Count of one word, from its range's row of the stored model."""
     at = (key >> 40) * ranges >> 24
-    for row in words.filter((F.col("kind") == "words_model") & (F.col("range") == at)).select("keys", "data").collect():
+    for row in words.filter((F.col("kind") == "counts1_model") & (F.col("range") == at)).select("keys", "data").collect():
         keys = np.cumsum(expand(row["keys"], np.uint64), dtype=np.uint64)
         where = np.searchsorted(keys, np.uint64(key))
         if where < len(keys) and keys[where] == key:
@@ -407,6 +451,6 @@ def _all_replies(tables) -> DataFrame:
     return out
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """Train on documents whose crc32(doc_id) mod 10 is not 0, score all."""
-    return train_and_score(docs, bucket_of_id(F.col("doc_id"), 10) == 0, block_bytes)
+    return train_and_score(docs, bucket_of_id(F.col("doc_id"), 10) == 0, block_bytes, order)

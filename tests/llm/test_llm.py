@@ -422,6 +422,81 @@ def test_katz_matches_brute_force_and_sums_to_one(spark, spread):
     assert katz_lm.score_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def katz_of_order(training, order):
+    """P(w | h) for any order, recursively over plain dictionaries; a history is a tuple."""
+    grams, after, often = [Counter() for _ in range(order + 1)], [{} for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+    for tokens in training:
+        for i, w in enumerate(tokens):
+            for m in range(1, order + 1):
+                h = tuple(["<s>", *tokens][max(0, i + 2 - m) : i + 1])
+                grams[m][h, w] += 1
+                often[m][h] += 1
+                after[m].setdefault(h, set()).add(w)
+    total = sum(grams[1].values())
+
+    def discounted(m, c):
+        n = Counter(grams[m].values())
+        if c > 5:
+            return c
+        common = 6 * n[6] / n[1] if n[1] else 1.0
+        d = ((c + 1) * n[c + 1] / n[c] / c - common) / (1 - common) if n[c] and common < 1 else -1.0
+        return c * (d if 0 < d < 1 else 1 - (n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5) / c)
+
+    left = 1 - sum(discounted(1, c) for c in grams[1].values()) / total
+    unseen = left if left > 0 else 1 / (total + 1)
+    known = {}
+
+    def p(h, w, m=order):
+        if m == 1:
+            c = grams[1][(), w]
+            return discounted(1, c) / total * (1 - unseen) / (1 - left) if c else unseen
+        h = h[-(m - 1) :]
+        shorter = h[-(m - 2) :] if m > 2 else ()
+        if not often[m][h]:
+            return p(shorter, w, m - 1)
+        if (m, h) not in known:
+            given = sum(discounted(m, grams[m][h, x]) for x in after[m][h]) / often[m][h]
+            lower = sum(p(shorter, x, m - 1) for x in after[m][h])
+            known[m, h] = (given < 1, (1 - given if given < 1 else 1 / (often[m][h] + 1)) / (1 - lower))
+        whole, alpha = known[m, h]
+        if grams[m][h, w]:
+            return discounted(m, grams[m][h, w]) / (often[m][h] + (not whole))
+        return alpha * p(shorter, w, m - 1)
+
+    return p, {w for _, w in grams[1]}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order(spark, order):
+    rng = np.random.default_rng(9)
+    vocab = [f"W{int(i)}" for i in rng.zipf(1.6, 3000) % 25]
+    rows = [*EDGE[:5], *EDGE[6:], *[(100 + i, " ".join(vocab[i * 20 : i * 20 + 20])) for i in range(150)], (900, "W1 W1 W1 W2 nowhere W1 W2 W3"), (901, "W1"), (902, "")]
+    got = katz_lm.score_documents(docs(spark, rows), block_bytes=1500, order=order).collect()
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + ["\n"]) for i, t in rows]
+    p, words = katz_of_order([w for i, w in split if zlib.crc32(("" if i is None else str(i)).encode()) % 10], order)
+    for h in (("<s>",), ("<s>", "w1"), ("w1", "w1"), ("w1", "w2", "w1"), ("nowhere", "w1"), ("w1", "nowhere")):
+        assert sum(p(h, w) for w in words) + p(h, "unseen") == pytest.approx(1)
+    want = Counter((i, len(w), round(sum(np.log10(p(tuple(["<s>", *w][: k + 1]), x)) for k, x in enumerate(w)), 4)) for i, w in split)
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == want
+
+
+def test_katz_leaves_nothing_behind(spark, monkeypatch):
+    import pathlib
+
+    from sievelight.llm.common import shared_dir
+
+    rows = docs(spark, [(i, "a b a c") for i in range(30)])
+    there = lambda: {f.name for f in pathlib.Path(shared_dir(spark).removeprefix("file:")).glob("katz*")}
+    before, tables = there(), spark.catalog.listTables()
+    katz_lm.score_documents(rows).count()
+    assert [n.startswith("katz-scores") for n in there() - before] == [True] and spark.catalog.listTables() == tables
+    before = there()
+    monkeypatch.setattr(katz_lm, "_merge_histories", lambda kind: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        katz_lm.score_documents(rows)
+    assert there() == before and spark.catalog.listTables() == tables
+
+
 def test_good_turing_discounts():
     # n_1..n_6 = 100, 40, 25, 18, 14, 11: r* / r less the common part 66/100, over 34/100
     common = 0.66
