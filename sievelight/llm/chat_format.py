@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 START, SEP, END, BREAK = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n", "<|nl|>"
 LEARNT_ROLE = "assistant"
 
@@ -55,20 +57,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         )
 
     pieces = sorted_turns.select("conv_id", F.transform(t, piece).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"])).alias("at"),
-            F.when(
-                p["learnt"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["text"])).alias("end")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"]))
+    placed = F.filter(F.arrays_zip("pieces", carried(sizes, lambda a, x: a + x).alias("at")), lambda z: z["pieces"]["learnt"])
+    begin = lambda z: z["at"] + F.length(z["pieces"]["head"])
+    spans = F.transform(placed, lambda z: F.struct(begin(z).alias("start"), (begin(z) + F.length(z["pieces"]["text"])).alias("end")))
     whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
     return pieces.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
 

@@ -124,6 +124,36 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Values that are carried together.
+BLOCK = 128
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def carried(values: Column, add) -> Column:
+    """For each value what ``add`` makes of those before it (from 0). Blocks of values are
+    carried one by one, so a step copies a block and not all that was found so far."""
+
+    def within(start, part):
+        first = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))
+
+    def whole(v):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda i: i <= F.size(v))
+        parts = F.transform(starts, lambda i: F.slice(v, i, F.lit(BLOCK)))
+
+        def blocks(p):
+            ends = F.transform(p, lambda x: F.aggregate(x, F.lit(0), add))
+            return F.flatten(F.transform(F.arrays_zip(p.alias("part"), within(F.lit(0), ends)["out"].alias("start")), lambda z: within(z["start"], z["part"])["out"]))
+
+        return bound(parts, blocks)
+
+    return bound(values, whole)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

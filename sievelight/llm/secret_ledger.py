@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, unused
+from .common import Scratch, bound, carried, new_path, stored, unused
 
 
 @dataclass(frozen=True)
@@ -55,50 +55,25 @@ def version_of(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-#: Values that are carried together.
-BLOCK = 128
+#: Blobs with findings up to which findings are broadcast to the paths; beyond it, only those of
+#: a text that holds at least this share of all rows.
+BROADCAST_ROWS, CROWDED = 200_000, 1 / 256
 SPAN = "struct<kind:int,start:int,end:int>"
 _SPAN_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end")])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN_TYPE))])
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _carried(values: Column, add) -> Column:
-    """For each value what ``add`` makes of those before it (from 0). Blocks of values are
-    carried one by one, so a step copies a block and not all that was found so far."""
-
-    def within(start, part):
-        first = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(part, first, lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))
-
-    def whole(v):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda i: i <= F.size(v))
-        parts = F.transform(starts, lambda i: F.slice(v, i, F.lit(BLOCK)))
-
-        def blocks(p):
-            ends = F.transform(p, lambda x: F.aggregate(x, F.lit(0), add))
-            return F.flatten(F.transform(F.arrays_zip(p.alias("part"), within(F.lit(0), ends)["out"].alias("start")), lambda z: within(z["start"], z["part"])["out"]))
-
-        return _bound(parts, blocks)
-
-    return _bound(values, whole)
-
-
 def _located(steps: Column, kind: int, least: int) -> Column:
     """Spans of one kind from alternating (gap, size, measure): lengths of the text before
     a match, of the match, and of what must reach ``least``."""
 
     def spans(s):
-        begins = _carried(F.transform(s, lambda x: x["gap"] + x["size"]), lambda a, x: a + x)
+        begins = carried(F.transform(s, lambda x: x["gap"] + x["size"]), lambda a, x: a + x)
         found = F.filter(F.arrays_zip(s.alias("s"), begins.alias("at")), lambda z: z["s"]["measure"] >= least)
         begin = lambda z: z["at"] + z["s"]["gap"]
         return F.transform(found, lambda z: F.struct(F.lit(kind).alias("kind"), begin(z).alias("start"), (begin(z) + z["s"]["size"]).alias("end")))
 
-    return _bound(steps, spans)
+    return bound(steps, spans)
 
 
 def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -143,32 +118,77 @@ def open_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger at ``ledger`` up to date with ``versions`` (doc_id, text); return it for these rules.
+def _addressed(versions: DataFrame) -> DataFrame:
+    return versions.select("doc_id", plain(F.col("text")).alias("text"), address(F.col("text")).alias("blob"))
 
-    Each blob that is new under this rule version is scanned once. Only its
-    address and one path are grouped; the text follows by a join on the path.
-    """
-    spark, version = versions.sparkSession, version_of(rules)
-    rows = versions.select("doc_id", plain(F.col("text")).alias("text"), address(F.col("text")).alias("blob"))
-    seen = open_ledger(spark, ledger).filter(F.col("rule_version") == version).select("blob")
-    first = rows.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left_anti")
-    first = first.select(F.col("blob").alias("first_blob"), "first_id")
+
+def _scan(versions: DataFrame, counted: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> None:
+    """Append what the ledger lacks; ``counted`` has each blob with its first path."""
+    version = version_of(rules)
+    rows, seen = _addressed(versions), open_ledger(versions.sparkSession, ledger).filter(F.col("rule_version") == version).select("blob")
+    first = counted.join(seen, "blob", "left_anti").select(F.col("blob").alias("first_blob"), "first_id")
     same = rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["blob"] == first["first_blob"])
     texts = rows.join(first, same, "left_semi")
     # a path listed twice with one text would be scanned twice: spans are equal, one row stays
     found = texts.select("blob", spans_of(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
     found.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").partitionBy("rule_version").parquet(ledger)
-    return open_ledger(spark, ledger).filter(F.col("rule_version") == version)
+
+
+def _counted(versions: DataFrame) -> DataFrame:
+    """(blob, first_id, n): each text's address, one of its paths and how many there are."""
+    return versions.select("doc_id", address(F.col("text")).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+def known(spark, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's rows under these rules, one for each blob: two runs that met may both have
+    scanned a blob, with the same outcome."""
+    return open_ledger(spark, ledger).filter(F.col("rule_version") == version_of(rules)).dropDuplicates(["blob"])
+
+
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Bring the ledger at ``ledger`` up to date with ``versions`` (doc_id, text); return it for these rules.
+
+    Each blob that is new under this rule version is scanned once. Only its
+    address and one path are grouped; the text follows by a join on the path.
+    """
+    with Scratch(versions.sparkSession) as keep:
+        _scan(versions, keep.keep(_counted(versions), "blobs"), ledger, rules)
+    return known(versions.sparkSession, ledger, rules)
+
+
+def _hits(versions: DataFrame, ledger: str | None, rules: tuple[Rule, ...], keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(blob, spans) of the texts that hold something, in two parts: those to broadcast and the rest."""
+    spark = versions.sparkSession
+    counted = keep.keep(_counted(versions), "blobs")
+    own = ledger or keep.path("secret-ledger")
+    _scan(versions, counted, own, rules)
+    # nobody else writes a ledger of this call's own: its blobs are there once
+    found = known(spark, own, rules) if ledger else open_ledger(spark, own)
+    hit = stored(found.filter(F.size("spans") > 0).select("blob", "spans").join(counted.select("blob", "n"), "blob"), "secret-hits")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    often = F.lit(True) if few else F.col("n") >= max(1, total * CROWDED)
+    return hit.filter(often).drop("n"), hit.filter(~often).drop("n")
+
+
+def _with_spans(rows: DataFrame, blob: str, spans: str, hits: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` with the spans of their blob, null where it has none. Findings of texts that many
+    rows hold are broadcast, so that copies of one text never meet in one task."""
+    (crowded, rest), (a, b) = hits, unused(rows.withColumn(spans, F.lit(0)), "hit_blob", "hit_spans")
+    named = lambda df: df.select(F.col("blob").alias(a), F.col("spans").alias(b))
+    out = rows.join(F.broadcast(named(crowded)), F.col(blob) == F.col(a), "left").withColumnRenamed(b, spans).drop(a)
+    if rest.isEmpty():
+        return out
+    clear, left = out.filter(F.col(spans).isNotNull()), out.filter(F.col(spans).isNull()).drop(spans)
+    return clear.unionByName(left.join(named(rest), F.col(blob) == F.col(a), "left").withColumnRenamed(b, spans).drop(a))
 
 
 def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, blob, spans) for every row of ``versions``, through the ledger (a fresh one if none is named)."""
-    known = scan(versions, ledger or new_path(versions.sparkSession, "secret-ledger"), rules)
-    hit = known.filter(F.size("spans") > 0).select("blob", "spans")
-    return versions.select("doc_id", address(F.col("text")).alias("blob")).join(hit, "blob", "left").select(
-        "doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")
-    )
+    with Scratch(versions.sparkSession) as keep:
+        hits = _hits(versions, ledger, rules, keep)
+    rows = versions.select("doc_id", address(F.col("text")).alias("blob"))
+    return _with_spans(rows, "blob", "spans", hits).withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
 def report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -182,21 +202,21 @@ def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every stretch covered by spans replaced by ``mark``."""
 
     def pieces(s):
-        reach = _carried(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))  # how far the spans before have come
+        reach = carried(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))  # how far the spans before have come
         cut = lambda z: F.concat(F.substring(text, z["reach"] + 1, z["s"]["start"] - z["reach"]), F.lit(mark))
         opening = F.filter(F.arrays_zip(s.alias("s"), reach.alias("reach")), lambda z: z["s"]["start"] >= z["reach"])
         rest = F.substring(text, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(text))
         return F.concat(F.array_join(F.transform(opening, cut), ""), rest)
 
-    return F.when(F.size(spans) == 0, text).otherwise(_bound(spans, pieces))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(spans, pieces))
 
 
 def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """``docs`` with secrets cut out of ``text`` and ``n_chars`` renewed; texts without secrets stay as they are."""
-    known = scan(docs, ledger or new_path(docs.sparkSession, "secret-ledger"))
     blob, spans = unused(docs, "hit_blob", "hit_spans")
-    hit = known.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    joined = docs.join(hit, address(docs["text"]) == hit[blob], "left")
+    with Scratch(docs.sparkSession) as keep:
+        hits = _hits(docs, ledger, RULES, keep)
+    joined = _with_spans(docs.withColumn(blob, address(F.col("text"))), blob, spans, hits)
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

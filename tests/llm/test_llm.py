@@ -89,6 +89,34 @@ def test_secret_ledger(spark, tmp_path):
     assert again.columns == clash.columns and {r.hit_spans for r in again.collect()} == {"mine"} and {r.doc_id: r.text for r in again.collect()} == clean
 
 
+def test_runs_that_meet_in_a_ledger_find_things_once(spark, tmp_path, monkeypatch):
+    rows, ledger = docs(spark, [(1, "token=abcdef and more"), (2, "nothing"), (3, "token=abcdef and more"), (None, None)]), f"file://{tmp_path}/ledger"
+    scan = secret_ledger._scan
+
+    def meets(versions, counted, path, rules):  # another run reads the ledger before this one has appended
+        scan(versions, counted, path, rules)
+        monkeypatch.setattr(secret_ledger, "open_ledger", lambda spark, path: spark.createDataFrame([], secret_ledger.LEDGER))
+        scan(versions, counted, path, rules)
+        monkeypatch.setattr(secret_ledger, "open_ledger", opened)
+
+    opened = secret_ledger.open_ledger
+    monkeypatch.setattr(secret_ledger, "_scan", meets)
+    for limit in (secret_ledger.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(secret_ledger, "BROADCAST_ROWS", limit)
+        found = secret_ledger.findings(rows, ledger).collect()
+        assert sorted((str(r.doc_id), len(r.spans)) for r in found) == [("1", 1), ("2", 0), ("3", 1), ("None", 0)]
+    assert spark.read.parquet(ledger).count() > secret_ledger.known(spark, ledger).count() == 3
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.5, 2.0])
+def test_crowded_and_other_findings_meet_alike(spark, monkeypatch, share):
+    monkeypatch.setattr(secret_ledger, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(secret_ledger, "CROWDED", share)
+    rows = [(i, "copy token=abcdef " * (i % 3 > 0) + str(i // 40)) for i in range(120)]
+    got = {r.doc_id: r.text for r in secret_ledger.redact(docs(spark, rows)).collect()}
+    assert got == {i: t.replace("token=abcdef", "[REDACTED]") for i, t in rows}
+
+
 def test_secret_ledger_scans_afresh_under_other_rules(spark, tmp_path):
     rows, ledger = docs(spark, [(1, "token=abcdef and ZZ12345"), (2, "nothing")]), f"file://{tmp_path}/ledger"
     kinds = lambda rules: {r.doc_id: [rules[s.kind].kind for s in r.spans] for r in secret_ledger.findings(rows, ledger, rules).collect()}
