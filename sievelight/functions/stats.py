@@ -14,27 +14,32 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of an ordered column.
+#: Buckets of an ordered column, at least.
 BUCKETS = 64
 
 
-def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, so that they grow with the cluster's data."""
+    return max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """``df`` with ``bucket``, a number that ascends with the numeric column ``order``.
     The cuts are a row of the same plan, so nothing runs before the result is asked for."""
-    value = F.col(order).cast("double")
-    cuts = df.agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).alias("_cuts"))
+    value, buckets = F.col(order).cast("double"), buckets or bucket_count(df)
+    cuts = df.agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(1000, 20 * buckets))).alias("_cuts"))
     below = F.size(F.filter("_cuts", lambda c: F.col(order) > c))  # one row of at most ``buckets`` cuts
     return df.join(F.broadcast(cuts)).withColumn("bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``before_<c>``, the sum of c over rows of lower ``order``, ``all_<c>``, the whole
     sum, and ``next_<order>``, the next higher value. ``order`` is unique within ``by``."""
     cut = with_bucket(df, order, buckets)
     totals = cut.groupBy(*by, "bucket").agg(*[F.sum(c).alias(f"b_{c}") for c in sums], F.min(order).alias("b_least"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     up, whole = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), w
-    totals = totals.select(  # at most BUCKETS rows for each group
+    totals = totals.select(  # as many rows as buckets for each group
         *[F.col(k).alias(f"k_{k}") for k in by],
         F.col("bucket").alias("k_bucket"),
         *[F.coalesce(F.sum(f"b_{c}").over(up), F.lit(0)).alias(f"lead_{c}") for c in sums],
@@ -53,6 +58,26 @@ def running(df: DataFrame, by: list[str], order: str, sums: list[str], buckets:
     )
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, quantiles): exact quantiles of ``value`` at ``shares``, interpolated between neighbours;
+    null values don't count, and without values the list is empty. Values are counted and numbered by ranges, so that no buffer holds
+    them all; only the values at the wanted places are gathered."""
+    by = by or []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running(counts, by, "_v", ["_n"])
+    start, n = F.col("before__n"), F.col("_n")
+
+    def at(k: int, share: float):
+        place = F.lit(share) * (F.col("all__n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        above = F.when(high < start + n, F.col("_v")).otherwise(F.col("next__v"))
+        between = F.when((low == high) | (above == F.col("_v")), F.col("_v")).otherwise((high - place) * F.col("_v") + (place - low) * above)
+        return F.when((low >= start) & (low < start + n), F.struct(F.lit(k).alias("k"), between.alias("q")))
+
+    found = placed.select(*by, F.explode(F.array_compact(F.array(*[at(k, s) for k, s in enumerate(shares)]))).alias("e"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["q"]).alias("quantiles"))
+
+
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Average rank (from 1) of each row's value within its group; ties share."""
     by = by or []

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchored_short_answer, is_blank, normalized_answer, stripped, word_count
+from ..sources.shared import held
+from ..streaming.resume import resume
 from .semantic import first_fit_of
 
 #: Probabilities from which entailment counts, and words of a short answer.
@@ -61,6 +63,18 @@ def entailment(pairs: DataFrame, predict: Predict, batch: int = 64) -> DataFrame
     return pairs.select("premise", "hypothesis").mapInPandas(run, "premise string, hypothesis string, probability double")
 
 
+def remembered(pairs: DataFrame, predict: Predict, store: str, revision: str, batch: int = 64) -> DataFrame:
+    """:func:`entailment` with a memory over runs: the table of model ``revision`` below ``store``
+    is addressed by the texts, the model is asked only for pairs that it lacks, and what it says
+    is committed before it is used. Two runs at once keep one answer for a pair."""
+    # texts are told apart by their lengths, whatever they hold
+    address = F.sha2(F.concat_ws(":", F.length("premise").cast("string"), F.length("hypothesis").cast("string"), "premise", "hypothesis"), 256)
+    keyed = pairs.select("premise", "hypothesis", address.alias("pair"))
+    ask = lambda rows: entailment(rows, predict, batch).withColumn("pair", address)
+    known = resume(keyed, f"{store}/{revision}", "pair", ask)
+    return known.join(keyed.select("pair").distinct(), "pair", "left_semi").select("premise", "hypothesis", "probability")
+
+
 def equivalent(pairs: DataFrame, probabilities: DataFrame) -> DataFrame:
     """``pairs`` (a, b and more) with ``same``; a probability that isn't known counts as 0."""
     rows = pairs.withColumn("_same", by_rules(F.col("a"), F.col("b")))
@@ -72,16 +86,17 @@ def equivalent(pairs: DataFrame, probabilities: DataFrame) -> DataFrame:
     return rows.select(*pairs.columns, same.alias("same"))
 
 
-def clustered(rows: DataFrame, key: str, predict: Predict | None = None, probabilities: DataFrame | None = None, answers: str = "answers") -> DataFrame:
+def clustered(rows: DataFrame, key: str, predict: Predict | None = None, probabilities: DataFrame | None = None, answers: str = "answers", store: str | None = None, revision: str | None = None) -> DataFrame:
     """``rows`` with ``ids``, first-fit clusters of each row's answers under :func:`equivalent`.
 
     A row's few answers are compared with those before them; all rows' distinct pairs go to
-    the model (or are looked up in ``probabilities``) together. Keys are unique."""
+    the model (or are looked up in ``probabilities``) together, once; with a ``store`` what model
+    ``revision`` said in earlier runs is not asked again. Keys are unique."""
     tidy = F.transform(answers, lambda x: F.coalesce(x, F.lit("")))
     before = F.flatten(F.transform(tidy, lambda a, i: F.transform(F.slice(tidy, F.lit(1), i), lambda b, j: F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b")))))
     pairs = rows.select(F.col(key).alias("_key"), F.explode(before).alias("p")).select("_key", "p.*")
     if probabilities is None:
-        probabilities = entailment(open_pairs(pairs), predict)
+        probabilities = held(entailment(open_pairs(pairs), predict)) if store is None else remembered(open_pairs(pairs), predict, store, revision or "unnamed")
     links = equivalent(pairs, probabilities).filter("same").groupBy("_key").agg(F.collect_list(F.struct("i", "j")).alias("_links"))
     none = F.array().cast("array<struct<i:int,j:int>>")
     joined = rows.join(links, rows[key] == links["_key"], "left")

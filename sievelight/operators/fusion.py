@@ -8,6 +8,7 @@ of C over folds) are stepped in one job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -67,10 +68,11 @@ class Logistic:
 
 
 def fit_many(
-    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 100, tol: float = 1e-8, vector: str | None = None
+    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 100, tol: float = 1e-8, vector: str | None = None, free_intercept: bool = True
 ) -> dict[str, Logistic]:
     """Fit models {name: (C, fold left out or None, group kept or None)}: penalty
-    |w|^2 / (2C) beside the summed loss, intercept free. Each partition adds up its
+    |w|^2 / (2C) beside the summed loss; the intercept is free, or else penalised like a weight
+    on a feature that is always 1. Each partition adds up its
     own gradients and Hessians in numpy; the sums are added per model and place.
     With ``vector``, an array column holds the features in their order. Steps that
     haven't come to rest after ``steps`` are an error."""
@@ -111,7 +113,8 @@ def fit_many(
             found[r.model][r.place] = r.value
         for n, values in found.items():
             w, ridge = weights[n], np.full(p, 1 / models[n][0])
-            ridge[0] = 0
+            if free_intercept:
+                ridge[0] = 0
             move = np.linalg.solve(values[p:].reshape(p, p) + np.diag(ridge) + 1e-12 * np.eye(p), values[:p] + ridge * w)
             weights[n] = w - move * min(1.0, 5.0 / max(1e-12, np.abs(move).max()))
             if np.abs(move).max() < tol:
@@ -198,6 +201,7 @@ class Input:
     test: DataFrame
     provenance: tuple[str, str]
     transform: str = "none"
+    threshold: float | None = None  # the run's own, chosen on validation
 
     def column(self) -> Column:
         return logit(F.col(self.name)) if self.transform == "logit" else F.col(self.name).cast("double")
@@ -217,14 +221,16 @@ def designed(samples: DataFrame, inputs: list[Input], split: str, partial: bool
             out = out.join(scores, "sample_id")
         else:
             out = align(out, scores)
-    return out.withColumns({i.name: i.column() for i in inputs})
+    return out.withColumns({f"raw_{i.name}": F.col(i.name).cast("double") for i in inputs} | {i.name: i.column() for i in inputs})
 
 
 @dataclass(frozen=True)
 class FusionRun:
     fit: Fusion
     features: tuple[str, ...]
+    inputs: tuple[Input, ...]
     validation: DataFrame  # out-of-fold scores
+    design: DataFrame  # validation samples with the inputs, and as ``raw_<name>`` before their transform
     test: DataFrame  # samples with the inputs, ``fusion`` and ``average``
     thresholds: DataFrame  # detector, threshold
     coverage: dict[str, int]
@@ -262,7 +268,7 @@ def run_fusion(
     chosen = lambda df, d: select_threshold(threshold_candidates(score_groups(df, [])), [], criterion).select(F.lit(d).alias("detector"), "threshold")
     both = apply_fusion(ready["test"], fit, "fusion").select("sample_id", "fusion").join(average_score(ready["test"], names, fit.scale, "average").select("sample_id", "average"), "sample_id")
     counts = {f"{s}_{k}": v for s, df in (("validation", validation), ("test", test)) for k, v in (("used", used[s]), ("total", df.count()))}
-    return FusionRun(fit, tuple(names), oof, ready["test"].join(both, "sample_id"), chosen(oof, "fusion").unionByName(chosen(own, "average")), counts)
+    return FusionRun(fit, tuple(names), tuple(inputs), oof, ready["validation"], ready["test"].join(both, "sample_id"), chosen(oof, "fusion").unionByName(chosen(own, "average")), counts)
 
 
 def diagnostics(rows: DataFrame, inputs: list[str], raw: dict[str, str] | None = None, length: str = "length") -> DataFrame:
@@ -290,6 +296,79 @@ def input_correlations(rows: DataFrame, inputs: list[str]) -> DataFrame:
     return rows.agg(*[guarded_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}~{b}") for a, b in two]).select(F.explode(each).alias("e")).select("e.*")
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """What :func:`analyze` found; frames have ``set`` (test, length_controlled) where they have both."""
+
+    thresholds: DataFrame  # detector, threshold, source
+    metrics: DataFrame  # set, detector, metric, estimate, low, high, n_reps
+    differences: DataFrame  # set, detector, metric, ...: fusion less the detector
+    verdict: str
+    overlap: DataFrame
+    diagnostics: DataFrame
+    correlations: DataFrame
+    notes: tuple[str, ...]
+
+
+def analyze(run: FusionRun, controlled: DataFrame | None = None, replicates: int = 5000, seed: int = 0, draw: str = "tree", level: float = 0.95) -> Analysis:
+    """Fusion against each input and against the unfitted average, on test and on its
+    length-controlled part (sample_id, match_id), each at its own threshold from validation.
+
+    The verdict is about AUROC on the controlled set: IMPROVES if fusion's interval lies above
+    every input's, WORSE if it lies below any, else INCONCLUSIVE. A set is left out, with a note,
+    if its pairs aren't whole or some of its samples weren't scored; without a controlled set the
+    verdict is UNAVAILABLE."""
+    from ..sources.shared import held
+    from . import bootstrap, resampling
+    from .metrics import predicted, score_groups, select_threshold, threshold_candidates
+
+    names, spark = [i.name for i in run.inputs], run.test.sparkSession
+    chosen = {r.detector: (r.threshold, "validation") for r in run.thresholds.collect()}  # a row for each of the two
+    for i in run.inputs:
+        # thresholds of inputs are on their own scores, before any transform
+        own = run.design.select("label", F.col(f"raw_{i.name}").alias("score")) if i.threshold is None else None
+        found = i.threshold if own is None else select_threshold(threshold_candidates(score_groups(own, [])), []).first().threshold
+        chosen[i.name] = (found, "the run's own" if own is None else "youden on validation")
+    at = {d: float(t) for d, (t, _) in chosen.items()}
+    test = held(run.test.select("sample_id", "pair_id", "label", "fusion", "average", *[F.col(f"raw_{n}").alias(n) for n in names]))
+    sets, notes = {}, []
+    if test.groupBy("pair_id").count().filter("count <> 2").isEmpty():
+        sets["test"] = (test, "pair_id")
+    else:
+        notes.append("test left out: the samples that were scored aren't whole pairs")
+    if controlled is None:
+        notes.append("no length-controlled set")
+    else:
+        part = controlled.select("sample_id", "match_id")
+        missing = part.join(test, "sample_id", "left_anti").count()
+        if missing:
+            notes.append(f"length-controlled set left out: {missing} of its samples weren't scored by every input")
+        else:
+            sets["length_controlled"] = (part.join(test, "sample_id"), "match_id")
+    measured, differences = [], []
+    for name, (rows, cluster) in sets.items():
+        wide = held(bootstrap.pair_table(rows, cluster, list(at)))
+        reps = held(resampling.replicates(wide, at, resampling.Draw(wide.count(), replicates, seed, draw)))
+        of = lambda d: reps.filter(F.col("detector") == d).drop("detector")  # noqa: B023, E731
+        named = lambda df, d: df.select(F.lit(name).alias("set"), F.lit(d).alias("detector"), "*")  # noqa: B023, E731
+        for d in at:
+            measured.append(named(bootstrap.intervals(of(d), bootstrap.ALL_METRICS, level), d))
+            if d != "fusion":
+                differences.append(named(bootstrap.paired_difference(of("fusion"), of(d), bootstrap.ALL_METRICS, level), d))
+    unite = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
+    every = unite(differences)
+    said = "UNAVAILABLE"
+    if "length_controlled" in sets:
+        against = every.filter((F.col("set") == "length_controlled") & (F.col("metric") == "auroc") & F.col("detector").isin(names))
+        said = bootstrap.verdict(against, ["metric"]).first().verdict
+    right = [F.struct(F.lit(d).alias("detector"), (predicted(F.col(d), F.lit(t)) == F.col("label")).cast("int").alias("correct")) for d, t in at.items()]
+    overlap = error_overlap(test.select("sample_id", F.explode(F.array(*right)).alias("e")).select("sample_id", "e.*"))
+    logits = {i.name: f"raw_{i.name}" for i in run.inputs if i.transform == "logit"}
+    facts = diagnostics(run.design, list(run.features), logits)
+    told = spark.createDataFrame([(d, at[d], source) for d, (_, source) in chosen.items()], "detector string, threshold double, source string")
+    return Analysis(told, unite(measured), every, said, overlap, facts, input_correlations(run.design, list(run.features)), tuple(notes))
+
+
 def error_overlap(correct: DataFrame) -> DataFrame:
     """For each two detectors of (sample_id, detector, correct): joint counts and McNemar p."""
     from ..functions.stats import mcnemar_exact

@@ -5,27 +5,52 @@ Inputs have ``sample_id``, ``label`` (0 factual, 1 hallucinated) and ``length``.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.shared import held
 
 
-def caliper_edges(rows: DataFrame, caliper: int = 5) -> DataFrame:
-    """(id0, id1, gap) for all cross-label rows whose lengths differ by at most ``caliper``.
+#: Edges that one task of :func:`caliper_edges` makes at most, about.
+EDGES_PER_TASK = 4_000_000
 
-    A bucketed equi-join: lengths fall into buckets of caliper + 1, one side also
-    looks into both neighbours. The result itself has all such edges; use
-    :func:`greedy_length_matches` or :func:`optimal_matches` where these are too many.
-    """
+
+def caliper_lengths(rows: DataFrame, caliper: int = 5) -> DataFrame:
+    """(l0, l1, gap, n0, n1): lengths of both labels at most ``caliper`` apart, with how many rows
+    have them. These are all edges in folded form: a table of lengths, however many rows."""
     width = caliper + 1
     b = F.floor(F.col("length") / width)
-    left = rows.filter("label = 0").select(F.col("sample_id").alias("id0"), F.col("length").alias("l0"), F.explode(F.array(b - 1, b, b + 1)).alias("b"))
-    right = rows.filter("label = 1").select(F.col("sample_id").alias("id1"), F.col("length").alias("l1"), b.alias("b"))
+    counts = rows.filter("length is not null").groupBy("label", "length").agg(F.count("*").alias("n"))
+    left = counts.filter("label = 0").select(F.col("length").alias("l0"), F.col("n").alias("n0"), F.explode(F.array(b - 1, b, b + 1)).alias("b"))
+    right = counts.filter("label = 1").select(F.col("length").alias("l1"), F.col("n").alias("n1"), b.alias("b"))
     gap = F.abs(F.col("l0") - F.col("l1"))
-    return left.join(right, "b").filter(gap <= caliper).select("id0", "id1", gap.cast("int").alias("gap"))
+    return left.join(right, "b").filter(gap <= caliper).select("l0", "l1", gap.cast("int").alias("gap"), "n0", "n1")
+
+
+def caliper_edges(rows: DataFrame, caliper: int = 5, per_task: int | None = None) -> DataFrame:
+    """(id0, id1, gap) for all cross-label rows whose lengths differ by at most ``caliper``.
+
+    A join on two lengths, for the pairs of lengths that can match. Where a pair of lengths has
+    more than ``per_task`` edges its factual rows are dealt to parts by number and its
+    hallucinated rows go to every part, so no task makes many more. The result itself has all
+    edges; use :func:`caliper_lengths`, :func:`greedy_length_matches` or :func:`optimal_matches`
+    where these are too many. Rows without length or label have no edge."""
+    per_task = per_task or EDGES_PER_TASK
+    pairs = caliper_lengths(rows, caliper)
+    parts = F.least(F.col("n0"), F.ceil(F.col("n0") * F.col("n1") / per_task)).cast("int")
+    pairs = pairs.select("l0", "l1", "gap", parts.alias("parts"))
+    side = lambda y: rows.filter(F.col("label") == y).select(F.col("sample_id").alias(f"id{y}"), F.col("length").alias(f"l{y}"))
+    # lengths are few (at most as many as characters of the longest text); Spark broadcasts them where they are small
+    left = side(0).join(pairs, "l0").withColumn("part", F.pmod(F.xxhash64("id0"), F.col("parts")))
+    right = side(1).join(pairs.filter("parts > 1").select("l0", "l1", "parts"), "l1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    plain = left.filter("parts = 1").join(side(1), "l1").select("id0", "id1", "gap")
+    split = left.filter("parts > 1").join(right.select("id1", "l0", "l1", "part"), ["l0", "l1", "part"]).select("id0", "id1", "gap")
+    return plain.unionByName(split)
 
 
 def islands(rows: DataFrame, delta: int) -> DataFrame:
@@ -38,54 +63,123 @@ def islands(rows: DataFrame, delta: int) -> DataFrame:
     return rows.join(F.broadcast(marked.select("length", F.sum("_new").over(w).alias("island"))), "length")
 
 
-def aligned(a: np.ndarray, b: np.ndarray, delta: int) -> list[tuple[int, int]]:
-    """Places (i, j) of matched entries of two ascending length arrays: within delta as many as
-    possible, then of least total gap.
+def matched_counts(a: np.ndarray, n0: np.ndarray, b: np.ndarray, n1: np.ndarray, delta: int) -> list[tuple[int, int, int]]:
+    """(i, j, n): how many rows of length a[i] are matched with rows of length b[j], for ascending
+    distinct lengths with n0 and n1 rows: within delta, as many as possible, then of least total gap.
 
-    Uncrossed matches suffice on a line, so prefixes are aligned by dynamic programming. A row
-    only changes what lies within delta of its length; one row of values is kept, and of each
-    row one byte for each of those places, to walk back by.
+    A flow on lengths, not rows: shortest augmenting ways are found for all lengths at once, and
+    everything that fits along ways of the least cost is sent before the next search. Memory is
+    one number for each two lengths within delta.
     """
     low, high = np.searchsorted(b, a - delta, "left"), np.searchsorted(b, a + delta, "right")
-    weight = (delta + 1) * (min(len(a), len(b)) + 1)  # a match outweighs any sum of gaps
-    best, reach = np.zeros(len(b) + 1, np.int64), 0  # best[j]: over the first j entries, of which those beyond reach add nothing
-    steps = []
-    for n, lo, hi in zip(a, low, high):
-        best[reach + 1 : hi + 1] = best[reach]
-        reach = int(hi)
-        old, before = best[lo + 1 : hi + 1].copy(), best[lo]
-        new = np.maximum(np.maximum.accumulate(np.maximum(old, best[lo:hi] + weight - np.abs(n - b[lo:hi]))), before)
-        left = np.concatenate([[before], new[:-1]])[: len(new)]
-        # 0: this row is left out; 1: the entry is left out; 2: both are matched
-        steps.append(np.where(new == old, 0, np.where(new == left, 1, 2)).astype(np.int8))
-        best[lo + 1 : hi + 1] = new
-    out, i, j = [], len(a) - 1, len(b)
-    while i >= 0 and j > 0:
-        j = min(j, int(high[i]))
-        step = steps[i][j - low[i] - 1] if j > low[i] else 0
-        if step == 2:
-            out.append((i, j - 1))
-        i, j = i - (step != 1), j - (step != 0)
-    return out[::-1]
+    ei = np.repeat(np.arange(len(a)), high - low)
+    if not len(ei):
+        return []
+    ej = np.concatenate([np.arange(x, y) for x, y in zip(low, high)])
+    cost = np.abs(a[ei] - b[ej]).astype(np.int64)
+    free0, free1, flow = n0.astype(np.int64).copy(), n1.astype(np.int64).copy(), np.zeros(len(ei), np.int64)
+    by_j = np.argsort(ej, kind="stable")
+    at_i, at_j = np.unique(ei, return_index=True), np.unique(ej[by_j], return_index=True)
+    ends = [ei.tolist(), (ej + len(a)).tolist()]  # nodes: lengths of a, then those of b
+    edges = [[] for _ in range(len(a) + len(b))]
+    for e, (i, j) in enumerate(zip(*ends)):
+        edges[i].append(e)
+        edges[j].append(e)
+    far = np.iinfo(np.int64).max // 4
+    while True:
+        d0, d1 = np.where(free0 > 0, 0, far), np.full(len(b), far)
+        while True:  # over every edge, and back over those that carry flow, until nothing gets nearer
+            d1[at_j[0]] = np.minimum(d1[at_j[0]], np.minimum.reduceat((d0[ei] + cost)[by_j], at_j[1]))
+            back = np.minimum.reduceat(np.where(flow > 0, d1[ej] - cost, far), at_i[1])
+            if not (back < d0[at_i[0]]).any():
+                break
+            d0[at_i[0]] = np.minimum(d0[at_i[0]], back)
+        least = d1[free1 > 0].min(initial=far)
+        if least >= far // 2:
+            return [(int(ei[e]), int(ej[e]), int(flow[e])) for e in np.flatnonzero(flow)]
+        _send(edges, ends, (d0[ei] + cost == d1[ej]).tolist(), flow, free0, free1, d0 == 0, d1 == least)
+
+
+def _send(edges: list[list[int]], ends: list[list[int]], tight: list[bool], flow: np.ndarray, free0: np.ndarray, free1: np.ndarray, source: np.ndarray, goal: np.ndarray) -> None:
+    """Send all that fits from free sources to free goals over ``tight`` edges, along ways of
+    fewest edges; ``flow``, ``free0`` and ``free1`` are changed."""
+    n = len(free0)
+    usable = lambda v, e: tight[e] and (v < n or flow[e] > 0)
+    other = lambda v, e: ends[1][e] if v < n else ends[0][e]
+    starts = np.flatnonzero(source & (free0 > 0)).tolist()
+    level, front = dict.fromkeys(starts, 0), starts
+    while front and not any(v >= n and goal[v - n] and free1[v - n] > 0 for v in front):
+        after = []
+        for v in front:
+            for e in edges[v]:
+                if usable(v, e) and (u := other(v, e)) not in level:
+                    level[u] = level[v] + 1
+                    after.append(u)
+        front = after
+    tried = dict.fromkeys(level, 0)
+    for start in starts:
+        way: list[int] = []  # edges from start to the node at hand
+        v = start
+        while free0[start] > 0:
+            if v >= n and goal[v - n] and free1[v - n] > 0:
+                amount = min(free0[start], free1[v - n], *[flow[e] for e in way[1::2]])
+                flow[way[::2]] += amount
+                flow[way[1::2]] -= amount
+                free0[start] -= amount
+                free1[v - n] -= amount
+                way, v = [], start
+                continue
+            while tried[v] < len(edges[v]):
+                e = edges[v][tried[v]]
+                if usable(v, e) and level.get(u := other(v, e)) == level[v] + 1:
+                    break
+                tried[v] += 1
+            if tried[v] < len(edges[v]):
+                way.append(e)
+                v = u
+            elif way:  # a dead end: back, and on to the next edge there
+                e = way.pop()
+                v = ends[0][e] if v >= n else ends[1][e]
+                tried[v] += 1
+            else:
+                break
 
 
 def optimal_matches(rows: DataFrame, delta: int = 1) -> DataFrame:
     """(id0, id1, gap): one-to-one matches within delta, as many as possible, then of least total gap.
 
-    Solved for each island, a stretch of adjacent lengths: its rows meet in one task, which
-    keeps one byte for each factual row and each hallucinated row within delta of it. That
-    suits controlled sets; for whole corpora use :func:`greedy_length_matches`.
-    """
+    Counts of lengths are matched, each island (a stretch of adjacent lengths) in one task; its
+    memory grows with the distinct lengths, not with the rows. Rows are then dealt by their
+    number within label and length, in the order of their ids, so a crowded length is never one
+    task either. Ids are unique; rows without length or label are left out."""
+    from .splits import numbered
+
+    rows = rows.filter("length is not null and label in (0, 1)").select("sample_id", "label", "length")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = numbered(rows, ["label", "length", "sample_id"], "_at", parts)
+    counts = placed.groupBy("label", "length").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "sample_id"])
-        side = [pdf[pdf["label"] == y] for y in (0, 1)]
-        ids, lengths = [s["sample_id"].tolist() for s in side], [s["length"].to_numpy(np.int64) for s in side]
-        found = aligned(*lengths, delta)
-        return pd.DataFrame([(ids[0][i], ids[1][j], int(abs(lengths[0][i] - lengths[1][j]))) for i, j in found], columns=["id0", "id1", "gap"])
+        side = [pdf[pdf["label"] == y].sort_values("length") for y in (0, 1)]
+        (a, n0), (b, n1) = [(s["length"].to_numpy(np.int64), s["n"].to_numpy(np.int64)) for s in side]
+        used0, used1, out = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
+        for i, j, n in matched_counts(a, n0, b, n1, delta):
+            out.append((int(a[i]), int(b[j]), int(used0[i]), int(used1[j]), n))
+            used0[i], used1[j] = used0[i] + n, used1[j] + n
+        return pd.DataFrame(out, columns=["l0", "l1", "start0", "start1", "n"])
+
+    cut = islands(counts, delta)
+    found = held(cut.groupBy("island").applyInPandas(solve, "l0 long, l1 long, start0 long, start1 long, n long"))
 
-    cut = islands(rows.select("sample_id", "label", "length"), delta)
-    return cut.groupBy("island").applyInPandas(solve, "id0 string, id1 string, gap int")
+    def dealt(y: int) -> DataFrame:
+        """Rows of label ``y`` with the pair of lengths that they serve and their place in it."""
+        first = counts.filter(F.col("label") == y).select(F.col("length").alias(f"l{y}"), "first")
+        own = placed.filter(F.col("label") == y).select(F.col("sample_id").alias(f"id{y}"), F.col("length").cast("long").alias(f"l{y}"), "_at")
+        numbers = own.join(first, f"l{y}").join(found.select("l0", "l1", f"start{y}", "n"), f"l{y}")
+        place = F.col("_at") - F.col("first") - F.col(f"start{y}")
+        return numbers.withColumn("place", place).filter("place >= 0 and place < n").select("l0", "l1", "place", f"id{y}")
+
+    return dealt(0).join(dealt(1), ["l0", "l1", "place"]).select("id0", "id1", F.abs(F.col("l0") - F.col("l1")).cast("int").alias("gap"))
 
 
 def matched_rows(matches: DataFrame, rows: DataFrame, delta: int) -> DataFrame:
@@ -181,25 +275,52 @@ def _chains(rows: DataFrame, gap: int) -> DataFrame:
     return rows.join(F.broadcast(marked.withColumn("_some", some).filter("_some").select("length", "rest", "chain")), "length")
 
 
+def nearest_free(factual: list[tuple[str, int]], hallucinated: list[tuple[str, int]]) -> list[tuple[str, str, int]]:
+    """Each of ``factual`` (id, length), in order, takes the nearest free length of ``hallucinated``
+    (in order of their ids; of equally near ones the lower id). A length that is used up points
+    to the next one still free on either side, so a look-up costs next to nothing."""
+    lengths = sorted({n for _, n in hallucinated})
+    waiting: dict[int, list[str]] = {n: [] for n in lengths}
+    for i, n in reversed(hallucinated):
+        waiting[n].append(i)  # the lowest id last
+    stacks = [waiting[n] for n in lengths]
+    up, down = list(range(len(lengths) + 1)), list(range(len(lengths) + 1))  # down is shifted by one: 0 is no length
+
+    def free(towards: list[int], k: int) -> int:
+        end = k
+        while towards[end] != end:
+            end = towards[end]
+        while towards[k] != end:
+            towards[k], k = end, towards[k]
+        return end
+
+    out = []
+    for i, n in factual:
+        at = bisect.bisect_left(lengths, n)
+        ends = [k for k in (free(down, at) - 1, free(up, at)) if 0 <= k < len(lengths)]
+        if not ends:
+            break
+        k = min(ends, key=lambda k: (abs(lengths[k] - n), stacks[k][-1]))
+        out.append((i, stacks[k].pop(), abs(lengths[k] - n)))
+        if not stacks[k]:
+            up[k], down[k + 1] = k + 1, k
+    return out
+
+
 def nearest_greedy(rows: DataFrame) -> DataFrame:
     """Each factual row in id order takes the nearest free hallucinated length (ties: lower id).
 
-    Order dependent by definition and without a caliper: meant for one small
-    controlled set, which is read by one task; it isn't a control for length.
-    """
+    Order dependent by definition and without a caliper: meant for one controlled set, whose
+    ids and lengths are read by one task in n log n steps; it isn't a control for length.
+    Rows without length or label are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[pdf["label"] == 1].sort_values("sample_id")[["sample_id", "length"]].values.tolist()
-        out = []
-        for i, n in pdf[pdf["label"] == 0].sort_values("sample_id")[["sample_id", "length"]].values.tolist():
-            if not free:
-                break
-            at = min(range(len(free)), key=lambda j: (abs(free[j][1] - n), free[j][0]))
-            out.append((i, free[at][0], abs(int(free[at][1] - n))))
-            free.pop(at)
-        return pd.DataFrame(out, columns=["id0", "id1", "gap"])
+        pdf = pdf.sort_values("sample_id")
+        side = [list(zip(p["sample_id"].tolist(), p["length"].tolist())) for p in (pdf[pdf["label"] == y] for y in (0, 1))]
+        return pd.DataFrame(nearest_free(*side), columns=["id0", "id1", "gap"])
 
-    return rows.select("sample_id", "label", "length").groupBy(F.lit(0).alias("_one")).applyInPandas(run, "id0 string, id1 string, gap int")
+    whole = rows.filter("length is not null and label is not null").select("sample_id", "label", "length")
+    return whole.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "id0 string, id1 string, gap int")
 
 
 def match_violations(matched: DataFrame, delta: int) -> DataFrame:
@@ -246,7 +367,7 @@ def match_summary(matches: DataFrame, rows: DataFrame) -> DataFrame:
     both = matches
     for y in names:
         both = both.join(rows.select(F.col("sample_id").alias(f"id{y}"), F.col("length").alias(f"length{y}"), F.col("words").alias(f"words{y}")), f"id{y}")
-    both = both.cache()
+    both = held(both)
     median = lambda c: F.percentile(c, F.lit(0.5))
     spread = lambda c: F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c))
     values = [F.count("*").alias("n_matches"), F.avg("gap").alias("mean_gap"), median("gap").alias("median_gap"), F.max("gap").alias("max_gap"), F.sum("gap").cast("long").alias("total_gap")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import running
+from ..functions.stats import quantiles, running
 
 #: Rows of each class from which a stratum counts as reliable.
 RELIABLE = 30
@@ -145,7 +145,7 @@ def pair_accuracy(paired: DataFrame, by: list[str] | None = None) -> DataFrame:
 def threshold_curve(scored: DataFrame, points: int = 21, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Metrics of each group at evenly spaced quantiles of its scores, equal quantiles once."""
     by = by or []
-    grid = scored.groupBy(*by).agg(F.percentile(F.col(score), F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("q")).select(*by, F.explode(F.array_distinct("q")).alias("threshold"))
+    grid = quantiles(scored, score, [i / (points - 1) for i in range(points)], by).select(*by, F.explode(F.array_distinct("quantiles")).alias("threshold"))
     # the grid has at most ``points`` rows for each group; every score group meets those of its own
     groups = scored.groupBy(*by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     above = F.col("score") >= F.col("threshold")
@@ -156,7 +156,8 @@ def threshold_curve(scored: DataFrame, points: int = 21, score: str = "score", l
 
 
 def length_edges(df: DataFrame, length: str = "length", bins: int = 5) -> DataFrame:
-    """Distinct quantile edges of a length column, as one array."""
+    """Distinct quantile edges of a length column, as one array. Lengths are whole numbers: the
+    buffer has one entry for each distinct length, however many rows."""
     q = F.percentile(F.col(length), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
     return df.agg(F.array_distinct(q).alias("edges"))
 

@@ -64,10 +64,11 @@ class Search:
     """The way of one penalised fit to its rest: by Newton steps where the Hessian is given,
     else by limited-memory BFGS; a step that doesn't lower the loss enough is halved."""
 
-    def __init__(self, size: int, rows: float, c: float, tol: float):
+    def __init__(self, size: int, rows: float, c: float, tol: float, free_intercept: bool):
         self.rows, self.tol, self.done = rows, tol, False
         self.ridge = np.full(size, 1 / (c * rows))
-        self.ridge[0] = 0
+        if free_intercept:
+            self.ridge[0] = 0
         self.look, self.at, self.step = np.zeros(size), None, 1.0
         self.past: deque = deque(maxlen=MEMORY)
 
@@ -103,12 +104,12 @@ class Search:
         return way
 
 
-def layer_probes(rows: DataFrame, train: Column, c: float = 1.0, newton_width: int = NEWTON_WIDTH, steps: int = 1000, tol: float = 1e-6) -> tuple[dict[int, Probe], DataFrame]:
+def layer_probes(rows: DataFrame, train: Column, c: float = 1.0, newton_width: int = NEWTON_WIDTH, steps: int = 1000, tol: float = 1e-6, free_intercept: bool = False) -> tuple[dict[int, Probe], DataFrame]:
     """Fit a probe for each layer on the ``train`` rows of (sample_id, label, layer, features),
     standardised there; return the probes and all other rows with their score (the decision).
 
-    Penalty |w|^2 / (2c) beside the summed loss, intercept free, a constant component only
-    centred. All layers step in one job; a job sends the driver a gradient for each layer and
+    Penalty |w|^2 / (2c) beside the summed loss; the intercept is penalised as a weight on a
+    feature that is always 1, unless it is to be free; a constant component is only centred. All layers step in one job; a job sends the driver a gradient for each layer and
     lane, and the Hessian only up to ``newton_width`` components. Rows with a null label, layer,
     vector or component take no part in the fit; such a vector's score, and that of a layer
     without training rows, is null. Vectors of different widths are an error, and so is a fit not
@@ -122,7 +123,7 @@ def layer_probes(rows: DataFrame, train: Column, c: float = 1.0, newton_width: i
     sent = context.broadcast(mean)
     spread = layer_sums(learnt, lambda k, x, y: ((x - sent.value[k]) ** 2).sum(0))
     sd = {k: np.where(v > 0, np.sqrt(v / sums[k][0]), 1.0) for k, v in spread.items()}
-    searches = {k: Search(len(mean[k]) + 1, sums[k][0], c, tol) for k in sums}
+    searches = {k: Search(len(mean[k]) + 1, sums[k][0], c, tol, free_intercept) for k in sums}
     for _ in range(steps):
         live = {k: s for k, s in searches.items() if not s.done}
         if not live:
@@ -162,10 +163,10 @@ def decision(context: SparkContext, probes: dict[int, Probe]):
     return score
 
 
-def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str, list[str]], c: float = 1.0) -> DataFrame:
-    """(feature, label, score) of the ``test`` rows for a logistic regression on each named
+def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str, list[str]], c: float = 1.0, free_intercept: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(feature, label, score) of the ``test`` rows, with their columns ``keep``, for a logistic regression on each named
     set of columns, standardised and fitted on the ``train`` rows; a score of at least 0
-    predicts label 1. A feature that doesn't vary in training is only centred. Sets of one
+    predicts label 1. The intercept is penalised like a weight, unless it is to be free. A feature that doesn't vary in training is only centred. Sets of one
     feature are fitted together."""
     features = sorted({f for s in sets.values() for f in s})
     row = rows.filter(train).agg(*[g(f).alias(f"{f}__{n}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -175,13 +176,13 @@ def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str,
     models = {}
     if single:
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.array(F.col(f).cast("double")).alias("x")) for i, f in enumerate(single.values())])).alias("e")
-        found = fit_many(learnt.select("label", each).select("label", "e.*"), ["x"], {n: (c, None, i) for i, n in enumerate(single)}, group="grp", vector="x")
+        found = fit_many(learnt.select("label", each).select("label", "e.*"), ["x"], {n: (c, None, i) for i, n in enumerate(single)}, group="grp", vector="x", free_intercept=free_intercept)
         models = {n: Logistic((f,), found[n].coef, found[n].intercept) for n, f in single.items()}
     for n, s in sets.items():
         if n not in models:
-            models[n] = fit_many(learnt, s, {n: (c, None, None)})[n]
+            models[n] = fit_many(learnt, s, {n: (c, None, None)}, free_intercept=free_intercept)[n]
     scores = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), models[n].decision().alias("score")) for n in sets])).alias("e")
-    return ready.filter(test).select("label", scores).select("e.feature", "label", "e.score")
+    return ready.filter(test).select("label", *(keep or []), scores).select("e.feature", "label", *(keep or []), "e.score")
 
 
 def layer_table(scored: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, normalized_answer
 from ..sources.io import RECORD
@@ -11,8 +14,20 @@ from .equivalence import Predict, clustered
 from .semantic import first_fit, scored_candidate
 from .validate import DataIntegrityError, record_violations, require_none
 
+if TYPE_CHECKING:
+    from ..sources.commit import StateTable
+
 GLOBAL, CANDIDATE = "se_global", "se_candidate"
 COSTS = ("latency_s", "n_generations", "n_generated_tokens", "peak_gpu_mem_mb")
+#: What a sidecar says of costs that stand on both records of a pair.
+PAIR_COSTS = '{"generation_statistics_unit": "pair"}'
+#: A sample on its way: its pair's answers, then the clusters.
+KEPT = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("sample_id", "pair_id", "answer", "config_hash", "prompt_version", "split")]
+    + [T.StructField("answers", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    + [T.StructField(n, t) for n, t in (("latency_s", T.DoubleType()), ("n_generations", T.LongType()), ("n_generated_tokens", T.LongType()), ("peak_gpu_mem_mb", T.DoubleType()))]
+    + [T.StructField("state", T.StringType())]
+)
 
 
 def candidates(generations: DataFrame, samples: DataFrame, predict: Predict | None = None, probabilities: DataFrame | None = None) -> DataFrame:
@@ -52,6 +67,37 @@ def entropy_records(rows: DataFrame, meta: dict[str, str], tag: str | None = Non
     return out
 
 
+def run_entropy(generations: DataFrame, samples: DataFrame, folder: str, meta: dict[str, str], predict: Predict | None = None, parts: int = 1, buckets: int = 16) -> StateTable:
+    """Score pairs' generations (pair_id, answers) for ``samples`` and commit a run of each entropy
+    detector below ``folder``; sidecars say that costs are a pair's.
+
+    Samples go through two states in a table beside the runs: their pair's answers are kept, then
+    their clusters. A run that stopped takes up what it kept, under the same provenance only."""
+    from ..sources.commit import StateTable
+    from ..sources.io import run_path, write_run
+    from ..streaming.resume import run_states
+
+    spark = samples.sparkSession
+    table = StateTable(spark, f"{folder}/states", KEPT, "sample_id", ("generated", "scored"), buckets=buckets)
+    costs = [c for c in COSTS if c in generations.columns]
+    asked = samples.select("sample_id", "pair_id", "answer", F.lit(meta["config_hash"]).alias("config_hash"), F.lit(meta["prompt_version"]).alias("prompt_version"), F.lit(meta["split"]).alias("split"))
+    require_none(samples.select("pair_id").distinct().join(generations.select("pair_id"), "pair_id", "left_anti"), "pairs without generations")
+    generate = lambda rows: rows.join(generations.select("pair_id", "answers", *costs), "pair_id")
+
+    def score(rows: DataFrame) -> DataFrame:
+        saved = rows.select("pair_id", "answers").dropDuplicates(["pair_id"])
+        found = candidates(saved, rows.select("sample_id", "pair_id", "answer"), predict)
+        return rows.drop("ids").join(found.select("sample_id", "ids"), "sample_id")
+
+    done = run_states(asked, table, generate, score, ["config_hash", "prompt_version", "split"], parts)
+    both = entropy_records(done.drop("config_hash", "prompt_version", "split", "state"), {k: meta[k] for k in ("split", "variant", "config_hash", "prompt_version")})
+    require_paired(both, samples)
+    for detector in (GLOBAL, CANDIDATE):
+        path = run_path(folder, detector, meta["variant"], meta["split"])
+        write_run(both.filter(F.col("detector") == detector), meta | {"detector": detector, "extra": PAIR_COSTS}, path)
+    return table
+
+
 def rescored(saved: DataFrame, samples: DataFrame, old: DataFrame, config_hash: str, prompt_version: str, tag: str, predict: Predict | None = None, probabilities: DataFrame | None = None) -> DataFrame:
     """``old`` records of both detectors with scores made anew from saved generations
     (pair_id, answers, config_hash, prompt_version): other fields stay, labels are cleared.

@@ -8,14 +8,17 @@ aggregates over validation and test together, each in one pass.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bootstrap, metrics
+from ..sources.commit import exists
+from ..sources.shared import held
+from . import bootstrap, metrics, resampling
 from .leakage import align, coverage
-from .validate import DataIntegrityError, latency, require_none, run_violations, score_rules, violations
+from .validate import DataIntegrityError, field_of, latency, require_none, run_violations, score_rules, violations
 
 #: What must agree between the validation and the test run of a detector.
 PROVENANCE = ("detector", "variant", "config_hash", "prompt_version")
@@ -38,7 +41,7 @@ def efficiency(scored: DataFrame, unit: str = "sample") -> DataFrame:
         raise ValueError("unit must be 'sample' or 'pair'")
     costs = [c for c in ("latency_s", "n_generations", "n_generated_tokens", "peak_gpu_mem_mb")]
     rows = scored.withColumns({c: F.lit(None).cast("double") for c in costs if c not in scored.columns})
-    items = rows if unit == "sample" else rows.groupBy("pair_id").agg(F.min(F.struct(*costs)).alias("c")).select("c.*")
+    items = rows if unit == "sample" else rows.groupBy("cost_pair" if "cost_pair" in rows.columns else "pair_id").agg(F.min(F.struct(*costs)).alias("c")).select("c.*")
     total = items.agg(F.sum("latency_s").alias("total_runtime_s"), F.count("latency_s").alias("_timed"), F.sum("n_generations").alias("n_generations"), F.sum("n_generated_tokens").alias("n_generated_tokens"), F.max("peak_gpu_mem_mb").alias("peak_gpu_mem_mb"))
     over = F.col("_rows") if unit == "pair" else F.col("_timed")
     return total.join(F.broadcast(scored.agg(F.count("*").alias("_rows")))).select(
@@ -48,7 +51,7 @@ def efficiency(scored: DataFrame, unit: str = "sample") -> DataFrame:
 
 def evaluate_detector(
     test: DataFrame, validation: DataFrame | None = None, threshold: float | None = None, criterion: str = "youden", controlled: DataFrame | None = None, bins: int = 4, top_k: int = 10,
-    replicates: int = 1000, unit: str = "sample", hold=lambda df: df,
+    replicates: int = 1000, unit: str = "sample", hold=held, draw: str = "tree",
 ) -> dict[str, DataFrame]:
     """Frames of a detector's report.
 
@@ -56,8 +59,9 @@ def evaluate_detector(
     their own labels), pair_level, strata, curve, outcomes, worst, intervals, match_level,
     efficiency and warnings; each has a ``split`` where it has several. The threshold is given
     or selected on validation, never on test, and length bins come from validation where there
-    is one. ``controlled`` has match_id and is a part of test. ``hold`` may store frames that
-    are read several times. Without ``replicates`` there are no intervals.
+    is one. ``controlled`` has match_id and is a part of test. ``hold`` stores frames that
+    are read several times. ``draw`` is how intervals resample (``resampling``: tree or sequence);
+    without ``replicates`` there are none.
     """
     spark = test.sparkSession
     if threshold is None:
@@ -106,9 +110,7 @@ def evaluate_detector(
         parts = []
         for name, df, cluster in sets:
             wide = hold(bootstrap.pair_table(df, cluster, ["score"]))
-            n = wide.count()
-            weights = hold(bootstrap.with_itself(bootstrap.draws(spark, n, replicates, SEEDS[name]), n))
-            reps = bootstrap.replicate_metrics(wide, weights, "score", threshold)
+            reps = hold(resampling.replicates(wide, {"score": threshold}, resampling.Draw(wide.count(), replicates, SEEDS[name], draw))).drop("detector")
             parts.append(bootstrap.intervals(reps, bootstrap.ALL_METRICS).select(F.lit(name).alias("split"), "*"))
         out["intervals"] = reduce(DataFrame.unionByName, parts)
     low = out["metrics"].filter((F.col("split") == "test") & (F.col("auroc") < INVERTED)).select(F.format_string("test AUROC %.3f is well below 0.5: the score may be inverted", "auroc").alias("warning"))
@@ -117,14 +119,29 @@ def evaluate_detector(
     return out
 
 
+def cost_unit(records: DataFrame, extra: str | None) -> tuple[str, str | None]:
+    """Whose costs the records carry, as the sidecar's ``extra`` says, and a warning if it can't be
+    followed: costs of a pair stand on both its records and count once by the pair their own
+    ``extra`` names. A record that names none leaves only counting each."""
+    if field_of(json.loads(extra or "{}"), "generation_statistics_unit") != "pair":
+        return "sample", None
+    if records.filter(F.get_json_object("extra", "$.pair_id").isNull()).isEmpty():
+        return "pair", None
+    return "sample", "costs of pairs, but records name no pair_id: each record's costs are counted, which overstates them"
+
+
 def evaluate_run(
-    test: tuple[DataFrame, DataFrame], test_samples: DataFrame, validation: tuple[DataFrame, DataFrame] | None = None, validation_samples: DataFrame | None = None, threshold: float | None = None, **options
-) -> dict[str, DataFrame]:
+    test: tuple[DataFrame, DataFrame], test_samples: DataFrame, validation: tuple[DataFrame, DataFrame] | None = None, validation_samples: DataFrame | None = None, threshold: float | None = None,
+    controlled: DataFrame | None = None, controlled_path: str | None = None, **options,
+) -> dict[str, DataFrame]:
     """:func:`evaluate_detector` of runs as ``sources.io.read_run`` gives them: (records, sidecar).
 
     Runs must be valid, of the right split, cover their samples exactly and agree in
-    provenance. The threshold is the argument, else the test run's own, else selected on validation."""
-    scored, source = {}, None
+    provenance. The threshold is the argument, else the test run's own, else selected on validation.
+    The sidecar says whether costs are a pair's. The controlled set is the argument, else what
+    lies at ``controlled_path``, checked against test; if nothing lies there a warning says so."""
+    spark = test_samples.sparkSession
+    scored, source, warned = {}, None, []
     sides = {"test": test[1].first()}
     for split, run, samples in (("test", test, test_samples), ("validation", validation, validation_samples)):
         if run is None:
@@ -136,14 +153,27 @@ def evaluate_run(
         require_none(run_violations(records, run[1]), f"invalid {split} run")
         require_none(coverage(samples, records), f"{split} samples and records differ")
         keep = [c for c in ("score", "pred_label", "latency_s", "runtime_sec", "n_generations", "n_generated_tokens", "peak_gpu_mem_mb") if c in records.columns]
-        scored[split] = align(samples, usable_scores(records.select("sample_id", *keep)), check=False)
+        rows = records.select("sample_id", *keep, F.get_json_object("extra", "$.pair_id").alias("cost_pair"))
+        scored[split] = align(samples, usable_scores(rows), check=False)
     if validation is not None:
         differ = [k for k in PROVENANCE if sides["validation"][k] != sides["test"][k]]
         if differ:
             raise DataIntegrityError("validation and test runs differ in " + ", ".join(differ))
     if threshold is None and sides["test"]["threshold"] is not None:
         threshold, source = sides["test"]["threshold"], ("stored_in_run_meta", sides["test"]["threshold_source"])
-    out = evaluate_detector(scored["test"], scored.get("validation"), threshold, **options)
+    if "unit" not in options:
+        options["unit"], said = cost_unit(test[0], sides["test"]["extra"])
+        warned += [said] if said else []
+    if controlled is None and controlled_path is not None:
+        if exists(spark, controlled_path):
+            from ..sources.io import SAMPLE, load_controlled, read_jsonl
+
+            controlled = load_controlled(read_jsonl(spark, controlled_path, SAMPLE), test_samples)
+        else:
+            warned.append("length-controlled set not found: left out")
+    out = evaluate_detector(scored["test"], scored.get("validation"), threshold, controlled=controlled, **options)
     if source:
         out["threshold"] = out["threshold"].withColumns({"criterion": F.lit(source[0]), "selected_on": F.lit(source[1])})
+    if warned:
+        out["warnings"] = spark.createDataFrame([(w,) for w in warned], "warning string").unionByName(out["warnings"])
     return out

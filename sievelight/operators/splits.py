@@ -75,6 +75,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "no", buckets: int = 6
     return local.join(F.broadcast(lead), "_p").withColumn(name, (F.col("_lead") + F.col("_i")).cast("long")).drop("_p", "_i", "_lead")
 
 
+def first_of(rows: DataFrame, keys: list[str], position: str, keep: list[str]) -> DataFrame:
+    """(keys, position, keep) of the first row of each key, in the order of ``position``."""
+    first = F.min(F.struct(F.col(position).alias("_at"), *keep)).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, F.col("_first._at").alias(position), *[F.col(f"_first.{c}").alias(c) for c in keep])
+
+
 def manifest(samples: DataFrame, position: str | None = None) -> DataFrame:
     """Normalised manifest: split, pair_id, stem (sample id without label) and, with a column
     that says where a row stands, ``place``: the pair's first position in its split."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import detection, tables
+from . import detection, flows, tables
 
 FLAGSHIP = "flagship_validation_threshold_test_metrics"
-QUERIES: dict = tables.QUERIES | detection.QUERIES
-ORACLE_SQL: dict = tables.ORACLE_SQL | detection.ORACLE_SQL
+QUERIES: dict = tables.QUERIES | detection.QUERIES | flows.QUERIES
+ORACLE_SQL: dict = tables.ORACLE_SQL | detection.ORACLE_SQL | flows.ORACLE_SQL

@@ -10,6 +10,7 @@ from ..operators import bootstrap, equivalence, fusion, matching, metrics, probe
 from ..sources.shared import ensure_checkpoint_dir, held
 from . import views
 from .registry import Registry, rounded
+from .tables import FEATURE_SQL, WORDS_SQL
 
 R = Registry()
 q, sql = R.query, views.sql
@@ -447,15 +448,112 @@ def _(spark, d):
     return spark.createDataFrame([(model.direction, model.threshold)], "direction int, threshold double")
 
 
-@q("r11_length_logistic")
+def _solved(p: int) -> list[str]:
+    """Newton moves of up to three weights from gradient g0.. and Hessian h00.., by Cramer's rule."""
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    if p == 2:
+        det = "(h00 * h11 - h01 * h01)"
+        return [f"(h11 * g0 - h01 * g1) / {det}", f"(h00 * g1 - h01 * g0) / {det}"]
+    pairs = lambda i, j: [(i + 1) % 3, (i + 2) % 3, (j + 1) % 3, (j + 2) % 3]
+    minor = lambda i, j: (lambda a, b, c, d: f"({h(a, c)} * {h(b, d)} - {h(a, d)} * {h(b, c)})")(*pairs(i, j))
+    det = "(" + " + ".join(f"h0{j} * {minor(0, j)}" for j in range(3)) + ")"
+    return ["(" + " + ".join(f"{minor(j, i)} * g{j}" for j in range(3)) + f") / {det}" for i in range(3)]
+
+
+def _newton_sql(name: str, rows: str, k: int, free: bool, by: str = "grp", steps: int = 25) -> str:
+    """Recursive term that fits logistic regressions of y on x1.. for each ``by`` of ``rows``:
+    weights w0.. after ``steps`` Newton steps, penalty |w|^2 / 2 with or without the intercept."""
+    w, g = [f"w{i}" for i in range(k + 1)], range(k + 1)
+    x = lambda i: "1.0" if i == 0 else f"x{i}"
+    ridge = lambda i: 0 if free and i == 0 else 1
+    grads = [f"sum((q - y) * {x(i)}) + {ridge(i)} * w{i} AS g{i}" for i in g]
+    curves = [f"sum(q * (1 - q) * {x(i)} * {x(j)}) + {ridge(i) if i == j else 0} AS h{i}{j}" for i in g for j in g if i <= j]
+    z = " + ".join(f"w{i} * {x(i)}" for i in g)
+    return f"""{name} AS (SELECT DISTINCT {by}, 0 AS step, {', '.join(f'0.0::DOUBLE AS {c}' for c in w)} FROM {rows} UNION ALL
+    SELECT {by}, step + 1, {', '.join(f'w{i} - {m}' for i, m in enumerate(_solved(k + 1)))} FROM (SELECT {by}, step, {', '.join(w)}, {', '.join([*grads, *curves])}
+      FROM (SELECT r.*, step, {', '.join(w)}, 1 / (1 + exp(-({z}))) AS q FROM {name} JOIN {rows} r USING ({by}) WHERE step < {steps}) GROUP BY {by}, step, {', '.join(w)}))"""
+
+
+_ZERO_F1 = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
+_R11 = (
+    "sd AS (SELECT avg(length) AS m, CASE WHEN stddev_pop(length) > 0 THEN stddev_pop(length) ELSE 1 END AS s FROM text_samples WHERE split = 'train')",
+    "train AS (SELECT 0 AS grp, label::DOUBLE AS y, (length - m) / s AS x1 FROM text_samples, sd WHERE split = 'train')",
+    _newton_sql("fit", "train", 1, free=True),
+    "scored AS (SELECT split, label, 1 / (1 + exp(-(w0 + w1 * (length - m) / s))) AS p, length FROM text_samples, sd, (SELECT * FROM fit QUALIFY step = max(step) OVER ()))",
+    "cand AS (SELECT t, lead, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (SELECT t, lead, (SELECT count(*) FROM scored WHERE split = 'validation' AND label = 1 AND p >= t)::DOUBLE AS tp, (SELECT count(*) FROM scored WHERE split = 'validation' AND label = 0 AND p >= t)::DOUBLE AS fp, (SELECT count(*) FROM scored WHERE split = 'validation' AND label = 1 AND p < t)::DOUBLE AS fn FROM (SELECT DISTINCT p AS t, 0 AS lead FROM scored WHERE split = 'validation' UNION SELECT 0.0, 0 UNION SELECT 1.0, 0)))",
+    f"chosen AS (SELECT t FROM cand ORDER BY {_ZERO_F1} DESC, t LIMIT 1)",
+    "counted AS (SELECT t, count(*) FILTER (label = 1 AND p >= t)::DOUBLE AS tp, count(*) FILTER (label = 0 AND p >= t)::DOUBLE AS fp, count(*) FILTER (label = 1 AND p < t)::DOUBLE AS fn, count(*) FILTER (label = 0 AND p < t)::DOUBLE AS tn FROM scored, chosen WHERE split = 'test' GROUP BY 1)",
+    "rated AS (SELECT t, (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, (tp + fp + fn + tn)::BIGINT AS n FROM counted)",
+)
+
+
+@q("r11_length_logistic", sql("text_samples", f"SELECT round(t, 6) AS threshold, round(accuracy, 9) AS accuracy, round(p, 9) AS precision, round(r, 9) AS recall, round({_ZERO_F1}, 9) AS f1, n, (SELECT round(auroc, 9) FROM ({_area('round(p, 12)', 'scored', 'split = ' + chr(39) + 'test' + chr(39))})) AS auroc FROM rated", *_R11).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    """Logistic regression on the length alone, fitted on train, threshold of best F1 (lowest on
-    ties) on validation, metrics on test."""
+    """Logistic regression on the length alone (intercept free), fitted on train, threshold of best
+    F1 (lowest on ties) on validation, metrics on test."""
     rows = T(spark, d).withColumn("chars", F.col("length").cast("double"))
-    scored = lambda split: probe.feature_models(rows, F.col("split") == "train", F.col("split") == split, {"chars": ["chars"]}).withColumn("score", 1 / (1 + F.exp(-F.col("score"))))
-    chosen = metrics.select_threshold(metrics.score_thresholds(metrics.score_groups(scored("validation"), []), []), [], "f1", "lowest", "zero")
-    test = scored("test").join(F.broadcast(chosen.select("threshold"))).withColumn("pred", metrics.predicted(F.col("score"), F.col("threshold")))
-    return metrics.metrics(test, ["threshold"], undefined="zero").join(F.broadcast(metrics.auroc(test, [])))
+    p = 1 / (1 + F.exp(-F.col("score")))
+    scored = held(probe.feature_models(rows, F.col("split") == "train", F.col("split") != "train", {"chars": ["chars"]}, free_intercept=True, keep=["split"]).withColumn("score", p))
+    chosen = metrics.select_threshold(metrics.score_thresholds(metrics.score_groups(scored.filter("split = 'validation'"), []), []), [], "f1", "lowest", "zero")
+    test = scored.filter("split = 'test'").join(F.broadcast(chosen.select("threshold"))).withColumn("pred", metrics.predicted(F.col("score"), F.col("threshold")))
+    found = metrics.metrics(test, ["threshold"], undefined="zero").join(F.broadcast(metrics.auroc(test.withColumn("score", F.round("score", 12)), [])))
+    return found.select("threshold", "accuracy", "precision", "recall", "f1", "n", "auroc").withColumns(rounded("accuracy", "precision", "recall", "f1", "auroc") | rounded("threshold", digits=6))
+
+
+def _rates_at_zero(source: str, by: str) -> str:
+    """Rates at decision 0 and AUROC (of decisions to nine digits) for each ``by`` of (by, label, z)."""
+    return f"""SELECT {by}, round(auroc, 9) AS auroc, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
+    round(coalesce(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 0), 9) AS f1 FROM
+    (SELECT {by}, count(*) FILTER (label = 1 AND z >= 0)::DOUBLE AS tp, count(*) FILTER (label = 0 AND z >= 0)::DOUBLE AS fp, count(*) FILTER (label = 1 AND z < 0)::DOUBLE AS fn, count(*) FILTER (label = 0 AND z < 0)::DOUBLE AS tn FROM {source} GROUP BY ALL)
+    JOIN (SELECT {by}, sum(pos * (coalesce(below, 0) + neg / 2)) / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auroc FROM (SELECT {by}, pos, neg, sum(neg) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+      FROM (SELECT {by}, round(z, 9) AS s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM {source} GROUP BY ALL)) GROUP BY 1) USING ({by})"""
+
+
+def _rated_at_zero(scored):
+    """The same of (feature, label, score)."""
+    scored = held(scored.withColumn("score", F.round("score", 9)))
+    rates = metrics.metrics(scored.withColumn("pred", metrics.predicted(F.col("score"), F.lit(0.0))), ["feature"], undefined="zero")
+    out = metrics.auroc(scored, ["feature"]).select("feature", "auroc").join(rates.select("feature", "accuracy", "precision", "recall", "f1"), "feature")
+    return out.withColumns(rounded("auroc", "accuracy", "precision", "recall", "f1"))
+
+
+_LENGTHS = (
+    f"sized AS (SELECT split, label, length::DOUBLE AS chars, {WORDS_SQL}::DOUBLE AS words FROM text_samples)",
+    "sd AS (SELECT avg(chars) AS m1, stddev_pop(chars) AS s1, avg(words) AS m2, stddev_pop(words) AS s2 FROM sized WHERE split = 'train')",
+    "ready AS (SELECT 'lengths' AS grp, split, label, label::DOUBLE AS y, (chars - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END AS x1, (words - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END AS x2 FROM sized, sd)",
+    "train AS (SELECT * FROM ready WHERE split = 'train')",
+    _newton_sql("fit", "train", 2, free=False),
+    "tested AS (SELECT grp AS feature, label, round(w0 + w1 * x1 + w2 * x2, 9) AS z FROM ready JOIN (SELECT * FROM fit QUALIFY step = max(step) OVER ()) USING (grp) WHERE split = 'test')",
+)
+
+
+@q("r11_length_pair_logistic", sql("text_samples", _rates_at_zero("tested", "feature"), *_LENGTHS).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    """Logistic regression on characters and words (intercept penalised), fitted on train, at one half on test."""
+    rows = T(spark, d).select("split", "label", F.col("length").cast("double").alias("chars"), text.word_count(F.col("text")).cast("double").alias("words"))
+    return _rated_at_zero(probe.feature_models(rows, F.col("split") == "train", F.col("split") == "test", {"lengths": ["chars", "words"]}))
+
+
+def _single_sql() -> str:
+    """A fit of each formatting feature by itself, all fits in one recursion."""
+    names = text.FEATURES
+    return sql(
+        "text_samples", _rates_at_zero("tested", "feature"), f"f AS ({FEATURE_SQL})",
+        f"long AS (SELECT doc_id, label, unnest([{', '.join(repr(n) for n in names)}]) AS grp, unnest([{', '.join(f'{n}::DOUBLE' for n in names)}]) AS v FROM f)",
+        "own AS (SELECT long.*, split FROM long JOIN (SELECT doc_id, split FROM text_samples) USING (doc_id))",
+        "sd AS (SELECT grp, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s FROM own WHERE split = 'train' GROUP BY 1)",
+        "ready AS (SELECT grp, split, label, label::DOUBLE AS y, (v - m) / s AS x1 FROM own JOIN sd USING (grp))",
+        "train AS (SELECT * FROM ready WHERE split = 'train')", _newton_sql("fit", "train", 1, free=False),
+        "tested AS (SELECT grp AS feature, label, round(w0 + w1 * x1, 9) AS z FROM ready JOIN (SELECT * FROM fit QUALIFY step = max(step) OVER (PARTITION BY grp)) USING (grp) WHERE split = 'test')",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@q("l13_single_features", _single_sql())
+def _(spark, d):
+    """Logistic regression on each formatting feature by itself, fitted on train, at one half on test."""
+    rows = views.formatting(spark, d).withColumns(rounded(*text.FEATURES))
+    split = F.col("split")
+    return _rated_at_zero(probe.feature_models(rows, split == "train", split == "test", {n: [n] for n in text.FEATURES}))
 
 
 @q("r30_matched_formatting")

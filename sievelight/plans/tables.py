@@ -51,18 +51,19 @@ def _n(pattern: str) -> str:
 
 _PUNCT = "[!-/:-@\\[-`{-~]"
 _NON_WS = WSQL.replace("[", "[^", 1)
+WORDS_SQL = _n(_NON_WS + "+")
 _RATIOS = {
     "digit_ratio": "\\p{Nd}", "punctuation_ratio": _PUNCT, "whitespace_ratio": WSQL, "comma_ratio": ",", "period_ratio": "[.]", "question_mark_ratio": "[?]", "exclamation_ratio": "!",
     "parenthesis_ratio": "[()]", "non_ascii_ratio": "[^\\x00-\\x7F]",
 }
-_FEATURE_SQL = f"""SELECT doc_id, label, length(text)::DOUBLE AS char_count, {_n(_NON_WS + '+')}::DOUBLE AS word_count, round((length(text) - {_n(' ')}) / greatest({_n(_NON_WS + '+')}, 1), 9) AS avg_word_length,
+FEATURE_SQL = f"""SELECT doc_id, label, length(text)::DOUBLE AS char_count, {_n(_NON_WS + '+')}::DOUBLE AS word_count, round((length(text) - {_n(' ')}) / greatest({_n(_NON_WS + '+')}, 1), 9) AS avg_word_length,
   round({_n(chr(92) + 'p{Lu}')} / letters, 9) AS uppercase_ratio, round({_n(chr(92) + 'p{Ll}')} / letters, 9) AS lowercase_ratio,
   {', '.join(f"round({_n(p)} / m, 9) AS {n}" for n, p in _RATIOS.items())}, round(len(list_distinct(string_split(text, ''))) / m, 9) AS unique_char_ratio,
   CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN 1.0 ELSE 0.0 END::DOUBLE AS starts_uppercase, CASE WHEN regexp_matches(text, '{_PUNCT}$') THEN 1.0 ELSE 0.0 END::DOUBLE AS ends_punctuation
   FROM (SELECT *, greatest(length(text), 1)::DOUBLE AS m, greatest({_n(chr(92) + 'p{L}')}, 1)::DOUBLE AS letters FROM text_samples)"""
 
 
-@q("b6_formatting_features", sql("text_samples", _FEATURE_SQL))
+@q("b6_formatting_features", sql("text_samples", FEATURE_SQL))
 def _(spark, d):
     names = [n for n in text.FEATURES if n not in ("char_count", "word_count", "starts_uppercase", "ends_punctuation")]
     return views.formatting(spark, d).drop("split").withColumns(rounded(*names))
@@ -389,6 +390,31 @@ def _(spark, d):
     return out
 
 
+@q("d9_caliper_lengths", sql("text_samples", "SELECT l0, l1, abs(l0 - l1)::INTEGER AS gap, n0, n1 FROM (SELECT length AS l0, count(*) AS n0 FROM text_samples WHERE label = 0 GROUP BY 1) JOIN (SELECT length AS l1, count(*) AS n1 FROM text_samples WHERE label = 1 GROUP BY 1) ON abs(l0 - l1) <= 5"))
+def _(spark, d):
+    """All edges of D9 in folded form."""
+    return matching.caliper_lengths(T(spark, d), 5)
+
+
+#: The plain table of the best matches of prefixes, a row of it for each factual row; a match outweighs all gaps.
+_OPTIMAL = sql("text_samples", """SELECT delta, (best[-1] + 999999) // 1000000 AS n_matches, (best[-1] + 999999) // 1000000 * 1000000 - best[-1] AS total_gap FROM r QUALIFY k = max(k) OVER (PARTITION BY delta)""",
+  "f AS (SELECT length AS n, row_number() OVER (ORDER BY length) AS k FROM text_samples WHERE label = 0)",
+  "h AS (SELECT coalesce(list(length ORDER BY length), []) AS ns FROM text_samples WHERE label = 1)",
+  """r AS (SELECT unnest([1, 3, 5])::INTEGER AS delta, 0::BIGINT AS k, ns, list_transform(range(len(ns) + 1), lambda i: 0::BIGINT) AS best FROM h UNION ALL
+    SELECT delta, k, ns, list_transform(range(1, len(can) + 1), lambda j: list_max(can[1:j])) FROM (SELECT delta, f.k, ns, list_transform(range(1, len(ns) + 2), lambda j: greatest(best[j], CASE WHEN j > 1 AND abs(ns[j - 1] - f.n) <= delta THEN best[j - 1] + 1000000 - abs(ns[j - 1] - f.n) ELSE 0 END)) AS can FROM r JOIN f ON f.k = r.k + 1))""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@q("d10_matches_and_total_gap", _OPTIMAL)
+def _(spark, d):
+    """How many matches the best one-to-one matching has, and their total gap."""
+    out = None
+    for delta in (1, 3, 5):
+        found = matching.optimal_matches(T(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), "label", "length"), delta)
+        one = found.agg(F.lit(delta).alias("delta"), F.count("*").alias("n_matches"), F.coalesce(F.sum("gap"), F.lit(0)).cast("long").alias("total_gap"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _GREEDY = """WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, (1 - quality)::INTEGER AS label, length(text) AS n FROM documents JOIN labels USING (doc_id)),
   e AS (SELECT *, row_number() OVER (ORDER BY gap, id0, id1) AS k FROM (SELECT a.id AS id0, b.id AS id1, abs(a.n - b.n)::INTEGER AS gap FROM x a JOIN x b ON a.label = 0 AND b.label = 1 AND abs(a.n - b.n) <= 5)),
   r AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, false AS taken UNION ALL
@@ -546,32 +572,14 @@ def _(spark, d):
 
 
 # --- semantic clusters ------------------------------------------------------------------
-_SHARES = "e AS (SELECT user_id, answers, candidate, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM generations)"
-
-
-@q("e23_e24_e25_entropy", sql("generations", "SELECT user_id, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) AS normalized FROM e", _SHARES))
-def _(spark, d):
-    ids = F.col("ids")
-    rows = views.generations(spark, d, normal=True).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: a == b))
-    out = rows.select("user_id", F.size(F.array_distinct(ids)).alias("clusters"), semantic.entropy(ids).alias("entropy"), semantic.normalized_entropy(ids).alias("normalized"))
-    return out.withColumns(rounded("entropy", "normalized"))
-
-
-@q("l3_first_fit_clusters", sql("generations", "SELECT user_id, list_transform(answers, lambda a: list_position(list_filter(answers, lambda x, i: list_position(answers, x) = i), a) - 1)::INTEGER[] AS ids FROM generations"))
-def _(spark, d):
-    return views.generations(spark, d).select("user_id", semantic.first_fit(F.col("answers"), lambda a, b: a == b).alias("ids"))
-
-
-@q("l4_l6_candidate_score", sql("generations", "SELECT user_id, len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS probability, 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) AS score, list_contains(answers, candidate) AS matched, len(list_distinct(answers))::INTEGER AS num_clusters, round(-list_sum(list_transform(list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)), lambda p: p * ln(p))), 9) AS global_entropy FROM generations"))
-def _(spark, d):
-    parts = semantic.candidate_score(F.col("answers"), F.col("candidate"), lambda a, b: a == b)
-    return views.generations(spark, d).select("user_id", *[parts[n].alias(n) for n in ("probability", "score", "matched", "num_clusters", "global_entropy")]).withColumns(rounded("global_entropy"))
-
-
 _GROUP_SHARES = "e AS (SELECT user_id, group_no, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM generation_groups)"
+_ENTROPY = sql("generation_groups", "SELECT user_id, group_no, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) + 0.0 AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) + 0.0 AS normalized FROM e", _GROUP_SHARES)
+_FIRST_FIT = sql("generation_groups", "SELECT user_id, group_no, list_transform(answers, lambda a: list_position(list_filter(answers, lambda x, i: list_position(answers, x) = i), a) - 1)::INTEGER[] AS ids FROM generation_groups")
+_CANDIDATE = sql("generation_groups", "SELECT user_id, group_no, CASE WHEN complete THEN len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS probability, CASE WHEN complete THEN 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS score, CASE WHEN complete THEN list_contains(answers, candidate) END AS matched, CASE WHEN complete THEN len(p)::INTEGER END AS num_clusters, CASE WHEN complete THEN round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) + 0.0 END AS global_entropy FROM generation_groups JOIN e USING (user_id, group_no)", _GROUP_SHARES)
 
 
-@q("e23_e24_e25_entropy_all_rows", sql("generation_groups", "SELECT user_id, group_no, len(p)::INTEGER AS clusters, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy, round(CASE WHEN len(p) <= 1 THEN 0.0 ELSE -list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 9) AS normalized FROM e", _GROUP_SHARES))
+@q("e23_e24_e25_entropy", _ENTROPY)
+@q("e23_e24_e25_entropy_all_rows", _ENTROPY)
 def _(spark, d):
     ids = F.col("ids")
     rows = views.generation_groups(spark, d, normal=True).withColumn("ids", semantic.first_fit(F.col("answers"), lambda a, b: a == b))
@@ -579,30 +587,35 @@ def _(spark, d):
     return out.withColumns(rounded("entropy", "normalized"))
 
 
-@q("l3_first_fit_clusters_all_rows", sql("generation_groups", "SELECT user_id, group_no, list_transform(answers, lambda a: list_position(list_filter(answers, lambda x, i: list_position(answers, x) = i), a) - 1)::INTEGER[] AS ids FROM generation_groups"))
+@q("l3_first_fit_clusters", _FIRST_FIT)
+@q("l3_first_fit_clusters_all_rows", _FIRST_FIT)
 def _(spark, d):
     return views.generation_groups(spark, d).select("user_id", "group_no", semantic.first_fit(F.col("answers"), lambda a, b: a == b).alias("ids"))
 
 
-@q("l4_l6_candidate_score_all_rows", sql("generation_groups", "SELECT user_id, group_no, CASE WHEN complete THEN len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS probability, CASE WHEN complete THEN 1 - len(list_filter(answers, lambda x: x = candidate)) / len(answers) END AS score, CASE WHEN complete THEN list_contains(answers, candidate) END AS matched FROM generation_groups"))
+@q("l4_l6_candidate_score", _CANDIDATE)
+@q("l4_l6_candidate_score_all_rows", _CANDIDATE)
 def _(spark, d):
     """Null where a last short group has no candidate."""
     some = F.coalesce("candidate", F.lit("none"))  # a blank candidate is an error
     parts = semantic.candidate_score(F.when(F.col("complete"), F.col("answers")).otherwise(F.array(F.lit("none"))), some, lambda a, b: a == b)
-    return views.generation_groups(spark, d).select("user_id", "group_no", *[F.when(F.col("complete"), parts[n]).alias(n) for n in ("probability", "score", "matched")])
+    names = ("probability", "score", "matched", "num_clusters", "global_entropy")
+    return views.generation_groups(spark, d).select("user_id", "group_no", *[F.when(F.col("complete"), parts[n]).alias(n) for n in names]).withColumns(rounded("global_entropy"))
 
 
-_EVENT_PAIRS = """own AS (SELECT g.user_id, g.answers, g.candidate, s.y, CASE s.y WHEN 0 THEN g.candidate ELSE 'other' END AS answer FROM generations g, (VALUES (0), (1)) s(y)),
+#: The candidate of a last short group is its last answer.
+_EVENT_PAIRS = """own AS (SELECT user_id || '.' || group_no AS pair_id, answers, y, CASE y WHEN 0 THEN coalesce(candidate, answers[-1]) ELSE 'other' END AS answer FROM generation_groups, (VALUES (0), (1)) s(y)),
   shares AS (SELECT *, list_transform(list_distinct(answers), lambda a: len(list_filter(answers, lambda x: x = a)) / len(answers)) AS p FROM own)"""
 
 
-@q("l6_l7_d15_entropy_records", sql("generations", "SELECT user_id || '_' || y AS sample_id, 'se_candidate' AS detector, round(1 - len(list_filter(answers, lambda x: x = answer)) / len(answers), 9) AS score, user_id::VARCHAR AS pair_id, len(p)::INTEGER AS num_clusters FROM shares UNION ALL SELECT user_id || '_' || y, 'se_global', round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9), user_id::VARCHAR, len(p)::INTEGER FROM shares", _EVENT_PAIRS))
+@q("l6_l7_d15_entropy_records", sql("generation_groups", "SELECT pair_id || '_' || y AS sample_id, 'se_candidate' AS detector, round(1 - len(list_filter(answers, lambda x: x = answer)) / len(answers), 9) AS score, pair_id, len(p)::INTEGER AS num_clusters FROM shares UNION ALL SELECT pair_id || '_' || y, 'se_global', round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) + 0.0, pair_id, len(p)::INTEGER FROM shares", _EVENT_PAIRS))
 def _(spark, d):
-    """Records of both entropy detectors: a user's generations are shared by two candidates, and rescoring gives the same again."""
+    """Records of both entropy detectors: a group's generations are shared by two candidates, and rescoring gives the same again."""
     from ..operators import records
 
-    g = views.generations(spark, d).withColumn("pair_id", F.col("user_id").cast("string"))
-    two = F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("candidate").alias("answer")), F.struct(F.lit(1).alias("y"), F.lit("other").alias("answer")))).alias("e")
+    g = views.generation_groups(spark, d).withColumn("pair_id", F.concat_ws(".", "user_id", "group_no"))
+    own = F.coalesce("candidate", F.element_at("answers", -1))
+    two = F.explode(F.array(F.struct(F.lit(0).alias("y"), own.alias("answer")), F.struct(F.lit(1).alias("y"), F.lit("other").alias("answer")))).alias("e")
     samples = g.select("pair_id", two).select(F.concat_ws("_", "pair_id", "e.y").alias("sample_id"), "pair_id", "e.answer")
     meta = {"split": "validation", "variant": "normalized", "config_hash": "c", "prompt_version": "v1"}
     first = records.entropy_records(records.candidates(g.select("pair_id", "answers"), samples), meta)

@@ -52,9 +52,12 @@ def documents_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str, normal: bool) -> DataFrame:
-    """Events as answers, normalised before they are collected if asked for."""
-    said = normalized_answer(F.col("event_type")) if normal else F.col("event_type")
-    return table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), said.alias("event_type"))
+    """Events as answers, normalised before they are collected if asked for: each distinct answer once."""
+    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    if not normal:
+        return events
+    said = events.select(F.col("event_type").alias("given")).distinct().withColumn("said", normalized_answer(F.col("given")))
+    return events.join(said, F.col("event_type").eqNullSafe(F.col("given"))).select("user_id", "at", F.col("said").alias("event_type"))
 
 
 def generations(spark: SparkSession, sf_dir: str, k: int = 10, normal: bool = False) -> DataFrame:

@@ -41,6 +41,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_placed(spark: SparkSession, path: str, schema: T.StructType, place: str = "place") -> DataFrame:
+    """JSON lines with their position: file, where the block starts that a task read, and the line's
+    order within it. Positions compare as the lines stand, however the files are split."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    rows = spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", at.alias(place))
+
+
+def parquet_placed(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """Parquet rows with their position: file and row within it."""
+    rows = spark.read.parquet(path)
+    return rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(place))
+
+
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines through Spark's commit protocol: readers see all files or none."""
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)

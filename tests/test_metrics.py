@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -166,7 +167,8 @@ def test_bootstrap_queries_draw_a_thousand_replicates(spark):
         assert [two[name].low, two[name].high] == pytest.approx(np.nanpercentile(v[:, 0] - v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
 
 
-def test_feature_models_learn_on_train_only(spark):
+@pytest.mark.parametrize("free", [False, True])
+def test_feature_models_learn_on_train_only(spark, free):
     from sievelight.operators import probe
 
     rng = np.random.default_rng(6)
@@ -175,20 +177,23 @@ def test_feature_models_learn_on_train_only(spark):
     u, v = y * 2.0 + rng.normal(size=160), np.where(train, y, 1 - y) * 3.0 + rng.normal(size=160)
     rows = spark.createDataFrame([(int(a), float(b), float(c), 1.0, bool(t)) for a, b, c, t in zip(y, u, v, train)], "label int, u double, v double, k double, train boolean")
     sets = {"u": ["u"], "v": ["v"], "k": ["k"], "all": ["u", "v", "k"]}
-    scored = probe.feature_models(rows, F.col("train"), ~F.col("train"), sets)
+    scored = probe.feature_models(rows, F.col("train"), ~F.col("train"), sets, free_intercept=free)
     area = {r.feature: r.auroc for r in metrics.auroc(scored, ["feature"]).collect()}
     assert area["u"] > 0.8 and area["v"] < 0.2 and area["k"] == 0.5
     x = (np.column_stack([u, v]) - np.column_stack([u, v])[train].mean(0)) / np.column_stack([u, v])[train].std(0)
     w = np.zeros(3)
     z = np.column_stack([np.ones(160), x])
-    for _ in range(50):  # plain Newton with the intercept free
+    for _ in range(50):  # plain Newton, the intercept free or penalised like a weight
         p = 1 / (1 + np.exp(-z[train] @ w))
-        ridge = np.diag([0.0, 1, 1])
+        ridge = np.diag([0.0 if free else 1.0, 1, 1])
         w -= np.linalg.solve((z[train].T * (p * (1 - p))) @ z[train] + ridge, z[train].T @ (p - y[train]) + ridge @ w)
     assert np.allclose(sorted(r.score for r in scored.filter("feature = 'all'").collect()), sorted(z[~train] @ w), atol=1e-5)
+    slope = z[train].T @ (1 / (1 + np.exp(-z[train] @ w)) - y[train]) + ridge @ w
+    assert np.abs(slope).max() < 1e-8 and (free or abs(w[0]) > 0)
 
 
-def test_layer_probes_rest_where_plain_newton_does(spark):
+@pytest.mark.parametrize("free", [False, True])
+def test_layer_probes_rest_where_plain_newton_does(spark, free):
     from sievelight.operators import probe
 
     rng = np.random.default_rng(11)
@@ -202,13 +207,13 @@ def test_layer_probes_rest_where_plain_newton_does(spark):
     df = spark.createDataFrame(rows, "sample_id int, label int, layer int, features array<double>, train boolean").repartition(5)
     found = {}
     for limit in (256, 0):  # by Newton steps, by limited-memory BFGS
-        _, scored = probe.layer_probes(df, F.col("train"), newton_width=limit)
+        _, scored = probe.layer_probes(df, F.col("train"), newton_width=limit, free_intercept=free)
         found[limit] = {(r.layer, r.sample_id): r.score for r in scored.collect()}
         assert found[limit][0, 902] is None and found[limit][5, 903] is None
     for k in x:
         sd = x[k][train].std(0)
         z = np.column_stack([np.ones(n), (x[k] - x[k][train].mean(0)) / np.where(sd > 0, sd, 1)])
-        w, ridge = np.zeros(width + 1), np.diag([0.0] + [1.0] * width)
+        w, ridge = np.zeros(width + 1), np.diag([0.0 if free else 1.0] + [1.0] * width)
         for _ in range(50):
             p = 1 / (1 + np.exp(-z[train] @ w))
             w -= np.linalg.solve((z[train].T * (p * (1 - p))) @ z[train] + ridge, z[train].T @ (p - y[train]) + ridge @ w)
@@ -312,6 +317,48 @@ def test_fusion_run_and_its_rules(spark):
     assert some.coverage["test_used"] == test.filter("sample_id < 'test2'").count() < some.coverage["test_total"]
 
 
+def test_analysis_compares_fusion_with_every_input(spark):
+    inputs, validation, test = fusion_world(spark, 80)
+    run = fusion.run_fusion([inputs[0], replace(inputs[1], threshold=0.5)], validation, test)
+    control = test.filter("sample_id < 'test5'").select("sample_id", F.concat(F.lit("m"), "pair_id").alias("match_id"))
+    found = fusion.analyze(run, control, replicates=100, draw="sequence")
+    at = {r.detector: (r.threshold, r.source) for r in found.thresholds.collect()}
+    own = metrics.select_threshold(metrics.threshold_candidates(metrics.score_groups(inputs[0].validation.join(validation, "sample_id"), [])), []).first().threshold
+    assert at["b"] == (0.5, "the run's own") and at["a"] == (own, "youden on validation") and at["fusion"][1] == "validation" and set(at) == {"a", "b", "fusion", "average"}
+    rows = {r.sample_id: r for r in run.test.collect()}
+    wide = {}
+    for part, ids in (("test", list(rows)), ("length_controlled", [r.sample_id for r in control.collect()])):
+        keys = sorted({i.rsplit("_", 1)[0] for i in ids})
+        wide[part] = {d: np.array([[rows[f"{k}_{y}"][d] for y in (0, 1)] for k in keys]) for d in at}
+        rng = np.random.default_rng(0)
+        index = [rng.integers(0, len(keys), len(keys)) for _ in range(100)]
+        got = {(r.detector, r.metric): (r.low, r.high) for r in found.metrics.filter(F.col("set") == part).collect()}
+        for d, (t, _) in at.items():
+            wanted = plain_intervals(wide[part][d], t, index)
+            assert all(got[d, m] == pytest.approx(wanted[m], abs=1e-12) for m in wanted)
+    area = lambda w: np.mean((w[:, 1][:, None] > w[:, 0][None]) + 0.5 * (w[:, 1][:, None] == w[:, 0][None]))
+    gaps = {r.detector: r for r in found.differences.filter("set = 'length_controlled' and metric = 'auroc'").collect()}
+    for d in ("a", "b", "average"):
+        assert gaps[d].estimate == pytest.approx(area(wide["length_controlled"]["fusion"]) - area(wide["length_controlled"][d]), abs=1e-12)
+    lows, highs = [gaps[d].low for d in "ab"], [gaps[d].high for d in "ab"]
+    assert found.verdict == ("IMPROVES" if min(lows) > 0 else "WORSE" if min(highs) < 0 else "INCONCLUSIVE") and found.notes == ()
+    right = {d: {i: int(r[d] >= t) == r.label for i, r in rows.items()} for d, (t, _) in at.items()}
+    for r in found.overlap.collect():
+        assert r.both_wrong == sum(not right[r.a][i] and not right[r.b][i] for i in rows) and r.only_a_right == sum(right[r.a][i] and not right[r.b][i] for i in rows)
+    assert found.diagnostics.count() == 2 and found.correlations.count() == 1
+
+
+def test_analysis_says_what_it_leaves_out(spark):
+    (one, two), validation, test = fusion_world(spark)
+    part = replace(two, test=two.test.filter("sample_id <> 'test3_0'"))
+    run = fusion.run_fusion([one, part], validation, test, partial=True, min_pairs=10)
+    control = test.filter("sample_id < 'test5'").select("sample_id", F.col("pair_id").alias("match_id"))
+    found = fusion.analyze(run, control, replicates=10)
+    assert found.verdict == "UNAVAILABLE" and len(found.notes) == 2 and "1 of its samples" in found.notes[1] and found.metrics is None
+    half = fusion.analyze(run, control.filter("sample_id like 'test1%'"), replicates=10)
+    assert half.verdict in ("IMPROVES", "WORSE", "INCONCLUSIVE") and {r.set for r in half.metrics.select("set").distinct().collect()} == {"length_controlled"}
+
+
 def plain_intervals(wide, threshold, index):
     """Metrics of resampled pairs, one replicate after the other, and their percentiles."""
     values = {m: [] for m in bootstrap.ALL_METRICS}

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.functions import text
-from sievelight.operators import leakage, matching, semantic, splits, validate
+from sievelight.functions import stats, text
+from sievelight.operators import leakage, matching, protocol, semantic, splits, validate
 from sievelight.sources import io
 from sievelight.sources.commit import version_folder
 from sievelight.sources.shared import ensure_checkpoint_dir
@@ -222,19 +222,57 @@ def test_optimal_and_greedy_matches(spark):
                 greedy.add((i, j))
         for n in (5, 40):
             a, b = (sorted(rng.randint(1, 15) for _ in range(rng.randint(0, n))) for _ in "ab")
-            found = matching.aligned(np.array(a, np.int64), np.array(b, np.int64), 2)
-            gaps = [abs(a[i] - b[j]) for i, j in found]
+            found = matching.matched_counts(*np.unique(np.array(a, np.int64), return_counts=True), *np.unique(np.array(b, np.int64), return_counts=True), 2)
             full = np.zeros((len(a) + 1, len(b) + 1), int)  # the plain table, all cells
             for i in range(len(a)):
                 for j in range(len(b)):
                     g = abs(a[i] - b[j])
                     full[i + 1, j + 1] = max(full[i, j + 1], full[i + 1, j], full[i, j] + 1000 - g if g <= 2 else 0)
-            assert 1000 * len(found) - sum(gaps) == full[-1, -1] and all(g <= 2 for g in gaps)
-            assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+            ends = [sorted(set(x)) for x in (a, b)]
+            gaps = [g for i, j, n in found for g in [abs(ends[0][i] - ends[1][j])] * n]
+            assert 1000 * len(gaps) - sum(gaps) == full[-1, -1] and all(g <= 2 for g in gaps)
         if edges:
             assert {(r.id0, r.id1) for r in matching.greedy_matches(matching.caliper_edges(df, 3)).collect()} == greedy
 
 
+def plain_nearest(factual, hallucinated):
+    free, out = list(hallucinated), []
+    for i, n in factual:
+        if free:
+            at = min(range(len(free)), key=lambda j: (abs(free[j][1] - n), free[j][0]))
+            out.append((i, free[at][0], abs(free[at][1] - n)))
+            free.pop(at)
+    return out
+
+
+def test_nearest_free_is_the_plain_loop(spark):
+    rng = random.Random(6)
+    for _ in range(300):
+        sides = [[(f"{i:03d}", rng.randint(0, 12)) for i in range(rng.randint(0, 25))] for _ in "ab"]
+        assert matching.nearest_free(*sides) == plain_nearest(*sides)
+    rows = [(f"a{i:02d}", 0, rng.randint(0, 9)) for i in range(20)] + [(f"b{i:02d}", 1, rng.randint(0, 9)) for i in range(15)] + [("none", 1, None), ("no label", None, 3)]
+    got = matching.nearest_greedy(spark.createDataFrame(rows, "sample_id string, label int, length int")).collect()
+    assert [tuple(r) for r in got] == plain_nearest([(i, n) for i, y, n in rows if y == 0], [(i, n) for i, y, n in rows if y == 1 and n is not None])
+    many = [(f"{i:07d}", rng.randint(0, 3000)) for i in range(200_000)]
+    assert len(matching.nearest_free(many, many)) == 200_000
+
+
+def test_a_crowded_length_is_dealt_to_many_tasks(spark):
+    rows = [(f"s{i}", i % 2, 7) for i in range(400)] + [(f"t{i}", i % 2, 5 + i % 7) for i in range(60)] + [("x", 0, None)]
+    df = spark.createDataFrame(rows, "sample_id string, label int, length int")
+    wanted = {(a[0], b[0], abs(a[2] - b[2])) for a in rows for b in rows if a[1] == 0 and b[1] == 1 and a[2] is not None and abs(a[2] - b[2]) <= 2}
+    for per_task in (None, 1000, 1):
+        got = [tuple(r) for r in matching.caliper_edges(df, 2, per_task).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+    folded = matching.caliper_lengths(df, 2)
+    assert folded.agg(F.sum(F.col("n0") * F.col("n1"))).first()[0] == len(wanted)
+    # a million rows of one length: counts are matched, not rows
+    assert matching.matched_counts(np.array([7]), np.array([10**6]), np.array([7, 8]), np.array([10**6 - 1, 5]), 1) == [(0, 0, 10**6 - 1), (0, 1, 1)]
+    big = spark.range(40_000).select(F.format_string("s%06d", "id").alias("sample_id"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") < 100, 8).otherwise(7).alias("length"))
+    found = matching.optimal_matches(big, 1)
+    assert found.agg(F.count("*"), F.countDistinct("id0"), F.countDistinct("id1"), F.sum("gap")).first() == (20_000, 20_000, 20_000, 0)
+
+
 def in_order(edges):
     used, out = set(), set()
     for g, i, j in sorted(edges):
@@ -328,6 +366,50 @@ def test_excluding_by_no_key_keeps_all(spark):
         leakage.covered_by_all(rows.withColumn("sample_id", F.col("norm")), [], least_pairs=3)
 
 
+def test_positions_are_those_of_a_plain_read(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [{"pair_id": f"P{rng.randint(0, 400):05d}", "split": "train", "sample_id": f"S{i}_0", "n": i} for i in range(3000)]
+    with open(tmp_path / "a.jsonl", "w") as f:
+        f.writelines(json.dumps(r) + "\n" + "\n" * (i % 7 == 0) for i, r in enumerate(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = io.read_placed(spark, f"{tmp_path}/a.jsonl", "pair_id string, split string, sample_id string, n int")
+        assert rows.select("place.block").distinct().count() > 20
+        placed = splits.numbered(rows.repartition(7, "pair_id"), ["place"], "no", 5).select("n", "no").collect()
+        assert len(placed) == 3000 and all(r.n == r.no for r in placed)
+        first = {}
+        for r in lines:
+            first.setdefault(r["pair_id"], r["n"])
+        got = splits.first_of(rows, ["pair_id"], "place", ["n"])
+        assert {r.pair_id: r.n for r in got.collect()} == first
+        listed = splits.manifest(rows.withColumn("sample_id", F.concat("pair_id", F.lit("_0"))), "place")
+        in_order = [r.pair_id for r in listed.orderBy("place").collect()]
+        assert in_order == list(first)
+        whole = protocol.subset_of_pairs(rows, 20, position="place")
+        assert {r.pair_id for r in whole.collect()} == set(list(first)[:10])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows.select("n").write.parquet(f"{tmp_path}/p")
+    again = io.parquet_placed(spark, f"{tmp_path}/p").repartition(3)
+    assert [r.n for r in again.orderBy("place").collect()] == [r.n for r in spark.read.parquet(f"{tmp_path}/p").collect()]
+
+
+@pytest.mark.parametrize("spread", [3, 10_000])
+def test_quantiles_are_exact(spark, spread):
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(size=501) * spread) / 7
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(values)] + [(0, None), (9, 1.5)]
+    df, shares = spark.createDataFrame(rows, "g int, v double"), [0, 0.05, 0.25, 0.5, 0.737, 1]
+    assert stats.quantiles(df.filter("g < 9"), "v", shares).first().quantiles == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
+    got = {r.g: r.quantiles for r in stats.quantiles(df, "v", shares, ["g"]).collect()}
+    assert got[9] == [1.5] * 6 and set(got) == {0, 1, 2, 9}
+    for g in range(3):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], shares).tolist(), abs=1e-12)
+    exact = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).collect()}
+    assert got == exact and [r.quantiles for r in stats.quantiles(df.limit(0), "v", shares).collect()] == [[]]
+
+
 def write_split(path, split, pairs, start=0, **changes):
     rows = []
     for i in range(start, start + pairs):

@@ -86,6 +86,35 @@ def test_length_detector_writes_runs_that_evaluate(spark, tmp_path):
         protocol.fit_length(validation.withColumn("answer_length_tokens", F.lit(None).cast("int")), "tokens")
 
 
+def test_costs_of_a_pair_count_once_as_the_run_says(spark, tmp_path):
+    test = samples(spark, "t", n=6, seed=4)
+    costs = {"latency_s": F.lit(10.0), "n_generations": F.lit(10), "n_generated_tokens": F.lit(100), "peak_gpu_mem_mb": F.lit(2200.0)}
+    rows = test.withColumns({"score": F.col("label").cast("double"), "extra": F.to_json(F.struct("pair_id"))} | costs)
+    for name, extra, change, unit, total in (
+        ("pairs", {"generation_statistics_unit": "pair"}, {}, "pair", 60.0), ("plain", {"generation_statistics_unit": "sample"}, {}, "sample", 120.0), ("none", None, {}, "sample", 120.0),
+        ("unnamed", {"generation_statistics_unit": "pair"}, {"extra": F.lit("{}")}, "sample", 120.0),
+    ):
+        meta = META | {"split": "test", "extra": extra and json.dumps(extra)}
+        io.write_run(protocol.records_of(rows.withColumns(change), "test", "probe", "v", "c", "v1"), meta, f"{tmp_path}/{name}", 0.5, "validation")
+        out = report.evaluate_run(io.read_run(spark, f"{tmp_path}/{name}"), test, replicates=0)
+        cost = out["efficiency"].first()
+        assert (cost.unit, cost.total_runtime_s, cost.mean_runtime_s, cost.n_generations) == (unit, total, total / 12, total)
+        assert [r.warning for r in out["warnings"].collect() if "overstates" in r.warning] == (["costs of pairs, but records name no pair_id: each record's costs are counted, which overstates them"] if name == "unnamed" else [])
+
+
+def test_the_controlled_set_is_read_where_it_lies(spark, tmp_path):
+    test = samples(spark, "t", n=6, seed=4).withColumns({"split": F.lit("test"), "language": F.lit("en"), "knowledge": F.lit("k")})
+    io.write_run(protocol.records_of(test.withColumn("score", F.rand(1)), "test", "probe", "v", "c", "v1"), META | {"split": "test"}, f"{tmp_path}/run", 0.5, "validation")
+    run = io.read_run(spark, f"{tmp_path}/run")
+    missing = report.evaluate_run(run, test, controlled_path=f"{tmp_path}/none.jsonl", replicates=0)
+    assert "match_level" not in missing and any("not found" in r.warning for r in missing["warnings"].collect())
+    closest = test.withColumn("answer", F.repeat(F.lit("x"), 9)).withColumn("match_id", F.col("pair_id"))
+    same = test.drop("answer").join(closest.select("sample_id", "answer", "match_id"), "sample_id")
+    io.write_jsonl(same.select(*[c for c in io.SAMPLE.fieldNames() if c in same.columns]), f"{tmp_path}/control.jsonl")
+    found = report.evaluate_run(run, same.drop("match_id"), controlled_path=f"{tmp_path}/control.jsonl", replicates=0)
+    assert found["match_level"].first().n_matches == 6
+
+
 class FakeBackend:
     """Scores rise with the label as much as the setting says; checkpoints are small files."""
 
@@ -204,6 +233,52 @@ def test_equivalence_asks_the_model_only_what_rules_leave_open(spark, tmp_path):
     # texts that differ in case are pairs of their own to the model, as it may tell them apart; blank ones equal nothing
 
 
+def test_the_model_sees_a_pair_once_over_runs(spark, tmp_path):
+    log, store = tmp_path / "asked", f"{tmp_path}/memory"
+
+    def predict(premises, hypotheses):
+        with open(log, "a") as f:
+            f.writelines(f"{p}|{h}\n" for p, h in zip(premises, hypotheses))
+        return [0.9 if {p[:3], h[:3]} == {"the"} else 0.1 for p, h in zip(premises, hypotheses)]
+
+    rows = spark.createDataFrame([("p", ["the capital is paris", "the city of paris it is", "lyon lies far off there"]), ("q", ["the capital is paris", "the city of paris it is"])], "key string, answers array<string>")
+    for _ in range(2):
+        found = equivalence.clustered(rows, "key", predict, store=store, revision="r1")
+        assert {r.key: r.ids for r in found.collect()} == {"p": [0, 0, 1], "q": [0, 0]} and found.count() == 2
+    asked = log.read_text().splitlines()
+    assert len(asked) == len(set(asked)) == 6  # three pairs, both ways, in two runs
+    more = rows.unionByName(spark.createDataFrame([("r", ["lyon lies far off there", "rome is another place"])], rows.schema))
+    assert equivalence.clustered(more, "key", predict, store=store, revision="r1").count() == 3 and len(log.read_text().splitlines()) == 8
+    equivalence.clustered(rows, "key", predict, store=store, revision="r2").collect()  # another model knows nothing yet
+    assert len(log.read_text().splitlines()) == 14
+    equivalence.clustered(rows, "key", predict).collect()
+    assert len(log.read_text().splitlines()) == 20  # without a store once a run, however often it is read
+
+
+def test_entropy_runs_are_taken_up_where_they_stopped(spark, tmp_path, monkeypatch):
+    g = spark.createDataFrame([(f"P{i}", ["Paris", "paris ", "London", "Rome"], 10.0 + i) for i in range(6)], "pair_id string, answers array<string>, latency_s double")
+    s = spark.createDataFrame([(f"S{i}_{y}", f"P{i}", a) for i in range(6) for y, a in ((0, "PARIS"), (1, "Berlin"))], "sample_id string, pair_id string, answer string")
+    meta, folder = {"split": "test", "variant": "exact", "config_hash": "c", "prompt_version": "v1"}, f"{tmp_path}/runs"
+    kept = records.candidates
+
+    def stops(*a, **k):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(records, "candidates", stops)
+    with pytest.raises(KeyboardInterrupt):
+        records.run_entropy(g, s, folder, meta)
+    monkeypatch.setattr(records, "candidates", kept)
+    changed = g.withColumn("answers", F.array(F.lit("other")))  # what was generated before the stop counts
+    table = records.run_entropy(changed, s, folder, meta)
+    assert table.rows("scored").count() == 12
+    rows, side = io.read_run(spark, io.run_path(folder, records.CANDIDATE, "exact", "test"))
+    assert {(r.sample_id[-1], r.score) for r in rows.collect()} == {("0", 0.5), ("1", 1.0)} and report.cost_unit(rows, side.first().extra) == ("pair", None)
+    with pytest.raises(DataIntegrityError, match="provenance"):
+        records.run_entropy(g, s, folder, meta | {"config_hash": "d"})
+    with pytest.raises(DataIntegrityError, match="without generations"):
+        records.run_entropy(g.filter("pair_id <> 'P1'"), s, f"{tmp_path}/other", meta)
+
+
 def test_entropy_records_and_rescoring(spark):
     g = spark.createDataFrame([("P1", ["Paris", "paris ", "London", "Rome"], 10.0, 4), ("P2", ["a", "a", "a", "a"], 2.0, 4)], "pair_id string, answers array<string>, latency_s double, n_generations int")
     s = spark.createDataFrame([("S1_0", "P1", "PARIS"), ("S1_1", "P1", "Berlin"), ("S2_0", "P2", "a"), ("S2_1", "P2", "b")], "sample_id string, pair_id string, answer string")
