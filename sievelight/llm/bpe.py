@@ -40,6 +40,8 @@ CACHE, POOL, PAIRS = 400_000, 8_000_000, 400_000
 WORDS, KNOWN = 200_000, 64
 #: Bytes of text encoded together, a bound on a worker's arrays.
 SLICE_BYTES = 1 << 20
+#: Characters of a word whose tokens are looked up at once; of a longer word only two such windows are held.
+WINDOW = 1 << 16
 
 #: White space as Unicode has it (Python's split also takes U+001C to U+001F).
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -78,6 +80,23 @@ def gather(pool: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
+class Starts:
+    """For each place of a long text the tokens that start there, from short to long, window by window."""
+
+    def __init__(self, codec: Codec, text: str):
+        self.codec, self.text, self.held = codec, text, {}
+
+    def __getitem__(self, at: int) -> list[int]:
+        window, place = divmod(at, WINDOW)
+        if window not in self.held:
+            if len(self.held) > 1:  # backing up rarely leaves the window before
+                del self.held[max(self.held, key=lambda w: abs(w - window))]
+            begin = window * WINDOW
+            piece = self.text[begin : begin + WINDOW + self.codec.longest]
+            self.held[window] = self.codec.starts_in(piece, WINDOW)
+        return self.held[window][place]
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file (the file's content, as text)."""
 
@@ -107,6 +126,7 @@ class Codec:
         self.sizes = [0] * size
         for token, i in vocab.items():
             self.sizes[i] = len(token)
+        self.longest = max(self.sizes)
         self.chains: dict = {}
         self.compatible: dict = {}
         self.text_table = OffsetTable([(" " + names.get(i, "")).encode() for i in range(size)])
@@ -142,21 +162,29 @@ class Codec:
                     return False
         return True
 
-    def encode_word(self, word: str) -> list[int]:
+    def starts_in(self, text: str, n: int) -> list[list[int]]:
+        """Tokens that start at each of the first ``n`` places of ``text``, from short to long."""
+        starts: list[list[int]] = [[] for _ in range(n)]
+        sizes = self.sizes
+        for end, i in self.matcher.iter(text):  # ends ascend
+            if (begin := end - sizes[i] + 1) < n:
+                starts[begin].append(i)
+        return starts
+
+    def encode_word(self, word: str) -> list[int] | array:
         """Token ids of one pre-token."""
         text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet) + self.end
         n, sizes, table = len(text), self.sizes, self.compatible
-        starts: list[list[int]] = [[] for _ in range(n)]
-        for end, i in self.matcher.iter(text):
-            starts[end - sizes[i] + 1].append(i)  # ends ascend, so each list runs from short to long
+        starts = self.starts_in(text, n) if n <= WINDOW else Starts(self, text)
         dead = bytearray(n + 1)
-        path: list[tuple[int, int]] = []  # (position, choices left to try there)
-        taken: list[int] = []
+        # of each token taken: the token, and the choices left to try where it starts
+        taken, left = ([], []) if n <= WINDOW else (array("i"), array("i"))
         at, choice, last = 0, len(starts[0]), -1
         while at < n:
+            here = starts[at]
             while choice:
                 choice -= 1
-                i = starts[at][choice]
+                i = here[choice]
                 to = at + sizes[i]
                 if dead[to]:
                     continue
@@ -169,18 +197,18 @@ class Codec:
                         ok = table[key] = self.fits(last, i)
                     if not ok:
                         continue
-                path.append((at, choice))
+                left.append(choice)
                 taken.append(i)
                 last = i
                 at = to
                 choice = len(starts[at]) if at < n else 0
                 break
             else:
-                if not path:
-                    raise ValueError(f"the vocabulary cannot spell {word!r}")
+                if not taken:
+                    raise ValueError(f"the vocabulary cannot spell {word[:100]!r}")
                 dead[at] = 1
-                at, choice = path.pop()
-                taken.pop()
+                at -= sizes[taken.pop()]
+                choice = left.pop()
                 last = taken[-1] if taken else -1
         return taken
 
@@ -191,7 +219,7 @@ class Codec:
         for m in self.words.finditer(shown):
             word = chunk[m.start() : m.end()]
             if (ids := self.known.get(word)) is None:
-                ids = self.encode_word(word)
+                ids = self.encode_word(word)  # a list or, of a long word, an array
                 if len(word) <= KNOWN:
                     if len(self.known) >= WORDS:
                         self.known.clear()
