@@ -1,7 +1,6 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Bytes are embedded; filters of eight bytes at every second byte slide over the
-whole document; rectified responses are max-pooled within overlapping chunks of
+Bytes are embedded; filters of eight bytes at every byte slide over the whole document; rectified responses are max-pooled within overlapping chunks of
 512 bytes (every 256 bytes), then the chunks' mean and maximum feed one logistic
 output. Embedding, filters and output are
 trained together by Adam.
@@ -31,7 +30,7 @@ from .common import bucket_of_id
 from .toxicity_subword import labelled_sample, learnt
 
 #: Embedding size, filters, stride, strides that a filter is wide, bytes of half a chunk.
-DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 2, 4, 256
+DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 1, 8, 256
 #: Bounds of the labelled sample: documents of label 0 and of label 1, characters of a document.
 SAMPLE, SAMPLE_CHARS = (1000, 1500), 12_288
 #: Bytes of text whose responses are held at once.
