@@ -376,5 +376,5 @@ def match_summary(matches: DataFrame, rows: DataFrame) -> DataFrame:
         values += [f(f"words{y}").alias(f"{name}_{n}_words") for n, f in (("mean", F.avg), ("median", median))]
     ends = both.select(F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(f"length{y}").alias("length")) for y in names])).alias("e")).select("e.*")
     out = both.agg(*values).join(F.broadcast(rows.agg(F.count("*").alias("n_rows")))).join(F.broadcast(stats.ks_statistic(ends, "length", "label", "ks_statistic")))
-    p_value = F.udf(stats.ks_p_value_equal, "double")
+    p_value = F.udf(stats.ks_p_value_equal, "double")  # called for the one row of the summary
     return out.withColumn("coverage_percent", F.try_divide(200.0 * F.col("n_matches"), F.col("n_rows"))).withColumn("ks_p_value", p_value("n_matches", "ks_statistic"))
