@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import held
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
@@ -68,8 +68,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "no", buckets: int = 6
     rows are range-partitioned once, stored offsets are added per partition."""
     ranged = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(*order)
-    ensure_checkpoint_dir(df.sparkSession)  # the partition of a row must not change when one is made again
-    local = ranged.withColumn("_i", F.row_number().over(w) - 1).checkpoint()
+    local = held(ranged.withColumn("_i", F.row_number().over(w) - 1))  # stored: the partition of a row must not change when one is made again
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     lead = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lead"))
     return local.join(F.broadcast(lead), "_p").withColumn(name, (F.col("_lead") + F.col("_i")).cast("long")).drop("_p", "_i", "_lead")
