@@ -72,6 +72,13 @@ def clean(text: Column) -> Column:
     return beyond_ascii(tidy, _nfc, tidy)
 
 
+def upper_by_letter(text: Column) -> Column:
+    """Upper case letter for letter, as simple case mapping has it: a letter whose capitals would be
+    several letters (ß, ligatures) takes its single capital or stays, so lengths never change."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).when(c == "ß", "ẞ").when(F.length(F.initcap(c)) == 1, F.initcap(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
 def normalized(text: Column) -> Column:
     """Key for leakage audits: NFKC, case folding, collapsed white space."""
     return collapse(beyond_ascii(text, _nfkc_casefold, F.lower(text)))

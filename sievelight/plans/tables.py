@@ -109,7 +109,7 @@ def _anchored(short: str, long: str) -> str:
 def _shorts(spark, d):
     rows = views.raw_pairs(spark, d).withColumn("answer", text.collapse(F.col("answer")))
     rows = rows.withColumn("s", F.regexp_extract("answer", r"^[^ ]+(?: [^ ]+)?", 0))
-    made = [F.concat("s", F.lit(" is not so")), F.concat(F.upper("s"), F.lit(", isn't it")), F.concat("s", F.lit(" not")), F.concat("s", F.lit("s are")), F.col("s")]
+    made = [F.concat("s", F.lit(" is not so")), F.concat(text.upper_by_letter(F.col("s")), F.lit(", isn't it")), F.concat("s", F.lit(" not")), F.concat("s", F.lit("s are")), F.col("s")]
     k = (F.col("conv_id") + F.col("turn")) % 6
     long = F.when(F.lit(False), F.col("s"))
     for i, m in enumerate(made):

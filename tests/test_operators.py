@@ -466,3 +466,19 @@ def test_runs_with_unknown_fields_and_small_files(spark, tmp_path):
     assert io.config_hash({"b": 1, "a": [2], "paths": "x"}) == io.config_hash({"a": [2], "b": 1, "paths": "y"}) != io.config_hash({"a": [2], "b": 2})
     with pytest.raises(ValueError, match="split"):
         io.run_path("out", "d", "v", "dev")
+
+
+def test_capitals_letter_for_letter(spark):
+    rows = spark.createDataFrame([("Straße ﬁn ᾳ é",), ("",), (None,)], "t string")
+    assert [r.u for r in rows.select(text.upper_by_letter(F.col("t")).alias("u")).collect()] == ["STRAẞE ﬁN ᾼ É", "", None]
+
+
+def test_equivalence_query_asks_about_texts_whose_capitals_are_one_letter(spark, tmp_path):
+    from sievelight.plans import catalog
+
+    turns = [(179, 2, "user", "Q"), (179, 3, "assistant", "Enberach\u00df.\nEnverge die nicht"), (3499, 0, "user", "Q"), (3499, 1, "assistant", "Ge\u00dfau sch ente")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.same, r.asked) for r in catalog.QUERIES["l5_r27_equivalence"](spark, str(tmp_path)).collect()}
+    con = pytest.importorskip("duckdb").connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == {c: (same, asked) for c, _, same, asked in con.sql(catalog.ORACLE_SQL["l5_r27_equivalence"]).fetchall()} == {179: (False, True), 3499: (True, True)}
