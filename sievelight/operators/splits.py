@@ -101,13 +101,22 @@ def compare_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entries that only one manifest has, with the side that has them. Where both have places,
     pairs that stand elsewhere among the members of their split are told as ``order``."""
     keys = ["split", "pair_id", "stem"]
-    a, b = old.select(*keys), new.select(*keys)
-    out = a.exceptAll(b).withColumn("only_in", F.lit("old")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("new")))
+    # one sum over both sides tells which has more of an entry, and how many more
+    sides = old.select(*keys, F.lit(1).alias("_side")).unionByName(new.select(*keys, F.lit(-1).alias("_side")))
+    more = sides.groupBy(*keys).agg(F.sum("_side").cast("int").alias("_more")).filter("_more <> 0")
+    out = more.select(*keys, F.when(F.col("_more") > 0, "old").otherwise("new").alias("only_in"), F.explode(F.array_repeat(F.lit(0), F.abs("_more"))).alias("_copy")).drop("_copy")
     if "place" not in old.columns or "place" not in new.columns:
         return out
     differ = out.select("split").distinct()
-    nth = lambda df, n: df.select(*keys, F.row_number().over(Window.partitionBy("split").orderBy("place")).alias(n))
-    moved = nth(old, "_a").join(nth(new, "_b"), keys).filter("_a <> _b").join(differ, "split", "left_anti")
+    parts = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def nth(df: DataFrame, name: str) -> DataFrame:
+        """Places within the split, from numbers over all splits less the split's first."""
+        rows = numbered(df.select(*keys, "place"), ["split", "place", "pair_id", "stem"], "_no", parts)
+        first = rows.groupBy("split").agg(F.min("_no").alias("_first"))
+        return rows.join(F.broadcast(first), "split").select(*keys, (F.col("_no") - F.col("_first")).alias(name))
+
+    moved = nth(old, "_a").join(nth(new, "_b"), keys).filter("_a <> _b").join(F.broadcast(differ), "split", "left_anti")
     return out.unionByName(moved.select(*keys, F.lit("order").alias("only_in")))
 
 
