@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import eda, leakage, matching, semantic, splits, validate
+from ..sources.shared import held
 from . import views
 from .registry import Registry, rounded
 
@@ -475,18 +476,19 @@ def _(spark, d):
 @q("h5_compare_manifests", sql("samples", """SELECT split, pair_id, split_part(sample_id, '_', 1) AS stem, 'old' AS only_in FROM samples WHERE label = 0 AND o_orderkey % 1000 = 0
   UNION ALL SELECT 'moved', pair_id, split_part(sample_id, '_', 1), 'new' FROM samples WHERE label = 0 AND o_orderkey % 1000 = 0"""))
 def _(spark, d):
-    old = splits.manifest(S(spark, d))
+    old = held(splits.manifest(S(spark, d)))  # both sides read it
     pair = F.substring("pair_id", 2, 20).cast("long")
     return splits.compare_manifests(old, old.withColumn("split", F.when(pair % 500 == 0, "moved").otherwise(F.col("split"))))
 
 
 @q("h5_order_differences", sql("samples", "SELECT split, pair_id, split_part(sample_id, '_', 1) AS stem, 'order' AS only_in FROM samples WHERE label = 0 AND split = 'test' AND pair_id IN (SELECT min(pair_id) FROM samples WHERE split = 'test' UNION SELECT max(pair_id) FROM samples WHERE split = 'test')"))
 def _(spark, d):
-    """Two manifests of the same members, of which the first and the last pair of test changed places."""
-    s = S(spark, d)
-    ends = s.filter("split = 'test'").agg(F.min("o_orderkey").alias("_a"), F.max("o_orderkey").alias("_b"))
+    """Two manifests of the same members, of which the pairs of test with the first and the last id changed places."""
     k = F.floor(F.col("o_orderkey") / 2)
-    place = F.when(F.col("split") != "test", k).when(k == F.floor(F.col("_a") / 2), F.floor(F.col("_b") / 2)).when(k == F.floor(F.col("_b") / 2), F.floor(F.col("_a") / 2)).otherwise(k)
+    s = held(S(spark, d).select("sample_id", "pair_id", "split", "o_orderkey", k.alias("k")))
+    pair = F.struct("pair_id", "k")  # ids are texts: P100000 comes before P99999
+    ends = s.filter("split = 'test'").agg(F.min(pair).alias("_a"), F.max(pair).alias("_b")).select(F.col("_a.k").alias("_a"), F.col("_b.k").alias("_b"))
+    place = F.when(F.col("split") != "test", F.col("k")).when(F.col("k") == F.col("_a"), F.col("_b")).when(F.col("k") == F.col("_b"), F.col("_a")).otherwise(F.col("k"))
     return splits.compare_manifests(splits.manifest(s, "o_orderkey"), splits.manifest(s.join(F.broadcast(ends)).withColumn("at", place), "at"))
 
 

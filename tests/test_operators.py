@@ -482,3 +482,27 @@ def test_equivalence_query_asks_about_texts_whose_capitals_are_one_letter(spark,
     con = pytest.importorskip("duckdb").connect()
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == {c: (same, asked) for c, _, same, asked in con.sql(catalog.ORACLE_SQL["l5_r27_equivalence"]).fetchall()} == {179: (False, True), 3499: (True, True)}
+
+
+def test_order_query_takes_first_and_last_id_as_texts(spark, tmp_path):
+    from sievelight.plans import catalog
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(199800, 200200).selectExpr("id AS o_orderkey", "1D AS o_totalprice", "'x' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(199800, 200200).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["h5_order_differences"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["h5_order_differences"]).fetchall()) and len(got) == 2
+
+
+def test_manifests_are_compared_in_one_pass_with_repeats_and_places(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "split string, pair_id string, stem string, place long")
+    old = rows(("a", "p", "s", 1), ("a", "p", "s", 2), ("a", None, "s", 3), ("b", "q", "t", 1), ("b", "r", "t", 2))
+    new = rows(("a", "p", "s", 1), ("a", None, "s", 3), ("a", "n", "n", 4), ("b", "q", "t", 9), ("b", "r", "t", 8))
+    found = splits.compare_manifests(old, new)
+    assert {tuple(r) for r in found.collect()} == {("a", "p", "s", "old"), ("a", "n", "n", "new"), ("b", "q", "t", "order"), ("b", "r", "t", "order")}
+    plain = splits.compare_manifests(old.drop("place"), new.drop("place"))
+    assert plain.count() == 2 and plain._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # each side once
+    assert not any(line.strip(" :+-").startswith("Window") and "split" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
