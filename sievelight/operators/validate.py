@@ -106,6 +106,12 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that one of two tables of the same columns holds more often than the other."""
+    sides = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    return sides.groupBy(*a.columns).agg(F.sum("_side").alias("_more")).filter("_more <> 0").drop("_more")
+
+
 def require_none(problems: DataFrame, what: str, show: int = 5) -> None:
     """Raise if ``problems`` has rows, naming the first few."""
     first = problems.limit(show).collect()

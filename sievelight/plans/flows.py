@@ -128,7 +128,7 @@ def _(spark, d):
     """Splits written as JSON lines and loaded under their manifest and content hashes."""
     rows, path = held(_loadable(spark, d)), _folder(spark, "splits")
     for split in ("train", "validation", "test"):
-        io.write_jsonl(rows.filter(F.col("split") == split).drop("split").coalesce(1), f"{path}/{split}.jsonl")
+        io.write_jsonl(rows.filter(F.col("split") == split).drop("split"), f"{path}/{split}.jsonl")
     hashes = {s: io.content_hash(spark, f"{path}/{s}.jsonl") for s in ("train", "validation", "test")}
     found = io.load_all(spark, path, splits.manifest(rows), hashes)
     return found.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("answer_length_chars").alias("chars"))

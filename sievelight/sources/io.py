@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.validate import SPLITS, DataIntegrityError, record_violations, repeated, require_none, run_violations, sample_rules, violations
+from ..operators.validate import SPLITS, DataIntegrityError, differing, record_violations, repeated, require_none, run_violations, sample_rules, violations
 from .commit import exists, get_text, new_version, put_text, version_folder
+from .shared import held
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
 
@@ -114,21 +115,33 @@ def read_text(spark: SparkSession, path: str) -> str:
 CHUNK = 1 << 20
 
 
-def _digest(spark: SparkSession, path, lines: bool = False) -> str:
-    """SHA-256 of one file, streamed: memory doesn't grow with the file. ``lines``: CRLF is read as LF."""
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    try:
-        if not lines:
-            return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-        found, carry = hashlib.sha256(), b""
-        while chunk := bytes(stream.readNBytes(CHUNK)):
-            chunk = carry + chunk
-            carry = chunk[-1:] if chunk.endswith(b"\r") else b""  # the LF may follow in the next chunk
-            found.update(chunk[: len(chunk) - len(carry)].replace(b"\r\n", b"\n"))
-        found.update(carry)
-        return found.hexdigest()
-    finally:
-        stream.close()
+def _digest(spark: SparkSession, *paths) -> str:
+    """SHA-256 of files one after another, streamed: memory doesn't grow with them."""
+    tools = spark._jvm.org.apache.commons.codec.digest.DigestUtils
+    found = tools.getSha256Digest()
+    for path in paths:
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            tools.updateDigest(found, stream)
+        finally:
+            stream.close()
+    return bytes(found.digest()).hex()
+
+
+def _digest_of_lines(spark: SparkSession, *paths) -> str:
+    """:func:`_digest` with CRLF read as LF."""
+    found, carry = hashlib.sha256(), b""
+    for path in paths:
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            while chunk := bytes(stream.readNBytes(CHUNK)):
+                chunk = carry + chunk
+                carry = chunk[-1:] if chunk.endswith(b"\r") else b""  # the LF may follow in the next chunk
+                found.update(chunk[: len(chunk) - len(carry)].replace(b"\r\n", b"\n"))
+        finally:
+            stream.close()
+    found.update(carry)
+    return found.hexdigest()
 
 
 def _files(spark: SparkSession, path: str) -> list:
@@ -182,7 +195,7 @@ def load_split(spark: SparkSession, path: str, split: str, manifest: DataFrame |
         raise ValueError(f"unknown split {split!r}")
     file = f"{path}/{split}.jsonl"
     rows = read_jsonl(spark, file, SAMPLE).withColumn("split", F.lit(split))
-    rows = rows.withColumn("answer_length_chars", F.coalesce("answer_length_chars", F.length("answer")))
+    rows = held(rows.withColumn("answer_length_chars", F.coalesce("answer_length_chars", F.length("answer"))))  # parsed once for all checks
     require_none(violations(rows, sample_rules()), "invalid samples")
     require_none(repeated(rows, "sample_id"), "repeated ids")
     if expected_hash is not None and content_hash(spark, file) != expected_hash:
@@ -191,7 +204,7 @@ def load_split(spark: SparkSession, path: str, split: str, manifest: DataFrame |
         ids = F.explode(F.array(*[F.concat_ws("_", "stem", F.lit(y)) for y in (0, 1)]))
         listed = manifest.filter(F.col("split") == split).select("pair_id", ids.alias("sample_id"))
         own = rows.select("pair_id", "sample_id")
-        require_none(own.exceptAll(listed).unionByName(listed.exceptAll(own)), "samples and manifest differ")
+        require_none(differing(own, listed), "samples and manifest differ")
     return rows
 
 
@@ -244,7 +257,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 def check_features(features: DataFrame, samples: DataFrame) -> DataFrame:
     """``features`` if their ids and labels are exactly those of ``samples``."""
     own, wanted = features.select("sample_id", F.col("label").cast("int").alias("label")).distinct(), samples.select("sample_id", F.col("label").cast("int").alias("label"))
-    require_none(own.exceptAll(wanted).unionByName(wanted.exceptAll(own)), "features and samples differ")
+    require_none(differing(own, wanted), "features and samples differ")
     require_none(features.groupBy("sample_id", "layer").count().filter("count > 1"), "repeated features")
     return features
 
@@ -257,10 +270,19 @@ def append_features(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("chunk").parquet(path)
 
 
+#: Endings of files that Spark unpacks as it reads lines.
+_PACKED = (".gz", ".bz2", ".zst", ".deflate", ".snappy", ".lz4")
+
+
 def content_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 over a file's text with CRLF read as LF, streamed."""
-    (file,) = _files(spark, path)
-    return _digest(spark, file, lines=True)
+    """SHA-256 over the text of a file, or of a folder's files one after another, with CRLF read as
+    LF, streamed. Tasks look for CRs at the ends of lines first; without any the bytes needn't leave the JVM."""
+    files = _files(spark, path)
+    names = [f.toString() for f in files]
+    plain = not any(n.endswith(_PACKED) for n in names)
+    if plain and spark.read.option("lineSep", "\n").text(names).filter(F.col("value").endswith("\r")).isEmpty():
+        return _digest(spark, *files)
+    return _digest_of_lines(spark, *files)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -506,3 +506,31 @@ def test_manifests_are_compared_in_one_pass_with_repeats_and_places(spark):
     plain = splits.compare_manifests(old.drop("place"), new.drop("place"))
     assert plain.count() == 2 and plain._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # each side once
     assert not any(line.strip(" :+-").startswith("Window") and "split" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def leaves(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_coverage_reads_each_side_once(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "sample_id string")
+    found = leakage.coverage(rows("a", "a", "b", None), rows("b", "c", "c", None))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "missing"), ("c", "extra"), (None, "extra"), (None, "missing")]
+    assert leaves(found) == 2
+    with pytest.raises(ValueError, match="a missing"):
+        leakage.align(rows("a", "b"), rows("b"))
+
+
+def test_a_text_in_several_files_has_one_hash(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "crlf").mkdir()
+    for i, (a, b) in enumerate([(b"a\nb\n", b"a\r\nb\r"), (b"c\rd\n", b"\nc\rd\n"), (b"", b"")]):
+        (tmp_path / f"plain/part-{i}.json").write_bytes(a)
+        (tmp_path / f"crlf/part-{i}.json").write_bytes(b)
+    (tmp_path / "crlf/_SUCCESS").write_bytes(b"")
+    wanted = hashlib.sha256(b"a\nb\nc\rd\n").hexdigest()
+    assert io.content_hash(spark, f"{tmp_path}/crlf") == wanted
+    monkeypatch.setattr(io, "_digest_of_lines", None)  # texts without CRLF don't go through Python
+    assert io.content_hash(spark, f"{tmp_path}/plain") == wanted
