@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 def coverage(expected: DataFrame, found: DataFrame, key: str = "sample_id") -> DataFrame:
     """Ids that are missing from or extra in ``found``, as (id, problem) rows."""
-    a, b = expected.select(key).distinct(), found.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("extra")))
+    side = lambda df, own: df.select(key, F.lit(own).alias("_own"), F.lit(not own).alias("_found"))
+    both = side(expected, True).unionByName(side(found, False)).groupBy(key).agg(F.max("_own").alias("_own"), F.max("_found").alias("_found"))
+    unequal = F.col(key).isNull()  # null equals no id, so it is missing and extra
+    missing = F.when(F.col("_own") & (~F.col("_found") | unequal), "missing")
+    extra = F.when(F.col("_found") & (~F.col("_own") | unequal), "extra")
+    return both.select(key, F.explode(F.array_compact(F.array(missing, extra))).alias("problem"))
 
 
 def align(samples: DataFrame, scores: DataFrame, key: str = "sample_id", allow_extra: bool = False, check: bool = True) -> DataFrame:

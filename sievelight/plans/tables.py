@@ -304,13 +304,13 @@ def _(spark, d):
 # --- joins ----------------------------------------------------------------------------
 @q("d2_coverage", sql("samples", "SELECT sample_id, CASE WHEN o_orderkey % 100 = 7 THEN 'missing' ELSE 'extra' END AS problem FROM samples WHERE o_orderkey % 100 IN (7, 9)"))
 def _(spark, d):
-    s = S(spark, d)
+    s = held(S(spark, d).select("sample_id", "o_orderkey"))  # both sides read it
     return leakage.coverage(s.filter("o_orderkey % 100 <> 9"), s.filter("o_orderkey % 100 <> 7"))
 
 
 @q("d1_d5_align", sql("samples", "SELECT split, count(*) AS n, round(sum(score_a), 2) AS total FROM samples GROUP BY 1"))
 def _(spark, d):
-    s = S(spark, d)
+    s = held(S(spark, d).select("sample_id", "split", "label", "score_a"))  # read by both sides, to check and to join
     joined = leakage.align(s.select("sample_id", "split", "label"), s.select("sample_id", "score_a"))
     return joined.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("score_a"), 2).alias("total"))
 
