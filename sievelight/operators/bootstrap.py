@@ -20,12 +20,26 @@ from .metrics import rates, win
 from .splits import numbered
 
 
+#: Draws that one task makes, about.
+DRAWS_PER_TASK = 20_000_000
+
+
+def draw_ids(spark, clusters: int, replicates: int) -> DataFrame:
+    """(id) of every draw: replicate times ``clusters`` plus its number."""
+    total = replicates * clusters
+    return spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK)))
+
+
+def single_draws(spark, clusters: int, replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, cluster_no), a row for each draw."""
+    grid = draw_ids(spark, clusters, replicates).select((F.col("id") / clusters).cast("int").alias("rep"), (F.col("id") % clusters).alias("i"))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")), 256)
+    return grid.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % clusters).alias("cluster_no"))
+
+
 def draws(spark, clusters: int, replicates: int, seed: int = 42) -> DataFrame:
     """(rep, cluster_no, mult) with mult >= 1."""
-    grid = spark.range(replicates * clusters).select((F.col("id") / clusters).cast("int").alias("rep"), (F.col("id") % clusters).alias("i"))
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")), 256)
-    drawn = grid.withColumn("cluster_no", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % clusters)
-    return drawn.groupBy("rep", "cluster_no").agg(F.count("*").alias("mult"))
+    return single_draws(spark, clusters, replicates, seed).groupBy("rep", "cluster_no").agg(F.count("*").alias("mult"))
 
 
 #: Replicate number of the sample itself, whose metrics are the point estimates.
@@ -121,15 +135,11 @@ def compared(samples: DataFrame, detectors: dict[str, float], reference: str, cl
     hashes of draws, which SQL can repeat. ``hold`` stores what is read several times."""
     wide = hold(pair_table(samples, cluster, list(detectors)))
     n = wide.count()
-    if draw == "hash":
-        weights = hold(with_itself(draws(samples.sparkSession, n, replicates, seed), n))
-        reps = {d: hold(replicate_metrics(wide, weights, d, t)) for d, t in detectors.items()}
-    else:
-        from .resampling import Draw
-        from .resampling import replicates as drawn
-
-        every = hold(drawn(wide, detectors, Draw(n, replicates, seed, draw)))
-        reps = {d: every.filter(F.col("detector") == d).drop("detector") for d in detectors}
+    from .resampling import Draw
+    from .resampling import replicates as drawn
+
+    every = hold(drawn(wide, detectors, Draw(n, replicates, seed, draw)))
+    reps = {d: every.filter(F.col("detector") == d).drop("detector") for d in detectors}
     named = lambda df, d: df.select(F.lit(d).alias("detector"), "*")
     every = reduce(DataFrame.unionByName, [named(intervals(r, metrics), d) for d, r in reps.items()])
     others = [named(paired_difference(r, reps[reference], metrics), d) for d, r in reps.items() if d != reference]

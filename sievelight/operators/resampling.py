@@ -20,6 +20,7 @@ Place 0 of each vector is the sample itself, every cluster once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import held
-from .bootstrap import ITSELF
+from .bootstrap import ITSELF, draw_ids
 from .metrics import rates
 
 #: Clusters whose weights are drawn, and are held, at once.
 BLOCK = 512
+#: The same where draws are exchanged, and draws that are packed at once.
+HASH_BLOCK, PACKED = 2048, 1 << 20
 COUNTS = ("tp", "fp", "fn", "tn", "won", "pairs")
 
 
@@ -88,6 +91,63 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == n else np.int64).astype(np.int64)
 
 
+_NAMES = ["detector", "score", "pos", "neg", *COUNTS]
+
+
+def _told(detector: str, s0: np.ndarray, s1: np.ndarray, w: np.ndarray, threshold: float) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A row for each distinct score of some clusters with the packed weights of both labels, and
+    the counts of every place; ``w`` is (place, cluster)."""
+    up0, up1 = s0 >= threshold, s1 >= threshold
+    won = 2 * (s1 > s0) + (s1 == s0)  # in halves
+    sides = np.stack([up1, up0, ~up1, ~up0, won, np.ones(len(won))], axis=1).astype(float)
+    counts = (w.astype(float) @ sides).T.astype(np.int64)  # far below 2**53, so exact
+    scores, at = np.unique(np.concatenate([s0, s1]), return_inverse=True)
+    sums = np.zeros((2, len(scores), len(w)), np.int64)
+    np.add.at(sums[0], at[: len(s0)], w.T)
+    np.add.at(sums[1], at[len(s0) :], w.T)
+    nothing = pa.nulls(len(scores), pa.list_(pa.int64()))
+    binary = lambda x: pa.array(_packed(x), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([detector] * len(scores), pa.string()), pa.array(scores, pa.float64()), binary(sums[1]), binary(sums[0]), *[nothing] * len(COUNTS)], _NAMES), counts
+
+
+def _counted(detector: str, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([detector]), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in counts]], _NAMES)
+
+
+def _hashed(spark, draw: Draw) -> DataFrame:
+    """(block, rep, at): the places in the block that the replicate drew, packed as 16-bit integers."""
+    blocks = -(-draw.clusters // draw.block)
+
+    def packed(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rep, number = (np.concatenate(x).astype(np.int64) for x in zip(*waiting))
+        key = rep * blocks + number // draw.block
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], (number % draw.block).astype(np.uint16)[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(starts, len(at)) * at.itemsize
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(at)])
+        return pa.RecordBatch.from_arrays([pa.array((key[starts] % blocks).astype(np.int32)), pa.array((key[starts] // blocks).astype(np.int32)), data], ["block", "rep", "at"])
+
+    def drawn(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``bootstrap.single_draws`` says in SQL functions, without a hex text for each."""
+        rep, i = np.divmod(ids, draw.clusters)
+        digests = b"".join([sha256(b"%d:%d:%d" % (draw.seed, r, j)).digest() for r, j in zip(rep.tolist(), i.tolist())])
+        return rep, np.frombuffer(digests, ">u4")[::8].astype(np.int64) % draw.clusters
+
+    def run(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(drawn(batch["id"].to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+            if n >= PACKED:
+                yield packed(waiting)
+                waiting, n = [], 0
+        if n:
+            yield packed(waiting)
+
+    return draw_ids(spark, draw.clusters, draw.replicates).mapInArrow(run, "block int, rep int, at binary")
+
+
 def _drawn(wide: DataFrame, detectors: dict[str, float], draw: Draw) -> DataFrame:
     """For each detector rows (score, pos, neg) with packed weights, and one row a task with its counts."""
     n = draw.replicates + 1
@@ -99,23 +159,33 @@ def _drawn(wide: DataFrame, detectors: dict[str, float], draw: Draw) -> DataFram
             number = batch["cluster_no"].to_numpy(zero_copy_only=False)
             for block, drawn in draw.weights(np.unique(number // draw.block).tolist()):
                 mine = number // draw.block == block
-                w = drawn[:, number[mine] - block * draw.block]
                 for d, threshold in detectors.items():
-                    s0, s1 = (batch[f"{d}_{y}"].to_numpy(zero_copy_only=False)[mine].astype(float) for y in (0, 1))
-                    up0, up1 = s0 >= threshold, s1 >= threshold
-                    won = 2 * (s1 > s0) + (s1 == s0)  # in halves
-                    totals[d] += np.stack([w @ x.astype(np.int64) for x in (up1, up0, ~up1, ~up0, won, np.ones(len(won)))])
-                    scores, at = np.unique(np.concatenate([s0, s1]), return_inverse=True)
-                    sums = np.zeros((2, len(scores), n), np.int64)
-                    np.add.at(sums[0], at[: len(s0)], w.T)
-                    np.add.at(sums[1], at[len(s0) :], w.T)
-                    nothing = pa.nulls(len(scores), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(scores)), pa.array(scores), pa.array(_packed(sums[1])), pa.array(_packed(sums[0])), *[nothing] * len(COUNTS)], ["detector", "score", "pos", "neg", *COUNTS])
+                    scores = [batch[f"{d}_{y}"].to_numpy(zero_copy_only=False)[mine].astype(float) for y in (0, 1)]
+                    rows, counts = _told(d, *scores, drawn[:, number[mine] - block * draw.block], threshold)
+                    totals[d] += counts
+                    yield rows
         for d, t in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *[pa.array([x.tolist()]) for x in t]], ["detector", "score", "pos", "neg", *COUNTS])
+            yield _counted(d, t)
 
     columns = ["cluster_no", *[f"{d}_{y}" for d in detectors for y in (0, 1)]]
-    return wide.select(*columns).mapInArrow(run, f"detector string, score double, pos binary, neg binary, {arrays}")
+    schema = f"detector string, score double, pos binary, neg binary, {arrays}"
+    if draw.kind != "hash":
+        return wide.select(*columns).mapInArrow(run, schema)
+
+    def run_block(key: tuple, mine: pa.Table, packed: pa.Table) -> pa.Table:
+        number = mine["cluster_no"].to_numpy() - key[0].as_py() * draw.block
+        weights = np.zeros((n, draw.block), np.int64)
+        weights[0] = 1
+        for rep, at in zip(packed["rep"].to_pylist(), packed["at"]):
+            weights[rep + 1] += np.bincount(np.frombuffer(at.as_buffer(), np.uint16), minlength=draw.block)
+        out = []
+        for d, threshold in detectors.items():
+            rows, counts = _told(d, *[mine[f"{d}_{y}"].to_numpy().astype(float) for y in (0, 1)], weights[:, number], threshold)
+            out += [rows, _counted(d, counts)]
+        return pa.Table.from_batches(out)
+
+    block = F.floor(F.col("cluster_no") / draw.block).cast("int").alias("block")
+    return wide.select(block, *columns).groupBy("block").cogroup(_hashed(wide.sparkSession, draw).groupBy("block")).applyInArrow(run_block, schema)
 
 
 def _areas(drawn: DataFrame, draw: Draw) -> DataFrame:
@@ -166,6 +236,8 @@ def replicates(wide: DataFrame, detectors: dict[str, float], draw: Draw) -> Data
     """(detector, rep, auroc, accuracy, precision, recall, f1, pair_accuracy) of every replicate and,
     as replicate ITSELF, of the sample. ``wide`` is ``bootstrap.pair_table`` of the detectors, which
     are given with their thresholds; all meet the same weights."""
+    if draw.kind == "hash":
+        draw = draw._replace(block=HASH_BLOCK)
     drawn = held(_drawn(wide, detectors, draw))
     zipped = F.posexplode(F.arrays_zip(*COUNTS)).alias("place", "e")
     counts = drawn.filter("score is null").select("detector", zipped).select("detector", (F.col("place") + ITSELF).alias("rep"), "e.*")

@@ -430,3 +430,17 @@ def test_tree_intervals_agree_with_numpys_up_to_sampling(spark):
     for r in out["intervals"].collect():
         low, high = wanted[r.metric]
         assert abs(r.low - low) < 0.15 * (high - low) and abs(r.high - high) < 0.15 * (high - low)
+
+
+def test_hashed_draws_by_blocks_equal_the_join_with_multiplicities(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "HASH_BLOCK", 7)
+    rows = [(f"p{i:02d}", y, float((i * 7 + 5 * y) % 11), float((i * i + y) % 3)) for i in range(40) for y in (0, 1)]
+    wide = bootstrap.pair_table(spark.createDataFrame(rows, "pair_id string, label int, s double, t double"), "pair_id", ["s", "t"]).cache()
+    weights = bootstrap.with_itself(bootstrap.draws(spark, 40, 6), 40)
+    found = resampling.replicates(wide, {"s": 5.0, "t": 1.0}, resampling.Draw(40, 6, 42, "hash")).collect()
+    for name, at in (("s", 5.0), ("t", 1.0)):
+        want = {r.rep: r for r in bootstrap.replicate_metrics(wide, weights, name, at).collect()}
+        got = {r.rep: r for r in found if r.detector == name}
+        assert set(got) == set(want) == set(range(-1, 6))
+        for rep, r in want.items():
+            assert [got[rep][m] for m in bootstrap.ALL_METRICS] == pytest.approx([r[m] for m in bootstrap.ALL_METRICS])
