@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +69,18 @@ class Logistic:
 
 
 def fit_many(
-    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 100, tol: float = 1e-8, vector: str | None = None, free_intercept: bool = True
+    df: DataFrame, features: list[str], models: dict[str, tuple[float, int | None, int | None]], label: str = "label", fold: str | None = None, group: str | None = None, steps: int = 100, tol: float = 1e-8, vector: str | None = None, free_intercept: bool = True, sets: dict[str, list[str]] | None = None
 ) -> dict[str, Logistic]:
     """Fit models {name: (C, fold left out or None, group kept or None)}: penalty
     |w|^2 / (2C) beside the summed loss; the intercept is free, or else penalised like a weight
-    on a feature that is always 1. Each partition adds up its
+    on a feature that is always 1. ``sets`` names the features of models that don't use all;
+    however many models there are, a step reads the rows once. Each partition adds up its
     own gradients and Hessians in numpy; the sums are added per model and place.
     With ``vector``, an array column holds the features in their order. Steps that
     haven't come to rest after ``steps`` are an error."""
-    spark, p = df.sparkSession, len(features) + 1
-    weights = {n: np.zeros(p) for n in models}
+    spark, own_features = df.sparkSession, {n: list((sets or {}).get(n, features)) for n in models}
+    places = {n: [0, *[1 + features.index(f) for f in own]] for n, own in own_features.items()}  # 0 is the intercept
+    weights = {n: np.zeros(len(at)) for n, at in places.items()}
     live = set(models)
     x = F.col(vector).cast("array<double>") if vector else F.array(*[F.col(c).cast("double") for c in features])
     key = lambda c: F.col(c).cast("int") if c else F.lit(-1)
@@ -85,34 +88,37 @@ def fit_many(
     for _ in range(steps):
         if not live:
             break
-        shipped = spark.sparkContext.broadcast({n: (models[n], weights[n]) for n in sorted(live)})
+        shipped = spark.sparkContext.broadcast({n: (models[n], places[n], weights[n]) for n in sorted(live)})
 
-        def partial(batches, shipped=shipped):
+        def partial(batches, shipped=shipped, width=len(features)):
             sums: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                if not len(pdf):
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["x"].to_numpy())])
-                y, folds, groups = (pdf[c].to_numpy() for c in ("y", "fold", "grp"))
-                for name, ((_, skip, only), w) in shipped.value.items():
-                    some = np.ones(len(y), bool)
-                    if skip is not None:
-                        some &= folds != skip
-                    if only is not None:
-                        some &= groups == only
-                    xs = x[some]
-                    q = 1 / (1 + np.exp(-np.clip(xs @ w, -500, 500)))
-                    own = np.concatenate([xs.T @ (q - y[some]), ((xs * (q * (1 - q))[:, None]).T @ xs).ravel()])
-                    sums[name] = sums.get(name, 0) + own
+                if pc.any(pc.not_equal(pc.fill_null(pc.list_value_length(batch["x"]), -1), width)).as_py():
+                    raise ValueError(f"every row needs {width} features")
+                x = np.column_stack([np.ones(batch.num_rows), batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)])
+                y, folds, groups = (batch[c].to_numpy(zero_copy_only=False) for c in ("y", "fold", "grp"))
+                for k, g in {*zip(folds.tolist(), groups.tolist())}:
+                    some = (folds == k) & (groups == g)
+                    part, said = (x, y) if some.all() else (x[some], y[some])
+                    for name, ((_, skip, only), at, w) in shipped.value.items():
+                        if k == skip or (only is not None and g != only):
+                            continue
+                        xs = part if len(at) == part.shape[1] and at == sorted(at) else part[:, at]
+                        q = 1 / (1 + np.exp(-np.clip(xs @ w, -500, 500)))
+                        own = np.concatenate([xs.T @ (q - said), ((xs * (q * (1 - q))[:, None]).T @ xs).ravel()])
+                        sums[name] = sums.get(name, 0) + own
             for name, values in sums.items():
-                yield pd.DataFrame({"model": name, "place": np.arange(len(values)), "value": values})
+                yield pa.RecordBatch.from_pydict({"model": [name] * len(values), "place": pa.array(np.arange(len(values)), pa.int32()), "value": values})
 
-        added = rows.mapInPandas(partial, "model string, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect()
-        found: dict[str, np.ndarray] = {n: np.zeros(p + p * p) for n in {r.model for r in added}}
+        added = rows.mapInArrow(partial, "model string, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect()
+        found: dict[str, np.ndarray] = {n: np.zeros(len(places[n]) * (len(places[n]) + 1)) for n in {r.model for r in added}}
         for r in added:
             found[r.model][r.place] = r.value
         for n, values in found.items():
-            w, ridge = weights[n], np.full(p, 1 / models[n][0])
+            w, p = weights[n], len(places[n])
+            ridge = np.full(p, 1 / models[n][0])
             if free_intercept:
                 ridge[0] = 0
             move = np.linalg.solve(values[p:].reshape(p, p) + np.diag(ridge) + 1e-12 * np.eye(p), values[:p] + ridge * w)
@@ -123,7 +129,7 @@ def fit_many(
     rows.unpersist()
     if live:
         raise RuntimeError(f"not at rest after {steps} steps: {', '.join(sorted(live))}")
-    return {n: Logistic(tuple(features), tuple(w[1:].tolist()), float(w[0])) for n, w in weights.items()}
+    return {n: Logistic(tuple(own_features[n]), tuple(w[1:].tolist()), float(w[0])) for n, w in weights.items()}
 
 
 def fit_logistic(df: DataFrame, features: list[str], c: float = 1.0, label: str = "label") -> Logistic:

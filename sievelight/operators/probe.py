@@ -14,6 +14,7 @@ from pyspark import SparkContext, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
 from .fusion import Logistic, fit_many, standardised
 from .metrics import auroc, best_by
 
@@ -166,23 +167,15 @@ def decision(context: SparkContext, probes: dict[int, Probe]):
 def feature_models(rows: DataFrame, train: Column, test: Column, sets: dict[str, list[str]], c: float = 1.0, free_intercept: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(feature, label, score) of the ``test`` rows, with their columns ``keep``, for a logistic regression on each named
     set of columns, standardised and fitted on the ``train`` rows; a score of at least 0
-    predicts label 1. The intercept is penalised like a weight, unless it is to be free. A feature that doesn't vary in training is only centred. Sets of one
-    feature are fitted together."""
+    predicts label 1. The intercept is penalised like a weight, unless it is to be free. A feature that doesn't vary in training is only centred.
+    Features are worked out once and stored; all sets are fitted together."""
     features = sorted({f for s in sets.values() for f in s})
-    row = rows.filter(train).agg(*[g(f).alias(f"{f}__{n}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    rows = held(rows.select("label", *features, *[k for k in keep or [] if k not in features], train.alias("_train"), test.alias("_test")).filter("_train or _test"))
+    row = rows.filter("_train").agg(*[g(f).alias(f"{f}__{n}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     ready = standardised(rows, {f: (row[f"{f}__m"] or 0.0, row[f"{f}__s"] or 1.0) for f in features})
-    learnt = ready.filter(train)
-    single = {n: s[0] for n, s in sets.items() if len(s) == 1}
-    models = {}
-    if single:
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.array(F.col(f).cast("double")).alias("x")) for i, f in enumerate(single.values())])).alias("e")
-        found = fit_many(learnt.select("label", each).select("label", "e.*"), ["x"], {n: (c, None, i) for i, n in enumerate(single)}, group="grp", vector="x", free_intercept=free_intercept)
-        models = {n: Logistic((f,), found[n].coef, found[n].intercept) for n, f in single.items()}
-    for n, s in sets.items():
-        if n not in models:
-            models[n] = fit_many(learnt, s, {n: (c, None, None)}, free_intercept=free_intercept)[n]
+    models = fit_many(ready.filter("_train"), features, {n: (c, None, None) for n in sets}, free_intercept=free_intercept, sets=sets)
     scores = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), models[n].decision().alias("score")) for n in sets])).alias("e")
-    return ready.filter(test).select("label", *(keep or []), scores).select("e.feature", "label", *(keep or []), "e.score")
+    return ready.filter("_test").select("label", *(keep or []), scores).select("e.feature", "label", *(keep or []), "e.score")
 
 
 def layer_table(scored: DataFrame) -> DataFrame:

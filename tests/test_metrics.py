@@ -237,6 +237,22 @@ def test_formatting_query_has_fitted_models_and_rates(spark):
     assert views.formatting(spark, d).filter("split = 'test'").count() > 0
 
 
+@pytest.mark.parametrize("query", ["l13_g3_formatting_features_auroc", "l13_single_features", "r30_matched_formatting"])
+def test_features_of_a_text_are_worked_out_once(spark, monkeypatch, query):
+    from sievelight.plans import catalog, views
+
+    d, seen, made = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), views.formatting
+
+    @F.udf("double")
+    def told(n):
+        seen.add(1)
+        return n
+
+    monkeypatch.setattr(views, "formatting", lambda spark, d: made(spark, d).withColumn("char_count", told("char_count")))
+    catalog.QUERIES[query](spark, d).collect()
+    assert 0 < seen.value <= made(spark, d).count()
+
+
 def test_single_class_has_no_threshold(spark):
     cand = metrics.threshold_candidates(metrics.score_groups(frame(spark, [1, 1], [1, 2]), []))
     with pytest.raises(Exception, match="single class"):
@@ -275,6 +291,21 @@ def test_estimates_and_broken_clusters(spark):
         bootstrap.pair_table(df.withColumn("s", F.when(F.col("pair_id") != "p03", F.col("s"))), "pair_id", ["s"]).collect()
 
 
+def test_models_on_several_sets_are_fitted_together(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3))
+    rows = [(int(a + rng.normal() > 0), int(i % 3), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "label int, fold int, a double, b double, c double")
+    sets = {"one": ["b"], "turned": ["c", "a"], "all": ["a", "b", "c"]}
+    both = fusion.fit_many(df, ["a", "b", "c"], {n: (1.0, 1, None) for n in sets}, fold="fold", sets=sets)
+    for n, s in sets.items():
+        alone = fusion.fit_many(df.filter("fold <> 1"), s, {"m": (1.0, None, None)})["m"]
+        assert both[n].features == tuple(s) and [*both[n].coef, both[n].intercept] == pytest.approx([*alone.coef, alone.intercept], abs=1e-9)
+    uneven = spark.createDataFrame([(1, [1.0]), (0, [1.0, 2.0, 3.0])], "label int, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="needs 2 features"):
+        fusion.fit_many(uneven, ["a", "b"], {"m": (1.0, None, None)}, vector="v")
+
+
 def test_newton_says_when_it_is_not_at_rest(spark):
     rows = spark.createDataFrame([(int(i > 20), float(i)) for i in range(40)], "label int, u double")
     with pytest.raises(RuntimeError, match="not at rest"):
