@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,7 +101,8 @@ def char_length(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NON_WS + "+"))
+    """Runs without white space; printable ASCII runs are cut to a letter first, which keeps their number."""
+    return F.regexp_count(F.regexp_replace(text, "[!-~]+", "x"), F.lit(NON_WS + "+"))
 
 
 @lru_cache
@@ -113,31 +115,39 @@ def formatting_features(text: Column) -> list[Column]:
     """The seventeen surface features of a text. Upper and lower case are shares of the
     letters, all other ratios are shares of the characters; denominators are at least one."""
     n = F.length(text)
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    # most of a text is small ASCII letters and spaces: without them little is left in which the other kinds are counted
+    letters, spaces = F.regexp_replace(text, "[a-z]+", ""), lambda t: F.replace(t, F.lit(" "), F.lit(""))
+    bare = spaces(letters)
+    small, space = n - F.length(letters), F.length(letters) - F.length(bare)
+    without = lambda *signs: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), signs, bare)
+    sign = lambda *signs: F.length(bare) - F.length(without(*signs))
+    count = lambda pattern: F.length(bare) - F.length(F.regexp_replace(bare, f"{pattern}+", ""))
     per = lambda c: c.cast("double") / F.greatest(n, F.lit(1))
-    of_letters = lambda c: c.cast("double") / F.greatest(count(r"\p{L}"), F.lit(1))
+    of_letters = lambda c: c.cast("double") / F.greatest(small + count(r"\p{L}"), F.lit(1))
     # rare kinds are counted only in texts that hold their general category
-    rare = lambda sign, pattern: F.when(text.rlike(sign), count(pattern)).otherwise(0)
+    rare = lambda sign, pattern: F.when(bare.rlike(sign), count(pattern)).otherwise(0)
     words = word_count(text)
+    unique = F.size(F.array_distinct(F.split(bare, "")))
+    unique = F.when(bare == "", 0).otherwise(unique) + sum((F.contains(text, F.lit(c)).cast("int") for c in " " + ascii_lowercase), F.lit(0))
     flag = lambda test: F.when(test, 1.0).otherwise(0.0)
     values = {
         "char_count": n.cast("double"),
         "word_count": words.cast("double"),
-        "avg_word_length": (n - count(" ")).cast("double") / F.greatest(words, F.lit(1)),
+        "avg_word_length": (n - space).cast("double") / F.greatest(words, F.lit(1)),
         "uppercase_ratio": of_letters(count(r"\p{Lu}")),
-        "lowercase_ratio": of_letters(count(r"\p{Ll}") + rare(r"[\p{Lm}\xAA\xBA]", r"[\p{Lm}\p{Lo}&&\p{IsLowercase}]")),
+        "lowercase_ratio": of_letters(small + count(r"\p{Ll}") + rare(r"[\p{Lm}\xAA\xBA]", r"[\p{Lm}\p{Lo}&&\p{IsLowercase}]")),
         "digit_ratio": per(count(r"\p{Nd}") + rare(r"\p{No}", _other_digits())),
         "punctuation_ratio": per(count(r"\p{Punct}")),
-        "whitespace_ratio": per(count(WS)),
-        "unique_char_ratio": per(F.when(n == 0, 0).otherwise(F.size(F.array_distinct(F.split(text, ""))))),
-        "comma_ratio": per(count(",")),
-        "period_ratio": per(count(r"\.")),
-        "question_mark_ratio": per(count(r"\?")),
-        "exclamation_ratio": per(count("!")),
-        "parenthesis_ratio": per(count(r"[()]")),
+        "whitespace_ratio": per(space + count(WS)),
+        "unique_char_ratio": per(unique),
+        "comma_ratio": per(sign(",")),
+        "period_ratio": per(sign(".")),
+        "question_mark_ratio": per(sign("?")),
+        "exclamation_ratio": per(sign("!")),
+        "parenthesis_ratio": per(sign("(", ")")),
         "non_ascii_ratio": per(count(r"[^\x00-\x7F]")),
         "starts_uppercase": flag(text.rlike(r"^\p{IsUppercase}")),
-        "ends_punctuation": flag(text.rlike(r"\p{Punct}\z")),
+        "ends_punctuation": flag(F.substring(text, -1, 1).rlike(r"\p{Punct}\z")),
     }
     return [values[name].alias(name) for name in FEATURES]
 
