@@ -560,7 +560,7 @@ def _(spark, d):
 def _(spark, d):
     """Formatting models fitted on train, scored on the length-matched part of all other rows."""
     ensure_checkpoint_dir(spark)
-    rows = views.formatting(spark, d).withColumn("sample_id", F.col("doc_id").cast("string"))
+    rows = held(views.formatting(spark, d).withColumn("sample_id", F.col("doc_id").cast("string")))
     rest = rows.filter("split <> 'train'").select("sample_id", "label", F.col("char_count").cast("int").alias("length"))
     matched = matching.greedy_length_matches(rest, 5).select(F.explode(F.array("id0", "id1")).alias("sample_id")).withColumn("matched", F.lit(True))
     marked = rows.join(matched, "sample_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
