@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import held
-from .bootstrap import ITSELF, draw_ids
+from .bootstrap import DRAWS_PER_TASK, ITSELF
 from .metrics import rates
 
 #: Clusters whose weights are drawn, and are held, at once.
 BLOCK = 512
 #: The same where draws are exchanged, and draws that are packed at once.
 HASH_BLOCK, PACKED = 2048, 1 << 20
+#: Draws of one replicate that a task makes at once.
+HASH_CHUNK = 1 << 18
 COUNTS = ("tp", "fp", "fn", "tn", "won", "pairs")
 
 
@@ -128,24 +130,31 @@ def _hashed(spark, draw: Draw) -> DataFrame:
         data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(at)])
         return pa.RecordBatch.from_arrays([pa.array((key[starts] % blocks).astype(np.int32)), pa.array((key[starts] // blocks).astype(np.int32)), data], ["block", "rep", "at"])
 
-    def drawn(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What ``bootstrap.single_draws`` says in SQL functions, without a hex text for each."""
-        rep, i = np.divmod(ids, draw.clusters)
-        digests = b"".join([sha256(b"%d:%d:%d" % (draw.seed, r, j)).digest() for r, j in zip(rep.tolist(), i.tolist())])
-        return rep, np.frombuffer(digests, ">u4")[::8].astype(np.int64) % draw.clusters
+    # a task has some replicates' draws of the same numbers, so the numbers' digits are written once
+    size = min(HASH_CHUNK, max(1, draw.clusters))
+    chunks, most = -(-draw.clusters // size), max(1, DRAWS_PER_TASK // size)
+    per = max(1, min(most, draw.replicates * chunks // spark.sparkContext.defaultParallelism))
+    groups = -(-draw.replicates // per)
 
     def run(batches):
-        waiting, n = [], 0
-        for batch in batches:
-            waiting.append(drawn(batch["id"].to_numpy(zero_copy_only=False)))
-            n += batch.num_rows
-            if n >= PACKED:
+        """What ``bootstrap.single_draws`` says in SQL functions, without a hex text for each."""
+        for task in (i for batch in batches for i in batch["id"].to_pylist()):
+            chunk, group = divmod(task, groups)
+            digits = [b"%d" % i for i in range(chunk * size, min((chunk + 1) * size, draw.clusters))]
+            waiting, n = [], 0
+            for rep in range(group * per, min((group + 1) * per, draw.replicates)):
+                head = b"%d:%d:" % (draw.seed, rep)
+                digests = b"".join([sha256(head + i).digest() for i in digits])
+                waiting.append((np.full(len(digits), rep), np.frombuffer(digests, ">u4")[::8].astype(np.int64) % draw.clusters))
+                n += len(digits)
+                if n >= PACKED:
+                    yield packed(waiting)
+                    waiting, n = [], 0
+            if n:
                 yield packed(waiting)
-                waiting, n = [], 0
-        if n:
-            yield packed(waiting)
 
-    return draw_ids(spark, draw.clusters, draw.replicates).mapInArrow(run, "block int, rep int, at binary")
+    tasks = chunks * groups
+    return spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(run, "block int, rep int, at binary")
 
 
 def _drawn(wide: DataFrame, detectors: dict[str, float], draw: Draw) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +39,30 @@ def split_counts(n: int, test: float = 0.1, validation: float = 0.1) -> tuple[in
     return n_test, n_val
 
 
+def split_column(pairs: DataFrame, key: str = "pair_id", seed: int = 42, test: float = 0.1, validation: float = 0.1) -> Column:
+    """The split of a key of ``pairs`` as a column of the key alone, so that rows needn't be joined
+    to get it: counts of the 4096 first-three-digit buckets say in which ones the splits end, and
+    only those two are numbered. Equal to places by :func:`hashed_rank`."""
+    hashed = pairs.select(key).distinct().withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = sorted((r["_b"], r["_n"]) for r in hashed.groupBy("_b").agg(F.count("*").alias("_n")).collect())  # at most 4096 rows
+    n_test, n_val = split_counts(sum(n for _, n in sizes), test, validation)
+    at, lead = {}, 0  # end to the bucket that holds it and the place there
+    for b, n in sizes:
+        at |= {end: (b, end - lead) for end in (n_test, n_test + n_val) if lead <= end < lead + n}
+        lead += n
+    cuts = {}
+    if at:
+        place = F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1
+        inside = hashed.filter(F.col("_b").isin(*{b for b, _ in at.values()})).withColumn("_i", place)
+        wanted = reduce(or_, [(F.col("_b") == b) & (F.col("_i") == i) for b, i in set(at.values())])
+        cuts = {(r["_b"], r["_i"]): r["_h"] for r in inside.filter(wanted).select("_b", "_i", "_h").collect()}
+    below = lambda end: hash_order(seed, F.col(key)) < cuts[at[end]] if end in at else F.lit(True)
+    return F.when(below(n_test), TEST).when(below(n_test + n_val), VALIDATION).otherwise(TRAIN)
+
+
 def split_pairs(pairs: DataFrame, key: str = "pair_id", seed: int = 42, test: float = 0.1, validation: float = 0.1) -> DataFrame:
     """Distinct keys with ``split``: exact counts, whole pairs, reproducible from the key alone."""
-    keys = pairs.select(key).distinct()
-    n_test, n_val = split_counts(keys.count(), test, validation)
-    where = F.when(F.col("pos") < n_test, TEST).when(F.col("pos") < n_test + n_val, VALIDATION).otherwise(TRAIN)
-    return hashed_rank(keys, key, seed).select(key, where.alias("split"))
+    return pairs.select(key).distinct().withColumn("split", split_column(pairs, key, seed, test, validation))
 
 
 def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import formatting_features, normalized_answer
 from ..operators.semantic import consecutive_generations, grouped_generations
-from ..operators.splits import split_pairs
+from ..operators.splits import split_column
 
 SEED = 42
 
@@ -31,7 +31,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("score_b"))
     base = plain_samples(spark, sf_dir)
     joined = base.join(lines, base.o_orderkey == lines.l_orderkey, "left").withColumn("score_b", F.coalesce("score_b", F.lit(0)).cast("double")).drop("l_orderkey")
-    return joined.join(split_pairs(base, "pair_id", SEED), "pair_id")
+    return joined.select("pair_id", *[c for c in joined.columns if c != "pair_id"], split_column(base, "pair_id", SEED).alias("split"))
 
 
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

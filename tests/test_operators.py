@@ -534,3 +534,16 @@ def test_a_text_in_several_files_has_one_hash(spark, tmp_path, monkeypatch):
     assert io.content_hash(spark, f"{tmp_path}/crlf") == wanted
     monkeypatch.setattr(io, "_digest_of_lines", None)  # texts without CRLF don't go through Python
     assert io.content_hash(spark, f"{tmp_path}/plain") == wanted
+
+
+@pytest.mark.parametrize("n, test, validation", [(1, 0.1, 0.1), (2, 0.1, 0.1), (5000, 0.1, 0.1), (40, 0.0, 0.5), (40, 0.5, 0.5), (40, 1.0, 0.1)])
+def test_a_split_is_a_column_of_the_key(spark, n, test, validation):
+    from sievelight.operators import splits
+
+    keys = spark.range(n).select(F.format_string("P%05d", "id").alias("k"))
+    n_test, n_val = splits.split_counts(n, test, validation)
+    where = F.when(F.col("pos") < n_test, "test").when(F.col("pos") < n_test + n_val, "validation").otherwise("train")
+    want = {r.k: r.split for r in splits.hashed_rank(keys, "k", 42).select("k", where.alias("split")).collect()}
+    twice = keys.unionByName(keys)
+    assert {r.k: r.split for r in twice.select("k", splits.split_column(twice, "k", 42, test, validation).alias("split")).collect()} == want
+    assert {r.k: r.split for r in splits.split_pairs(twice, "k", 42, test, validation).collect()} == want
