@@ -147,12 +147,14 @@ class Fusion:
 def fit_fusion(validation: DataFrame, features: list[str], group: str = "pair_id", folds: int = 5, seed: int = 42) -> tuple[Fusion, DataFrame]:
     """Fusion learnt on validation rows only, and their out-of-fold scores.
 
-    C is the grid's least grouped-fold log-loss (ties: the smaller C).
+    C is the grid's least grouped-fold log-loss (ties: the smaller C). The rows are made once and stored.
     """
+    from ..sources.shared import held
     from .splits import grouped_folds
 
+    validation = held(validation)
     scale = standardisation(validation, features)
-    rows = grouped_folds(standardised(validation, scale), group, folds, seed).persist()
+    rows = held(grouped_folds(standardised(validation, scale), group, folds, seed))
     grid = {f"{c}|{k}": (c, k, None) for c in C_GRID for k in range(folds)} | {f"{c}|all": (c, None, None) for c in C_GRID}
     models = fit_many(rows, features, grid, fold="fold")  # folds and whole data take their steps together
     by_fold = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("fold"))
@@ -170,7 +172,6 @@ def fit_fusion(validation: DataFrame, features: list[str], group: str = "pair_id
     losses = {c: loss[f"l{i}"] for i, c in enumerate(C_GRID)}
     best = min(C_GRID, key=lambda c: (losses[c], c))
     model = models[f"{best}|all"]
-    rows.unpersist()
     keep = [c for c in validation.columns if c not in features]
     return Fusion(scale, model, best, losses), scored.select(*keep, F.col(f"oof_{C_GRID.index(best)}").alias("score"))
 

@@ -610,9 +610,9 @@ def _(spark, d):
 @q("l10_l11_l12_fusion")
 def _(spark, d):
     """Fusion of two scores and length, fitted on validation only, and what it and its average reach on test."""
-    s = S(spark, d).withColumn("log_length", fusion.log_length(F.col("length")))
     cols = ["score_a", "score_b", "log_length"]
     keep = ["sample_id", "pair_id", "label", *cols]
+    s = held(S(spark, d).filter("split <> 'train'").withColumn("log_length", fusion.log_length(F.col("length"))).select("split", *keep))
     fitted, oof = fusion.fit_fusion(s.filter("split = 'validation'").select(*keep), cols)
     threshold = metrics.select_threshold(metrics.threshold_candidates(metrics.score_groups(oof, [])), [])
     test = s.filter("split = 'test'").select(*keep)

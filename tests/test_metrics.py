@@ -167,6 +167,17 @@ def test_bootstrap_queries_draw_a_thousand_replicates(spark):
         assert [two[name].low, two[name].high] == pytest.approx(np.nanpercentile(v[:, 0] - v[:, 1], [2.5, 97.5]).tolist(), abs=1e-8)
 
 
+def test_hashed_draws_are_made_by_chunks_of_numbers(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "HASH_CHUNK", 7)
+    monkeypatch.setattr(resampling, "PACKED", 20)
+    got, n = {}, 45
+    draws = resampling._hashed(spark, resampling.Draw(n, 9, 42, "hash", 16))
+    for r in draws.collect():
+        for i in np.frombuffer(r["at"], np.uint16):
+            got[r.rep, r.block * 16 + int(i)] = got.get((r.rep, r.block * 16 + int(i)), 0) + 1
+    assert got == {(r.rep, r.cluster_no): r.mult for r in bootstrap.draws(spark, n, 9, 42).collect()}
+
+
 @pytest.mark.parametrize("free", [False, True])
 def test_feature_models_learn_on_train_only(spark, free):
     from sievelight.operators import probe
@@ -306,6 +317,21 @@ def test_models_on_several_sets_are_fitted_together(spark):
         fusion.fit_many(uneven, ["a", "b"], {"m": (1.0, None, None)}, vector="v")
 
 
+def test_fusion_makes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i}", y, float(rng.normal() + y), float(rng.normal())) for i in range(40) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "pair_id string, label int, a double, b double").withColumn("a", told("a"))
+    _, oof = fusion.fit_fusion(df, ["a", "b"])
+    assert oof.count() == 80 and seen.value == 80
+
+
 def test_newton_says_when_it_is_not_at_rest(spark):
     rows = spark.createDataFrame([(int(i > 20), float(i)) for i in range(40)], "label int, u double")
     with pytest.raises(RuntimeError, match="not at rest"):
