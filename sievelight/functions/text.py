@@ -6,7 +6,6 @@ import unicodedata
 from functools import lru_cache, reduce
 from string import ascii_lowercase
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,21 +44,25 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS + "+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
+# Row by row: Python holds a hundred texts at a time, where a pandas function is handed batches of
+# ten thousand, whatever their bytes.
+
+
+@F.udf(T.StringType(), useArrow=False)
+def _nfc(text: str | None) -> str | None:
     """Unicode NFC; Spark has no builtin."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_casefold(text: pd.Series) -> pd.Series:
+@F.udf(T.StringType(), useArrow=False)
+def _nfkc_casefold(text: str | None) -> str | None:
     """NFKC and full case folding; Spark's ``lower`` isn't folding."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return None if text is None else unicodedata.normalize("NFKC", text).casefold()
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else x.casefold())
+@F.udf(T.StringType(), useArrow=False)
+def _casefold(text: str | None) -> str | None:
+    return None if text is None else text.casefold()
 
 
 def beyond_ascii(text: Column, udf, ascii: Column) -> Column:

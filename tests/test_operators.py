@@ -2,6 +2,7 @@ import itertools
 import json
 import pathlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -547,3 +548,17 @@ def test_a_split_is_a_column_of_the_key(spark, n, test, validation):
     twice = keys.unionByName(keys)
     assert {r.k: r.split for r in twice.select("k", splits.split_column(twice, "k", 42, test, validation).alias("split")).collect()} == want
     assert {r.k: r.split for r in splits.split_pairs(twice, "k", 42, test, validation).collect()} == want
+
+
+def test_few_texts_are_in_python_at_a_time(spark):
+    from pyspark.util import PythonEvalType
+
+    assert {f.evalType for f in (text._nfc, text._nfkc_casefold, text._casefold)} == {PythonEvalType.SQL_BATCHED_UDF}
+    odd = ["Straße", "ﬁn\u00a0 Ｅnd", "e\u0301É", "plain Text", "", None, "İΣΑΣ", "ß" * 50000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", *[f(F.col("t")).alias(f.__name__) for f in (text.normalized, text.normalized_answer, text.clean)])
+    for r in rows.collect():
+        t = odd[r.i]
+        folded = lambda s: None if s is None else " ".join(s.casefold().split())
+        assert r.normalized == folded(None if t is None else unicodedata.normalize("NFKC", t))
+        assert r.normalized_answer == folded(t or "")
+        assert r.clean == (None if t is None else unicodedata.normalize("NFC", " ".join(t.split())))
